@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from .chat_format import OP3_SQL, op3_chat_format
+from .html_extract import op5_html_text
+from .language_id import op7_language_id
+from .mixing import op4_mixing
 from .quality import op10_quality
+from .token_count import op8_token_count
 from .url_filter import op6_url_filter
 
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op4_mixing": op4_mixing,
+    "op5_html_text": op5_html_text,
     "op6_url_filter": op6_url_filter,
+    "op7_language_id": op7_language_id,
+    "op8_token_count": op8_token_count,
     "op10_quality": op10_quality,
 }
 
