@@ -1,6 +1,289 @@
-"""Every registered query of the library, by name, and DuckDB SQL for those that SQL can express."""
+"""Every registered query of the library, by name, and DuckDB SQL for those that SQL can express.
+
+No genome is given, so whole tables of text are read as DNA (see ``dna_view``): documents are the sequences, benchmark
+items the guide sources, conversation turns the reads.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dna
+from ..operators import kmers, library, matching, motifs, regions, scoring, trimming
+
+ADAPTER = "TTACT"
+PRIMERS = ("TTACAG", "ACGT")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sequences(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", dna.dna_view(F.col("text")).alias("seq"))
+
+
+def items(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select("item_id", dna.dna_view(F.col("text")).alias("seq"))
+
+
+def guides(spark, sf_dir) -> DataFrame:
+    """The distinct spacers of all benchmark sites; a spacer is its own id."""
+    sites = matching.pam_sites(items(spark, sf_dir), ["item_id"])
+    return sites.select(F.col("site").substr(1, 20).alias("spacer")).distinct().select(F.col("spacer").alias("guide_id"), "spacer")
+
+
+def reads(spark, sf_dir) -> DataFrame:
+    seq = dna.dna_view(F.col("text"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", seq.alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+
+
+def kmer_topn_k15(spark, sf_dir):
+    return kmers.top_kmers(kmers.count_kmers(sequences(spark, sf_dir), 15, ["doc_id"]), 2, 200)
+
+
+def kmer_histogram(spark, sf_dir):
+    return kmers.count_kmers(sequences(spark, sf_dir), 15, ["doc_id"]).groupBy("count").agg(F.count("*").alias("kmers")).withColumnRenamed("count", "times")
+
+
+def kmer_packed(spark, sf_dir):
+    counts = kmers.count_kmers(sequences(spark, sf_dir), 11, ["doc_id"])
+    packed = counts.select(dna.pack(F.col("kmer")).alias("packed"), "count")
+    return packed.select("packed", dna.unpack(F.col("packed"), 11).alias("kmer"), "count")
+
+
+def sequence_profile(spark, sf_dir):
+    s = F.col("seq")
+    return sequences(spark, sf_dir).select("doc_id", F.length("seq").cast("long").alias("bases"), F.round(dna.gc_fraction(s), 9).alias("gc_fraction"), F.round(dna.gc_percent(s), 7).alias("gc_percent"), F.round(dna.n_fraction(s), 9).alias("n_fraction"), dna.homopolymer_run(s).cast("long").alias("homopolymer"), F.round(dna.entropy(s), 9).alias("entropy"), F.md5(dna.reverse_complement(s)).alias("rc_md5"))
+
+
+def _pam(pattern):
+    return lambda spark, sf_dir: motifs.pam_hits(sequences(spark, sf_dir), pattern, ["doc_id"])
+
+
+def primer_hits(spark, sf_dir):
+    rows = [motifs.primer_hits(sequences(spark, sf_dir), p, ["doc_id"]).withColumn("primer", F.lit(p)) for p in PRIMERS]
+    return rows[0].unionByName(rows[1])
+
+
+def methylation_contexts(spark, sf_dir):
+    return motifs.methylation_contexts(sequences(spark, sf_dir), ["doc_id"])
+
+
+def guide_candidates(spark, sf_dir):
+    rows = motifs.guide_candidates(sequences(spark, sf_dir), ["doc_id"])
+    return rows.select("doc_id", "pos", "strand", "guide", F.array_join("reasons", ";").alias("reasons"))
+
+
+def guide_rejections(spark, sf_dir):
+    rows = motifs.guide_candidates(sequences(spark, sf_dir), ["doc_id"])
+    return rows.select(F.explode("reasons").alias("reason"), "strand").groupBy("reason", "strand").agg(F.count("*").alias("guides"))
+
+
+def be_window_targets(spark, sf_dir):
+    rows = motifs.editing_targets(motifs.guide_candidates(sequences(spark, sf_dir), ["doc_id"]), "C", 4, 8)
+    return rows.select("doc_id", "pos", "strand", F.array_join("targets", ",").alias("targets"), "in_window", F.col("bystanders").cast("long").alias("bystanders"))
+
+
+def minimizers_k15_w10(spark, sf_dir):
+    return kmers.minimizers(sequences(spark, sf_dir), 15, 10, ["doc_id"])
+
+
+def cpg_candidates(spark, sf_dir):
+    return regions.cpg_candidates(sequences(spark, sf_dir), ["doc_id"])
+
+
+def cpg_islands(spark, sf_dir):
+    return regions.cpg_islands(sequences(spark, sf_dir), ["doc_id"])
+
+
+def cpg_islands_w40(spark, sf_dir):
+    return regions.cpg_islands(sequences(spark, sf_dir), ["doc_id"], 40)
+
+
+def tandem_candidates(spark, sf_dir):
+    return regions.tandem_candidates(sequences(spark, sf_dir), ["doc_id"], copies=3).withColumn("period", F.col("period").cast("long"))
+
+
+def tandem_repeats(spark, sf_dir):
+    return regions.tandem_repeats(regions.tandem_candidates(sequences(spark, sf_dir), ["doc_id"], copies=3), ["doc_id"]).withColumn("period", F.col("period").cast("long"))
+
+
+def _hits(spark, sf_dir):
+    return matching.off_targets(matching.pam_sites(sequences(spark, sf_dir), ["doc_id"]), guides(spark, sf_dir), 3)
+
+
+def offtarget_pigeonhole(spark, sf_dir):
+    rows = _hits(spark, sf_dir)
+    return rows.select("guide_id", "doc_id", "start", "strand", "mismatches", matching.marked_site(F.col("site"), F.col("spacer")).alias("dna"))
+
+
+def seed_prefilter_exact(spark, sf_dir):
+    rows = matching.seed_hits(matching.pam_sites(sequences(spark, sf_dir), ["doc_id"]), guides(spark, sf_dir))
+    return rows.select("guide_id", "doc_id", "start", "strand", "seed_hit_count")
+
+
+def _seeds(spark, sf_dir):
+    q = kmers.minimizers(items(spark, sf_dir), 15, 10, ["item_id"]).select("item_id", F.col("pos").alias("query_pos"), "kmer")
+    r = kmers.minimizers(sequences(spark, sf_dir), 15, 10, ["doc_id"]).select("doc_id", F.col("pos").alias("ref_pos"), "kmer")
+    return matching.seed_lookup(q, r, "kmer", 1000)
+
+
+def seed_lookup_freqcap(spark, sf_dir):
+    return _seeds(spark, sf_dir).select("item_id", "doc_id", "query_pos", "ref_pos", "kmer")
+
+
+def seed_chains(spark, sf_dir):
+    return matching.chain_seeds(_seeds(spark, sf_dir), ["item_id", "doc_id"]).drop("chain")
+
+
+def nick_band_join(spark, sf_dir):
+    sites = matching.pam_sites(sequences(spark, sf_dir), ["doc_id"])
+    plus = sites.where("strand = '+'").select("doc_id", (F.col("start") + 17).alias("nick"))
+    minus = sites.where("strand = '-'").select("doc_id", (F.col("start") + 6).alias("other"))
+    pairs = matching.band_join(plus, minus, ["doc_id"], "nick", "other", 40, 100)
+    return pairs.groupBy("doc_id", "nick").agg(F.count("*").alias("partners"), F.min(F.abs(F.col("nick") - F.col("other"))).alias("nearest"))
+
+
+def paralog_flag(spark, sf_dir):
+    spans = cpg_islands_w40(spark, sf_dir)
+    return matching.flag_in_spans(_pam("NGG")(spark, sf_dir).drop("strand"), spans, ["doc_id"], "pos", "in_island")
+
+
+def on_off_split(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    on = hits.where("mismatches = 0").select("guide_id", "doc_id", "start", "strand")
+    off = hits.join(on, ["guide_id", "doc_id", "start", "strand"], "left_anti")
+    return hits.groupBy("guide_id").agg(F.count_if(F.col("mismatches") == 0).alias("on_targets")).join(off.groupBy("guide_id").agg(F.count("*").alias("off_targets")), "guide_id", "left").select("guide_id", "on_targets", F.coalesce("off_targets", F.lit(0)).alias("off_targets"))
+
+
+def diff_positional(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    user = turns.where("role = 'user'").select("conv_id", "turn", F.length("text").alias("size"))
+    other = turns.where("role = 'assistant'").select("conv_id", "turn", F.length("text").alias("size"))
+    rows = matching.positional_difference(user, other, ["conv_id"], ["turn", "size"], "size")
+    return rows.select("conv_id", F.col("place").cast("long").alias("place"), F.coalesce("left_value", F.lit(-1)).cast("long").alias("left_value"), F.coalesce("right_value", F.lit(-1)).cast("long").alias("right_value"))
+
+
+def _scored(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    return hits.withColumn("score", scoring.mismatch_score(F.col("spacer"), F.col("site")))
+
+
+def mismatch_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("guide_id", "doc_id", "start", "strand", F.round("score", 9).alias("score"))
+
+
+def specificity(spark, sf_dir):
+    return scoring.specificity(_scored(spark, sf_dir)).select("guide_id", F.round("specificity", 6).alias("specificity"), "off_targets")
+
+
+def specificity_top_split(spark, sf_dir):
+    """Sums of the 200 best scores of each guide, inside and outside of islands."""
+    flagged = matching.flag_in_spans(_scored(spark, sf_dir).where("mismatches > 0"), cpg_islands_w40(spark, sf_dir), ["doc_id"], "start", "in_island")
+    best = scoring.top_in_group(flagged, ["guide_id", "in_island"], [F.desc("score")], 200)
+    return best.groupBy("guide_id", "in_island").agg(F.round(F.sum("score"), 6).alias("total"), F.count("*").alias("hits"))
+
+
+def top_offtargets(spark, sf_dir):
+    return scoring.top_list(_scored(spark, sf_dir).where("mismatches > 0"), "guide_id", "doc_id", "start")
+
+
+def _contexts(spark, sf_dir):
+    """Every benchmark site with its 30-base context: 4 before, the 23-base site, 3 after, as its strand reads."""
+    from ..operators.windows import kmers as windows
+
+    w = windows(items(spark, sf_dir), 30, ["item_id"])
+    strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("context")), F.struct(F.lit("-").alias("strand"), dna.reverse_complement(F.col("kmer")).alias("context")))
+    rows = w.select("item_id", "pos", F.explode(strands).alias("s")).select("item_id", "pos", "s.*")
+    return rows.where(F.col("context").substr(26, 2) == "GG").withColumn("spacer", F.col("context").substr(5, 20))
+
+
+def activity_scores(spark, sf_dir):
+    return _contexts(spark, sf_dir).select("item_id", "pos", "strand", "context", F.round(scoring.activity_score(F.col("context")), 9).alias("activity"))
+
+
+def _ranked(spark, sf_dir):
+    first = F.row_number().over(_by("spacer", "item_id", "pos", "strand"))
+    own = _contexts(spark, sf_dir).withColumn("activity", scoring.activity_score(F.col("context"))).withColumn("rn", first).where("rn = 1")
+    spec = scoring.specificity(_scored(spark, sf_dir)).withColumnRenamed("guide_id", "spacer")
+    rows = own.join(spec, "spacer", "left").withColumns({"specificity": F.coalesce("specificity", F.lit(100.0)), "off_targets": F.coalesce("off_targets", F.lit(0))})
+    return rows.withColumn("composite", F.round(scoring.composite(F.round("activity", 9), F.round("specificity", 6)), 6)).withColumn("notes", scoring.guide_notes(F.col("spacer")))
+
+
+def _by(key, *order):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(key).orderBy(*order)
+
+
+def guide_ranking(spark, sf_dir):
+    """The ten best guides of each benchmark item."""
+    rows = scoring.top_in_group(_ranked(spark, sf_dir), ["item_id"], [F.desc("composite"), F.asc("spacer")], 10)
+    return rows.select("item_id", F.col("rank").cast("long").alias("rank"), "spacer", "strand", "composite", "off_targets", "notes")
+
+
+def _pools(spark, sf_dir):
+    """A gene is a document source; its guides are the distinct spacers of its documents, by a rule-based score."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", dna.dna_view(F.col("text")).alias("seq"))
+    sites = matching.pam_sites(docs, ["doc_id", "source"]).select(F.col("source").alias("gene"), F.col("site").substr(1, 20).alias("spacer")).where("gene is not null").distinct()
+    scored = sites.withColumn("score", dna.count_of(F.col("spacer"), "CG").cast("long"))
+    return scored.withColumn("place", F.row_number().over(_by("gene", F.desc("score"), "spacer")))
+
+
+def library_dedup(spark, sf_dir):
+    rows = library.global_dedup(_pools(spark, sf_dir), 50)
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
+def library_balance(spark, sf_dir):
+    pools = _pools(spark, sf_dir).where("score >= 17")
+    return library.balance(library.global_dedup(pools, 40), _table(spark, sf_dir, "documents").select(F.col("source").alias("gene")).where("gene is not null"), 40)
+
+
+def dedup_collisions(spark, sf_dir):
+    return library.dedup_collisions(_pools(spark, sf_dir))
+
+
+def trim_reads(spark, sf_dir):
+    rows = trimming.trim_reads(reads(spark, sf_dir), ADAPTER)
+    return rows.select("conv_id", "turn", "role", "seq", F.length("qual").cast("long").alias("qual_length"), F.col("removed").cast("long").alias("removed"))
+
+
+def trim_stats(spark, sf_dir):
+    return trimming.trim_stats(trimming.trim_reads(reads(spark, sf_dir), ADAPTER))
+
+
+def trim_histogram(spark, sf_dir):
+    return trimming.trim_histogram(trimming.trim_reads(reads(spark, sf_dir), ADAPTER)).withColumn("removed", F.col("removed").cast("long"))
+
+
+def latency_percentiles(spark, sf_dir):
+    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("value").alias("most"))
+
+
+def position_jaccard(spark, sf_dir):
+    """Agreement of NGG and NAG positions within four bases, by document."""
+    a = _pam("NGG")(spark, sf_dir).select("doc_id", F.floor(F.col("pos") / 4).alias("cell"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    b = _pam("NAG")(spark, sf_dir).select("doc_id", F.floor(F.col("pos") / 4).alias("cell"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    cells = a.unionByName(b).groupBy("doc_id", "cell").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return cells.groupBy("doc_id").agg(F.sum(F.col("a") * F.col("b")).alias("shared"), F.count("*").alias("either")).withColumn("jaccard", F.round(F.col("shared") / F.col("either"), 9))
+
+
+QUERIES = {
+    "kmer_topn_k15": kmer_topn_k15, "kmer_histogram": kmer_histogram, "kmer_packed": kmer_packed, "sequence_profile": sequence_profile,
+    "pam_ngg": _pam("NGG"), "pam_ng": _pam("NG"), "pam_nrn": _pam("NRN"), "pam_nnnrrt": _pam("NNNRRT"), "primer_hits": primer_hits, "methylation_contexts": methylation_contexts,
+    "guide_candidates": guide_candidates, "guide_rejections": guide_rejections, "be_window_targets": be_window_targets, "minimizers_k15_w10": minimizers_k15_w10,
+    "cpg_candidates": cpg_candidates, "cpg_islands": cpg_islands, "cpg_islands_w40": cpg_islands_w40, "tandem_candidates": tandem_candidates, "tandem_repeats": tandem_repeats,
+    "offtarget_pigeonhole": offtarget_pigeonhole, "seed_prefilter_exact": seed_prefilter_exact, "seed_lookup_freqcap": seed_lookup_freqcap, "seed_chains": seed_chains,
+    "nick_band_join": nick_band_join, "paralog_flag": paralog_flag, "on_off_split": on_off_split, "diff_positional": diff_positional,
+    "mismatch_scores": mismatch_scores, "specificity": specificity, "specificity_top_split": specificity_top_split, "top_offtargets": top_offtargets, "activity_scores": activity_scores, "guide_ranking": guide_ranking,
+    "library_dedup": library_dedup, "library_balance": library_balance, "dedup_collisions": dedup_collisions,
+    "trim_reads": trim_reads, "trim_stats": trim_stats, "trim_histogram": trim_histogram, "latency_percentiles": latency_percentiles, "position_jaccard": position_jaccard,
+}
+
+from .oracle import ORACLE_SQL  # noqa: E402
+
+__all__ = ["QUERIES", "ORACLE_SQL"]
