@@ -1,7 +1,7 @@
 r"""Chat formatting with a grammar round trip, in DataFrame functions alone.
 
-A turn is written as ``### <role>: <text></turn>\n``. The parser splits at ``</turn>\n``, takes the role up
-to the first ``: `` and undoes the escapes. Each turn is first written as it is; it is parsed again, and where
+A turn is written as ``### <role>: <text></turn>\n``. The parser splits at ``</turn>``, takes the role up
+to the first ``: ``, undoes the escapes and refuses content with a bare ``###``. Each turn is first written as it is; it is parsed again, and where
 the parse does not return exactly this one turn, its content is escaped and checked once more.
 
 Escapes, all of two characters: ``\\`` for a backslash, ``\h`` for ``###``, ``\e`` for ``</turn>``, and in roles
@@ -34,17 +34,20 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role,text>> of a formatted conversation (null where the last turn is not closed)."""
-    pieces = F.split(formatted, END.replace("/", "\\/"), -1)
+    """array<struct<role,text>> of a formatted conversation; null where it isn't a sequence of whole turns, or where a
+    turn's content holds a control string."""
+    pieces = F.split(F.concat(F.lit("\n"), formatted), "<\\/turn>", -1)
     turns = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    start = f"\n{HEAD}"
 
     def one(piece: Column) -> Column:
-        body = F.substring(piece, len(HEAD) + 1, 2_000_000_000)
+        body = F.substring(piece, len(start) + 1, 2_000_000_000)
         raw_role = F.substring_index(body, SEP, 1)
         raw_text = body.substr(F.length(raw_role) + F.lit(len(SEP) + 1), F.lit(2_000_000_000))
         return F.struct(unescape(raw_role).alias("role"), unescape(raw_text).alias("text"))
 
-    return F.when(F.element_at(pieces, -1) == "", F.transform(turns, one))
+    whole = (F.element_at(pieces, -1) == "\n") & F.forall(turns, lambda p: p.startswith(start) & p.contains(SEP) & ~F.substring(p, len(start) + 1, 2_000_000_000).contains("###"))
+    return F.when(whole, F.transform(turns, one))
 
 
 def format_chats(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
