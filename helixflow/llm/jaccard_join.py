@@ -3,7 +3,8 @@
 1. Each document's set of word shingles is hashed; documents of equal sets become one node.
 2. The shingles of a set are ordered with those that many documents share last, by a bounded summary of frequent
    shingles. Two sets that link share a shingle in their prefixes (the prefix filter, exact under any order), so nodes
-   meet in groups by prefix shingle.
+   meet in groups by prefix shingle. Shingles whose groups turn out large join the summary, and the sets that hold them
+   in their prefixes are ordered anew; for all other sets nothing changes.
 3. Links to one hub of each group come first and join most copies of a text into one component.
 4. In groups that still hold several components, signature trees are built over blocks of at most ``block`` nodes:
    leaves hold token bitmaps and sizes, inner nodes OR-combined bitmaps and size ranges. A dual traversal drops pairs
@@ -41,6 +42,7 @@ class JoinOptions:
     frequent: int = 200_000  # entries of the summary of frequent shingles, at most
     frequent_least: int = 16
     block: int = 512
+    order_rounds: int = 2
     hub_rounds: int = 2
 
     def prefix(self, n: int) -> int:
@@ -137,8 +139,8 @@ def signatures(docs: DataFrame, frequent, options: JoinOptions) -> DataFrame:
 class Tree:
     """Signature trees of many groups side by side, as levels of arrays from single rows (level 0) to one root each."""
 
-    def __init__(self, group, n, comp, excess, bits):
-        self.levels = [{"group": group, "least": n, "most": n, "c0": comp, "c1": comp, "excess": excess, "bits": bits, "child": None}]
+    def __init__(self, group, n, left, comp, excess, bits):
+        self.levels = [{"group": group, "least": n, "most": n, "left": left, "c0": comp, "c1": comp, "excess": excess, "bits": bits, "child": None}]
 
     @property
     def done(self) -> bool:
@@ -152,7 +154,7 @@ class Tree:
         rank = np.arange(len(g)) - np.repeat(first, np.diff(np.r_[first, len(g)]))
         cut = np.flatnonzero(rank % FAN == 0)
         red = lambda f, k: f.reduceat(low[k], cut)
-        self.levels.append({"group": g[cut], "least": red(np.minimum, "least"), "most": red(np.maximum, "most"), "c0": red(np.minimum, "c0"), "c1": red(np.maximum, "c1"), "excess": red(np.maximum, "excess"), "bits": np.bitwise_or.reduceat(low["bits"], cut, axis=0), "child": np.r_[cut, len(g)]})
+        self.levels.append({"group": g[cut], "least": red(np.minimum, "least"), "most": red(np.maximum, "most"), "left": red(np.maximum, "left"), "c0": red(np.minimum, "c0"), "c1": red(np.maximum, "c1"), "excess": red(np.maximum, "excess"), "bits": np.bitwise_or.reduceat(low["bits"], cut, axis=0), "child": np.r_[cut, len(g)]})
 
 
 def dual_traversal(left: Tree, right: Tree, percent: int):
@@ -171,7 +173,8 @@ def dual_traversal(left: Tree, right: Tree, percent: int):
         on &= ~((a["c0"][x] == a["c1"][x]) & (b["c0"][y] == b["c1"][y]) & (a["c0"][x] == b["c0"][y]))
         x, y = x[on], y[on]
         overlap = np.bitwise_count(a["bits"][x] & b["bits"][y]).sum(axis=1, dtype=np.int64) + np.minimum(a["excess"][x], b["excess"][y])
-        overlap = np.minimum(overlap, np.minimum(a["most"][x], b["most"][y]))
+        # Sets that meet at their first common shingle share nothing before it.
+        overlap = np.minimum(overlap, np.minimum(a["left"][x], b["left"][y]))
         on = (100 + percent) * overlap >= percent * (a["least"][x] + b["least"][y])
         x, y = x[on], y[on]
         if depth == 0:
@@ -184,7 +187,7 @@ def dual_traversal(left: Tree, right: Tree, percent: int):
 
 
 def tree_pairs(rows, options: JoinOptions):
-    """(a, b) arrays for whole groups of rows: dict of arrays group, role, node, n, comp, bits."""
+    """(a, b) arrays for whole groups of rows: dict of arrays group, role, node, n, pos, comp, bits."""
     order = np.lexsort((rows["n"], rows["role"], rows["group"]))
     rows = {k: v[order] for k, v in rows.items()}
     size = np.bincount(rows["group"])
@@ -201,7 +204,7 @@ def tree_pairs(rows, options: JoinOptions):
             k = on & (rows["role"] == role)
             bits = rows["bits"][k]
             n = rows["n"][k]
-            sides.append((Tree(rows["group"][k], n, rows["comp"][k], n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits), rows["node"][k]))
+            sides.append((Tree(rows["group"][k], n, n - rows["pos"][k], rows["comp"][k], n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits), rows["node"][k]))
         if len(sides[0][1]) and len(sides[1][1]):
             x, y = dual_traversal(sides[0][0], sides[1][0], options.percent)
             a, b = sides[0][1][x], sides[1][1][y]
@@ -214,7 +217,7 @@ def tree_pairs(rows, options: JoinOptions):
 
 
 def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
-    """a, b: candidate pairs from units (token, i, j, role, node, n, comp, bits), each unit a pair of blocks."""
+    """a, b: candidate pairs from units (token, i, j, role, node, n, pos, comp, bits), each unit a pair of blocks."""
     import pyarrow as pa
 
     def run(batches):
@@ -236,7 +239,7 @@ def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
 
     def answer(rows, new):
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, TREE_BITS // 64)
-        a, b = tree_pairs({"group": np.cumsum(new) - 1, "role": rows.column("role").to_numpy(), "node": rows.column("node").to_numpy(), "n": rows.column("n").to_numpy(), "comp": rows.column("comp").to_numpy(), "bits": bits}, options)
+        a, b = tree_pairs({"group": np.cumsum(new) - 1, "role": rows.column("role").to_numpy(), "node": rows.column("node").to_numpy(), "n": rows.column("n").to_numpy(), "pos": rows.column("pos").to_numpy(), "comp": rows.column("comp").to_numpy(), "bits": bits}, options)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     schema = T.StructType().add("a", T.LongType()).add("b", T.LongType())
@@ -300,6 +303,27 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, options: JoinO
     return materialise(exact.select("a", "b", "x", "y").mapInArrow(by_sets, both).distinct())
 
 
+def prefix_groups(nodes: DataFrame) -> DataFrame:
+    """token, node, n, pos, m: the prefix shingles that m > 1 nodes hold, with their places in the sets' orders."""
+    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    return materialise(posts.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").select("token", "node", "n", "pos", "m"))
+
+
+def extended(frequent, groups: DataFrame, options: JoinOptions):
+    """The summary with the shingles of large groups, and those alone (None if there are none). A shingle that is in it
+    keeps its place in the order, so sets without new shingles in their prefixes keep their prefixes."""
+    token, count = frequent
+    rows = groups.where(F.col("m") > options.frequent_least).groupBy("token").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "token").limit(2 * options.frequent).collect()
+    known = set(token.tolist())
+    new = [(r["token"], r["m"]) for r in rows if r["token"] & ((1 << 64) - 1) not in known][: options.frequent]
+    if not new:
+        return frequent, None
+    token = np.concatenate([token, np.array([t for t, _ in new], np.int64).view(np.uint64)])
+    count = np.concatenate([count, np.array([m for _, m in new], np.int64)])
+    order = np.argsort(token)
+    return (token[order], count[order]), groups.sparkSession.createDataFrame([(t,) for t, _ in new], "token long")
+
+
 def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows (with node) and comp: the component by edges, the node itself where it has none."""
     return rows.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -313,11 +337,20 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
     columns are ignored; an empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = materialise(signatures(docs, frequent_shingles(docs, options), options))
+    frequent = frequent_shingles(docs, options)
+    sig = materialise(signatures(docs, frequent, options))
     able = sig.where("n > 0 and doc_id is not null")
     nodes = materialise(able.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("s")).select("f1", "f2", "n", F.col("s.doc_id").alias("node"), "s.prefix", "s.bits"))
-    posts = nodes.select("node", "n", F.explode("prefix").alias("token"))
-    groups = materialise(posts.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").select("token", "node", "n"))
+    groups = prefix_groups(nodes)
+    for _ in range(options.order_rounds):
+        frequent, new = extended(frequent, groups, options)
+        if new is None:
+            break
+        affected = materialise(groups.join(F.broadcast(new), "token", "left_semi").select("node").distinct())
+        texts = docs.join(F.broadcast(affected) if affected.count() <= BROADCAST_ROWS else affected, docs["doc_id"] == affected["node"], "left_semi")
+        again = signatures(texts, frequent, options).select(F.col("doc_id").alias("node"), "f1", "f2", F.col("prefix").alias("ordered"))
+        nodes = materialise(nodes.join(again, ["node", "f1", "f2"], "left").withColumn("prefix", F.coalesce("ordered", "prefix")).drop("ordered"))
+        groups = prefix_groups(nodes)
 
     # Hubs: in each group, by classes of size, every node with the first one; then once more among what is still apart.
     near = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / options.percent)).cast("int").alias("near")
@@ -325,7 +358,7 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
     current = groups.withColumn("comp", F.col("node"))
     for i in range(options.hub_rounds):
         placed = current.select("token", near, "node", "comp")
-        hub = F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "comp")).over(Window.partitionBy("token", "near"))
+        hub = F.min(F.struct(F.xxhash64(F.lit(i), "token", "node").alias("h"), "node", "comp")).over(Window.partitionBy("token", "near"))
         star = placed.withColumn("hub", hub).where("comp <> hub.comp").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         new = verified(star, nodes, docs, options)
         edges = new if edges is None else edges.unionByName(new)
@@ -336,11 +369,11 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
     apart = current.join(per.select("token", F.col("top.comp").alias("major"), F.ceil(F.col("m") / options.block).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.k")) / options.block).cast("int").alias("q_blocks")), "token")
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = ["token", "node", "n", "comp"]
+    base = ["token", "node", "n", "pos", "comp"]
     left = apart.select(*base, F.lit(0).alias("role"), block(F.col("blocks")).alias("i"), every(F.col("q_blocks")).alias("j"))
     right = apart.where("comp <> major").select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), block(F.col("q_blocks")).alias("j"))
     units = left.unionByName(right).join(tree_bits(nodes), "node")
-    found = tree_join(units.select("token", "i", "j", "role", "node", "n", "comp", "bits"), options)
+    found = tree_join(units.select("token", "i", "j", "role", "node", "n", "pos", "comp", "bits"), options)
     edges = edges.unionByName(verified(found, nodes, docs, options))
 
     comp = labelled(nodes.select("node", "f1", "f2", "n"), edges).select("f1", "f2", "n", "comp")
