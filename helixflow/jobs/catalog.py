@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dna
-from ..operators import kmers, library, matching, motifs, regions, scoring, trimming
+from ..functions import codecs, dna
+from ..operators import kmers, library, matching, motifs, prime, regions, scoring, trimming
 
 ADAPTER = "TTACT"
 PRIMERS = ("TTACAG", "ACGT")
@@ -272,6 +272,24 @@ def position_jaccard(spark, sf_dir):
     return cells.groupBy("doc_id").agg(F.sum(F.col("a") * F.col("b")).alias("shared"), F.count("*").alias("either")).withColumn("jaccard", F.round(F.col("shared") / F.col("either"), 9))
 
 
+def pe2_enumeration(spark, sf_dir):
+    """One substitution in the middle of every sequence of 202 bases or more."""
+    seqs = sequences(spark, sf_dir).where(F.length("seq") >= 202)
+    at = F.floor(F.length("seq") / 2)
+    ref = F.col("seq").substr((at + 1).cast("int"), F.lit(1))
+    edits = seqs.select("doc_id", at.alias("start"), ref.alias("ref"), F.translate(ref, "ACGTN", "GTACA").alias("alt"))
+    rows = prime.enumerate_pe2(edits, seqs, "doc_id", (11, 13), (10, 16))
+    return rows.select("doc_id", "strand", "spacer", F.col("pbs_length").cast("long").alias("pbs_length"), F.col("rtt_length").cast("long").alias("rtt_length"), "pbs", "rtt", "nick", F.col("edit_in_rtt").cast("long").alias("edit_in_rtt"))
+
+
+def packed_roundtrip(spark, sf_dir):
+    """Every sequence without N packed to two bits a base, and back."""
+    seqs = sequences(spark, sf_dir).withColumn("seq", F.replace("seq", F.lit("N"), F.lit("")))
+    packed = seqs.withColumn("packed", codecs.pack_dna("seq"))
+    back = packed.withColumn("back", codecs.unpack_dna("packed", F.length("seq")))
+    return back.select("doc_id", F.length("seq").cast("long").alias("bases"), F.length("packed").cast("long").alias("bytes"), F.md5(F.col("back")).alias("back_md5"))
+
+
 QUERIES = {
     "kmer_topn_k15": kmer_topn_k15, "kmer_histogram": kmer_histogram, "kmer_packed": kmer_packed, "sequence_profile": sequence_profile,
     "pam_ngg": _pam("NGG"), "pam_ng": _pam("NG"), "pam_nrn": _pam("NRN"), "pam_nnnrrt": _pam("NNNRRT"), "primer_hits": primer_hits, "methylation_contexts": methylation_contexts,
@@ -282,6 +300,7 @@ QUERIES = {
     "mismatch_scores": mismatch_scores, "specificity": specificity, "specificity_top_split": specificity_top_split, "top_offtargets": top_offtargets, "activity_scores": activity_scores, "guide_ranking": guide_ranking,
     "library_dedup": library_dedup, "library_balance": library_balance, "dedup_collisions": dedup_collisions,
     "trim_reads": trim_reads, "trim_stats": trim_stats, "trim_histogram": trim_histogram, "latency_percentiles": latency_percentiles, "position_jaccard": position_jaccard,
+    "pe2_enumeration": pe2_enumeration, "packed_roundtrip": packed_roundtrip,
 }
 
 from .oracle import ORACLE_SQL  # noqa: E402

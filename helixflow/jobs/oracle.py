@@ -6,6 +6,7 @@ from ..functions.dna import BASES, LETTERS
 from ..operators.scoring import ACTIVITY_GC_HIGH, ACTIVITY_GC_LOW, ACTIVITY_INTERCEPT, POSITION_WEIGHTS, activity_weights
 
 ADAPTER = "TTACT"
+SCAFFOLD_GC, SCAFFOLD_LENGTH = 31, 76  # of the guide scaffold, which starts with GUU and ends in UGC
 
 
 def _dna(text: str) -> str:
@@ -100,7 +101,21 @@ READS = f"""r0 as (select conv_id, turn, role, {_dna('text')} as seq from conver
 r as (select conv_id, turn, role, case when instr(seq, '{ADAPTER}') > 0 then substr(seq, 1, instr(seq, '{ADAPTER}') - 1) else seq end as cut, length(seq) as n from r0),
 t as (select conv_id, turn, role, cut as seq, length(cut) as qual_length, n - length(cut) as removed from r)"""
 
+PE2 = f"""{S}, e as (select doc_id, seq, length(seq) // 2 as start, substr(seq, length(seq) // 2 + 1, 1) as r from s where length(seq) >= 202),
+c0 as (select doc_id, start, r, translate(r, 'ACGTN', 'GTACA') as a, substr(seq, start - 99, 201) as ctx from e),
+c1 as (select doc_id, start, '+' as strand, a, length(ctx) as n, 100 as ed, ctx from c0 union all select doc_id, start, '-', {_rc('a')}, length(ctx), length(ctx) - 101, {_rc('ctx')} from c0),
+c2 as (select *, substr(ctx, 1, ed) || a || substr(ctx, ed + 2) as edited from c1),
+c3 as (select * from (select *, unnest(generate_series(20, n - 3)) as p from c2) where regexp_full_match(substr(ctx, p + 1, 3), '[ACGT]GG') and not contains(substr(ctx, p - 19, 20), 'N') and ed >= p - 3 and not (ed < p + 3 and ed + 1 > p and regexp_full_match(substr(edited, p + 1, 3), '[ACGT]GG'))),
+c4 as (select * from (select *, unnest(range(10, 17)) as rl from c3) where ed - (p - 3) + 1 <= rl and p - 3 + rl <= length(edited) and not contains(substr(edited, p - 2, rl), 'N')),
+c5 as (select *, translate({_rc('substr(ctx, p - 2 - pl, pl)')}, 'T', 'U') as pbs, translate({_rc('substr(edited, p - 2, rl)')}, 'T', 'U') as rtt, translate(substr(ctx, p - 19, 20), 'T', 'U') as s
+  from (select *, unnest([11, 12, 13]) as pl from c4) where p - 3 - pl >= 0 and not contains(substr(ctx, p - 2 - pl, pl), 'N'))
+select doc_id, strand, translate(s, 'U', 'T') as spacer, pl as pbs_length, rl as rtt_length, pbs, rtt, case when strand = '+' then start - 100 + p - 3 else start - 100 + n - (p - 3) end as nick, rl - 1 - (ed - (p - 3)) as edit_in_rtt from c5
+where not contains(substr(s, 18, 3) || 'GUU|' || s || '|' || rtt || '|' || pbs || '|UGC' || substr(rtt, 1, 3), 'UUUU')
+  and (length(regexp_replace(s || rtt || pbs, '[^CG]', '', 'g')) + {SCAFFOLD_GC})::double / (length(s || rtt || pbs) + {SCAFFOLD_LENGTH}) between 0.25 and 0.75"""
+
 ORACLE_SQL = {
+    "pe2_enumeration": f"with {PE2}",
+    "packed_roundtrip": f"with {S}, n as (select doc_id, replace(seq, 'N', '') as seq from s) select doc_id, length(seq) as bases, (length(seq) + 3) // 4 as bytes, md5(seq) as back_md5 from n",
     "kmer_topn_k15": f"with {S}, {_windows('k', 15)} select {_canon('kmer')} as kmer, count(*) as count from k group by 1 having count(*) >= 2 order by 2 desc, 1 limit 200",
     "kmer_histogram": f"with {S}, {_windows('k', 15)}, c as (select {_canon('kmer')} as kmer, count(*) as n from k group by 1) select n as times, count(*) as kmers from c group by n",
     "kmer_packed": f"with {S}, {_windows('k', 11)}, c as (select {_canon('kmer')} as kmer, count(*) as count from k group by 1) select " + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1)::bigint * {4 ** (10 - i)}" for i in range(11)) + " as packed, kmer, count from c",
