@@ -78,3 +78,9 @@ def entropy(seq: Column) -> Column:
         share = count_of(seq, b) / known
         parts = parts - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
     return F.when(known > 0, parts).otherwise(0.0)
+
+
+def kmer_tokens(seq: Column, k: int = 3) -> Column:
+    """All k-mers, separated by spaces; empty where the sequence is shorter."""
+    n = F.length(seq) - k + 1
+    return F.coalesce(F.array_join(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: seq.substr(i, F.lit(k)))), " "), F.lit(""))

@@ -238,7 +238,7 @@ def library_dedup(spark, sf_dir):
 
 
 def library_balance(spark, sf_dir):
-    pools = _pools(spark, sf_dir).where("score >= 17")
+    pools = _pools(spark, sf_dir).where("score >= 14")
     return library.balance(library.global_dedup(pools, 40), _table(spark, sf_dir, "documents").select(F.col("source").alias("gene")).where("gene is not null"), 40)
 
 
@@ -272,6 +272,34 @@ def position_jaccard(spark, sf_dir):
     return cells.groupBy("doc_id").agg(F.sum(F.col("a") * F.col("b")).alias("shared"), F.count("*").alias("either")).withColumn("jaccard", F.round(F.col("shared") / F.col("either"), 9))
 
 
+def library_table(spark, sf_dir):
+    pools = _pools(spark, sf_dir).where("score >= 14")
+    chosen = library.global_dedup(pools, 40)
+    genes = _table(spark, sf_dir, "documents").select(F.col("source").alias("gene")).where("gene is not null")
+    return library.assemble(chosen, library.balance(chosen, genes, 40)).withColumn("rank", F.col("rank").cast("long"))
+
+
+def kmer_tokens(spark, sf_dir):
+    return guides(spark, sf_dir).select("guide_id", dna.kmer_tokens(F.col("spacer")).alias("tokens"))
+
+
+def smoke_scores(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    score = scoring.smoke_score([F.col(c) for c in ("guide_id", "site", "doc_id", "start", "strand", "mismatches")], int.from_bytes(b"seed0001", "little"))
+    return hits.select("guide_id", "doc_id", "start", "strand", F.round(score, 12).alias("score"))
+
+
+def be_ranking(spark, sf_dir):
+    """Forward NGG guides of each benchmark item for a C-to-T editor (window 4 to 8), best first."""
+    sites = motifs.guide_candidates(items(spark, sf_dir), ["item_id"]).where("strand = '+'")
+    found = motifs.editing_targets(sites, "C", 4, 8).withColumn("spacer", F.col("guide").substr(1, 20))
+    off = scoring.raw_off_target_sum(_scored(spark, sf_dir), "guide_id", ["doc_id", "start", "strand"])
+    rows = found.join(off, found["spacer"] == off["guide_id"], "left")
+    rank = F.round(scoring.editing_rank(F.col("in_window"), F.col("bystanders"), F.col("off_score")), 9)
+    rows = rows.select("item_id", "pos", "spacer", "in_window", F.col("bystanders").cast("long").alias("bystanders"), F.coalesce("off_targets", F.lit(0)).alias("off_targets"), rank.alias("rank_score"))
+    return scoring.top_in_group(rows, ["item_id"], [F.desc("rank_score"), F.asc("pos")], 20).withColumn("rank", F.col("rank").cast("long"))
+
+
 def pe2_enumeration(spark, sf_dir):
     """One substitution in the middle of every sequence of 202 bases or more."""
     seqs = sequences(spark, sf_dir).where(F.length("seq") >= 202)
@@ -301,6 +329,7 @@ QUERIES = {
     "library_dedup": library_dedup, "library_balance": library_balance, "dedup_collisions": dedup_collisions,
     "trim_reads": trim_reads, "trim_stats": trim_stats, "trim_histogram": trim_histogram, "latency_percentiles": latency_percentiles, "position_jaccard": position_jaccard,
     "pe2_enumeration": pe2_enumeration, "packed_roundtrip": packed_roundtrip,
+    "library_table": library_table, "kmer_tokens": kmer_tokens, "smoke_scores": smoke_scores, "be_ranking": be_ranking,
 }
 
 from .oracle import ORACLE_SQL  # noqa: E402

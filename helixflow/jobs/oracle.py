@@ -113,7 +113,15 @@ select doc_id, strand, translate(s, 'U', 'T') as spacer, pl as pbs_length, rl as
 where not contains(substr(s, 18, 3) || 'GUU|' || s || '|' || rtt || '|' || pbs || '|UGC' || substr(rtt, 1, 3), 'UUUU')
   and (length(regexp_replace(s || rtt || pbs, '[^CG]', '', 'g')) + {SCAFFOLD_GC})::double / (length(s || rtt || pbs) + {SCAFFOLD_LENGTH}) between 0.25 and 0.75"""
 
+_BYTE = " + ".join(f"(instr('0123456789abcdef', substr(h, {2 * i + 1 + j}, 1)) - 1)::double * {16.0 ** (2 * i + 1 - j)}" for i in range(8) for j in range(2))
 ORACLE_SQL = {
+    "library_table": f"with {POOLS}, rich as (select * from pool where score >= 14), {_dedup('rich', 40)}, n as (select gene, count(*) as c from chosen group by 1), f as (select *, row_number() over (order by gene, rank) as library_index from chosen) select library_index, f.gene, rank, spacer, case when c < 40 then 'UNDER_BALANCED:deficit=' || (40 - c) else '' end as notes from f join n on f.gene = n.gene",
+    "kmer_tokens": f"with {GUIDES} select spacer as guide_id, array_to_string(list_transform(range(1, 19), lambda i: substr(spacer, i::int, 3)), ' ') as tokens from g",
+    "smoke_scores": f"with {HITS}, d as (select *, sha256('seed0001' || guide_id || '|' || site || '|' || doc_id || '|' || start || '|' || strand || '|' || mismatches) as h from hits) select guide_id, doc_id, start, strand, round(({_BYTE}) / 18446744073709551616.0::double, 12) as score from d",
+    "be_ranking": f"""with {SCORED}, f as (select *, row_number() over (partition by guide_id, mismatches = 0 order by doc_id, start, strand) as rn from scored), o as (select guide_id, sum(score) as off_score, count(*) as off_targets from f where mismatches > 0 or rn > 1 group by 1),
+{_windows('k', 23, 'b', 'item_id', False)}, t as (select item_id, pos, substr(kmer, 1, 20) as spacer, length(regexp_replace(substr(kmer, 4, 5), '[^C]', '', 'g')) as n from k where regexp_full_match(kmer, '[ACGT]{{21}}GG')),
+r as (select item_id, pos, spacer, n > 0 as in_window, greatest(n - 1, 0) as bystanders, coalesce(off_targets, 0) as off_targets, round((n > 0)::int - 0.2::double * greatest(n - 1, 0) - 0.5 * coalesce(off_score, 0), 9) as rank_score from t left join o on guide_id = spacer)
+select * from (select *, row_number() over (partition by item_id order by rank_score desc, pos) as rank from r) where rank <= 20""",
     "pe2_enumeration": f"with {PE2}",
     "packed_roundtrip": f"with {S}, n as (select doc_id, replace(seq, 'N', '') as seq from s) select doc_id, length(seq) as bases, (length(seq) + 3) // 4 as bytes, md5(seq) as back_md5 from n",
     "kmer_topn_k15": f"with {S}, {_windows('k', 15)} select {_canon('kmer')} as kmer, count(*) as count from k group by 1 having count(*) >= 2 order by 2 desc, 1 limit 200",
@@ -160,7 +168,7 @@ f as (select * from (select *, row_number() over (partition by spacer order by i
 c as (select item_id, f.spacer, strand, round(0.5 * greatest(0, least(1, round(activity, 9))) + 0.5 * greatest(0, least(1, coalesce(spec, 100.0::double) / 100)), 6) as composite, coalesce(off_targets, 0) as off_targets, length(regexp_replace(f.spacer, '[^GC]', '', 'g')) * 5.0 as gc from f left join sp on f.spacer = sp.spacer)
 select item_id, rank, spacer, strand, composite, off_targets, concat_ws(';', case when gc < 25 then 'LOW_GC' end, case when gc > 75 then 'HIGH_GC' end, case when contains(spacer, 'TTTT') then 'POLY_T_RUN' end) as notes from (select *, row_number() over (partition by item_id order by composite desc, spacer) as rank from c) where rank <= 10""",
     "library_dedup": f"with {POOLS}, {_dedup('pool', 50)} select * from chosen",
-    "library_balance": f"with {POOLS}, rich as (select * from pool where score >= 17), {_dedup('rich', 40)}, n as (select gene, count(*) as selected from chosen group by 1) select gene, coalesce(selected, 0) as selected, greatest(40 - coalesce(selected, 0), 0) as deficit, coalesce(selected, 0) < 40 as under_balanced from (select distinct source as gene from documents where source is not null) left join n using (gene)",
+    "library_balance": f"with {POOLS}, rich as (select * from pool where score >= 14), {_dedup('rich', 40)}, n as (select gene, count(*) as selected from chosen group by 1) select gene, coalesce(selected, 0) as selected, greatest(40 - coalesce(selected, 0), 0) as deficit, coalesce(selected, 0) < 40 as under_balanced from (select distinct source as gene from documents where source is not null) left join n using (gene)",
     "dedup_collisions": f"with {POOLS} select spacer, count(distinct gene) as genes from pool group by 1 having count(distinct gene) >= 2",
     "trim_reads": f"with {READS} select * from t",
     "trim_stats": f"with {READS} select count(*) as reads, count(*) filter (where removed > 0) as trimmed, count(*) filter (where length(seq) = 0) as emptied, sum(length(seq) + removed)::bigint as bases_in, sum(length(seq))::bigint as bases_out from t",

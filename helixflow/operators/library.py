@@ -34,3 +34,13 @@ def balance(chosen: DataFrame, genes: DataFrame, wanted: int) -> DataFrame:
     rows = genes.select("gene").distinct().join(n, "gene", "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
     deficit = F.greatest(F.lit(wanted) - F.col("selected"), F.lit(0))
     return rows.select("gene", "selected", deficit.alias("deficit"), (deficit > 0).alias("under_balanced"))
+
+
+def assemble(chosen: DataFrame, reports: DataFrame) -> DataFrame:
+    """library_index (from 1, genes in order, then rank), gene, rank, spacer, notes. Indexes come from a running sum over
+    genes, one small row each, not from a sort of all guides."""
+    sizes = chosen.groupBy("gene").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("gene").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("gene", "before")
+    note = F.when(F.col("under_balanced"), F.concat(F.lit("UNDER_BALANCED:deficit="), F.col("deficit").cast("string"))).otherwise("")
+    rows = chosen.join(before, "gene").join(reports.select("gene", note.alias("notes")), "gene")
+    return rows.select((F.col("before") + F.col("rank")).alias("library_index"), "gene", "rank", "spacer", "notes")

@@ -80,3 +80,27 @@ def guide_notes(spacer: Column, low: float = 25, high: float = 75) -> Column:
 
     gc = gc_percent(spacer)
     return F.concat_ws(";", F.when(gc < low, "LOW_GC"), F.when(gc > high, "HIGH_GC"), F.when(spacer.contains("TTTT"), "POLY_T_RUN"))
+
+
+def smoke_score(parts: list[Column], seed: int) -> Column:
+    """A score in [0, 1) from the first eight bytes of SHA-256 over a seed (eight bytes) and the parts joined by ``|``;
+    little-endian. It stands in for a model where only determinism matters."""
+    text = F.concat(F.lit(seed.to_bytes(8, "little")), F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+    h = F.sha2(text, 256)
+    little = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    return F.conv(little, 16, 10).cast("decimal(20,0)").cast("double") / float(1 << 64)
+
+
+def raw_off_target_sum(hits: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """by, off_score, off_targets: the plain sum of scores, added in sorted order, without the first perfect hit."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(by, F.col("mismatches") == 0).orderBy(*order))
+    rows = hits.withColumn("_rank", rank).where((F.col("mismatches") > 0) | (F.col("_rank") > 1))
+    total = F.aggregate(F.array_sort(F.collect_list("score")), F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy(by).agg(total.alias("off_score"), F.count("*").alias("off_targets"))
+
+
+def editing_rank(in_window: Column, bystanders: Column, off_score: Column) -> Column:
+    """1 for a target in the window, less 0.2 for each bystander, less half the off-target sum (0 where unknown)."""
+    return F.when(in_window, 1.0).otherwise(0.0) - 0.2 * bystanders - 0.5 * F.coalesce(off_score, F.lit(0.0))

@@ -198,3 +198,25 @@ def test_trim(spark):
     assert tuple(trimming.trim_stats(out).first()) == (4, 2, 2, 18, 6)
     with pytest.raises(ValueError):
         trimming.trim_reads(df, "")
+
+
+def test_codecs(spark):
+    from helixflow.functions import codecs
+
+    for s in ("", "A", "ACGT", "ACGTA", "T" * 33):
+        assert codecs.unpack_one(codecs.pack_one(s), len(s)) == s
+    assert codecs.pack_one("ACGT") == bytes([0b00011011])
+    with pytest.raises(ValueError):
+        codecs.pack_one("ACN")
+    with pytest.raises(ValueError):
+        codecs.unpack_one(b"\x00", 9)
+    df = spark.createDataFrame([("ACGTA",), (None,)], "s string")
+    assert [r[0] for r in df.select(codecs.unpack_dna(codecs.pack_dna("s"), F.length("s"))).collect()] == ["ACGTA", None]
+    assert [r[0] for r in df.select(dna.unpack(dna.pack(F.col("s")), 5)).collect()] == ["ACGTA", None]
+
+
+def test_smoke_score(spark):
+    import hashlib
+
+    got = spark.createDataFrame([("a", 5)], "x string, y int").select(scoring.smoke_score([F.col("x"), F.col("y")], 7)).first()[0]
+    assert got == int.from_bytes(hashlib.sha256((7).to_bytes(8, "little") + b"a|5").digest()[:8], "little") / float(1 << 64)
