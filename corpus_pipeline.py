@@ -31,9 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component (five-word shingles, similarity 0.8): the one of least doc_id."""
+    """One document of each component (five-word shingles, similarity 0.8): the one of least doc_id. Of rows that repeat
+    both doc_id and text one stays; rows without doc_id, which can't be linked, stay as well."""
     parts = near_duplicates(docs, JoinOptions(words=5, percent=80)).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(parts, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(parts, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
