@@ -40,3 +40,12 @@ def test_stages_and_run(spark, sf_dir):
     epochs = sorted((r.doc_id, r.epoch) for r in rows)
     assert sorted((r.doc_id, r.epoch) for r in corpus_pipeline.run(spark, sf_dir).collect()) == epochs
     assert language_id and decontaminate and mixing
+
+
+def test_one_of_each_group_stays(spark, sf_dir):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(3, text, "en", "s", 1), (3, text, "en", "s", 1), (2, text + " more", "en", "s", 1), (9, "another text of its own", None, None, None), (None, text, "en", "s", 1), (7, None, "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate(spark, df, sf_dir)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 2, 7, 9]
