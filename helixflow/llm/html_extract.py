@@ -26,12 +26,15 @@ SECTION = frozenset("article main section div td body html blockquote figure".sp
 CLOSES_P = BLOCK - {"body", "html"}
 #: Words of class, id and role names that mark what is not main text.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|promo|promos|promotion|sponsor|sponsored|nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|rail|widget|widgets|"
+    r"(?:^|[\s_-])(?:ads?|adbox|adslot|adverts?|advertisements?|advertising|adsense|banner|promo|promos|promotion|sponsor|sponsored|nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|rail|widget|widgets|"
     r"cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comment|comments|commentlist|discussion|disqus|respond|replies|reply|"
     r"search|form|skip|toolbar|pagination|pager|copyright|legal|complementary|contentinfo|search|alertdialog)(?:$|[\s_-]|\d)",
     re.I,
 )
-KEEP = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body)(?:$|[\s_-])", re.I)
+#: Words that only say that a neighbour exists, and the joints of camelCase names.
+BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)-\S+", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+UNMARKED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -75,7 +78,7 @@ class Lines(HTMLParser):
         if not noise and attrs:
             named = dict(attrs)
             marks = " ".join(x for k in ("class", "id", "role") if (x := named.get(k)))
-            noise = bool(marks and tag not in ("html", "body", "article", "main") and NOISE.search(marks) and not (KEEP.search(marks) and tag != "div")) or "hidden" in named or named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style") or ""))
+            noise = bool(marks and tag not in UNMARKED and NOISE.search(CAMEL.sub("-", BESIDE.sub("", marks)))) or "hidden" in named or named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style") or ""))
         if tag in BLOCK or noise:
             self.cut()
         self.open.append((tag, noise))

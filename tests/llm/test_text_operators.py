@@ -177,3 +177,8 @@ def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, "", None), (3, "<p>x", "b")], "page_id long, html string, text string")
     assert sorted(r.text for r in html_extract.extract_main_text(df).collect()) == ["", "", "", "x"]
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_html_marks():
+    page = '<div id="page" class="has-sidebar"><div class="post-content with-ads"><h1 class="post-header">Title</h1><p>Long enough text of the article to count.</p></div><div class="commentList"><p>Reader says</p></div><div id="sideBar">Links</div><p class="ad">Buy</p><div hidden>x</div><div role="banner">y</div></div>'
+    assert html_extract.main_text(page) == "Title\nLong enough text of the article to count."
