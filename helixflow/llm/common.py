@@ -42,7 +42,7 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 class WordIds(dict):
     """64-bit word hashes, remembered up to a bound."""
 
-    def __init__(self, bound: int = 1_000_000):
+    def __init__(self, bound: int = 400_000):
         super().__init__()
         self.bound = bound
 

@@ -82,22 +82,30 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 def frequent_shingles(docs: DataFrame, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents share, sorted, and their rough counts. Only the order of prefixes depends on them:
-    a task counts those that occur three times or more among the documents of a batch."""
+    a task counts those that occur three times or more among some of its documents; large groups add what it misses."""
     import pyarrow as pa
 
+    def often(found):
+        token, c = np.unique(np.concatenate(found), return_counts=True)
+        on = c >= 3
+        return pa.RecordBatch.from_arrays([pa.array(token[on].view(np.int64)), pa.array(c[on])], names=["token", "c"])
+
     def run(batches):
         ids = WordIds()
         for batch in batches:
-            found = [shingle_set(t, ids, options.words) for t in texts_as_bytes(batch.column(0))]
+            found, size = [], 0
+            for t in texts_as_bytes(batch.column(0)):
+                found.append(shingle_set(t, ids, options.words))
+                size += len(found[-1])
+                if size > 1_500_000:
+                    yield often(found)
+                    found, size = [], 0
             if found:
-                token, c = np.unique(np.concatenate(found), return_counts=True)
-                on = c >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(token[on].view(np.int64)), pa.array(c[on])], names=["token", "c"])
+                yield often(found)
 
     schema = T.StructType().add("token", T.LongType()).add("c", T.LongType())
-    rows = docs.select("text").mapInArrow(run, schema).groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= options.frequent_least).orderBy(F.desc("c"), "token").limit(options.frequent).collect()
-    token = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-    c = np.array([r["c"] for r in rows], np.int64)
+    rows = docs.select("text").mapInArrow(run, schema).groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= options.frequent_least).orderBy(F.desc("c"), "token").limit(options.frequent).toArrow()
+    token, c = rows.column("token").to_numpy().view(np.uint64), rows.column("c").to_numpy()
     order = np.argsort(token)
     return token[order], c[order]
 
@@ -172,10 +180,15 @@ def dual_traversal(left: Tree, right: Tree, percent: int):
         on = (100 * a["most"][x] >= percent * b["least"][y]) & (100 * b["most"][y] >= percent * a["least"][x])
         on &= ~((a["c0"][x] == a["c1"][x]) & (b["c0"][y] == b["c1"][y]) & (a["c0"][x] == b["c0"][y]))
         x, y = x[on], y[on]
-        overlap = np.bitwise_count(a["bits"][x] & b["bits"][y]).sum(axis=1, dtype=np.int64) + np.minimum(a["excess"][x], b["excess"][y])
         # Sets that meet at their first common shingle share nothing before it.
-        overlap = np.minimum(overlap, np.minimum(a["left"][x], b["left"][y]))
-        on = (100 + percent) * overlap >= percent * (a["least"][x] + b["least"][y])
+        need = percent * (a["least"][x] + b["least"][y])
+        on = (100 + percent) * np.minimum(a["left"][x], b["left"][y]) >= need
+        x, y, need = x[on], y[on], need[on]
+        on = np.zeros(len(x), bool)
+        for k in range(0, len(x), 32_768):  # bounds the copies of bitmaps
+            p, q = x[k : k + 32_768], y[k : k + 32_768]
+            overlap = np.bitwise_count(a["bits"][p] & b["bits"][q]).sum(axis=1, dtype=np.int64) + np.minimum(a["excess"][p], b["excess"][q])
+            on[k : k + 32_768] = (100 + percent) * overlap >= need[k : k + 32_768]
         x, y = x[on], y[on]
         if depth == 0:
             return x, y
@@ -197,7 +210,7 @@ def tree_pairs(rows, options: JoinOptions):
     start = 0
     while start < len(size):
         done = work[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(work, done + 1_000_000, side="right")))
+        stop = max(start + 1, int(np.searchsorted(work, done + 300_000, side="right")))
         on = (rows["group"] >= start) & (rows["group"] < stop)
         sides = []
         for role in (0, 1):
@@ -313,15 +326,15 @@ def extended(frequent, groups: DataFrame, options: JoinOptions):
     """The summary with the shingles of large groups, and those alone (None if there are none). A shingle that is in it
     keeps its place in the order, so sets without new shingles in their prefixes keep their prefixes."""
     token, count = frequent
-    rows = groups.where(F.col("m") > options.frequent_least).groupBy("token").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "token").limit(2 * options.frequent).collect()
-    known = set(token.tolist())
-    new = [(r["token"], r["m"]) for r in rows if r["token"] & ((1 << 64) - 1) not in known][: options.frequent]
-    if not new:
+    rows = groups.where(F.col("m") > options.frequent_least).groupBy("token").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "token").limit(2 * options.frequent).toArrow()
+    found, m = rows.column("token").to_numpy().view(np.uint64), rows.column("m").to_numpy()
+    on = np.flatnonzero(~np.isin(found, token))[: options.frequent]
+    if not len(on):
         return frequent, None
-    token = np.concatenate([token, np.array([t for t, _ in new], np.int64).view(np.uint64)])
-    count = np.concatenate([count, np.array([m for _, m in new], np.int64)])
+    new = rows.select(["token"]).take(on)
+    token, count = np.concatenate([token, found[on]]), np.concatenate([count, m[on]])
     order = np.argsort(token)
-    return (token[order], count[order]), groups.sparkSession.createDataFrame([(t,) for t, _ in new], "token long")
+    return (token[order], count[order]), groups.sparkSession.createDataFrame(new)
 
 
 def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
