@@ -1,22 +1,22 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The root is the smoothed unigram distribution of all training tokens, which stays a distributed table. Below it are
-contexts of one to ``depth`` words whose empirical probability is ``least_context`` or more, hence at most
-1/least_context for each length. A context keeps the next symbols of conditional probability ``least_next`` or more,
-at most 1/least_next, and is retained if its next symbols diverge from its parent's by ``least_gain`` bits, or if a
-longer retained context ends in it. These two bounds make the tree small enough to broadcast whatever the corpus.
-A token is scored in the state of its longest retained context: discounted counts, the mass left over from the parent.
-
-All counts cover all training documents. Unigram counts come back to documents by buckets: each bucket of documents
-asks once for each of its words.
+The root is the smoothed unigram distribution of all training tokens. Below it are contexts of one to ``depth`` words
+that occur ``least_count`` times or more, with the counts of every word that follows them. A context is retained if its
+next words diverge from its parent's by ``least_gain`` bits, or if a longer retained context ends in it. A token is
+scored in the state of its longest retained context: discounted counts, the mass left over from the parent.
+
+All counts cover all training documents. The tree grows with the corpus and stays in distributed tables; what documents
+need of it comes back by buckets: each bucket asks once for each of its words, contexts and words after a context. Only
+bitmaps of a fixed size are broadcast. They save questions that can have no answer, and decide nothing else.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +26,17 @@ END = b" "  # no word holds a space
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bits of a bitmap of contexts.
+BITS = 1 << 26
+
+
 @dataclass(frozen=True)
 class TreeOptions:
+    """A context needs least_count occurrences and, where given, a share of least_context of all tokens."""
+
     depth: int = 3
-    least_context: float = 2e-3
-    least_next: float = 1e-3
+    least_count: int = 4
+    least_context: float = 0.0
     least_gain: float = 0.02
     discount: float = 0.5
     bucket_tokens: int = 1_500_000
@@ -55,27 +61,43 @@ def lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-class Levels:
-    """Contexts by length. Level 1 is a sorted array of words; a context of level d is coded by its oldest word's index
-    on level 1 and the index, on level d-1, of the context that follows it."""
+class Bitmap:
+    """A set of codes that may hold more than were put in, never fewer."""
+
+    def __init__(self, codes: DataFrame):
+        """codes: one column, code."""
+        rows = codes.selectExpr(f"shiftright(code & {BITS - 1}, 6) as cell", "shiftleft(1L, cast(code & 63 as int)) as bit")
+        found = rows.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.cells = np.zeros(BITS >> 6, np.uint64)
+        self.cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    def any(self) -> bool:
+        return bool(self.cells.any())
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        at = codes & np.uint64(BITS - 1)
+        return (self.cells[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def context_codes(tokens: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For each length, the code of the context that ends at each token; those that would start before it are wrong."""
+    out = [mix64(tokens ^ ODD)]
+    for d in range(2, depth + 1):
+        oldest = np.concatenate([tokens[:1].repeat(min(d - 1, len(tokens))), tokens[: max(len(tokens) - d + 1, 0)]])
+        out.append(pair_code(oldest, out[-1]))
+    return out
 
-    def __init__(self, first: np.ndarray):
-        self.first = np.sort(first)
-        self.codes: list[np.ndarray] = []  # of levels 2, 3, ...
 
-    def states(self, tokens: np.ndarray) -> list[np.ndarray]:
-        """For each level, the index of the context that ends at each token, or -1."""
-        one = lookup(self.first, tokens)
-        out = [one]
-        for d, codes in enumerate(self.codes, 2):
-            here = np.full(len(tokens), -1, np.int64)
-            if len(tokens) >= d:
-                old, rest = one[: len(tokens) - d + 1], out[-1][d - 1 :]
-                both = (old >= 0) & (rest >= 0)
-                code = np.where(both, old * (1 << 31) + rest, -1)
-                here[d - 1 :] = lookup(codes, code)
-            out.append(here)
-        return out
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of some texts, and the place of each in its text."""
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    return np.concatenate(texts), np.arange(sizes.sum()) - np.repeat(starts, sizes)
+
+
+def before_next(place: np.ndarray, level: int) -> np.ndarray:
+    """Where a context of this length ends that a token of the same text follows."""
+    return np.flatnonzero((place[:-1] >= level - 1) & (place[1:] > 0))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -94,153 +116,152 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def count_next(docs: DataFrame, levels: Levels, level: int) -> DataFrame:
-    """state, key, c: how often a symbol follows each context of a level."""
+def count_next(docs: DataFrame, level: int, shorter) -> DataFrame:
+    """context, suffix, key, c, by context: how often a symbol follows each context of a level whose first and last
+    level - 1 words are in the bitmap ``shorter`` (a broadcast; on level 1, of the words themselves)."""
     import pyarrow as pa
 
     def run(batches):
         ids = WordIds()
         for batch in batches:
-            states, symbols = [], []
-            for t in texts_as_bytes(batch.column(0)):
-                tokens = tokens_of(t, ids)
-                state = levels.states(tokens)[level - 1][:-1]
-                on = state >= 0
-                states.append(state[on]), symbols.append(tokens[1:][on])
-            if states:
-                state, symbol = np.concatenate(states), np.concatenate(symbols)
-                _, at, c = np.unique(pair_code(state, symbol), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(state[at].astype(np.int32)), pa.array(symbol[at].view(np.int64)), pa.array(c)], names=["state", "key", "c"])
-
-    schema = T.StructType().add("state", T.IntegerType()).add("key", T.LongType()).add("c", T.LongType())
-    return docs.select("text").mapInArrow(run, schema).groupBy("state", "key").agg(F.sum("c").alias("c"))
+            found = [tokens_of(t, ids) for t in texts_as_bytes(batch.column(0))]
+            if not found:
+                continue
+            tokens, place = joined(found)
+            codes = context_codes(tokens, level)
+            at = before_next(place, level)
+            if level == 1:
+                at = at[shorter.value.has(tokens[at])]
+            else:
+                at = at[shorter.value.has(codes[-2][at])]
+                at = at[shorter.value.has(codes[-2][at - 1])]
+            context, symbol = codes[-1][at], tokens[at + 1]
+            _, first, c = np.unique(pair_code(context, symbol), return_index=True, return_counts=True)
+            suffix = codes[-2][at] if level > 1 else np.zeros(len(at), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (context, suffix, symbol)] + [pa.array(c)], names=["context", "suffix", "key", "c"])
+
+    schema = T.StructType()
+    for name in ("context", "suffix", "key", "c"):
+        schema = schema.add(name, T.LongType())
+    # Dealt by context once, for this sum and those over all next words of a context.
+    return docs.select("text").mapInArrow(run, schema).repartition("context").groupBy("context", "suffix", "key").agg(F.sum("c").alias("c"))
 
 
 class SuffixTree:
-    """Levels of contexts with, for each, whether it is retained, its left-over mass and its discounted next symbols."""
+    """contexts: for each level, a table context, rest (the left-over mass), retained. facts: code, value of what
+    scoring may ask: a word's count, a retained context's rest, the discounted share of a word after one."""
 
-    def __init__(self, options: TreeOptions, total: int, vocabulary: int, first: np.ndarray):
+    def __init__(self, options: TreeOptions, total: int, vocabulary: int, contexts: list[DataFrame], facts: DataFrame, asked: Bitmap):
         self.options, self.total, self.vocabulary = options, total, vocabulary
-        self.levels = Levels(first)
-        self.codes: list[np.ndarray] = []
-        self.masses: list[np.ndarray] = []
-        self.rest: list[np.ndarray] = []
-        self.retained: list[np.ndarray] = []
+        self.contexts, self.facts, self.asked = contexts, facts, asked
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.total + self.vocabulary + 1)
 
-    def chain(self, level: int, state: np.ndarray, symbol: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """One step down: probabilities in the contexts of a level, from those in their parents."""
-        at = lookup(self.codes[level - 1], pair_code(state, symbol))
-        found = np.where(at >= 0, self.masses[level - 1][at], 0.0) if len(self.masses[level - 1]) else np.zeros(len(state))
-        return found + self.rest[level - 1][state] * p
+    # Views for small trees.
+
+    @cached_property
+    def rows(self) -> list:
+        return [x.select("context", "rest", "retained").orderBy("context").collect() for x in self.contexts]
+
+    @property
+    def retained(self) -> list[np.ndarray]:
+        return [np.array([r["retained"] for r in x], bool) for x in self.rows]
+
+    @property
+    def rest(self) -> list[np.ndarray]:
+        return [np.array([r["rest"] for r in x], float) for x in self.rows]
+
+    @cached_property
+    def answers(self) -> tuple[np.ndarray, np.ndarray]:
+        return sorted_facts(self.facts.toArrow())
 
     def score(self, tokens: np.ndarray, counts: np.ndarray) -> float:
-        p = self.root(counts)
-        if len(tokens) > 1:
-            for level, state in enumerate(self.levels.states(tokens), 1):
-                if level > len(self.retained):
-                    break
-                before = state[:-1]
-                on = np.flatnonzero(before >= 0)
-                on = on[self.retained[level - 1][before[on]]]
-                if len(on):
-                    p[on + 1] = self.chain(level, before[on], tokens[on + 1], p[on + 1])
-        return float(np.log10(p).sum())
+        return float(np.log10(in_states(tokens, np.arange(len(tokens)), self.root(counts), *self.answers, self.options.depth, self.asked)).sum())
+
+
+def sorted_facts(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in order, each once, and their values."""
+    code, first = np.unique(rows.column("code").to_numpy().view(np.uint64), return_index=True)
+    return code, rows.column("value").to_numpy()[first]
+
+
+def in_states(tokens, place, p, code, value, depth: int, asked: Bitmap) -> np.ndarray:
+    """Probabilities in the longest retained contexts, from those in the root: one step down for each length."""
+    p = p.copy()
+    for level, context in enumerate(context_codes(tokens, depth), 1):
+        at = before_next(place, level)
+        at = at[asked.has(context[at])]
+        state = lookup(code, context[at])
+        at, state = at[state >= 0], state[state >= 0]
+        if len(at):
+            found = lookup(code, pair_code(context[at], tokens[at + 1]))
+            p[at + 1] = np.where(found >= 0, value[found], 0.0) + value[state] * p[at + 1]
+    return p
 
 
 def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> SuffixTree:
-    """docs: training documents; counts: key, c of their words. What is collected is bounded by the options alone."""
+    """docs: training documents; counts: key, c of their words."""
+    import pyarrow as pa
+
+    spark = docs.sparkSession
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
-    least = max(2.0, options.least_context * total)
-    end = WordIds()[END]
-    end = end - (1 << 64) if end >= 1 << 63 else end
-    first = [(r["key"], r["c"]) for r in counts.where((F.col("c") >= least) & (F.col("key") != end)).collect()]
-    tree = SuffixTree(options, total, vocabulary, np.array([k for k, _ in first], np.int64).view(np.uint64))
-    by_key = {k & ((1 << 64) - 1): c for k, c in first}
-    context_counts = np.array([by_key[int(k)] for k in tree.levels.first], float)
-    links: list[np.ndarray] = []  # the parent of each context on the level above
-    gains: list[np.ndarray] = []
+    least = max(float(options.least_count), options.least_context * total)
+    q = counts.select(F.lit(0).cast("long").alias("suffix"), "key", ((F.col("c") + 1) / F.lit(float(total + vocabulary + 1))).alias("q"))
+    nexts: list[DataFrame] = []
+    levels: list[DataFrame] = []
+    shorter = spark.sparkContext.broadcast(Bitmap(counts.where(F.col("c") >= least).select(F.col("key").alias("code"))))
+    by = Window.partitionBy("context")
+    c, of, kinds = F.col("c"), F.col("of"), F.col("kinds")
+    mass, rest, share = (c - options.discount) / of, options.discount * kinds / of, c / of
     for level in range(1, options.depth + 1):
-        if not len(context_counts):
-            break
-        spark = docs.sparkSession
-        totals = spark.createDataFrame([(int(i), float(c)) for i, c in enumerate(context_counts)], "state int, of double")
-        kept = count_next(docs, tree.levels, level).join(F.broadcast(totals), "state").where(F.col("c") >= F.greatest(F.lit(2.0), options.least_next * F.col("of")))
-        rows = kept.join(counts.select("key", F.col("c").alias("uni")), "key").select("state", "key", "c", "uni").collect()
-        state = np.array([r["state"] for r in rows], np.int64)
-        symbol = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-        c = np.array([r["c"] for r in rows], float)
-        mass = (c - options.discount) / context_counts[state]
-        # The parent's probability of each kept symbol, down the chain of all shorter contexts.
-        q = tree.root(np.array([r["uni"] for r in rows], float))
-        if level > 1:
-            up = [links[-1][state]]
-            for link in reversed(links[:-1]):
-                up.append(link[up[-1]])
-            for k, s in enumerate(reversed(up), 1):
-                q = tree.chain(k, s, symbol, q)
-        share = c / context_counts[state]
-        gain = np.bincount(state, share * np.log2(np.maximum(share, 1e-12) / np.maximum(q, 1e-300)), len(context_counts))
-        p_rest = np.maximum(1 - np.bincount(state, share, len(context_counts)), 0)
-        q_rest = np.maximum(1 - np.bincount(state, q, len(context_counts)), 1e-12)
-        gains.append(gain + np.where(p_rest > 0, p_rest * np.log2(np.maximum(p_rest, 1e-12) / q_rest), 0))
-        codes = pair_code(state, symbol)
-        order = np.argsort(codes)
-        tree.codes.append(codes[order]), tree.masses.append(mass[order])
-        tree.rest.append(1 - np.bincount(state, mass, len(context_counts)))
-        # Contexts one word longer: a word of level 1 before a context of this level, itself frequent enough. Its count
-        # is that of the last word after the context that it shares with its oldest words, so counts of this level hold it.
-        longer = _longer(tree.levels, level, state, symbol, c, least)
-        if longer is None or level == options.depth:
+        rows = count_next(docs, level, shorter).withColumns({"of": F.sum("c").over(by), "kinds": F.count("*").over(by)}).where(of >= least)
+        # The parent's probability of each next word: all that follow a context follow its parent too.
+        rows = materialise(rows.join(q, ["suffix", "key"]))
+        gain = F.sum(share * F.log2(share / F.col("q")))
+        contexts = materialise(rows.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first(rest).alias("rest"), (F.round(gain, 9) >= options.least_gain).alias("own")))
+        here = Bitmap(contexts.select(F.col("context").alias("code")))
+        if not here.any():
             break
-        new_codes, new_counts, parents = longer
-        tree.levels.codes.append(new_codes)
-        context_counts = new_counts
-        links.append(parents)
-    keep: list[np.ndarray] = [g >= options.least_gain for g in gains]
-    for level in range(len(keep) - 1, 0, -1):
-        keep[level - 1][links[level - 1][keep[level]]] = True
-    tree.retained = keep
-    return tree
-
-
-def _longer(levels: Levels, level: int, state, symbol, c, least):
-    """Codes, counts and parents of the contexts of level + 1, from counts of the words after each context."""
-    last = lookup(levels.first, symbol)
-    rows = np.flatnonzero((last >= 0) & (c >= least))
-    if not len(rows):
-        return None
-    # The words of each context of this level, as indices on level 1, oldest first.
-    words: list[tuple[int, ...]] = [(i,) for i in range(len(levels.first))]
-    for codes in levels.codes:
-        words = [(int(x >> 31), *words[int(x & ((1 << 31) - 1))]) for x in codes]
-    index = {w: i for i, w in enumerate(words)}
-    found = []
-    for r in rows:
-        w = (*words[state[r]], int(last[r]))
-        parent = index.get(w[1:])
-        if parent is not None:
-            found.append((w[0] * (1 << 31) + parent, c[r], parent))
-    if not found:
-        return None
-    found.sort()
-    return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], float), np.array([x[2] for x in found], np.int64)
+        nexts.append(rows), levels.append(contexts)
+        shorter = spark.sparkContext.broadcast(here)
+        q = rows.select(F.col("context").alias("suffix"), "key", (mass + rest * F.col("q")).alias("q"))
+    for i in range(len(levels) - 1, -1, -1):
+        held = levels[i].withColumn("retained", F.col("own"))
+        if i + 1 < len(levels):
+            ends = levels[i + 1].where("retained").select(F.col("suffix").alias("context")).distinct().withColumn("end", F.lit(True))
+            held = levels[i].join(ends, "context", "left").withColumn("retained", F.col("own") | F.coalesce("end", F.lit(False))).drop("end")
+        levels[i] = materialise(held)
+
+    def coded(batches):
+        for batch in batches:
+            context, key = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_code(context, key).view(np.int64)), batch.column(2)], names=["code", "value"])
+
+    facts = counts.select(F.col("key").alias("code"), F.col("c").cast("double").alias("value"))
+    kept = counts.select(F.col("key").alias("code")).limit(0)
+    for rows, contexts in zip(nexts, levels, strict=True):
+        mine = contexts.where("retained")
+        after = rows.join(mine.select("context"), "context", "left_semi").select("context", "key", mass.alias("mass"))
+        facts = facts.unionByName(mine.select(F.col("context").alias("code"), F.col("rest").alias("value"))).unionByName(after.mapInArrow(coded, facts.schema))
+        kept = kept.unionByName(mine.select(F.col("context").alias("code")))
+    return SuffixTree(options, total, vocabulary, levels, facts, Bitmap(kept))
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, held_out, text).
 
     Null and empty texts are the end token alone. Without training documents every count is 0 and the tree is its
-    root. Rows of equal id, or without one, are scored each on its own.
+    root. Rows of equal id, or without one, are scored each on its own. ``counts`` are in the tree's facts.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    n_buckets = max(1, -(-tree.total // tree.options.bucket_tokens))
+    options, total, vocabulary = tree.options, tree.total, tree.vocabulary
+    n_buckets = max(1, -(-total // options.bucket_tokens))
     dealt = docs.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_buckets)).cast("int").alias("bucket")).repartition(n_buckets, "bucket")
+    asked = spark.sparkContext.broadcast(tree.asked)
 
     def ask(batches):
         ids = WordIds()
@@ -249,35 +270,48 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
             for b, t in zip(batch.column(3).to_pylist(), texts_as_bytes(batch.column(2)), strict=True):
                 by.setdefault(b, []).append(tokens_of(t, ids))
             for b, found in by.items():
-                key = np.unique(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b, np.int32)), pa.array(key.view(np.int64))], names=["bucket", "key"])
-
-    asked = dealt.mapInArrow(ask, T.StructType().add("bucket", T.IntegerType()).add("key", T.LongType()))
-    known = asked.join(counts, "key").select("bucket", "key", "c")
-    shared = spark.sparkContext.broadcast(tree)
+                tokens, place = joined(found)
+                codes = [np.unique(tokens)]
+                for level, context in enumerate(context_codes(tokens, options.depth), 1):
+                    at = before_next(place, level)
+                    at = at[asked.value.has(context[at])]
+                    codes += [np.unique(context[at]), np.unique(pair_code(context[at], tokens[at + 1]))]
+                code = np.concatenate(codes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), b, np.int32)), pa.array(code.view(np.int64))], names=["bucket", "code"])
+
+    questions = dealt.mapInArrow(ask, T.StructType().add("bucket", T.IntegerType()).add("code", T.LongType()))
+    known = questions.join(tree.facts, "code").select("bucket", "code", "value")
     out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("held_out", T.BooleanType())
     for name in ("n_tokens", "n_known", "train_tokens"):
         out = out.add(name, T.LongType())
     out = out.add("base_score", T.DoubleType()).add("score", T.DoubleType())
 
     def run(rows, answers):
-        tree, ids = shared.value, WordIds()
-        key = answers.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, c = key[order], answers.column("c").to_numpy()[order]
-        # Batches that asked for the same word got it more than once.
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        key, c = key[first], c[first]
+        ids = WordIds()
+        # Batches that asked for the same code got it more than once.
+        code, value = sorted_facts(answers)
         n, seen, base, score = [], [], [], []
-        for t in texts_as_bytes(rows.column("text")):
-            tokens = tokens_of(t, ids)
-            at = lookup(key, tokens)
-            counts = np.where(at >= 0, c[at], 0).astype(float) if len(key) else np.zeros(len(tokens))
-            n.append(len(tokens)), seen.append(int((counts > 0).sum()))
-            base.append(float(np.log10(tree.root(counts)).sum()))
-            score.append(tree.score(tokens, counts))
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array([tree.total] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+
+        def add(found):
+            tokens, place = joined(found)
+            starts = np.flatnonzero(place == 0)
+            at = lookup(code, tokens)
+            c = np.where(at >= 0, value[at], 0.0) if len(code) else np.zeros(len(tokens))
+            p = (c + 1) / (total + vocabulary + 1)
+            n.extend(len(x) for x in found), seen.extend(np.add.reduceat((c > 0).astype(np.int64), starts).tolist())
+            base.extend(np.add.reduceat(np.log10(p), starts).tolist())
+            score.extend(np.add.reduceat(np.log10(in_states(tokens, place, p, code, value, options.depth, asked.value)), starts).tolist())
+
+        part, size = [], 0
+        for t in rows.column("text").cast(pa.large_binary()):
+            part.append(tokens_of(t.as_py(), ids))
+            size += len(part[-1])
+            if size >= 100_000:
+                add(part)
+                part, size = [], 0
+        if part:
+            add(part)
+        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array([total] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, out)
 

@@ -130,6 +130,38 @@ def test_suffix_lm_edges(spark):
     assert suffix_lm.score_texts(none, counts, suffix_lm.grow_tree(none, counts, suffix_lm.TreeOptions())).count() == 0
 
 
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """Contexts far below any share of all tokens are kept by their count, and scored as by the definition."""
+    texts = [f"p{i} q{i} r{(i + j) % 2 * 1000 + i} s{i}" for i in range(700) for j in range(6)] + ["p1 q1 lost", "lost p9 r9", "p2 q3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    options = suffix_lm.TreeOptions(bucket_tokens=5000)
+    rows = [[*t.split(), " "] for t in texts]
+    counts = collections.Counter(w for r in rows for w in r)
+    n, v = sum(counts.values()), len(counts)
+    after = collections.defaultdict(collections.Counter)
+    for r in rows:
+        for i in range(1, len(r)):
+            for d in range(1, min(3, i) + 1):
+                after[tuple(r[i - d : i])][r[i]] += 1
+    after = {k: c for k, c in after.items() if sum(c.values()) >= 4}
+
+    def p(context, w, kept):
+        q = p(context[1:], w, kept) if context else (counts[w] + 1) / (n + v + 1)
+        if not context or context not in kept:
+            return q
+        of = sum(after[context].values())
+        return max(after[context][w] - 0.5, 0) / of + 0.5 * len(after[context]) / of * q
+
+    kept = {k for k, c in after.items() if sum(x / sum(c.values()) * math.log2(x / sum(c.values()) / p(k[1:], w, after)) for w, x in c.items()) >= 0.02}
+    kept |= {k[i:] for k in kept for i in range(1, len(k))}
+    words = suffix_lm.count_words(df)
+    tree = suffix_lm.grow_tree(df, words, options)
+    assert sum(x.sum() for x in tree.retained) == len(kept) > 1500
+    for r in suffix_lm.score_texts(df, words, tree).collect():
+        w = rows[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 3) : i]), w[i], kept)) for i in range(len(w))), rel=1e-9)
+
+
 def test_fill_gives_siblings_first():
     assert mixing.fill(100, [1, 1, 2], [1000, 1000, 1000]) == [25, 25, 50]
     assert mixing.fill(100, [1, 1, 2], [10, 1000, 1000]) == [10, 30, 60]
