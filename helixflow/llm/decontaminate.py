@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders that remember their values. Windows of canonical words are hashed;
 the windows of benchmark items, at every position, meet those of documents, at every ``stride`` words, in a hash join.
-A document holds an item if enough of its windows match and the values in its placeholders map onto the document's
-one to one, so a question asked again with other numbers or names is caught too.
+A document holds an item if, in one occurrence of it, enough of its windows match and the values in its placeholders
+map onto the document's one to one, so a question asked again with other numbers or names is caught too.
 """
 
 from __future__ import annotations
@@ -52,23 +52,45 @@ def windows(frame: DataFrame, keys: list[str], stride: int) -> DataFrame:
     return rows.select(*keys, "n_words", "pos", F.xxhash64(template).alias("template"), slots.alias("slots"))
 
 
+def short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """doc_id, item_id where all words of an item of at most WINDOW words, values too, stand in a document in a row.
+    None if no item is so short. Both have their words."""
+    short = items.where(F.size("words").between(1, WINDOW)).select("item_id", F.size("words").alias("n"), F.xxhash64(F.array_join("words", " ")).alias("key")).distinct()
+    known = short.agg(F.collect_set("n").alias("sizes"), F.count("*").alias("rows")).first()
+    if not known["rows"]:
+        return None
+    at = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice(F.col("words"), i + 1, n), " ")).alias("key"))))
+    none = F.array().cast("array<struct<n:int,key:bigint>>")
+    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[F.coalesce(at(n), none) for n in sorted(known["sizes"])]))).alias("w")).select("doc_id", "w.*")
+    return seen.join(F.broadcast(short) if known["rows"] <= BROADCAST_ROWS else short, ["n", "key"]).select("doc_id", "item_id").distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6, most_stride: int = 5) -> DataFrame:
     """doc_id, item_id, n_windows (windows of the item that match), share (of those expected), same_values.
 
     ``share`` is taken of the windows that any whole copy of the item must have at this stride; rows have
-    ``least_share`` or more, two windows at least, and values that map one to one. Null texts hold nothing; items of
-    fewer than six words are too short to tell from chance and never match. Rows of equal id count as one document or
-    item; a null id is an id of its own. Extra columns are ignored.
+    ``least_share`` or more, two windows at least, and values that map one to one, all in one occurrence: windows at one
+    distance from their places in the item, or at distances that differ by an eighth of its words or so, or, for copies
+    that are spread out, all windows of the document. Items of fewer than six words are one whole window, which must
+    match with its values. Null texts hold nothing. Rows of equal id count as one document or item; a null id is an id
+    of its own. Extra columns are ignored.
     """
-    items = benchmark.select("item_id", canonical_words(F.col("text")).alias("words")).where(F.size("words") > WINDOW)
+    worded = benchmark.select("item_id", canonical_words(F.col("text")).alias("words"))
+    items = worded.where(F.size("words") > WINDOW)
     held = materialise(windows(items, ["item_id"], 1).withColumnRenamed("pos", "item_pos").withColumnRenamed("slots", "item_slots").withColumnRenamed("n_words", "item_words"))
     known = held.agg(F.min("item_words").alias("least"), F.count("*").alias("n")).first()
     # A copy of the shortest item must hold two windows of the stride.
     stride = max(1, min(most_stride, ((known["least"] or 2 * most_stride + WINDOW) - WINDOW + 1) // 2))
-    seen = windows(docs.select("doc_id", canonical_words(F.col("text")).alias("words")), ["doc_id"], stride)
+    texts = docs.select("doc_id", canonical_words(F.col("text")).alias("words"))
+    seen = windows(texts, ["doc_id"], stride)
     met = seen.drop("n_words").join(F.broadcast(held) if known["n"] <= BROADCAST_ROWS else held, "template")
     values = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.arrays_zip("item_slots", "slots"))
-    by_item = met.groupBy("doc_id", "item_id").agg(
+    # Occurrences: one distance, two neighbouring bins of distances (half an item at most), the whole document.
+    distance = F.col("pos") - F.col("item_pos")
+    cell = F.floor(distance / F.greatest(F.lit(2), F.floor(F.col("item_words") / 8))).cast("int")
+    whole = F.struct(F.lit(2).alias("kind"), F.lit(0).alias("at"))
+    spans = F.array(whole, F.struct(F.lit(0).alias("kind"), distance.alias("at")), *[F.struct(F.lit(1).alias("kind"), (cell + i).alias("at")) for i in (0, 1)])
+    by_span = met.withColumn("span", F.explode(spans)).groupBy("doc_id", "item_id", "span").agg(
         F.max("item_words").alias("item_words"),
         F.collect_set("item_pos").alias("places"),
         F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs"),
@@ -76,11 +98,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6,
     n = F.size("places")
     expected = F.greatest(F.floor((F.col("item_words") - WINDOW + 1) / stride), F.lit(2))
     one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs"))
-    return (
-        by_item.withColumn("share", F.least(n / expected, F.lit(1.0)))
+    found = (
+        by_span.withColumn("share", F.least(n / expected, F.lit(1.0)))
         .where((n >= 2) & (F.col("share") >= least_share) & one_to_one)
-        .select("doc_id", "item_id", n.cast("long").alias("n_windows"), "share", F.forall("pairs", lambda p: p["item_slots"] == p["slots"]).alias("same_values"))
+        .groupBy("doc_id", "item_id")
+        .agg(F.max(n).cast("long").alias("n_windows"), F.max("share").alias("share"), F.bool_or(F.forall("pairs", lambda p: p["item_slots"] == p["slots"])).alias("same_values"))
     )
+    short = short_leaks(texts, worded)
+    if short is None:
+        return found
+    # Items of one id may be short and long.
+    rows = found.unionByName(short.select("doc_id", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("share"), F.lit(True).alias("same_values")))
+    return rows.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("share").alias("share"), F.bool_or("same_values").alias("same_values"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

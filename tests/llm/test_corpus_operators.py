@@ -229,6 +229,16 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d.limit(0), b).count() == 0 and decontaminate.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_by_occurrence(spark):
+    other = AGAIN.replace("Bob Jones", "Bob").replace("15 kg", "15 or so kg")
+    docs = [(1, f"{STORY}\n{AGAIN}"), (2, f"{AGAIN} {STORY} {AGAIN}"), (3, STORY + " word" * 300 + " and In March Joe Brown bought 99 kg of apples for 70 pounds"), (4, f"{MIXED} {MIXED}"), (5, f"say {STORY} {other}"), (6, "He said open 7 doors now and left"), (7, "He said open 8 doors now and left")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(9, STORY), (12, "Open 7 doors now"), (13, "")], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r.same_values for r in decontaminate.find_leaks(d, b).collect()}
+    assert out == {(1, 9): True, (2, 9): True, (3, 9): True, (5, 9): True, (6, 12): True}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(d, b).collect()) == [4, 7]
+
+
 def test_leak_query_against_search(spark, sf_dir):
     docs = {r.doc_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r.item_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
