@@ -47,18 +47,20 @@ def host_edges(judged: DataFrame) -> DataFrame:
     return counted.unionByName(ladder).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 6, cut_every: int = 3) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 2000, cut_every: int = 5) -> DataFrame:
     """host, trust, distrust: both ranks in one pass for each round.
 
     seeds: host, trust0, distrust0. Trust follows src -> dst; distrust goes back, dst -> src. Each round is one join
-    with the edges and one aggregation by host; lineage is cut every ``cut_every`` rounds.
+    with the edges and one aggregation by host; lineage is cut every ``cut_every`` rounds. Rounds end when the last of
+    them changed both ranks by ``tolerance`` or less, summed over all hosts; an error if ``most_rounds`` don't get there.
     """
     both = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "weight", F.lit(0).alias("back")).unionByName(edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), "weight", F.lit(1).alias("back")))
     total = both.groupBy("host", "back").agg(F.sum("weight").alias("total"))
     steps = materialise(both.join(total, ["host", "back"]).select("host", "to", "back", (F.col("weight") / F.col("total")).alias("share")))
     rank = seeds.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     zero = F.lit(0.0)
-    for i in range(rounds):
+    for i in range(most_rounds):
+        before = rank
         moved = steps.join(rank, "host").select(
             F.col("to").alias("host"),
             F.when(F.col("back") == 0, F.col("trust") * F.col("share") * damping).otherwise(zero).alias("trust"),
@@ -66,12 +68,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         )
         kept = seeds.select("host", (F.col("trust0") * (1 - damping)).alias("trust"), (F.col("distrust0") * (1 - damping)).alias("distrust"))
         rank = moved.unionByName(kept).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            rank = materialise(rank)
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, damping: float = 0.85, rounds: int = 6) -> DataFrame:
+        if (i + 1) % cut_every == 0:
+            # The rank before goes along, so that the change is summed from the table.
+            last = before.select("host", F.col("trust").alias("trust1"), F.col("distrust").alias("distrust1"))
+            both = materialise(rank.join(last, "host", "full"))
+            of = lambda c: F.coalesce(F.col(c), zero)
+            change = both.agg(F.sum(F.abs(of("trust") - of("trust1")) + F.abs(of("distrust") - of("distrust1"))).alias("x")).first()["x"] or 0.0
+            rank = both.where("trust is not null").select("host", "trust", "distrust")
+            if change <= tolerance:
+                return rank
+    raise RuntimeError(f"ranks still change by {change} after {most_rounds} rounds")
+
+
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """page_id, url, host, path, rule, verdict, trust, distrust for each row of pages.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Null html has no links.
@@ -82,7 +91,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, damping: f
     judged = judged.withColumn("fit", first_rule(F.col("host"), F.col("path"), rules))
     tally = lambda v: F.sum(F.when(F.col("fit.verdict") == v, 1.0).otherwise(0.0))
     seeds = materialise(judged.where("host <> ''").groupBy("host").agg(tally("allow").alias("trust0"), tally("block").alias("distrust0")))
-    rank = propagate(seeds, host_edges(judged), damping, rounds)
+    rank = propagate(seeds, host_edges(judged), damping, tolerance)
     hosts = rank.withColumn("blocked", (F.col("distrust") > 1e-12) & (F.col("distrust") > threshold * F.col("trust")))
     out = judged.drop("html").join(hosts, "host", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))

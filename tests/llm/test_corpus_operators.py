@@ -292,3 +292,25 @@ def test_url_propagation_against_brute_force(spark):
     for h in hosts:
         assert out[h].trust == pytest.approx(t[h], abs=1e-12) and out[h].distrust == pytest.approx(d[h], abs=1e-12)
     assert {h for h in hosts if out[h].verdict == "block"} == {"bad.com", "farm.net"}
+
+
+def test_url_propagation_settles(spark):
+    """A chain longer than any fixed number of rounds, and a cycle, against the solution of the linear system."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    edges = [(f"c{i}.net", f"c{i + 1}.net") for i in range(12)] + [("c12.net", "bad.com"), ("a.net", "b.net"), ("b.net", "a.net"), ("good.org", "a.net"), ("b.net", "bad.com")]
+    hosts = sorted({h for e in edges for h in e})
+    pages = [(i, f"http://{h}/de/1", link(*[b for a, b in edges if a == h])) for i, h in enumerate(hosts)]
+    out = {r.host: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b in edges:
+        m[at[a], at[b]] = 1
+    step = lambda x: x / np.maximum(x.sum(1, keepdims=True), 1)
+    solve = lambda x, seed: np.linalg.solve(np.eye(len(hosts)) - 0.85 * step(x).T, 0.15 * np.eye(len(hosts))[at[seed]])
+    trust, distrust = solve(m, "good.org"), solve(m.T, "bad.com")
+    for h in hosts:
+        assert out[h].trust == pytest.approx(trust[at[h]], abs=1e-5) and out[h].distrust == pytest.approx(distrust[at[h]], abs=1e-5)
+    assert all(out[f"c{i}.net"].verdict == "block" for i in range(13))
+    with pytest.raises(RuntimeError):
+        seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust0 double, distrust0 double")
+        url_filter.propagate(seeds, spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, weight long"), most_rounds=5)
