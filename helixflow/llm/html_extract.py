@@ -190,17 +190,15 @@ def main_text(html: str | None, sigma: float = 2.0) -> str:
         return best
 
     held = [holder(x[3]) for x in lines]
-    articles = [kinds[h][0] in ("article", "main") for h in held]
     ratio = np.array([np.log1p(max(len(x[0]) - 2 * x[2], 0)) - np.log1p(x[1]) / 2 for x in lines])
     flat = smoothed(ratio, sigma)
     content = flat > two_means(flat)
     # A section stands or falls as a whole, by the text of its lines in either cluster, so that short lines inside
-    # it stay; where an article or main element has any text, sections outside it go.
+    # it stay. An article or main element is one section; it must pass like any other.
     weight: dict[int, list[float]] = {}
     for h, x, c in zip(held, lines, content, strict=True):
         weight.setdefault(h, [0.0, 0.0])[int(c)] += len(x[0])
-    marked = {h for h, a in zip(held, articles, strict=True) if a}
-    chosen = marked or {h for h, (low, high) in weight.items() if high >= low} or set(held)
+    chosen = {h for h, (low, high) in weight.items() if high >= low} or set(held)
     return "\n".join(x[0] for x, h in zip(lines, held, strict=True) if h in chosen)
 
 

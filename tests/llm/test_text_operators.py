@@ -182,3 +182,13 @@ def test_html_edges(spark):
 def test_html_marks():
     page = '<div id="page" class="has-sidebar"><div class="post-content with-ads"><h1 class="post-header">Title</h1><p>Long enough text of the article to count.</p></div><div class="commentList"><p>Reader says</p></div><div id="sideBar">Links</div><p class="ad">Buy</p><div hidden>x</div><div role="banner">y</div></div>'
     assert html_extract.main_text(page) == "Title\nLong enough text of the article to count."
+
+
+def test_html_cluster_decides_beside_article():
+    story = "".join(f"<div>{'A plain paragraph of the story goes on with many words. ' * 5}{i}</div>" for i in range(12))
+    teaser = "<article><a href='/x'><b>See</b></a> <a href='/y'><i>also</i></a></article>"
+    text = html_extract.main_text(f"<html><body><div>{story}</div>{teaser}</body></html>")
+    # Smoothing may take the paragraph beside the teaser into its cluster.
+    assert text.count("A plain paragraph") >= 55
+    whole = html_extract.main_text(f"<html><body><article>{story}<p>The end.</p></article><div><a href='/x'>See</a></div></body></html>")
+    assert whole.count("A plain paragraph") == 60 and "The end." in whole
