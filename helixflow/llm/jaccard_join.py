@@ -1,15 +1,16 @@
 """N-gram Jaccard join by signature trees, and the components of its links.
 
-1. Each document's set of word shingles is hashed; documents of equal sets become one node.
-2. The shingles of a set are ordered with those that many documents share last, by a bounded summary of frequent
-   shingles. Two sets that link share a shingle in their prefixes (the prefix filter, exact under any order), so nodes
-   meet in groups by prefix shingle. Shingles whose groups turn out large join the summary, and the sets that hold them
-   in their prefixes are ordered anew; for all other sets nothing changes.
-3. Links to one hub of each group come first and join most copies of a text into one component.
+1. Each document's set of word shingles is hashed; documents of equal sets become one node, named by a hash of the set.
+2. The shingles of a set are ordered by levels of how many documents share them, rare ones first. Two sets that link
+   share a shingle in their prefixes (the prefix filter, exact under any order), so nodes meet in groups by prefix
+   shingle. Shingles whose groups turn out large move to the level of their group, and sets whose prefixes held one are ordered
+   anew; for all other sets nothing changes.
+3. Links to hubs come first and join most copies of a text into one component: in each round a node is checked against
+   the one hub that most of its groups name.
 4. In groups that still hold several components, signature trees are built over blocks of at most ``block`` nodes:
    leaves hold token bitmaps and sizes, inner nodes OR-combined bitmaps and size ranges. A dual traversal drops pairs
    of tree nodes that lie in one component, whose sizes exclude a link, or whose greatest possible overlap is too small.
-5. Pairs that remain are checked by wider bitmaps and then by their exact sets.
+5. Pairs that remain are checked by their exact sets: texts go to the task of their partner once for each pair.
 
 The order in 2 and the hubs in 3 only save work; no pair of different components is left out.
 """
@@ -20,69 +21,115 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordIds, materialise, mix64, table, texts_as_bytes
+from .common import bounded_batches, materialise, mix64, release, table, word_pieces
 from .graph import components
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-#: Bits of the signatures in the trees, and bounds of the wider ones.
-TREE_BITS, WIDE_LEAST, WIDE_MOST = 1024, 1024, 1 << 17
+#: Bits of the signatures.
+TREE_BITS = 1024
 FAN = 8
 #: A list of ids longer than this is joined by a shuffle instead of a broadcast.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 250_000
 
 
 @dataclass(frozen=True)
 class JoinOptions:
     words: int = 4
     percent: int = 85
-    frequent: int = 200_000  # entries of the summary of frequent shingles, at most
-    frequent_least: int = 16
+    frequent_least: int = 16  # documents that share a shingle of level 1; each further level needs 16 times as many
+    levels: int = 4
+    level_bits: int = 1 << 24  # of the bitmap of a level; a wrong bit moves a shingle back in the order, for all sets alike
     block: int = 512
-    order_rounds: int = 2
+    order_rounds: int = 1
     hub_rounds: int = 2
+    members: int = 2000  # of a hub, in one task
 
-    def prefix(self, n: int) -> int:
+    def prefix(self, n):
         return n - -(-self.percent * n // 100) + 1
 
 
-def shingle_set(text: bytes | None, ids: WordIds, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of all words together where there are fewer; empty without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = ids.of(words)
-    m = min(k, len(w))
-    h = np.full(len(w) - m + 1, np.uint64(m), np.uint64)
-    for i in range(m):
-        h = mix64(h ^ (w[i : len(w) - m + 1 + i] * FACTORS[i % 8]))
-    return np.unique(h)
-
-
-def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
-    """uint8 array of bits / 8 bytes; a wider bitmap folds to a narrower one."""
-    out = np.zeros(bits, bool)
-    out[(values & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little")
-
-
-def wide_bits(n: int) -> int:
-    return int(min(max(1 << max(2 * n - 1, 1).bit_length(), WIDE_LEAST), WIDE_MOST))
-
-
-def fold(bits: np.ndarray, size: int) -> np.ndarray:
-    while len(bits) > size:
-        half = len(bits) // 2
-        bits = bits[:half] | bits[half:]
-    return bits
-
-
-def frequent_shingles(docs: DataFrame, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents share, sorted, and their rough counts. Only the order of prefixes depends on them:
-    a task counts those that occur three times or more among some of its documents; large groups add what it misses."""
+def shingle_sets(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of texts, one text after another, and their offsets. words, at: as of word_pieces.
+    A shingle is k words, or all of them where there are fewer; no words, no shingles."""
+    size = np.diff(at)
+    count = np.where(size >= k, size - k + 1, (size > 0).astype(size.dtype))
+    start = np.r_[0, np.cumsum(count)]
+    out = np.empty(start[-1], np.uint64)
+
+    def mixed(w, m):
+        h = np.full(len(w) - m + 1, np.uint64(m), np.uint64)
+        for i in range(m):
+            h += w[i : len(w) - m + 1 + i] * FACTORS[i % len(FACTORS)] * np.uint64(2 * (i // len(FACTORS)) + 1)
+        return mix64(h)
+
+    whole = size >= k
+    if whole.any():
+        h = mixed(words, k)
+        into = np.repeat(whole, count)
+        shift = np.repeat(at[:-1] - start[:-1], count)
+        out[into] = h[(np.arange(start[-1]) + shift)[into]]
+    for d in np.flatnonzero((size > 0) & ~whole):
+        out[start[d]] = mixed(words[at[d] : at[d + 1]], int(size[d]))[0]
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        if b - a > 1:
+            out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[start[:-1][count > 0]] = True
+    return out[new], np.r_[0, np.cumsum(new)][start]
+
+
+def text_sets(column, k: int):
+    """(first row, shingles, offsets) for runs of rows of an Arrow string column."""
+    for row, words, at in word_pieces(column):
+        yield row, *shingle_sets(words, at, k)
+
+
+def set_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each set: the sum of hashes of its shingles."""
+    sums = np.r_[np.uint64(0), np.cumsum(mix64(h ^ np.uint64(0x51ED270B9F1D5E2D)), dtype=np.uint64)]
+    return (sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+
+
+class Levels:
+    """How common shingles are, as nested bitmaps: the level of a shingle is the number of bitmaps that hold it."""
+
+    def __init__(self, options: JoinOptions, bitmaps: list[np.ndarray] | None = None):
+        self.options = options
+        self.bitmaps = bitmaps or [np.zeros(options.level_bits >> 6, np.uint64) for _ in range(options.levels)]
+
+    def joined(self, counts: DataFrame) -> Levels:
+        """With the shingles of counts (token, c). A bitmap's cells reach the driver, level_bits / 64 of them at most."""
+        o = self.options
+        level = F.least(F.floor(F.log(F.col("c") / o.frequent_least) / math.log(16)), F.lit(o.levels - 1)).cast("int")
+        cells = counts.where(F.col("c") >= o.frequent_least).select(level.alias("level"), F.shiftright(F.col("token").bitwiseAND(o.level_bits - 1), 6).alias("cell"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("bit"))
+        found = cells.groupBy("level", "cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+        out = [b.copy() for b in self.bitmaps]
+        level, cell, bits = found.column("level").to_numpy(), found.column("cell").to_numpy(), found.column("bits").to_numpy().view(np.uint64)
+        for i, b in enumerate(out):
+            on = level >= i
+            np.bitwise_or.at(b, cell[on], bits[on])
+        return Levels(o, out)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.uint8)
+        some = np.arange(len(h))
+        for b in self.bitmaps:
+            v = h[some] & np.uint64(self.options.level_bits - 1)
+            some = some[(b[v >> np.uint64(6)] >> (v & np.uint64(63))) & np.uint64(1) > 0]
+            if not len(some):
+                break
+            out[some] += 1
+        return out
+
+
+def shared_shingles(docs: DataFrame, options: JoinOptions) -> DataFrame:
+    """token, c: shingles that many documents share, with rough counts. Only the order of prefixes depends on them: a
+    task counts those that occur three times or more among some of its documents; large groups add what it misses."""
     import pyarrow as pa
 
     def often(found):
@@ -91,57 +138,73 @@ def frequent_shingles(docs: DataFrame, options: JoinOptions) -> tuple[np.ndarray
         return pa.RecordBatch.from_arrays([pa.array(token[on].view(np.int64)), pa.array(c[on])], names=["token", "c"])
 
     def run(batches):
-        ids = WordIds()
+        found, size = [], 0
         for batch in batches:
-            found, size = [], 0
-            for t in texts_as_bytes(batch.column(0)):
-                found.append(shingle_set(t, ids, options.words))
-                size += len(found[-1])
+            for _, h, _ in text_sets(batch.column(0), options.words):
+                found.append(h)
+                size += len(h)
                 if size > 1_500_000:
                     yield often(found)
                     found, size = [], 0
-            if found:
-                yield often(found)
+        if found:
+            yield often(found)
 
     schema = T.StructType().add("token", T.LongType()).add("c", T.LongType())
-    rows = docs.select("text").mapInArrow(run, schema).groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= options.frequent_least).orderBy(F.desc("c"), "token").limit(options.frequent).toArrow()
-    token, c = rows.column("token").to_numpy().view(np.uint64), rows.column("c").to_numpy()
-    order = np.argsort(token)
-    return token[order], c[order]
-
-
-def signatures(docs: DataFrame, frequent, options: JoinOptions) -> DataFrame:
-    """doc_id, n, f1, f2 (hash of the set), prefix, bits."""
+    return docs.select("text").mapInArrow(run, schema).groupBy("token").agg(F.sum("c").alias("c"))
+
+
+def prefixes(h: np.ndarray, at: np.ndarray, levels: Levels, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of each set, in the order of levels, then hashes; and their offsets."""
+    size = np.diff(at)
+    p = np.where(size > 0, options.prefix(size), 0)
+    level = levels.of(h)
+    rare = level == 0
+    before = np.r_[0, np.cumsum(rare)]
+    have = before[at[1:]] - before[at[:-1]]
+    rank = before[:-1] - np.repeat(before[at[:-1]], size)
+    into = np.r_[0, np.cumsum(p)]
+    out = np.empty(into[-1], np.uint64)
+    pick = rare & (rank < np.repeat(p, size))
+    out[(np.repeat(into[:-1], size) + rank)[pick]] = h[pick]
+    for d in np.flatnonzero(have < p):
+        a, b = at[d], at[d + 1]
+        late = np.flatnonzero(~rare[a:b]) + a
+        late = late[np.argsort(level[late], kind="stable")][: p[d] - have[d]]
+        out[into[d] + have[d] : into[d + 1]] = h[late]
+    return out, into
+
+
+def signatures(docs: DataFrame, levels: Levels, options: JoinOptions, bits: bool = True) -> DataFrame:
+    """doc_id, n, node (hash of the set), text_id, prefix, bits (left out on request)."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # options.frequent entries at most
-    schema = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n", T.LongType()).add("f1", T.LongType()).add("f2", T.LongType()).add("prefix", T.ArrayType(T.LongType())).add("bits", T.BinaryType())
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # levels * level_bits / 8 bytes
+    schema = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n", T.LongType()).add("node", T.LongType()).add("text_id", T.LongType()).add("prefix", T.ArrayType(T.LongType()))
+    if bits:
+        schema = schema.add("bits", T.BinaryType())
 
     def run(batches):
-        import xxhash
-
-        token, count = shared.value
-        ids = WordIds()
         for batch in batches:
-            n, f1, f2, prefix, bits = [], [], [], [], []
-            for t in texts_as_bytes(batch.column(1)):
-                s = shingle_set(t, ids, options.words)
-                raw = s.tobytes()
-                n.append(len(s))
-                f1.append(np.uint64(xxhash.xxh3_64_intdigest(raw, 1)).view(np.int64)), f2.append(np.uint64(xxhash.xxh3_64_intdigest(raw, 2)).view(np.int64))
-                at = np.searchsorted(token, s)
-                at[at == len(token)] = 0
-                often = token[at] == s if len(token) else np.zeros(len(s), bool)
-                rare, late = s[~often], s[often]
-                p = options.prefix(len(s)) if len(s) else 0
-                if p > len(rare):
-                    late = late[np.lexsort((late, count[at[often]]))]
-                    rare = np.concatenate([rare, late])
-                prefix.append(rare[:p].view(np.int64))
-                bits.append(bitmap(s, wide_bits(len(s))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            for row, h, at in text_sets(batch.column(1), options.words):
+                rows = len(at) - 1
+                head, into = prefixes(h, at, shared.value, options)
+                cols = [batch.column(0).slice(row, rows), pa.array(np.diff(at)), pa.array(set_hash(h, at)), batch.column(2).slice(row, rows), pa.ListArray.from_arrays(pa.array(into.astype(np.int32)), pa.array(head.view(np.int64)))]
+                if bits:
+                    cols.append(bitmaps(h, at))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).mapInArrow(run, schema)
+
+
+def bitmaps(h: np.ndarray, at: np.ndarray):
+    """An Arrow column of TREE_BITS for each set."""
+    import pyarrow as pa
+
+    rows = len(at) - 1
+    on = np.zeros(rows * TREE_BITS, bool)
+    on[np.repeat(np.arange(rows), np.diff(at)) * TREE_BITS + (h & np.uint64(TREE_BITS - 1)).astype(np.int64)] = True
+    packed = np.packbits(on, bitorder="little")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(TREE_BITS // 8), rows, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
 
 
 class Tree:
@@ -233,6 +296,10 @@ def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
     """a, b: candidate pairs from units (token, i, j, role, node, n, pos, comp, bits), each unit a pair of blocks."""
     import pyarrow as pa
 
+    def starts(rows):
+        keys = [rows.column(k).to_numpy() for k in ("token", "i", "j")]
+        return np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)]
+
     def run(batches):
         held = None
         for batch in batches:
@@ -240,15 +307,13 @@ def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
                 continue
             part = pa.Table.from_batches([batch])
             held = part if held is None else pa.concat_tables([held, part])
-            keys = [held.column(k).to_numpy() for k in ("token", "i", "j")]
-            new = np.r_[True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])]
+            new = starts(held)
             last = int(np.flatnonzero(new)[-1])  # the last unit may go on in the next batch
             if last and held.num_rows >= 4096:
                 yield answer(held.slice(0, last), new[:last])
                 held = held.slice(last)
         if held is not None:
-            keys = [held.column(k).to_numpy() for k in ("token", "i", "j")]
-            yield answer(held, np.r_[True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])])
+            yield answer(held, starts(held))
 
     def answer(rows, new):
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, TREE_BITS // 64)
@@ -259,87 +324,89 @@ def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
     return units.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, options: JoinOptions) -> DataFrame:
-    """The pairs (a, b) that link, checked first by wide bitmaps, then by exact sets from the texts."""
+def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, options: JoinOptions) -> DataFrame:
+    """a, b: the distinct pairs (node, hub) that link, by their exact sets. Each pair sends the node's text to a task of
+    the hub; a hub of many nodes has many tasks, each with the hub's own text."""
     import pyarrow as pa
 
-    both = T.StructType().add("a", T.LongType()).add("b", T.LongType())
-    sig = nodes.select("node", "n", "bits")
-    wide = pairs.distinct().join(sig.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a").where("n_a > 0")
-    wide = wide.join(sig.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-    wide = wide.where((100 * F.col("n_a") >= options.percent * F.col("n_b")) & (100 * F.col("n_b") >= options.percent * F.col("n_a")))
-
-    def by_bits(batches):
-        for batch in batches:
-            cols = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("a", "b", "n_a", "n_b", "bits_a", "bits_b")}
-            keep_a, keep_b = [], []
-            for a, b, na, nb, x, y in zip(*cols.values(), strict=True):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = min(len(x), len(y))
-                x, y = fold(x, size), fold(y, size)
-                shared = int(np.bitwise_count(x & y).sum())
-                excess = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
-                if (100 + options.percent) * min(shared + excess, na, nb) >= options.percent * (na + nb):
-                    keep_a.append(a), keep_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
-
-    likely = materialise(wide.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(by_bits, both))
-    wanted = materialise(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
-    sets = T.StructType().add("node", T.LongType()).add("shingles", T.BinaryType())
-
-    def to_sets(batches):
-        ids = WordIds()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, ids, options.words).tobytes() for t in texts_as_bytes(batch.column(1))], pa.binary())], names=["node", "shingles"])
-
-    held = materialise(texts.mapInArrow(to_sets, sets))
-    exact = likely.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    per = pairs.groupBy("hub").agg(F.ceil(F.count("*") / options.members).cast("int").alias("parts"))
+    members = pairs.join(per, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", F.lit(1).alias("role"))
+    hubs = per.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(0).alias("role"))
+    jobs = materialise(members.unionByName(hubs).join(nodes.select("node", "home"), "node"))
+    asked = F.broadcast(jobs) if jobs.count() <= BROADCAST_ROWS else jobs
+    rows = docs.join(asked, docs["doc_id"] == asked["home"]).select("hub", "part", "role", "node", "text")
+    schema = T.StructType().add("a", T.LongType()).add("b", T.LongType())
 
-    def by_sets(batches):
+    def run(batches):
+        hub, base = None, None
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("a", "b", "x", "y")]
-            keep_a, keep_b = [], []
-            for a, b, x, y in zip(*cols, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if not len(x) or not len(y):
-                    continue
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                shared = int((y[at] == x).sum())
-                if 100 * shared >= options.percent * (len(x) + len(y) - shared):
-                    keep_a.append(a), keep_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
-
-    return materialise(exact.select("a", "b", "x", "y").mapInArrow(by_sets, both).distinct())
+            hubs, role, node = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            a, b = [], []
+            for row, h, at in text_sets(batch.column(4), options.words):
+                name = set_hash(h, at)
+                for k in range(len(at) - 1):
+                    r = row + k
+                    if name[k] != node[r]:
+                        continue  # another text of the same id
+                    x = h[at[k] : at[k + 1]]
+                    if role[r] == 0:
+                        hub, base = hubs[r], x
+                    elif hub == hubs[r] and 100 * min(len(x), len(base)) >= options.percent * max(len(x), len(base)):
+                        place = np.searchsorted(base, x)
+                        place[place == len(base)] = 0
+                        shared = int((base[place] == x).sum())
+                        if 100 * shared >= options.percent * (len(x) + len(base) - shared):
+                            a.append(node[r]), b.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=schema.names)
+
+    out = materialise(rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, schema))
+    release(jobs)
+    return out
 
 
 def prefix_groups(nodes: DataFrame) -> DataFrame:
-    """token, node, n, pos, m: the prefix shingles that m > 1 nodes hold, with their places in the sets' orders."""
+    """token, node, n, pos: the prefix shingles that several nodes hold, with their places in the sets' orders; m, how
+    many hold it. Counted before the join, so that a large group can be dealt over many tasks."""
     posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    return materialise(posts.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").select("token", "node", "n", "pos", "m"))
+    m = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    return materialise(posts.join(m, "token").select("token", "node", "n", "pos", "m"))
+
+
+def moved(nodes: DataFrame, before: Levels, after: Levels) -> DataFrame:
+    """node: those with a shingle in their prefix whose level has changed."""
+    import pyarrow as pa
 
+    both = nodes.sparkSession.sparkContext.broadcast((before, after))
 
-def extended(frequent, groups: DataFrame, options: JoinOptions):
-    """The summary with the shingles of large groups, and those alone (None if there are none). A shingle that is in it
-    keeps its place in the order, so sets without new shingles in their prefixes keep their prefixes."""
-    token, count = frequent
-    rows = groups.where(F.col("m") > options.frequent_least).groupBy("token").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "token").limit(2 * options.frequent).toArrow()
-    found, m = rows.column("token").to_numpy().view(np.uint64), rows.column("m").to_numpy()
-    on = np.flatnonzero(~np.isin(found, token))[: options.frequent]
-    if not len(on):
-        return frequent, None
-    new = rows.select(["token"]).take(on)
-    token, count = np.concatenate([token, found[on]]), np.concatenate([count, m[on]])
-    order = np.argsort(token)
-    return (token[order], count[order]), groups.sparkSession.createDataFrame(new)
+    def run(batches):
+        old, new = both.value
+        for batch in batches:
+            heads = batch.column(1)
+            h = heads.flatten().to_numpy().view(np.uint64)
+            at = np.r_[0, np.cumsum(heads.value_lengths().to_numpy())]
+            changed = np.r_[0, np.cumsum(old.of(h) != new.of(h))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(changed[at[1:]] > changed[at[:-1]]))], names=["node"])
 
+    return nodes.select("node", "prefix").mapInArrow(run, T.StructType().add("node", T.LongType()))
 
-def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows (with node) and comp: the component by edges, the node itself where it has none."""
-    return rows.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+def labelled(rows: DataFrame, comps: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
+    """rows with the component of a node: itself where it has none."""
+    return rows.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def hub_pairs(groups: DataFrame, comps: DataFrame | None, salt: int, options: JoinOptions) -> DataFrame:
+    """node, hub: for each node the hub that most of its groups name, if it is in another component. The hub of a group,
+    within a class of sizes, is the node of the least salted name; names are random, so the groups of copies agree."""
+    near = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / options.percent)).cast("int").alias("near")
+    placed = groups.select("token", near, "node", F.col("node").bitwiseXOR(F.lit(salt)).alias("name"))
+    hub = placed.groupBy("token", "near").agg(F.min("name").alias("least"))
+    votes = placed.join(hub, ["token", "near"]).where("name <> least").groupBy("node", "least").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("node").agg(F.max("votes").alias("votes")).join(votes, ["node", "votes"]).groupBy("node").agg(F.min("least").alias("least"))
+    pairs = best.select("node", F.col("least").bitwiseXOR(F.lit(salt)).alias("hub"))
+    if comps is not None:
+        pairs = labelled(labelled(pairs, comps), comps, "hub", "hub_comp").where("comp <> hub_comp").select("node", "hub")
+    return materialise(pairs)
 
 
 def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
@@ -349,63 +416,74 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
     component and links with nothing. Rows that repeat a doc_id are judged each by its own text. Extra
     columns are ignored; an empty table gives an empty one.
     """
+    return document_classes(docs, options).select("doc_id", "n_shingles", "component_id")
+
+
+def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """near_duplicates with text_id (xxhash64 of the text) and ``first``: whether the row is the one of its component to
+    keep, the one of least doc_id, or links with nothing. Rows that repeat it are first as well."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = frequent_shingles(docs, options)
-    sig = materialise(signatures(docs, frequent, options))
+    common = materialise(shared_shingles(docs, options).where(F.col("c") >= options.frequent_least))
+    levels = Levels(options).joined(common)
+    sig = materialise(signatures(docs, levels, options))
+    release(common)
     able = sig.where("n > 0 and doc_id is not null")
-    nodes = materialise(able.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("s")).select("f1", "f2", "n", F.col("s.doc_id").alias("node"), "s.prefix", "s.bits"))
+    nodes = materialise(able.groupBy("node", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("s")).select("node", "n", F.col("s.doc_id").alias("home"), "s.prefix", "s.bits"))
+    slim = materialise(sig.select("doc_id", "n", "node", "text_id"))
+    release(sig)
     groups = prefix_groups(nodes)
     for _ in range(options.order_rounds):
-        frequent, new = extended(frequent, groups, options)
-        if new is None:
+        after = levels.joined(groups.select("token", F.col("m").alias("c")).distinct())
+        affected = materialise(moved(nodes, levels, after).join(nodes.select("node", "home"), "node"))
+        n_affected = affected.count()
+        if not n_affected:
+            release(affected)
             break
-        affected = materialise(groups.join(F.broadcast(new), "token", "left_semi").select("node").distinct())
-        texts = docs.join(F.broadcast(affected) if affected.count() <= BROADCAST_ROWS else affected, docs["doc_id"] == affected["node"], "left_semi")
-        again = signatures(texts, frequent, options).select(F.col("doc_id").alias("node"), "f1", "f2", F.col("prefix").alias("ordered"))
-        nodes = materialise(nodes.join(again, ["node", "f1", "f2"], "left").withColumn("prefix", F.coalesce("ordered", "prefix")).drop("ordered"))
+        levels = after
+        wanted = affected.select("home").distinct()
+        texts = docs.join(F.broadcast(wanted) if n_affected <= BROADCAST_ROWS else wanted, docs["doc_id"] == wanted["home"], "left_semi")
+        again = signatures(texts, levels, options, bits=False).select("node", F.col("prefix").alias("ordered")).dropDuplicates(["node"])
+        new = materialise(nodes.join(again, "node", "left").withColumn("prefix", F.coalesce("ordered", "prefix")).drop("ordered"))
+        release(affected, groups, nodes)
+        nodes = new
         groups = prefix_groups(nodes)
 
-    # Hubs: in each group, by classes of size, every node with the first one; then once more among what is still apart.
-    near = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / options.percent)).cast("int").alias("near")
-    edges = None
-    current = groups.withColumn("comp", F.col("node"))
+    edges, comps = None, None
     for i in range(options.hub_rounds):
-        placed = current.select("token", near, "node", "comp")
-        hub = F.min(F.struct(F.xxhash64(F.lit(i), "token", "node").alias("h"), "node", "comp")).over(Window.partitionBy("token", "near"))
-        star = placed.withColumn("hub", hub).where("comp <> hub.comp").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        new = verified(star, nodes, docs, options)
+        pairs = hub_pairs(groups, comps, int(mix64(np.array([i + 1], np.uint64)).view(np.int64)[0]), options)
+        new = linked(pairs, nodes, docs, options)
         edges = new if edges is None else edges.unionByName(new)
-        current = materialise(labelled(groups, edges))
+        comps = components(edges)
+        release(pairs)
+    current = labelled(groups, comps) if comps is not None else groups.withColumn("comp", F.col("node"))
 
     # Signature trees, in groups that still hold several components: all nodes against those outside the largest.
-    per = current.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top")).where("m > top.k")
+    apart = current.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    current = materialise(current.join(apart, "token", "left_semi"))
+    release(groups)
+    per = current.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top"))
     apart = current.join(per.select("token", F.col("top.comp").alias("major"), F.ceil(F.col("m") / options.block).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.k")) / options.block).cast("int").alias("q_blocks")), "token")
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     base = ["token", "node", "n", "pos", "comp"]
     left = apart.select(*base, F.lit(0).alias("role"), block(F.col("blocks")).alias("i"), every(F.col("q_blocks")).alias("j"))
     right = apart.where("comp <> major").select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), block(F.col("q_blocks")).alias("j"))
-    units = left.unionByName(right).join(tree_bits(nodes), "node")
+    units = left.unionByName(right).join(nodes.select("node", "bits"), "node")
     found = tree_join(units.select("token", "i", "j", "role", "node", "n", "pos", "comp", "bits"), options)
-    edges = edges.unionByName(verified(found, nodes, docs, options))
-
-    comp = labelled(nodes.select("node", "f1", "f2", "n"), edges).select("f1", "f2", "n", "comp")
-    joined = sig.select("doc_id", "n", "f1", "f2").join(comp, ["f1", "f2", "n"], "left")
-    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("comp")), "doc_id").alias("component_id"))
-    return out
-
-
-def tree_bits(nodes: DataFrame) -> DataFrame:
-    """node, bits: signatures of TREE_BITS, folded from the wide ones."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            out = [fold(np.frombuffer(x, np.uint8), TREE_BITS // 8).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "bits"])
-
-    schema = T.StructType().add("node", T.LongType()).add("bits", T.BinaryType())
-    return nodes.select("node", "bits").mapInArrow(run, schema)
+    found = materialise(found.distinct().select(F.col("a").alias("hub"), F.col("b").alias("node")))
+    last = linked(found, nodes, docs, options)
+    release(current, found)
+    comps = components(edges.unionByName(last) if edges is not None else last)
+
+    # Components are named by sets; their ids are the least documents.
+    placed = materialise(labelled(nodes.select("node", "home"), comps))
+    release(nodes)
+    ids = placed.groupBy("comp").agg(F.min(F.struct("home", "node")).alias("least"))
+    whole = slim.join(placed.join(ids, "comp").select("node", F.col("least.home").alias("id"), F.col("least.node").alias("id_node")), "node", "left")
+    own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    first = ~own | ((F.col("node") == F.col("id_node")) & (F.col("doc_id") == F.col("id")))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("doc_id")).alias("component_id"), "text_id", first.alias("first"))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordIds, crc_bucket, materialise, mix64, table, texts_as_bytes
+from .common import crc_bucket, materialise, mix64, table, texts_as_bytes
 
 END = b" "  # no word holds a space
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -30,6 +30,25 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 BITS = 1 << 26
 
 
+class WordIds(dict):
+    """64-bit word hashes, remembered up to a bound."""
+
+    def __init__(self, bound: int = 400_000):
+        super().__init__()
+        self.bound = bound
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.bound:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 @dataclass(frozen=True)
 class TreeOptions:
     """A context needs least_count occurrences and, where given, a share of least_context of all tokens."""

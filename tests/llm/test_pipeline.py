@@ -49,3 +49,13 @@ def test_one_of_each_group_stays(spark, sf_dir):
     out = corpus_pipeline.near_duplicate(spark, df, sf_dir)
     assert out.columns == df.columns
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 2, 7, 9]
+
+
+def test_other_texts_of_an_id_stay(spark, sf_dir):
+    """An id that repeats with another text: the copy goes, the other text stays."""
+    w, o = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(1, w), (5, w), (5, o), (6, o + " more"), (7, w), (7, "short text"), (7, "short text"), (None, w), (None, w)]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicate(spark, df, sf_dir).collect())
+    assert out == sorted([(0, w), (1, w), (5, o), (7, "short text")])
+    assert corpus_pipeline.near_duplicate(spark, df.limit(0), sf_dir).count() == 0
