@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixflow.llm.common import materialise, table
 from helixflow.llm.decontaminate import drop_leaks
-from helixflow.llm.jaccard_join import JoinOptions, near_duplicates
+from helixflow.llm.jaccard_join import JoinOptions, document_classes
 from helixflow.llm.language_id import identify, train_language
 from helixflow.llm.mixing import PRODUCTION, mix_sources
 from helixflow.llm.quality import quality_rules, train_quality
@@ -32,9 +32,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component (five-word shingles, similarity 0.8): the one of least doc_id. Of rows that repeat
-    both doc_id and text one stays; rows without doc_id, which can't be linked, stay as well."""
-    parts = near_duplicates(docs, JoinOptions(words=5, percent=80)).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(parts, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    both doc_id and text one stays; rows without doc_id, which can't be linked, stay as well, and so do other texts of an id
+    that repeats."""
+    found = materialise(document_classes(docs, JoinOptions(words=5, percent=80)).select("doc_id", "text_id", "first"))
+    key = ["doc_id", "text_id"]
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_id"))
+    kept = named.join(found.where("not first").select(*key).distinct(), key, "left_anti")
+    again = materialise(found.where("first").groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").select(*key))
+    if not again.isEmpty():
+        twice = lambda how: kept.join(again, [kept[k].eqNullSafe(again[k]) for k in key], how)
+        kept = twice("left_anti").unionByName(twice("left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
