@@ -1,73 +1,60 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The root is the smoothed unigram distribution of all training tokens. Below it are contexts of one to ``depth`` words
-that occur ``least_count`` times or more, with the counts of every word that follows them. A context is retained if its
-next words diverge from its parent's by ``least_gain`` bits, or if a longer retained context ends in it. A token is
-scored in the state of its longest retained context: discounted counts, the mass left over from the parent.
+The root is the smoothed unigram distribution of all training tokens. Words that occur ``least_count`` times or more
+are the tree's alphabet. Its contexts are runs of one to ``depth`` of them that occur ``least_count`` times or more,
+with the counts of the words of the alphabet that follow twice or more. A context gives such a word its discounted
+share, and leaves the rest of its mass to its parent, the context without its oldest word; so what a context says
+differs from its parent's rest by those words alone. A context is retained if its smoothed distribution diverges from
+its parent's by ``least_gain`` bits, or if a longer retained context ends in it. A token is scored in the state of its
+longest retained context.
 
 All counts cover all training documents. The tree grows with the corpus and stays in distributed tables; what documents
 need of it comes back by buckets: each bucket asks once for each of its words, contexts and words after a context. Only
-bitmaps of a fixed size are broadcast. They save questions that can have no answer, and decide nothing else.
+bitmaps of a fixed size are broadcast. They save work that can have no result, and decide nothing else.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, materialise, mix64, table, texts_as_bytes
+from .common import bounded_batches, crc_bucket, materialise, mix64, release, table, word_id, word_pieces
 
-END = b" "  # no word holds a space
 ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-#: Bits of a bitmap of contexts.
-BITS = 1 << 26
-
-
-class WordIds(dict):
-    """64-bit word hashes, remembered up to a bound."""
-
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
+#: Bits of a bitmap.
+BITS = 1 << 27
+#: Tokens that a task counts at once.
+TOKENS = 1_000_000
 
 
 @dataclass(frozen=True)
 class TreeOptions:
-    """A context needs least_count occurrences and, where given, a share of least_context of all tokens."""
-
     depth: int = 3
     least_count: int = 4
-    least_context: float = 0.0
     least_gain: float = 0.02
     discount: float = 0.5
-    bucket_tokens: int = 1_500_000
+    bucket_tokens: int = 2_000_000
 
 
-def tokens_of(text: bytes | None, ids: WordIds) -> np.ndarray:
-    words = (text or b"").lower().split()
-    words.append(END)
-    return ids.of(words)
+def token_pieces(column):
+    """(first row, tokens, offsets) for runs of rows of an Arrow string column: the words of each text, then the end."""
+    for row, words, at in word_pieces(column):
+        ends = at[1:] + np.arange(len(at) - 1)
+        tokens = np.empty(len(words) + len(ends), np.uint64)
+        is_word = np.ones(len(tokens), bool)
+        is_word[ends] = False
+        tokens[is_word] = words
+        tokens[ends] = END
+        yield row, tokens, np.r_[0, ends + 1]
 
 
 def pair_code(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The code of a context and the word after it, which is also that of the context longer by this word."""
     return mix64(symbol ^ ((state.astype(np.uint64) + np.uint64(1)) * ODD))
 
 
@@ -84,7 +71,7 @@ class Bitmap:
     """A set of codes that may hold more than were put in, never fewer."""
 
     def __init__(self, codes: DataFrame):
-        """codes: one column, code."""
+        """codes: one column, code. BITS / 64 cells at most reach the driver."""
         rows = codes.selectExpr(f"shiftright(code & {BITS - 1}, 6) as cell", "shiftleft(1L, cast(code & 63 as int)) as bit")
         found = rows.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
         self.cells = np.zeros(BITS >> 6, np.uint64)
@@ -98,174 +85,193 @@ class Bitmap:
         return (self.cells[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def context_codes(tokens: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each length, the code of the context that ends at each token; those that would start before it are wrong."""
-    out = [mix64(tokens ^ ODD)]
-    for d in range(2, depth + 1):
-        oldest = np.concatenate([tokens[:1].repeat(min(d - 1, len(tokens))), tokens[: max(len(tokens) - d + 1, 0)]])
-        out.append(pair_code(oldest, out[-1]))
-    return out
+def state_codes(tokens: np.ndarray, place: np.ndarray, depth: int):
+    """(level, positions, codes) of the contexts of each length that a token of the same text follows. place: of each
+    token in its text. A context of one word has the word's own hash for its code, as if it followed nothing."""
+    code = tokens
+    for level in range(1, depth + 1):
+        if level > 1:
+            code = np.r_[np.uint64(0), pair_code(code[:-1], tokens[1:])]
+        at = np.flatnonzero((place[:-1] >= level - 1) & (place[1:] > 0))
+        yield level, at, code[at]
 
 
-def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of some texts, and the place of each in its text."""
-    sizes = np.array([len(t) for t in texts])
-    starts = np.cumsum(sizes) - sizes
-    return np.concatenate(texts), np.arange(sizes.sum()) - np.repeat(starts, sizes)
-
-
-def before_next(place: np.ndarray, level: int) -> np.ndarray:
-    """Where a context of this length ends that a token of the same text follows."""
-    return np.flatnonzero((place[:-1] >= level - 1) & (place[1:] > 0))
+def places(at: np.ndarray) -> np.ndarray:
+    return np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """key, c over all documents' tokens; sums are made in each batch before the shuffle."""
+    """key, c over all documents' tokens; a task sums over many documents before the shuffle."""
     import pyarrow as pa
 
+    def summed(parts):
+        key, c = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], names=["key", "c"])
+
     def run(batches):
-        ids = WordIds()
+        parts, size = [], 0
         for batch in batches:
-            found = [tokens_of(t, ids) for t in texts_as_bytes(batch.column(0))]
-            if found:
-                key, c = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], names=["key", "c"])
+            for _, tokens, _ in token_pieces(batch.column(0)):
+                parts.append(tokens)
+                size += len(tokens)
+                if size >= 4 * TOKENS:
+                    yield summed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield summed(parts)
 
     schema = T.StructType().add("key", T.LongType()).add("c", T.LongType())
     return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def count_next(docs: DataFrame, level: int, shorter) -> DataFrame:
-    """context, suffix, key, c, by context: how often a symbol follows each context of a level whose first and last
-    level - 1 words are in the bitmap ``shorter`` (a broadcast; on level 1, of the words themselves)."""
+def count_next(docs: DataFrame, level: int, words, contexts) -> DataFrame:
+    """context, key, c: how often a word of the bitmap ``words`` follows a context of this level in the bitmap
+    ``contexts`` (both broadcasts)."""
+    import pyarrow as pa
+
+    def summed(parts):
+        context, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((key, context))
+        context, key = context[order], key[order]
+        first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (key[1:] != key[:-1])])
+        c = np.diff(np.r_[first, len(key)])
+        return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(c)], names=["context", "key", "c"])
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for _, tokens, at in token_pieces(batch.column(0)):
+                *_, (_, where, code) = state_codes(tokens, places(at), level)
+                following = tokens[where + 1]
+                on = contexts.value.has(code)
+                on[on] = words.value.has(following[on])
+                if on.any():
+                    parts.append((code[on], following[on]))
+                    size += int(on.sum())
+                if size >= TOKENS:
+                    yield summed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield summed(parts)
+
+    schema = T.StructType().add("context", T.LongType()).add("key", T.LongType()).add("c", T.LongType())
+    return docs.select("text").mapInArrow(run, schema).groupBy("context", "key").agg(F.sum("c").alias("c")).where("c >= 2")
+
+
+def paired(rows: DataFrame, state: str, symbol: str, name: str) -> DataFrame:
+    """rows with the pair_code of two of their columns."""
     import pyarrow as pa
 
     def run(batches):
-        ids = WordIds()
         for batch in batches:
-            found = [tokens_of(t, ids) for t in texts_as_bytes(batch.column(0))]
-            if not found:
-                continue
-            tokens, place = joined(found)
-            codes = context_codes(tokens, level)
-            at = before_next(place, level)
-            if level == 1:
-                at = at[shorter.value.has(tokens[at])]
-            else:
-                at = at[shorter.value.has(codes[-2][at])]
-                at = at[shorter.value.has(codes[-2][at - 1])]
-            context, symbol = codes[-1][at], tokens[at + 1]
-            _, first, c = np.unique(pair_code(context, symbol), return_index=True, return_counts=True)
-            suffix = codes[-2][at] if level > 1 else np.zeros(len(at), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (context, suffix, symbol)] + [pa.array(c)], names=["context", "suffix", "key", "c"])
-
-    schema = T.StructType()
-    for name in ("context", "suffix", "key", "c"):
-        schema = schema.add(name, T.LongType())
-    # Dealt by context once, for this sum and those over all next words of a context.
-    return docs.select("text").mapInArrow(run, schema).repartition("context").groupBy("context", "suffix", "key").agg(F.sum("c").alias("c"))
+            a, b = (batch.column(batch.schema.get_field_index(k)).to_numpy().view(np.uint64) for k in (state, symbol))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair_code(a, b).view(np.int64))], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
 
 
 class SuffixTree:
-    """contexts: for each level, a table context, rest (the left-over mass), retained. facts: code, value of what
-    scoring may ask: a word's count, a retained context's rest, the discounted share of a word after one."""
+    """contexts: for each level, a table context, suffix, n (occurrences), rest (the left-over mass, in ``unit``s of an
+    occurrence), retained. nexts: for each level, a table context, key, c. facts: code, value of what scoring may ask: a word's
+    count; of a retained context n and rest, each under a code of its own; the count of a word after one."""
 
-    def __init__(self, options: TreeOptions, total: int, vocabulary: int, contexts: list[DataFrame], facts: DataFrame, asked: Bitmap):
+    def __init__(self, options: TreeOptions, total: int, vocabulary: int, contexts: list[DataFrame], nexts: list[DataFrame], facts: DataFrame, asked: Bitmap):
         self.options, self.total, self.vocabulary = options, total, vocabulary
-        self.contexts, self.facts, self.asked = contexts, facts, asked
+        self.contexts, self.nexts, self.facts, self.asked = contexts, nexts, facts, asked
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.total + self.vocabulary + 1)
 
-    # Views for small trees.
 
-    @cached_property
-    def rows(self) -> list:
-        return [x.select("context", "rest", "retained").orderBy("context").collect() for x in self.contexts]
+#: Rests are whole numbers of 1 / UNIT occurrences, so that they shuffle as small longs.
+UNIT = 1 << 10
+KINDS = {"n": np.uint64(0x2545F4914F6CDD1D), "rest": np.uint64(0x9FB21C651E98DF25), "pair": np.uint64(0xD1B54A32D192ED03)}
 
-    @property
-    def retained(self) -> list[np.ndarray]:
-        return [np.array([r["retained"] for r in x], bool) for x in self.rows]
 
-    @property
-    def rest(self) -> list[np.ndarray]:
-        return [np.array([r["rest"] for r in x], float) for x in self.rows]
+def fact_code(kind: str, code: np.ndarray) -> np.ndarray:
+    return mix64(code ^ KINDS[kind])
 
-    @cached_property
-    def answers(self) -> tuple[np.ndarray, np.ndarray]:
-        return sorted_facts(self.facts.toArrow())
 
-    def score(self, tokens: np.ndarray, counts: np.ndarray) -> float:
-        return float(np.log10(in_states(tokens, np.arange(len(tokens)), self.root(counts), *self.answers, self.options.depth, self.asked)).sum())
+def as_facts(rows: DataFrame, kind: str) -> DataFrame:
+    """code, value from rows (code, value) of one kind."""
+    import pyarrow as pa
 
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(fact_code(kind, batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), batch.column(1)], names=["code", "value"])
 
-def sorted_facts(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Codes in order, each once, and their values."""
-    code, first = np.unique(rows.column("code").to_numpy().view(np.uint64), return_index=True)
-    return code, rows.column("value").to_numpy()[first]
+    return rows.mapInArrow(run, T.StructType().add("code", T.LongType()).add("value", T.LongType()))
 
 
-def in_states(tokens, place, p, code, value, depth: int, asked: Bitmap) -> np.ndarray:
+def in_states(tokens, place, p, code, value, options: TreeOptions, asked: Bitmap) -> np.ndarray:
     """Probabilities in the longest retained contexts, from those in the root: one step down for each length."""
     p = p.copy()
-    for level, context in enumerate(context_codes(tokens, depth), 1):
-        at = before_next(place, level)
-        at = at[asked.has(context[at])]
-        state = lookup(code, context[at])
-        at, state = at[state >= 0], state[state >= 0]
+    for _, at, context in state_codes(tokens, place, options.depth):
+        rest = lookup(code, fact_code("rest", context))
+        on = rest >= 0
+        at, context, rest = at[on], context[on], rest[on]
         if len(at):
-            found = lookup(code, pair_code(context[at], tokens[at + 1]))
-            p[at + 1] = np.where(found >= 0, value[found], 0.0) + value[state] * p[at + 1]
+            n = value[lookup(code, fact_code("n", context))]
+            found = lookup(code, fact_code("pair", pair_code(context, tokens[at + 1])))
+            p[at + 1] = (np.where(found >= 0, value[found] - options.discount, 0.0) + value[rest] / UNIT * p[at + 1]) / n
     return p
 
 
 def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> SuffixTree:
     """docs: training documents; counts: key, c of their words."""
-    import pyarrow as pa
-
     spark = docs.sparkSession
+    bounded_batches(spark)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
-    least = max(float(options.least_count), options.least_context * total)
+    end = int(END.view(np.int64))
+    alphabet = counts.where(F.col("c") >= options.least_count)
+    words = Bitmap(alphabet.select(F.col("key").alias("code")))
+    symbols = spark.sparkContext.broadcast(words)
+    # Contexts: n is how often one occurs; the end token is a next word, but no context.
+    contexts = alphabet.where(F.col("key") != end).select(F.col("key").alias("context"), F.lit(0).cast("long").alias("suffix"), F.col("c").alias("n"))
+    # The parent's probability of each next word that a context can have.
     q = counts.select(F.lit(0).cast("long").alias("suffix"), "key", ((F.col("c") + 1) / F.lit(float(total + vocabulary + 1))).alias("q"))
-    nexts: list[DataFrame] = []
-    levels: list[DataFrame] = []
-    shorter = spark.sparkContext.broadcast(Bitmap(counts.where(F.col("c") >= least).select(F.col("key").alias("code"))))
-    by = Window.partitionBy("context")
-    c, of, kinds = F.col("c"), F.col("of"), F.col("kinds")
-    mass, rest, share = (c - options.discount) / of, options.discount * kinds / of, c / of
+    levels, nexts = [], []
+    here = symbols
     for level in range(1, options.depth + 1):
-        rows = count_next(docs, level, shorter).withColumns({"of": F.sum("c").over(by), "kinds": F.count("*").over(by)}).where(of >= least)
-        # The parent's probability of each next word: all that follow a context follow its parent too.
-        rows = materialise(rows.join(q, ["suffix", "key"]))
-        gain = F.sum(share * F.log2(share / F.col("q")))
-        contexts = materialise(rows.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first(rest).alias("rest"), (F.round(gain, 9) >= options.least_gain).alias("own")))
-        here = Bitmap(contexts.select(F.col("context").alias("code")))
-        if not here.any():
-            break
-        nexts.append(rows), levels.append(contexts)
-        shorter = spark.sparkContext.broadcast(here)
-        q = rows.select(F.col("context").alias("suffix"), "key", (mass + rest * F.col("q")).alias("q"))
+        if level > 1:
+            here = spark.sparkContext.broadcast(Bitmap(contexts.select(F.col("context").alias("code"))))
+            if not here.value.any():
+                break
+        # Bitmaps may let other contexts through; the join doesn't.
+        rows = count_next(docs, level, symbols, here).join(contexts, "context").join(q, ["suffix", "key"])
+        rows = materialise(rows.select("context", "suffix", "key", "c", "n", "q"))
+        sizes = rows.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("n").alias("n"), (F.first("n") - F.sum("c") + options.discount * F.count("*")).alias("left"), F.sum("q").alias("sum_q"))
+        sizes = sizes.withColumn("rest", F.round(F.col("left") * UNIT).cast("long"))
+        share = F.col("rest") / F.lit(float(UNIT)) / F.col("n")
+        p = (F.col("c") - options.discount) / F.col("n") + share * F.col("q")
+        with_p = rows.join(sizes.select("context", "rest"), "context").withColumn("p", p)
+        gain = with_p.groupBy("context").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).alias("gain"))
+        own = F.col("gain") + F.when(share > 0, F.greatest(1 - F.col("sum_q"), F.lit(0.0)) * share * F.log2(share)).otherwise(0.0)
+        known = materialise(sizes.join(gain, "context").select("context", "suffix", "n", "rest", (F.round(own, 9) >= options.least_gain).alias("own")))
+        levels.append(known), nexts.append(rows)
+        if level < options.depth:
+            q = with_p.select(F.col("context").alias("suffix"), "key", F.col("p").alias("q"))
+            longer = rows.where((F.col("c") >= options.least_count) & (F.col("key") != end)).select("context", "suffix", "key", F.col("c").alias("n"))
+            longer = paired(longer, "context", "key", "longer")
+            # The suffix of a context of two words is its last word alone.
+            longer = longer.withColumn("shorter", F.col("key")) if level == 1 else paired(longer, "suffix", "key", "shorter")
+            contexts = materialise(longer.select(F.col("longer").alias("context"), F.col("shorter").alias("suffix"), "n"))
     for i in range(len(levels) - 1, -1, -1):
         held = levels[i].withColumn("retained", F.col("own"))
         if i + 1 < len(levels):
             ends = levels[i + 1].where("retained").select(F.col("suffix").alias("context")).distinct().withColumn("end", F.lit(True))
             held = levels[i].join(ends, "context", "left").withColumn("retained", F.col("own") | F.coalesce("end", F.lit(False))).drop("end")
         levels[i] = materialise(held)
-
-    def coded(batches):
-        for batch in batches:
-            context, key = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_code(context, key).view(np.int64)), batch.column(2)], names=["code", "value"])
-
-    facts = counts.select(F.col("key").alias("code"), F.col("c").cast("double").alias("value"))
-    kept = counts.select(F.col("key").alias("code")).limit(0)
-    for rows, contexts in zip(nexts, levels, strict=True):
-        mine = contexts.where("retained")
-        after = rows.join(mine.select("context"), "context", "left_semi").select("context", "key", mass.alias("mass"))
-        facts = facts.unionByName(mine.select(F.col("context").alias("code"), F.col("rest").alias("value"))).unionByName(after.mapInArrow(coded, facts.schema))
-        kept = kept.unionByName(mine.select(F.col("context").alias("code")))
-    return SuffixTree(options, total, vocabulary, levels, facts, Bitmap(kept))
+    facts = counts.select(F.col("key").alias("code"), F.col("c").alias("value"))
+    for rows, known in zip(nexts, levels, strict=True):
+        mine = known.where("retained")
+        after = rows.join(mine.select("context"), "context", "left_semi").select("context", "key", "c")
+        pairs = paired(after, "context", "key", "code").select("code", F.col("c").alias("value"))
+        for kind, part in (("n", mine.select(F.col("context").alias("code"), F.col("n").alias("value"))), ("rest", mine.select(F.col("context").alias("code"), F.col("rest").alias("value"))), ("pair", pairs)):
+            facts = facts.unionByName(as_facts(part, kind))
+    facts = materialise(facts)
+    return SuffixTree(options, total, vocabulary, levels, nexts, facts, Bitmap(facts.select("code")))
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFrame:
@@ -277,28 +283,50 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
     import pyarrow as pa
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     options, total, vocabulary = tree.options, tree.total, tree.vocabulary
     n_buckets = max(1, -(-total // options.bucket_tokens))
     dealt = docs.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_buckets)).cast("int").alias("bucket")).repartition(n_buckets, "bucket")
     asked = spark.sparkContext.broadcast(tree.asked)
 
+    def wanted(parts):
+        tokens = np.concatenate([t for t, _ in parts])
+        place = np.concatenate([places(at) for _, at in parts])
+        codes = [np.unique(tokens)]
+        for _, at, context in state_codes(tokens, place, options.depth):
+            on = asked.value.has(fact_code("rest", context))
+            at, context = at[on], context[on]
+            one = np.unique(context)
+            codes += [fact_code("rest", one), fact_code("n", one), np.unique(fact_code("pair", pair_code(context, tokens[at + 1])))]
+        code = np.concatenate(codes)
+        return code[asked.value.has(code)]
+
     def ask(batches):
-        ids = WordIds()
-        for batch in batches:
-            by: dict[int, list] = {}
-            for b, t in zip(batch.column(3).to_pylist(), texts_as_bytes(batch.column(2)), strict=True):
-                by.setdefault(b, []).append(tokens_of(t, ids))
-            for b, found in by.items():
-                tokens, place = joined(found)
-                codes = [np.unique(tokens)]
-                for level, context in enumerate(context_codes(tokens, options.depth), 1):
-                    at = before_next(place, level)
-                    at = at[asked.value.has(context[at])]
-                    codes += [np.unique(context[at]), np.unique(pair_code(context[at], tokens[at + 1]))]
-                code = np.concatenate(codes)
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush():
+            for b, parts in held.items():
+                code = wanted(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), b, np.int32)), pa.array(code.view(np.int64))], names=["bucket", "code"])
+            held.clear()
 
-    questions = dealt.mapInArrow(ask, T.StructType().add("bucket", T.IntegerType()).add("code", T.LongType()))
+        for batch in batches:
+            bucket = batch.column(1).to_numpy()
+            for row, tokens, at in token_pieces(batch.column(0)):
+                mine = bucket[row : row + len(at) - 1]
+                if mine[0] == mine[-1] and (mine == mine[0]).all():
+                    held.setdefault(int(mine[0]), []).append((tokens, at))
+                else:
+                    for k, b in enumerate(mine):
+                        held.setdefault(int(b), []).append((tokens[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]])))
+                size += len(tokens)
+                if size >= 2 * TOKENS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    questions = dealt.select("text", "bucket").mapInArrow(ask, T.StructType().add("bucket", T.IntegerType()).add("code", T.LongType()))
     known = questions.join(tree.facts, "code").select("bucket", "code", "value")
     out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("held_out", T.BooleanType())
     for name in ("n_tokens", "n_known", "train_tokens"):
@@ -306,38 +334,34 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
     out = out.add("base_score", T.DoubleType()).add("score", T.DoubleType())
 
     def run(rows, answers):
-        ids = WordIds()
-        # Batches that asked for the same code got it more than once.
-        code, value = sorted_facts(answers)
+        # A bucket that asked for a code in several parts got it as often.
+        code, first = np.unique(answers.column("code").to_numpy().view(np.uint64), return_index=True)
+        value = answers.column("value").to_numpy()[first]
         n, seen, base, score = [], [], [], []
-
-        def add(found):
-            tokens, place = joined(found)
-            starts = np.flatnonzero(place == 0)
-            at = lookup(code, tokens)
-            c = np.where(at >= 0, value[at], 0.0) if len(code) else np.zeros(len(tokens))
-            p = (c + 1) / (total + vocabulary + 1)
-            n.extend(len(x) for x in found), seen.extend(np.add.reduceat((c > 0).astype(np.int64), starts).tolist())
-            base.extend(np.add.reduceat(np.log10(p), starts).tolist())
-            score.extend(np.add.reduceat(np.log10(in_states(tokens, place, p, code, value, options.depth, asked.value)), starts).tolist())
-
-        part, size = [], 0
-        for t in rows.column("text").cast(pa.large_binary()):
-            part.append(tokens_of(t.as_py(), ids))
-            size += len(part[-1])
-            if size >= 100_000:
-                add(part)
-                part, size = [], 0
-        if part:
-            add(part)
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array([total] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        for chunk in rows.column("text").chunks:
+            for _, tokens, starts in token_pieces(chunk):
+                at = lookup(code, tokens)
+                c = np.where(at >= 0, value[at], 0) if len(code) else np.zeros(len(tokens), np.int64)
+                p = (c + 1) / (total + vocabulary + 1)
+                n.append(np.diff(starts)), seen.append(np.add.reduceat((c > 0).astype(np.int64), starts[:-1]))
+                base.append(np.add.reduceat(np.log10(p), starts[:-1]))
+                score.append(np.add.reduceat(np.log10(in_states(tokens, places(starts), p, code, value, options, asked.value)), starts[:-1]))
+        put = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        n = put(n, np.int64)
+        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": n, "n_known": put(seen, np.int64), "train_tokens": np.full(len(n), total, np.int64), "base_score": put(base, float), "score": put(score, float)})
 
     return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, out)
 
 
 def op2_suffix_lm(spark, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     options = TreeOptions()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_bucket(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"))
     training = docs.where(~F.col("held_out"))
     counts = materialise(count_words(training))
-    return score_texts(docs, counts, grow_tree(training, counts, options))
+    tree = grow_tree(training, counts, options)
+    release(counts, *tree.nexts)
+    return score_texts(docs, counts, tree)
+
+
+__all__ = ["TreeOptions", "SuffixTree", "count_words", "grow_tree", "score_texts", "op2_suffix_lm", "word_id"]

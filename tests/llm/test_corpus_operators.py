@@ -90,6 +90,49 @@ def test_suffix_lm_base_and_held_out(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def brute_tree(texts, depth=3, least=4, gain=0.02, discount=0.5):
+    """p(context, word), kept contexts and word counts, by the definition in plain Python. texts: lists of tokens."""
+    counts = collections.Counter(w for t in texts for w in t)
+    n, v = sum(counts.values()), len(counts)
+    seen, after = collections.Counter(), collections.defaultdict(collections.Counter)
+    alphabet = {w for w, c in counts.items() if c >= least}
+    for t in texts:
+        for i in range(1, len(t)):
+            for d in range(1, min(depth, i) + 1):
+                seen[tuple(t[i - d : i])] += 1
+                after[tuple(t[i - d : i])][t[i]] += 1
+    nexts = {k: {w: c for w, c in after[k].items() if c >= 2 and w in alphabet} for k, c in seen.items() if c >= least and set(k) <= alphabet}
+    nexts = {k: x for k, x in nexts.items() if x}
+
+    def rest(k):
+        return (seen[k] - sum(nexts[k].values()) + discount * len(nexts[k])) / seen[k]
+
+    def p(context, w, kept):
+        q = p(context[1:], w, kept) if context else (counts[w] + 1) / (n + v + 1)
+        if not context or context not in kept:
+            return q
+        c = nexts[context].get(w, 0)
+        return (max(c - discount, 0) if c else 0) / seen[context] + rest(context) * q
+
+    def own(k):
+        q = {w: p(k[1:], w, nexts) for w in nexts[k]}
+        here = {w: p(k, w, nexts) for w in nexts[k]}
+        r = rest(k)
+        return sum(here[w] * math.log2(here[w] / q[w]) for w in q) + (1 - sum(q.values())) * r * math.log2(r)
+
+    kept = {k for k in nexts if own(k) >= gain}
+    kept |= {k[i:] for k in kept for i in range(1, len(k))}
+    return p, kept, counts
+
+
+def score_all(spark, texts, options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    words = suffix_lm.count_words(df)
+    tree = suffix_lm.grow_tree(df, words, options)
+    n = sum(x.where("retained").count() for x in tree.contexts)
+    return n, suffix_lm.score_texts(df, words, tree).collect(), tree
+
+
 def test_suffix_tree_is_a_distribution(spark):
     rng = np.random.default_rng(5)
     words = ["a", "b", "c", "d"]
@@ -99,23 +142,15 @@ def test_suffix_tree_is_a_distribution(spark):
         for _ in range(30):
             w.append(str(rng.choice(words, p={"a": [0.1, 0.7, 0.1, 0.1], "b": [0.7, 0.1, 0.1, 0.1], "c": [0.25] * 4, "d": [0.1, 0.1, 0.1, 0.7]}[w[-1]])))
         texts.append(" ".join(w))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False))
-    counts = suffix_lm.count_words(df)
-    tree = suffix_lm.grow_tree(df, counts, suffix_lm.TreeOptions(depth=2, least_context=0.01))
-    assert len(tree.retained) == 2 and tree.retained[0].all()
-    ids = suffix_lm.WordIds()
-    known = {r.key & ((1 << 64) - 1): r.c for r in counts.collect()}
-    for context in (["a"], ["b", "a"], ["d", "d"]):
-        total = tree.rest[0][0] * 0
-        for symbol in [x.encode() for x in words] + [suffix_lm.END, None]:
-            head = [ids[x.encode()] for x in context]
-            last = ids[symbol] if symbol else 12345
-            t = np.array([*head, last], np.uint64)
-            cs = np.array([known.get(int(x), 0) for x in t], float)
-            both = 10 ** tree.score(t, cs)
-            before = 10 ** tree.score(t[:-1], cs[:-1])
-            total += both / before
-        assert total == pytest.approx(1.0, abs=1e-9)
+    rows = [[*t.split(), " "] for t in texts]
+    p, kept, counts = brute_tree(rows, depth=2)
+    n, out, tree = score_all(spark, texts, suffix_lm.TreeOptions(depth=2))
+    assert n == len(kept) > 4 and tree.contexts[0].where("not retained").count() == 4 - sum(len(k) == 1 for k in kept)
+    for context in ((), ("a",), ("b", "a"), ("d", "d")):
+        assert sum(p(context, w, kept) for w in [*counts, "never"]) == pytest.approx(1.0, abs=1e-9)
+    for r in out:
+        w = rows[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 2) : i]), w[i], kept)) for i in range(len(w))), rel=1e-9)
 
 
 def test_suffix_lm_edges(spark):
@@ -133,35 +168,35 @@ def test_suffix_lm_edges(spark):
 def test_suffix_tree_keeps_rare_contexts(spark):
     """Contexts far below any share of all tokens are kept by their count, and scored as by the definition."""
     texts = [f"p{i} q{i} r{(i + j) % 2 * 1000 + i} s{i}" for i in range(700) for j in range(6)] + ["p1 q1 lost", "lost p9 r9", "p2 q3"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False))
-    options = suffix_lm.TreeOptions(bucket_tokens=5000)
     rows = [[*t.split(), " "] for t in texts]
-    counts = collections.Counter(w for r in rows for w in r)
-    n, v = sum(counts.values()), len(counts)
-    after = collections.defaultdict(collections.Counter)
-    for r in rows:
-        for i in range(1, len(r)):
-            for d in range(1, min(3, i) + 1):
-                after[tuple(r[i - d : i])][r[i]] += 1
-    after = {k: c for k, c in after.items() if sum(c.values()) >= 4}
-
-    def p(context, w, kept):
-        q = p(context[1:], w, kept) if context else (counts[w] + 1) / (n + v + 1)
-        if not context or context not in kept:
-            return q
-        of = sum(after[context].values())
-        return max(after[context][w] - 0.5, 0) / of + 0.5 * len(after[context]) / of * q
-
-    kept = {k for k, c in after.items() if sum(x / sum(c.values()) * math.log2(x / sum(c.values()) / p(k[1:], w, after)) for w, x in c.items()) >= 0.02}
-    kept |= {k[i:] for k in kept for i in range(1, len(k))}
-    words = suffix_lm.count_words(df)
-    tree = suffix_lm.grow_tree(df, words, options)
-    assert sum(x.sum() for x in tree.retained) == len(kept) > 1500
-    for r in suffix_lm.score_texts(df, words, tree).collect():
+    p, kept, _ = brute_tree(rows)
+    n, out, _ = score_all(spark, texts, suffix_lm.TreeOptions(bucket_tokens=5000))
+    assert n == len(kept) > 1400
+    for r in out:
         w = rows[r.doc_id]
         assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 3) : i]), w[i], kept)) for i in range(len(w))), rel=1e-9)
 
 
+def test_words_and_hashes(spark):
+    """Words as by the pattern, hashed alike wherever a text is cut."""
+    import re
+
+    import pyarrow as pa
+
+    from helixflow.llm import common
+
+    texts = ["a B  c\n", None, "", " \x0b\x0c\r", "\u00e9\u00c9 \u2028x A", "word " * 50, "z" * 300, "ab" * 100 + " ab\tab", "\x1cq \x85"]
+    for piece in (7, 64, 1 << 20):
+        got = {}
+        for row, w, at in common.word_pieces(pa.array(texts), piece):
+            for k in range(len(at) - 1):
+                got[row + k] = w[at[k] : at[k + 1]].tolist()
+        for i, t in enumerate(texts):
+            words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            low = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words]
+            assert got[i] == [common.word_id(x.encode()) for x in low]
+
+
 def test_fill_gives_siblings_first():
     assert mixing.fill(100, [1, 1, 2], [1000, 1000, 1000]) == [25, 25, 50]
     assert mixing.fill(100, [1, 1, 2], [10, 1000, 1000]) == [10, 30, 60]
