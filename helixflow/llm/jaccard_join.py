@@ -7,7 +7,8 @@
    anew; for all other sets nothing changes.
 3. Links to hubs come first and join most copies of a text into one component: in each round a node is checked against
    the one hub that most of its groups name.
-4. In groups that still hold several components, signature trees are built over blocks of at most ``block`` nodes:
+4. Groups that still hold several components are joined to families, and signature trees built over blocks of about
+   ``block`` nodes of each:
    leaves hold token bitmaps and sizes, inner nodes OR-combined bitmaps and size ranges. A dual traversal drops pairs
    of tree nodes that lie in one component, whose sizes exclude a link, or whose greatest possible overlap is too small.
 5. Pairs that remain are checked by their exact sets: texts go to the task of their partner once for each pair.
@@ -45,7 +46,7 @@ class JoinOptions:
     level_bits: int = 1 << 24  # of the bitmap of a level; a wrong bit moves a shingle back in the order, for all sets alike
     block: int = 512
     order_rounds: int = 1
-    hub_rounds: int = 2
+    hub_rounds: int = 3
     members: int = 2000  # of a hub, in one task
 
     def prefix(self, n):
@@ -243,7 +244,7 @@ def dual_traversal(left: Tree, right: Tree, percent: int):
         on = (100 * a["most"][x] >= percent * b["least"][y]) & (100 * b["most"][y] >= percent * a["least"][x])
         on &= ~((a["c0"][x] == a["c1"][x]) & (b["c0"][y] == b["c1"][y]) & (a["c0"][x] == b["c0"][y]))
         x, y = x[on], y[on]
-        # Sets that meet at their first common shingle share nothing before it.
+        # Sets share nothing before their first common shingle, nor before the first one that the family has.
         need = percent * (a["least"][x] + b["least"][y])
         on = (100 + percent) * np.minimum(a["left"][x], b["left"][y]) >= need
         x, y, need = x[on], y[on], need[on]
@@ -293,11 +294,11 @@ def tree_pairs(rows, options: JoinOptions):
 
 
 def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
-    """a, b: candidate pairs from units (token, i, j, role, node, n, pos, comp, bits), each unit a pair of blocks."""
+    """a, b: candidate pairs from units (family, i, j, role, node, n, pos, comp, bits), each unit a pair of blocks."""
     import pyarrow as pa
 
     def starts(rows):
-        keys = [rows.column(k).to_numpy() for k in ("token", "i", "j")]
+        keys = [rows.column(k).to_numpy() for k in ("family", "i", "j")]
         return np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)]
 
     def run(batches):
@@ -321,7 +322,7 @@ def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     schema = T.StructType().add("a", T.LongType()).add("b", T.LongType())
-    return units.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, schema)
+    return units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, schema)
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, options: JoinOptions) -> DataFrame:
@@ -395,18 +396,27 @@ def labelled(rows: DataFrame, comps: DataFrame, node: str = "node", name: str =
     return rows.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def hub_pairs(groups: DataFrame, comps: DataFrame | None, salt: int, options: JoinOptions) -> DataFrame:
-    """node, hub: for each node the hub that most of its groups name, if it is in another component. The hub of a group,
-    within a class of sizes, is the node of the least salted name; names are random, so the groups of copies agree."""
-    near = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / options.percent)).cast("int").alias("near")
-    placed = groups.select("token", near, "node", F.col("node").bitwiseXOR(F.lit(salt)).alias("name"))
-    hub = placed.groupBy("token", "near").agg(F.min("name").alias("least"))
-    votes = placed.join(hub, ["token", "near"]).where("name <> least").groupBy("node", "least").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.max("votes").alias("votes")).join(votes, ["node", "votes"]).groupBy("node").agg(F.min("least").alias("least"))
-    pairs = best.select("node", F.col("least").bitwiseXOR(F.lit(salt)).alias("hub"))
+def apart(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """groups with comp, where a group holds several components."""
+    rows = labelled(groups.drop("comp"), comps) if comps is not None else groups.withColumn("comp", F.col("node"))
+    several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return materialise(rows.join(several, "token", "left_semi"))
+
+
+def hub_pairs(groups: DataFrame, comps: DataFrame | None, turn: int, options: JoinOptions) -> DataFrame:
+    """node, hub: for each node the hub of another component that most of its groups name. The hub of a group, within a
+    class of sizes, is the node of the least salted name; names are random, so the groups of copies agree. Salts
+    change with each turn, and the borders of the classes move by half a class."""
+    salt = F.lit(int(mix64(np.array([turn + 1], np.uint64)).view(np.int64)[0]))
+    near = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / options.percent) + turn % 2 / 2).cast("int").alias("near")
+    placed = groups.select("token", near, "node", "comp", F.col("node").bitwiseXOR(salt).alias("name"))
+    least = placed.groupBy("token", "near").agg(F.min("name").alias("least"))
+    votes = placed.join(least, ["token", "near"]).where("name <> least").groupBy("node", "comp", "least").agg(F.count("*").alias("votes"))
+    votes = votes.select("node", "comp", "votes", F.col("least").bitwiseXOR(salt).alias("hub"))
     if comps is not None:
-        pairs = labelled(labelled(pairs, comps), comps, "hub", "hub_comp").where("comp <> hub_comp").select("node", "hub")
-    return materialise(pairs)
+        votes = labelled(votes, comps, "hub", "hub_comp").where("comp <> hub_comp")
+    best = votes.groupBy("node").agg(F.max("votes").alias("votes")).join(votes, ["node", "votes"]).groupBy("node").agg(F.min("hub").alias("hub"))
+    return materialise(best)
 
 
 def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
@@ -434,7 +444,8 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
     release(sig)
     groups = prefix_groups(nodes)
     for _ in range(options.order_rounds):
-        after = levels.joined(groups.select("token", F.col("m").alias("c")).distinct())
+        large = groups.where(F.col("m") >= 16 * options.frequent_least)
+        after = levels.joined(large.select("token", F.col("m").alias("c")).distinct())
         affected = materialise(moved(nodes, levels, after).join(nodes.select("node", "home"), "node"))
         n_affected = affected.count()
         if not n_affected:
@@ -450,30 +461,32 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
         groups = prefix_groups(nodes)
 
     edges, comps = None, None
+    current = apart(groups, comps)
+    release(groups)
     for i in range(options.hub_rounds):
-        pairs = hub_pairs(groups, comps, int(mix64(np.array([i + 1], np.uint64)).view(np.int64)[0]), options)
+        pairs = hub_pairs(current, comps, i, options)
         new = linked(pairs, nodes, docs, options)
         edges = new if edges is None else edges.unionByName(new)
         comps = components(edges)
-        release(pairs)
-    current = labelled(groups, comps) if comps is not None else groups.withColumn("comp", F.col("node"))
-
-    # Signature trees, in groups that still hold several components: all nodes against those outside the largest.
-    apart = current.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    current = materialise(current.join(apart, "token", "left_semi"))
-    release(groups)
-    per = current.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top"))
-    apart = current.join(per.select("token", F.col("top.comp").alias("major"), F.ceil(F.col("m") / options.block).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.k")) / options.block).cast("int").alias("q_blocks")), "token")
+        groups, current = current, apart(current, comps)
+        release(pairs, groups)
+
+    # Signature trees, in groups that still hold several components: all nodes against those outside the largest. Groups
+    # of the same least name are one, as those of a passage or of copies are, so that their pairs are found once.
+    least = current.groupBy("token").agg(F.min("node").alias("family"))
+    family = materialise(current.join(least, "token").groupBy("family", "node", "n", "comp").agg(F.min("pos").alias("pos")))
+    per = family.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top"))
+    blocked = family.join(per.select("family", F.col("top.comp").alias("major"), F.ceil(F.col("m") / options.block).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.k")) / options.block).cast("int").alias("q_blocks")), "family")
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = ["token", "node", "n", "pos", "comp"]
-    left = apart.select(*base, F.lit(0).alias("role"), block(F.col("blocks")).alias("i"), every(F.col("q_blocks")).alias("j"))
-    right = apart.where("comp <> major").select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), block(F.col("q_blocks")).alias("j"))
+    base = ["family", "node", "n", "pos", "comp"]
+    left = blocked.select(*base, F.lit(0).alias("role"), block(F.col("blocks")).alias("i"), every(F.col("q_blocks")).alias("j"))
+    right = blocked.where("comp <> major").select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), block(F.col("q_blocks")).alias("j"))
     units = left.unionByName(right).join(nodes.select("node", "bits"), "node")
-    found = tree_join(units.select("token", "i", "j", "role", "node", "n", "pos", "comp", "bits"), options)
+    found = tree_join(units.select("family", "i", "j", "role", "node", "n", "pos", "comp", "bits"), options)
     found = materialise(found.distinct().select(F.col("a").alias("hub"), F.col("b").alias("node")))
     last = linked(found, nodes, docs, options)
-    release(current, found)
+    release(current, family, found)
     comps = components(edges.unionByName(last) if edges is not None else last)
 
     # Components are named by sets; their ids are the least documents.
