@@ -2,10 +2,10 @@
 
 The root is the smoothed unigram distribution of all training tokens. Words that occur ``least_count`` times or more
 are the tree's alphabet. Its contexts are runs of one to ``depth`` of them that occur ``least_count`` times or more,
-with the counts of the words of the alphabet that follow twice or more. A context gives such a word its discounted
-share, and leaves the rest of its mass to its parent, the context without its oldest word; so what a context says
-differs from its parent's rest by those words alone. A context is retained if its smoothed distribution diverges from
-its parent's by ``least_gain`` bits, or if a longer retained context ends in it. A token is scored in the state of its
+with the counts of the words of the alphabet that follow ``least_next`` times or more. A context gives such a word its
+discounted share, and leaves the rest of its mass to its parent, the context without its oldest word. A context is
+retained if its shares and its rest diverge from what its parent gives to the same words and to all others by
+``least_gain`` bits, or if a longer retained context ends in it. A token is scored in the state of its
 longest retained context.
 
 All counts cover all training documents. The tree grows with the corpus and stays in distributed tables; what documents
@@ -35,10 +35,11 @@ TOKENS = 1_000_000
 @dataclass(frozen=True)
 class TreeOptions:
     depth: int = 3
-    least_count: int = 4
+    least_count: int = 8
+    least_next: int = 3
     least_gain: float = 0.02
     discount: float = 0.5
-    bucket_tokens: int = 2_000_000
+    bucket_tokens: int = 6_000_000
 
 
 def token_pieces(column):
@@ -124,9 +125,9 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def count_next(docs: DataFrame, level: int, words, contexts) -> DataFrame:
-    """context, key, c: how often a word of the bitmap ``words`` follows a context of this level in the bitmap
-    ``contexts`` (both broadcasts)."""
+def count_next(docs: DataFrame, level: int, words, contexts, least: int) -> DataFrame:
+    """context, key, c, by context: how often a word of the bitmap ``words`` follows a context of this level in the
+    bitmap ``contexts`` (both broadcasts), ``least`` times or more."""
     import pyarrow as pa
 
     def summed(parts):
@@ -155,7 +156,8 @@ def count_next(docs: DataFrame, level: int, words, contexts) -> DataFrame:
             yield summed(parts)
 
     schema = T.StructType().add("context", T.LongType()).add("key", T.LongType()).add("c", T.LongType())
-    return docs.select("text").mapInArrow(run, schema).groupBy("context", "key").agg(F.sum("c").alias("c")).where("c >= 2")
+    # Dealt by context once, for this sum and the join with contexts.
+    return docs.select("text").mapInArrow(run, schema).repartition("context").groupBy("context", "key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
 def paired(rows: DataFrame, state: str, symbol: str, name: str) -> DataFrame:
@@ -239,19 +241,18 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
             if not here.value.any():
                 break
         # Bitmaps may let other contexts through; the join doesn't.
-        rows = count_next(docs, level, symbols, here).join(contexts, "context").join(q, ["suffix", "key"])
-        rows = materialise(rows.select("context", "suffix", "key", "c", "n", "q"))
-        sizes = rows.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("n").alias("n"), (F.first("n") - F.sum("c") + options.discount * F.count("*")).alias("left"), F.sum("q").alias("sum_q"))
-        sizes = sizes.withColumn("rest", F.round(F.col("left") * UNIT).cast("long"))
-        share = F.col("rest") / F.lit(float(UNIT)) / F.col("n")
-        p = (F.col("c") - options.discount) / F.col("n") + share * F.col("q")
-        with_p = rows.join(sizes.select("context", "rest"), "context").withColumn("p", p)
-        gain = with_p.groupBy("context").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).alias("gain"))
-        own = F.col("gain") + F.when(share > 0, F.greatest(1 - F.col("sum_q"), F.lit(0.0)) * share * F.log2(share)).otherwise(0.0)
-        known = materialise(sizes.join(gain, "context").select("context", "suffix", "n", "rest", (F.round(own, 9) >= options.least_gain).alias("own")))
+        rows = count_next(docs, level, symbols, here, options.least_next).join(contexts, "context")
+        rows = materialise(rows.join(q, ["suffix", "key"]).select("context", "suffix", "key", "c", "n", "q"))
+        share = (F.col("c") - options.discount) / F.col("n")
+        left = F.first("n") - F.sum("c") + options.discount * F.count("*")
+        sizes = rows.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("n").alias("n"), F.round(left * UNIT).cast("long").alias("rest"), F.sum("q").alias("known"), F.sum(share * F.log2(share / F.col("q"))).alias("gain"))
+        others = F.col("rest") / F.lit(float(UNIT)) / F.col("n")
+        own = F.col("gain") + F.when((others > 0) & (F.col("known") < 1), others * F.log2(others / (1 - F.col("known")))).otherwise(0.0)
+        known = materialise(sizes.select("context", "suffix", "n", "rest", (F.round(own, 9) >= options.least_gain).alias("own")))
         levels.append(known), nexts.append(rows)
         if level < options.depth:
-            q = with_p.select(F.col("context").alias("suffix"), "key", F.col("p").alias("q"))
+            p = share + F.col("rest") / F.lit(float(UNIT)) / F.col("n") * F.col("q")
+            q = rows.join(known.select("context", "rest"), "context").select(F.col("context").alias("suffix"), "key", p.alias("q"))
             longer = rows.where((F.col("c") >= options.least_count) & (F.col("key") != end)).select("context", "suffix", "key", F.col("c").alias("n"))
             longer = paired(longer, "context", "key", "longer")
             # The suffix of a context of two words is its last word alone.
@@ -302,29 +303,34 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
         return code[asked.value.has(code)]
 
     def ask(batches):
-        held: dict[int, list] = {}
+        held: dict[int, list] = {}  # parts of each bucket
+        codes: dict[int, np.ndarray] = {}
         size = 0
 
         def flush():
             for b, parts in held.items():
-                code = wanted(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), b, np.int32)), pa.array(code.view(np.int64))], names=["bucket", "code"])
+                new = wanted(parts)
+                codes[b] = np.unique(np.concatenate([codes[b], new]) if b in codes else new)
             held.clear()
 
         for batch in batches:
             bucket = batch.column(1).to_numpy()
             for row, tokens, at in token_pieces(batch.column(0)):
                 mine = bucket[row : row + len(at) - 1]
-                if mine[0] == mine[-1] and (mine == mine[0]).all():
+                if (mine == mine[0]).all():
                     held.setdefault(int(mine[0]), []).append((tokens, at))
                 else:
                     for k, b in enumerate(mine):
                         held.setdefault(int(b), []).append((tokens[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]])))
                 size += len(tokens)
-                if size >= 2 * TOKENS:
-                    yield from flush()
+                if size >= TOKENS:
+                    flush()
                     size = 0
-        yield from flush()
+        flush()
+        for b, code in codes.items():
+            for k in range(0, len(code), 100_000):
+                part = code[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int32)), pa.array(part.view(np.int64))], names=["bucket", "code"])
 
     questions = dealt.select("text", "bucket").mapInArrow(ask, T.StructType().add("bucket", T.IntegerType()).add("code", T.LongType()))
     known = questions.join(tree.facts, "code").select("bucket", "code", "value")
@@ -334,7 +340,6 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
     out = out.add("base_score", T.DoubleType()).add("score", T.DoubleType())
 
     def run(rows, answers):
-        # A bucket that asked for a code in several parts got it as often.
         code, first = np.unique(answers.column("code").to_numpy().view(np.uint64), return_index=True)
         value = answers.column("value").to_numpy()[first]
         n, seen, base, score = [], [], [], []

@@ -90,7 +90,7 @@ def test_suffix_lm_base_and_held_out(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def brute_tree(texts, depth=3, least=4, gain=0.02, discount=0.5):
+def brute_tree(texts, depth=3, least=4, least_next=2, gain=0.02, discount=0.5):
     """p(context, word), kept contexts and word counts, by the definition in plain Python. texts: lists of tokens."""
     counts = collections.Counter(w for t in texts for w in t)
     n, v = sum(counts.values()), len(counts)
@@ -101,7 +101,7 @@ def brute_tree(texts, depth=3, least=4, gain=0.02, discount=0.5):
             for d in range(1, min(depth, i) + 1):
                 seen[tuple(t[i - d : i])] += 1
                 after[tuple(t[i - d : i])][t[i]] += 1
-    nexts = {k: {w: c for w, c in after[k].items() if c >= 2 and w in alphabet} for k, c in seen.items() if c >= least and set(k) <= alphabet}
+    nexts = {k: {w: c for w, c in after[k].items() if c >= least_next and w in alphabet} for k, c in seen.items() if c >= least and set(k) <= alphabet}
     nexts = {k: x for k, x in nexts.items() if x}
 
     def rest(k):
@@ -116,9 +116,9 @@ def brute_tree(texts, depth=3, least=4, gain=0.02, discount=0.5):
 
     def own(k):
         q = {w: p(k[1:], w, nexts) for w in nexts[k]}
-        here = {w: p(k, w, nexts) for w in nexts[k]}
-        r = rest(k)
-        return sum(here[w] * math.log2(here[w] / q[w]) for w in q) + (1 - sum(q.values())) * r * math.log2(r)
+        here = {w: (c - discount) / seen[k] for w, c in nexts[k].items()}
+        r, others = rest(k), 1 - sum(q.values())
+        return sum(here[w] * math.log2(here[w] / q[w]) for w in q) + (r * math.log2(r / others) if r > 0 and others > 0 else 0)
 
     kept = {k for k in nexts if own(k) >= gain}
     kept |= {k[i:] for k in kept for i in range(1, len(k))}
@@ -144,7 +144,7 @@ def test_suffix_tree_is_a_distribution(spark):
         texts.append(" ".join(w))
     rows = [[*t.split(), " "] for t in texts]
     p, kept, counts = brute_tree(rows, depth=2)
-    n, out, tree = score_all(spark, texts, suffix_lm.TreeOptions(depth=2))
+    n, out, tree = score_all(spark, texts, suffix_lm.TreeOptions(depth=2, least_count=4, least_next=2))
     assert n == len(kept) > 4 and tree.contexts[0].where("not retained").count() == 4 - sum(len(k) == 1 for k in kept)
     for context in ((), ("a",), ("b", "a"), ("d", "d")):
         assert sum(p(context, w, kept) for w in [*counts, "never"]) == pytest.approx(1.0, abs=1e-9)
@@ -170,7 +170,7 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     texts = [f"p{i} q{i} r{(i + j) % 2 * 1000 + i} s{i}" for i in range(700) for j in range(6)] + ["p1 q1 lost", "lost p9 r9", "p2 q3"]
     rows = [[*t.split(), " "] for t in texts]
     p, kept, _ = brute_tree(rows)
-    n, out, _ = score_all(spark, texts, suffix_lm.TreeOptions(bucket_tokens=5000))
+    n, out, _ = score_all(spark, texts, suffix_lm.TreeOptions(least_count=4, least_next=2, bucket_tokens=5000))
     assert n == len(kept) > 1400
     for r in out:
         w = rows[r.doc_id]
