@@ -18,11 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, crc_bucket, materialise, mix64, release, table, word_id, word_pieces
+from .common import bounded_batches, crc_bucket, materialise, mix64, release, table, tidy, word_id, word_pieces
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
@@ -40,6 +40,7 @@ class TreeOptions:
     least_gain: float = 0.02
     discount: float = 0.5
     bucket_tokens: int = 6_000_000
+    bucket_bytes: int = 32_000_000  # of a file's split
 
 
 def token_pieces(column):
@@ -250,6 +251,7 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
         own = F.col("gain") + F.when((others > 0) & (F.col("known") < 1), others * F.log2(others / (1 - F.col("known")))).otherwise(0.0)
         known = materialise(sizes.select("context", "suffix", "n", "rest", (F.round(own, 9) >= options.least_gain).alias("own")))
         levels.append(known), nexts.append(rows)
+        tidy(spark)
         if level < options.depth:
             p = share + F.col("rest") / F.lit(float(UNIT)) / F.col("n") * F.col("q")
             q = rows.join(known.select("context", "rest"), "context").select(F.col("context").alias("suffix"), "key", p.alias("q"))
@@ -275,19 +277,30 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
     return SuffixTree(options, total, vocabulary, levels, nexts, facts, Bitmap(facts.select("code")))
 
 
+def split_bucket(options: TreeOptions) -> Column:
+    """A bucket for each split of the files that a table is read from, or several for a large one; to be selected right
+    from the table. Texts need not move to ask what their bucket needs."""
+    parts = F.greatest(F.ceil(F.input_file_block_length() / options.bucket_bytes), F.lit(1))
+    return F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), parts))
+
+
 def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, held_out, text).
 
     Null and empty texts are the end token alone. Without training documents every count is 0 and the tree is its
-    root. Rows of equal id, or without one, are scored each on its own. ``counts`` are in the tree's facts.
+    root. Rows of equal id, or without one, are scored each on its own. ``counts`` are in the tree's facts. A column
+    ``bucket`` of docs says which rows are scored together; without it they are dealt by their ids.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     bounded_batches(spark)
     options, total, vocabulary = tree.options, tree.total, tree.vocabulary
-    n_buckets = max(1, -(-total // options.bucket_tokens))
-    dealt = docs.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_buckets)).cast("int").alias("bucket")).repartition(n_buckets, "bucket")
+    dealt = docs
+    if "bucket" not in docs.columns:
+        n_buckets = max(1, -(-total // options.bucket_tokens))
+        dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_buckets)))
+    dealt = dealt.select("doc_id", "held_out", "text", "bucket")
     asked = spark.sparkContext.broadcast(tree.asked)
 
     def wanted(parts):
@@ -304,13 +317,15 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
 
     def ask(batches):
         held: dict[int, list] = {}  # parts of each bucket
-        codes: dict[int, np.ndarray] = {}
+        codes: dict[int, list] = {}  # what it asks for: merged codes, then new ones
         size = 0
 
         def flush():
             for b, parts in held.items():
-                new = wanted(parts)
-                codes[b] = np.unique(np.concatenate([codes[b], new]) if b in codes else new)
+                mine = codes.setdefault(b, [np.zeros(0, np.uint64)])
+                mine.append(wanted(parts))
+                if sum(map(len, mine[1:])) > max(len(mine[0]), TOKENS):
+                    codes[b] = [np.unique(np.concatenate(mine))]
             held.clear()
 
         for batch in batches:
@@ -327,12 +342,13 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
                     flush()
                     size = 0
         flush()
-        for b, code in codes.items():
+        for b, mine in codes.items():
+            code = np.unique(np.concatenate(mine))
             for k in range(0, len(code), 100_000):
                 part = code[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int32)), pa.array(part.view(np.int64))], names=["bucket", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int64)), pa.array(part.view(np.int64))], names=["bucket", "code"])
 
-    questions = dealt.select("text", "bucket").mapInArrow(ask, T.StructType().add("bucket", T.IntegerType()).add("code", T.LongType()))
+    questions = dealt.select("text", "bucket").mapInArrow(ask, T.StructType().add("bucket", T.LongType()).add("code", T.LongType()))
     known = questions.join(tree.facts, "code").select("bucket", "code", "value")
     out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("held_out", T.BooleanType())
     for name in ("n_tokens", "n_known", "train_tokens"):
@@ -362,11 +378,13 @@ def op2_suffix_lm(spark, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     options = TreeOptions()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_bucket(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"))
+    split = docs.withColumn("bucket", split_bucket(options))
     training = docs.where(~F.col("held_out"))
     counts = materialise(count_words(training))
     tree = grow_tree(training, counts, options)
     release(counts, *tree.nexts)
-    return score_texts(docs, counts, tree)
+    tidy(spark)
+    return score_texts(split, counts, tree)
 
 
 __all__ = ["TreeOptions", "SuffixTree", "count_words", "grow_tree", "score_texts", "op2_suffix_lm", "word_id"]
