@@ -35,8 +35,8 @@ TOKENS = 1_000_000
 @dataclass(frozen=True)
 class TreeOptions:
     depth: int = 3
-    least_count: int = 8
-    least_next: int = 3
+    least_count: int = 4
+    least_next: int = 2
     least_gain: float = 0.02
     discount: float = 0.5
     bucket_tokens: int = 6_000_000
