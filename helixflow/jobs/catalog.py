@@ -20,8 +20,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, where its table has fewer files than cores; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def sequences(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", dna.dna_view(F.col("text")).alias("seq"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", dna.dna_view(F.col("text")).alias("seq"))
 
 
 def items(spark, sf_dir) -> DataFrame:
@@ -40,16 +47,16 @@ def reads(spark, sf_dir) -> DataFrame:
 
 
 def kmer_topn_k15(spark, sf_dir):
-    return kmers.top_kmers(kmers.count_kmers(sequences(spark, sf_dir), 15, ["doc_id"]), 2, 200)
+    top = kmers.top_kmers(kmers.packed_counts(sequences(spark, sf_dir), 15, ["doc_id"]), 2, 200, "packed")
+    return top.select(dna.unpack(F.col("packed"), 15).alias("kmer"), "count")
 
 
 def kmer_histogram(spark, sf_dir):
-    return kmers.count_kmers(sequences(spark, sf_dir), 15, ["doc_id"]).groupBy("count").agg(F.count("*").alias("kmers")).withColumnRenamed("count", "times")
+    return kmers.packed_counts(sequences(spark, sf_dir), 15, ["doc_id"]).groupBy("count").agg(F.count("*").alias("kmers")).withColumnRenamed("count", "times")
 
 
 def kmer_packed(spark, sf_dir):
-    counts = kmers.count_kmers(sequences(spark, sf_dir), 11, ["doc_id"])
-    packed = counts.select(dna.pack(F.col("kmer")).alias("packed"), "count")
+    packed = kmers.packed_counts(sequences(spark, sf_dir), 11, ["doc_id"])
     return packed.select("packed", dna.unpack(F.col("packed"), 11).alias("kmer"), "count")
 
 
@@ -111,7 +118,7 @@ def tandem_repeats(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    return matching.off_targets(matching.pam_sites(sequences(spark, sf_dir), ["doc_id"]), guides(spark, sf_dir), 3)
+    return matching.off_targets(matching.pam_sites(sequences(spark, sf_dir), ["doc_id"]), guides(spark, sf_dir), 4)
 
 
 def offtarget_pigeonhole(spark, sf_dir):
@@ -135,7 +142,7 @@ def seed_lookup_freqcap(spark, sf_dir):
 
 
 def seed_chains(spark, sf_dir):
-    return matching.chain_seeds(_seeds(spark, sf_dir), ["item_id", "doc_id"]).drop("chain")
+    return matching.chain_seeds(_seeds(spark, sf_dir), ["item_id", "doc_id"])
 
 
 def nick_band_join(spark, sf_dir):
@@ -205,7 +212,7 @@ def activity_scores(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    first = F.row_number().over(_by("spacer", "item_id", "pos", "strand"))
+    first = F.row_number().over(_by(["item_id", "spacer"], "pos", "strand"))
     own = _contexts(spark, sf_dir).withColumn("activity", scoring.activity_score(F.col("context"))).withColumn("rn", first).where("rn = 1")
     spec = scoring.specificity(_scored(spark, sf_dir)).withColumnRenamed("guide_id", "spacer")
     rows = own.join(spec, "spacer", "left").withColumns({"specificity": F.coalesce("specificity", F.lit(100.0)), "off_targets": F.coalesce("off_targets", F.lit(0))})
@@ -215,7 +222,7 @@ def _ranked(spark, sf_dir):
 def _by(key, *order):
     from pyspark.sql import Window
 
-    return Window.partitionBy(key).orderBy(*order)
+    return Window.partitionBy(*key if isinstance(key, list) else [key]).orderBy(*order)
 
 
 def guide_ranking(spark, sf_dir):
@@ -226,7 +233,7 @@ def guide_ranking(spark, sf_dir):
 
 def _pools(spark, sf_dir):
     """A gene is a document source; its guides are the distinct spacers of its documents, by a rule-based score."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", dna.dna_view(F.col("text")).alias("seq"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", dna.dna_view(F.col("text")).alias("seq"))
     sites = matching.pam_sites(docs, ["doc_id", "source"]).select(F.col("source").alias("gene"), F.col("site").substr(1, 20).alias("spacer")).where("gene is not null").distinct()
     scored = sites.withColumn("score", dna.count_of(F.col("spacer"), "CG").cast("long"))
     return scored.withColumn("place", F.row_number().over(_by("gene", F.desc("score"), "spacer")))
@@ -238,6 +245,7 @@ def library_dedup(spark, sf_dir):
 
 
 def library_balance(spark, sf_dir):
+    """Guides with 14 or more of C and G alone, so that some genes have too few: the report's subject."""
     pools = _pools(spark, sf_dir).where("score >= 14")
     return library.balance(library.global_dedup(pools, 40), _table(spark, sf_dir, "documents").select(F.col("source").alias("gene")).where("gene is not null"), 40)
 
@@ -301,12 +309,12 @@ def be_ranking(spark, sf_dir):
 
 
 def pe2_enumeration(spark, sf_dir):
-    """One substitution in the middle of every sequence of 202 bases or more."""
-    seqs = sequences(spark, sf_dir).where(F.length("seq") >= 202)
+    """One substitution in the middle of every sequence that can hold a site, over all lengths of the operator."""
+    seqs = sequences(spark, sf_dir).where(F.length("seq") >= 23)
     at = F.floor(F.length("seq") / 2)
     ref = F.col("seq").substr((at + 1).cast("int"), F.lit(1))
     edits = seqs.select("doc_id", at.alias("start"), ref.alias("ref"), F.translate(ref, "ACGTN", "GTACA").alias("alt"))
-    rows = prime.enumerate_pe2(edits, seqs, "doc_id", (11, 13), (10, 16))
+    rows = prime.enumerate_pe2(edits, seqs, "doc_id")
     return rows.select("doc_id", "strand", "spacer", F.col("pbs_length").cast("long").alias("pbs_length"), F.col("rtt_length").cast("long").alias("rtt_length"), "pbs", "rtt", "nick", F.col("edit_in_rtt").cast("long").alias("edit_in_rtt"))
 
 

@@ -38,7 +38,7 @@ def _sites(name: str, src: str, key: str, more: str = "") -> str:
 
 
 GUIDES = f"{B}, {_sites('bs', 'b', 'item_id')}, g as (select distinct substr(site, 1, 20) as spacer from bs)"
-HITS = f"{S}, {GUIDES}, {_sites('ds', 's', 'doc_id')}, hits as (select spacer as guide_id, spacer, doc_id, start, strand, site, hamming(substr(site, 1, 20), spacer) as mismatches from ds join g on hamming(substr(site, 1, 20), spacer) <= 3)"
+HITS = f"{S}, {GUIDES}, {_sites('ds', 's', 'doc_id')}, hits as (select spacer as guide_id, spacer, doc_id, start, strand, site, hamming(substr(site, 1, 20), spacer) as mismatches from ds join g on hamming(substr(site, 1, 20), spacer) <= 4)"
 WEIGHTS = "[" + ", ".join(f"{w}::double" for w in reversed(POSITION_WEIGHTS)) + "]"
 SCORED = f"{HITS}, scored as (select *, list_reduce(list_prepend(1.0::double, list_transform(range(1, 21), lambda i: case when substr(spacer, i::int, 1) = substr(site, i::int, 1) then 1.0::double else ({WEIGHTS})[i] end)), lambda a, x: a * x) as score from hits)"
 
@@ -101,15 +101,15 @@ READS = f"""r0 as (select conv_id, turn, role, {_dna('text')} as seq from conver
 r as (select conv_id, turn, role, case when instr(seq, '{ADAPTER}') > 0 then substr(seq, 1, instr(seq, '{ADAPTER}') - 1) else seq end as cut, length(seq) as n from r0),
 t as (select conv_id, turn, role, cut as seq, length(cut) as qual_length, n - length(cut) as removed from r)"""
 
-PE2 = f"""{S}, e as (select doc_id, seq, length(seq) // 2 as start, substr(seq, length(seq) // 2 + 1, 1) as r from s where length(seq) >= 202),
-c0 as (select doc_id, start, r, translate(r, 'ACGTN', 'GTACA') as a, substr(seq, start - 99, 201) as ctx from e),
-c1 as (select doc_id, start, '+' as strand, a, length(ctx) as n, 100 as ed, ctx from c0 union all select doc_id, start, '-', {_rc('a')}, length(ctx), length(ctx) - 101, {_rc('ctx')} from c0),
-c2 as (select *, substr(ctx, 1, ed) || a || substr(ctx, ed + 2) as edited from c1),
+PE2 = f"""{S}, e as (select doc_id, seq, length(seq) // 2 as start, greatest(length(seq) // 2 - 100, 0) as origin, substr(seq, length(seq) // 2 + 1, 1) as r from s where length(seq) >= 23),
+c0 as (select doc_id, start, origin, start - origin as here, translate(r, 'ACGTN', 'GTACA') as a, substr(seq, origin + 1, start - origin + 101) as ctx from e),
+c1 as (select doc_id, origin, '+' as strand, a, length(ctx) as n, here as ed, ctx from c0 union all select doc_id, origin, '-', {_rc('a')}, length(ctx), length(ctx) - 1 - here, {_rc('ctx')} from c0),
+c2 as (select *, substr(ctx, 1, ed) || a || substr(ctx, ed + 2) as edited from c1 where n >= 23),
 c3 as (select * from (select *, unnest(generate_series(20, n - 3)) as p from c2) where regexp_full_match(substr(ctx, p + 1, 3), '[ACGT]GG') and not contains(substr(ctx, p - 19, 20), 'N') and ed >= p - 3 and not (ed < p + 3 and ed + 1 > p and regexp_full_match(substr(edited, p + 1, 3), '[ACGT]GG'))),
-c4 as (select * from (select *, unnest(range(10, 17)) as rl from c3) where ed - (p - 3) + 1 <= rl and p - 3 + rl <= length(edited) and not contains(substr(edited, p - 2, rl), 'N')),
+c4 as (select * from (select *, unnest(range(10, 31)) as rl from c3) where ed - (p - 3) + 1 <= rl and p - 3 + rl <= length(edited) and not contains(substr(edited, p - 2, rl), 'N')),
 c5 as (select *, translate({_rc('substr(ctx, p - 2 - pl, pl)')}, 'T', 'U') as pbs, translate({_rc('substr(edited, p - 2, rl)')}, 'T', 'U') as rtt, translate(substr(ctx, p - 19, 20), 'T', 'U') as s
-  from (select *, unnest([11, 12, 13]) as pl from c4) where p - 3 - pl >= 0 and not contains(substr(ctx, p - 2 - pl, pl), 'N'))
-select doc_id, strand, translate(s, 'U', 'T') as spacer, pl as pbs_length, rl as rtt_length, pbs, rtt, case when strand = '+' then start - 100 + p - 3 else start - 100 + n - (p - 3) end as nick, rl - 1 - (ed - (p - 3)) as edit_in_rtt from c5
+  from (select *, unnest(range(8, 16)) as pl from c4) where p - 3 - pl >= 0 and not contains(substr(ctx, p - 2 - pl, pl), 'N'))
+select doc_id, strand, translate(s, 'U', 'T') as spacer, pl as pbs_length, rl as rtt_length, pbs, rtt, case when strand = '+' then origin + p - 3 else origin + n - (p - 3) end as nick, rl - 1 - (ed - (p - 3)) as edit_in_rtt from c5
 where not contains(substr(s, 18, 3) || 'GUU|' || s || '|' || rtt || '|' || pbs || '|UGC' || substr(rtt, 1, 3), 'UUUU')
   and (length(regexp_replace(s || rtt || pbs, '[^CG]', '', 'g')) + {SCAFFOLD_GC})::double / (length(s || rtt || pbs) + {SCAFFOLD_LENGTH}) between 0.25 and 0.75"""
 
@@ -147,9 +147,11 @@ select doc_id, pos, strand, case when m like 'CG%' then 'CG' when regexp_full_ma
     "cpg_islands": f"with {_cpg(200)} select * from isl",
     "cpg_islands_w40": f"with {_cpg(40)} select * from isl",
     "tandem_candidates": f"with {TANDEM} select * from tc",
-    "tandem_repeats": f"""with recursive {TANDEM}, o as (select *, row_number() over (partition by doc_id order by start, "end" desc, period) as rn from tc),
-w as (select doc_id, rn, start, "end", period, motif, "end" as last, true as kept from o where rn = 1 union all
-  select o.doc_id, o.rn, o.start, o."end", o.period, o.motif, case when o.start >= w.last then o."end" else w.last end, o.start >= w.last from w join o on o.doc_id = w.doc_id and o.rn = w.rn + 1)
+    "tandem_repeats": f"""with recursive {TANDEM}, o1 as (select *, case when start < max("end") over (partition by doc_id order by start, "end" desc, period rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from tc),
+o2 as (select *, sum(new) over (partition by doc_id order by start, "end" desc, period rows unbounded preceding) as stretch from o1),
+o as materialized (select *, row_number() over (partition by doc_id, stretch order by start, "end" desc, period) as rn from o2),
+w as (select doc_id, stretch, rn, start, "end", period, motif, "end" as last, true as kept from o where rn = 1 union all
+  select o.doc_id, o.stretch, o.rn, o.start, o."end", o.period, o.motif, case when o.start >= w.last then o."end" else w.last end, o.start >= w.last from w join o on o.doc_id = w.doc_id and o.stretch = w.stretch and o.rn = w.rn + 1)
 select doc_id, start, "end", period, motif from w where kept""",
     "offtarget_pigeonhole": f"with {HITS} select guide_id, doc_id, start, strand, mismatches::int as mismatches, array_to_string(list_transform(range(1, 21), lambda i: case when substr(site, i::int, 1) = substr(spacer, i::int, 1) then substr(site, i::int, 1) else lower(substr(site, i::int, 1)) end), '') || substr(site, 21, 3) as dna from hits",
     "seed_prefilter_exact": f"with {S}, {GUIDES}, {_sites('ds', 's', 'doc_id')}, n as (select substr(site, 9, 12) as seed, count(*) as c from ds group by 1) select spacer as guide_id, doc_id, start, strand, c as seed_hit_count from ds join g on substr(site, 9, 12) = substr(spacer, 9, 12) join n on seed = substr(spacer, 9, 12)",
@@ -164,7 +166,7 @@ select doc_id, start, "end", period, motif from w where kept""",
     "top_offtargets": f"with {SCORED}, r as (select *, row_number() over (partition by guide_id order by score desc, doc_id, start, strand) as rn from scored where mismatches > 0) select guide_id, string_agg(doc_id || ':' || start || ':' || mismatches || ';' || printf('%.4f', score), ';' order by rn) as top from r where rn <= 5 group by 1",
     "activity_scores": f"with {CONTEXT} select item_id, pos, strand, context, round(activity, 9) as activity from x",
     "guide_ranking": f"""with {CONTEXT}, {SCORED.replace(B + ', ', '', 1)}, sp as (select guide_id as spacer, round(10000.0::double / (100.0 + 100.0 * coalesce(sum(score) filter (where mismatches > 0), 0)), 6) as spec, count(*) filter (where mismatches > 0) as off_targets from scored group by 1),
-f as (select * from (select *, row_number() over (partition by spacer order by item_id, pos, strand) as rn from x) where rn = 1),
+f as (select * from (select *, row_number() over (partition by item_id, spacer order by pos, strand) as rn from x) where rn = 1),
 c as (select item_id, f.spacer, strand, round(0.5 * greatest(0, least(1, round(activity, 9))) + 0.5 * greatest(0, least(1, coalesce(spec, 100.0::double) / 100)), 6) as composite, coalesce(off_targets, 0) as off_targets, length(regexp_replace(f.spacer, '[^GC]', '', 'g')) * 5.0 as gc from f left join sp on f.spacer = sp.spacer)
 select item_id, rank, spacer, strand, composite, off_targets, concat_ws(';', case when gc < 25 then 'LOW_GC' end, case when gc > 75 then 'HIGH_GC' end, case when contains(spacer, 'TTTT') then 'POLY_T_RUN' end) as notes from (select *, row_number() over (partition by item_id order by composite desc, spacer) as rank from c) where rank <= 10""",
     "library_dedup": f"with {POOLS}, {_dedup('pool', 50)} select * from chosen",

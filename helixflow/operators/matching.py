@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dna import hamming, pack, reverse_complement
-from .windows import kmers
+from ..functions.dna import hamming, pack
+from .motifs import _fits, stranded_windows
 
 SPACER = 20
 
 
 def pam_sites(seqs: DataFrame, ids: list[str]) -> DataFrame:
     """ids, start (of the 23-base window), strand, site (23 bases as the guide reads them), x (packed 20-mer): windows of
-    A, C, G and T that end in GG, and, for the minus strand, that start with CC. The PAM test precedes all else."""
-    windows = kmers(seqs, SPACER + 3, ids)
-    both = windows.where(F.col("kmer").endswith("GG") | F.col("kmer").startswith("CC"))
-    strands = F.array_compact(F.array(
-        F.when(F.col("kmer").endswith("GG"), F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("site"))),
-        F.when(F.col("kmer").startswith("CC"), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("kmer")).alias("site"))),
-    ))
-    rows = both.select(*ids, F.col("pos").alias("start"), F.explode(strands).alias("s")).select(*ids, "start", "s.*")
+    A, C, G and T that end in GG, and, for the minus strand, that start with CC."""
+    table = np.concatenate([*[_fits("N")] * (SPACER + 1), _fits("GG")])
+    rows = stranded_windows(seqs, ids, SPACER + 3, table, "site").withColumnRenamed("pos", "start")
     return rows.withColumn("x", pack(F.col("site").substr(1, SPACER)))
 
 
@@ -99,43 +95,61 @@ def positional_difference(left: DataFrame, right: DataFrame, group: list[str], o
     return both.where(~F.col("left_value").eqNullSafe(F.col("right_value")))
 
 
-CHAIN = T.StructType().add("chain", T.IntegerType()).add("score", T.IntegerType()).add("query_start", T.LongType()).add("query_end", T.LongType()).add("ref_start", T.LongType()).add("ref_end", T.LongType()).add("diagonal", T.LongType())
-
-
-def chain_seeds(hits: DataFrame, keys: list[str], diagonal_gap: int = 32, gap: int = 10_000, least: int = 2) -> DataFrame:
-    """Colinear chains of seed hits (keys, query_pos, ref_pos), for each group of keys: the best chain that ends at each
-    anchor, then chains from the best downwards over anchors not yet used. Anchors on far diagonals can never chain, so
-    a group is cut where its sorted diagonals part by more than the gap, before any task takes it."""
-    import numpy as np
-    import pandas as pd
-
-    by_diagonal = Window.partitionBy(*keys).orderBy("diagonal")
-    cut = F.when(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) <= diagonal_gap, 0).otherwise(1)
-    parts = hits.withColumn("diagonal", F.col("ref_pos") - F.col("query_pos")).withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
-
-    def chains(key, pdf):
-        pdf = pdf.sort_values(["ref_pos", "query_pos"])
-        r, q = pdf["ref_pos"].to_numpy(), pdf["query_pos"].to_numpy()
-        d = r - q
-        score, back = np.ones(len(r), int), np.full(len(r), -1)
-        for i in range(1, len(r)):
-            on = np.flatnonzero((q[:i] < q[i]) & (r[:i] < r[i]) & (q[i] - q[:i] <= gap) & (r[i] - r[:i] <= gap) & (np.abs(d[:i] - d[i]) <= diagonal_gap))
-            if len(on):
-                j = on[np.argmax(score[on])]  # the first of the best
-                score[i], back[i] = score[j] + 1, j
-        used, found = np.zeros(len(r), bool), []
-        for end in sorted(range(len(r)), key=lambda i: (-score[i], r[i], q[i])):
-            if score[end] < least:
+def chain_seeds(hits: DataFrame, keys: list[str], diagonal_gap: int = 32, gap: int = 10_000, least: int = 2, strand: str | None = None) -> DataFrame:
+    """Chains of seed hits (keys, query_pos, ref_pos): keys, score, query_start, query_end, ref_start, ref_end, diagonal.
+
+    A hit may follow another of a lower query and reference position, at most ``gap`` before it in both, on a diagonal at
+    most ``diagonal_gap`` away; it follows the one that ends the longest chain, the first of equals. So hits form trees, and a
+    tree falls into chains: each hit goes to the chain of the longest line below it (first by position of equals).
+    With a column ``strand``, hits on ``-`` run backwards in the query, and strands chain apart.
+
+    Hits of far diagonals never chain, so keys are cut where sorted diagonals part by more than the gap; a task takes the
+    hits of one cut and gives each the end of its chain. Chains are then a grouped sum.
+    """
+    import pyarrow as pa
+
+    keys = [*keys, strand] if strand else keys
+    ahead = F.when(F.col(strand) == "-", -F.col("query_pos")).otherwise(F.col("query_pos")) if strand else F.col("query_pos")
+    placed = hits.select(*keys, "query_pos", "ref_pos", ahead.alias("_q")).withColumn("_d", F.col("ref_pos") - F.col("_q"))
+    by_diagonal = Window.partitionBy(*keys).orderBy("_d")
+    cut = F.when(F.col("_d") - F.lag("_d").over(by_diagonal) <= diagonal_gap, 0).otherwise(1)
+    parts = placed.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    group = [*keys, "_part"]
+    schema = T.StructType([*parts.schema.fields, T.StructField("_end", T.LongType())])
+
+    def ends(rows):
+        rows = rows.sort_by([("ref_pos", "ascending"), ("_q", "ascending")])
+        end = longest_lines(rows.column("_q").to_numpy(), rows.column("ref_pos").to_numpy(), diagonal_gap, gap)
+        return rows.append_column("_end", pa.array(end))
+
+    labelled = parts.groupBy(*group).applyInArrow(ends, schema)
+    chains = labelled.groupBy(*group, "_end").agg(
+        F.count("*").cast("int").alias("score"), F.min("query_pos").alias("query_start"), F.max("query_pos").alias("query_end"),
+        F.min("ref_pos").alias("ref_start"), F.max("ref_pos").alias("ref_end"), F.bround(F.avg("_d")).cast("long").alias("diagonal"),
+    )
+    return chains.where(F.col("score") >= least).drop("_part", "_end")
+
+
+def longest_lines(q: np.ndarray, r: np.ndarray, diagonal_gap: int, gap: int) -> np.ndarray:
+    """For hits in order of r, then q: the hit that ends each one's chain. Hits lie in piles by the length of the longest
+    chain that they end; a new hit asks the piles from the longest down for one that it may follow."""
+    piles: list[list[int]] = []
+    above = np.full(len(r), -1)
+    depth = np.zeros(len(r), np.int64)
+    for i in range(len(r)):
+        for height in range(len(piles) - 1, -1, -1):
+            near = np.array(piles[height])
+            near = near[np.searchsorted(r[near], r[i] - gap) :]
+            ok = (r[near] < r[i]) & (q[near] < q[i]) & (q[i] - q[near] <= gap) & (np.abs((r - q)[near] - (r[i] - q[i])) <= diagonal_gap)
+            if ok.any():
+                above[i], depth[i] = near[ok][0], height + 1
                 break
-            path, at = [], end
-            while at >= 0 and not used[at]:
-                path.append(at)
-                at = back[at]
-            if len(path) >= least:
-                used[path] = True
-                found.append((len(path), q[path[-1]], q[path[0]], r[path[-1]], r[path[0]], round(int(d[path].sum()) / len(path))))
-        out = pd.DataFrame([(*key[:-1], k, *x) for k, x in enumerate(found)], columns=[*keys, *CHAIN.names])
-        return out
-
-    schema = T.StructType([hits.schema[k] for k in keys] + CHAIN.fields)
-    return parts.groupBy(*keys, "_part").applyInPandas(chains, schema)
+        if depth[i] == len(piles):
+            piles.append([])
+        piles[depth[i]].append(i)
+    end = np.arange(len(r))
+    for i in range(len(r) - 1, -1, -1):  # what lies below a hit comes after it
+        j = above[i]
+        if j >= 0 and (end[j] == j or (-depth[end[i]], end[i]) < (-depth[end[j]], end[j])):
+            end[j] = end[i]
+    return end

@@ -50,11 +50,16 @@ def activity_score(context: Column) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
+def exact_sum(score: Column) -> Column:
+    """A sum that doesn't depend on the order of rows: of scores as whole numbers of 1e-15."""
+    return F.sum(F.round(score * 1e15).cast("decimal(38,0)")).cast("double") / 1e15
+
+
 def specificity(hits: DataFrame, by: str = "guide_id", score: str = "score") -> DataFrame:
     """by, specificity (100 * 100 / (100 + 100 * sum)), off_targets. Hits without mismatch are left out of the sum and
-    the count, but their guides stay. Scores are added in sorted order, so the last digits don't depend on the shuffle."""
+    the count, but their guides stay."""
     off = F.when(F.col("mismatches") > 0, F.col(score))
-    total = F.aggregate(F.array_sort(F.collect_list(off)), F.lit(0.0), lambda a, x: a + x)
+    total = F.coalesce(exact_sum(off), F.lit(0.0))
     return hits.groupBy(by).agg((F.lit(10000.0) / (100.0 + 100.0 * total)).alias("specificity"), F.count(off).alias("off_targets"))
 
 
@@ -92,13 +97,11 @@ def smoke_score(parts: list[Column], seed: int) -> Column:
 
 
 def raw_off_target_sum(hits: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """by, off_score, off_targets: the plain sum of scores, added in sorted order, without the first perfect hit."""
-    from pyspark.sql import Window
+    """by, off_score, off_targets: the plain sum of scores, without the first perfect hit."""
 
     rank = F.row_number().over(Window.partitionBy(by, F.col("mismatches") == 0).orderBy(*order))
     rows = hits.withColumn("_rank", rank).where((F.col("mismatches") > 0) | (F.col("_rank") > 1))
-    total = F.aggregate(F.array_sort(F.collect_list("score")), F.lit(0.0), lambda a, x: a + x)
-    return rows.groupBy(by).agg(total.alias("off_score"), F.count("*").alias("off_targets"))
+    return rows.groupBy(by).agg(exact_sum(F.col("score")).alias("off_score"), F.count("*").alias("off_targets"))
 
 
 def editing_rank(in_window: Column, bystanders: Column, off_score: Column) -> Column:

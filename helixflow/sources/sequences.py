@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """chrom (first word of the header), seq (upper case) of every record. Records are split at ``\\n>``, so large files
-    are dealt over tasks by record; text before the first header is an error."""
+    are dealt over tasks by record; text before the first header becomes a record, as the separator alone tells records apart."""
     rows = spark.read.text(path, lineSep="\n>").where(F.trim("value") != "")
     text = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
     head = F.substring_index(text, "\n", 1)

@@ -25,6 +25,12 @@ def strings():
     return list(enumerate(out))
 
 
+@pytest.fixture(autouse=True)
+def short_blocks(monkeypatch):
+    """Blocks so short that the strings span several."""
+    monkeypatch.setattr(windows, "BLOCK", 700)
+
+
 @pytest.fixture(scope="module")
 def seqs(spark):
     return spark.createDataFrame(strings(), "id long, seq string").cache()
