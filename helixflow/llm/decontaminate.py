@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-Numbers, names and units become typed placeholders that remember their values. Windows of canonical words are hashed;
-the windows of benchmark items, at every position, meet those of documents, at every ``stride`` words, in a hash join.
+Numbers, names and units become typed placeholders that remember their values. Windows of canonical words are hashed,
+at every position of benchmark items and of documents, and meet in a hash join.
 A document holds an item if, in one occurrence of it, enough of its windows match and the values in its placeholders
 map onto the document's one to one, so a question asked again with other numbers or names is caught too.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+MARKS = f"[{NAME}{NUMBER}{UNIT}]"
+POINT = "\ue003"  # a point or comma inside a number
 WINDOW = 5
 #: Units of measure and money that may follow a number (fixed values).
 UNITS = "%|percent|mm|cm|m|km|in|inch|inches|ft|foot|feet|yd|yards?|mi|miles?|mg|g|kg|t|tons?|tonnes?|oz|lbs?|pounds?|ml|l|liters?|litres?|gallons?|s|sec|seconds?|min|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|mph|kph|dollars?|cents?|euros?|usd|eur|gbp|degrees?|c|f|k|w|kw|mw|v|hz|khz|mhz|ghz|kb|mb|gb|tb"
@@ -21,69 +23,69 @@ UNITS = "%|percent|mm|cm|m|km|in|inch|inches|ft|foot|feet|yd|yards?|mi|miles?|mg
 BROADCAST_ROWS = 500_000
 
 
-def canonical_words(text: Column) -> Column:
-    """Words in lower case; a placeholder is its mark followed by its value. A name is a capitalised word after a word
-    or a comma in the same sentence; a unit stands right after a number."""
+def canonical(text: Column) -> Column:
+    """The words in lower case, one space between them; a placeholder is its mark followed by its value. A name is a
+    capitalised word after a word or a comma in the same sentence; a unit stands right after a number; a number goes on
+    after a point or comma between digits."""
     t = F.regexp_replace(text, r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*+", NAME + "$0")
     t = F.lower(t)
-    t = F.regexp_replace(t, r"\d++", f" {NUMBER}$0 ")
-    t = F.regexp_replace(t, f"({NUMBER}" + r"\d++\s++)(" + UNITS + r")(?![\p{L}])", "$1" + UNIT + "$2")
-    parts = F.split(t, "[^\\p{L}\\p{N}" + NAME + NUMBER + UNIT + "]++")
-    # Only the ends of the split can be empty.
-    n = F.size(parts)
-    first = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
-    last = F.when((n > 0) & (F.element_at(parts, -1) == ""), n - 1).otherwise(n)
-    return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
+    t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", POINT)
+    t = F.regexp_replace(t, f"\\d[\\d{POINT}]*+", f" {NUMBER}$0 ")
+    t = F.regexp_replace(t, f"({NUMBER}[\\d{POINT}]++\\s++)(" + UNITS + r")(?![\p{L}])", "$1" + UNIT + "$2")
+    return F.trim(F.regexp_replace(t, f"[^\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT}{POINT}]++", " "))
 
 
-def windows(frame: DataFrame, keys: list[str], stride: int) -> DataFrame:
-    """keys, n_words, pos, template (hash of the window with values removed), slots (its values; null if none)."""
-    marks = f"[{NAME}{NUMBER}{UNIT}]"
+def runs_of_words(words: Column, n: int) -> Column:
+    """Every run of n words of a string with one space between words. One pass: a look ahead takes the run, the match
+    itself only its first word."""
+    return F.regexp_extract_all(words, F.lit(f"(?=([^ ]++(?: [^ ]++){{{n - 1}}}))[^ ]++ ?"), F.lit(1))
 
-    def one(i: Column) -> Column:
-        joined = F.array_join(F.slice(F.col("words"), i + 1, WINDOW), " ")
-        return F.struct(i.alias("pos"), joined.alias("window"))
 
-    at = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW, F.lit(stride)), one))
-    rows = frame.select(*keys, F.size("words").alias("n_words"), F.explode(at).alias("w")).select(*keys, "n_words", "w.pos", "w.window")
-    marked = F.col("window").rlike(marks)
-    template = F.when(marked, F.regexp_replace("window", f"({marks})[^ ]*", "$1")).otherwise(F.col("window"))
-    slots = F.when(marked, F.regexp_extract_all("window", F.lit(f"({marks}[^ ]*)"), F.lit(1)))
-    return rows.select(*keys, "n_words", "pos", F.xxhash64(template).alias("template"), slots.alias("slots"))
+def windows(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_words, pos, template (hash of the window with values removed), slots (its values; null if none), from
+    ``words`` (canonical)."""
+    values = F.regexp_replace("words", f"({MARKS})[^ ]*+", "$1")
+    both = frame.select(*keys, runs_of_words(values, WINDOW).alias("t"), runs_of_words(F.col("words"), WINDOW).alias("v"))
+    rows = both.select(*keys, (F.size("t") + WINDOW - 1).alias("n_words"), F.posexplode(F.arrays_zip("t", "v")).alias("pos", "w"))
+    slots = F.when(F.col("w.t") != F.col("w.v"), F.regexp_extract_all("w.v", F.lit(f"({MARKS}[^ ]*+)"), F.lit(1)))
+    return rows.select(*keys, "n_words", "pos", F.xxhash64("w.t").alias("template"), slots.alias("slots"))
+
+
+def n_words(words: Column) -> Column:
+    return F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
 
 
 def short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     """doc_id, item_id where all words of an item of at most WINDOW words, values too, stand in a document in a row.
     None if no item is so short. Both have their words."""
-    short = items.where(F.size("words").between(1, WINDOW)).select("item_id", F.size("words").alias("n"), F.xxhash64(F.array_join("words", " ")).alias("key")).distinct()
+    short = items.where(n_words(F.col("words")).between(1, WINDOW)).select("item_id", n_words(F.col("words")).alias("n"), F.xxhash64("words").alias("key")).distinct()
     known = short.agg(F.collect_set("n").alias("sizes"), F.count("*").alias("rows")).first()
     if not known["rows"]:
         return None
-    at = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice(F.col("words"), i + 1, n), " ")).alias("key"))))
-    none = F.array().cast("array<struct<n:int,key:bigint>>")
-    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[F.coalesce(at(n), none) for n in sorted(known["sizes"])]))).alias("w")).select("doc_id", "w.*")
+
+    def keyed(n: int) -> Column:
+        return F.transform(runs_of_words(F.col("words"), n), lambda w: F.struct(F.lit(n).alias("n"), F.xxhash64(w).alias("key")))
+
+    hashed = [keyed(n) for n in sorted(known["sizes"])]
+    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*hashed))).alias("w")).select("doc_id", "w.*")
     return seen.join(F.broadcast(short) if known["rows"] <= BROADCAST_ROWS else short, ["n", "key"]).select("doc_id", "item_id").distinct()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6, most_stride: int = 5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6) -> DataFrame:
     """doc_id, item_id, n_windows (windows of the item that match), share (of those expected), same_values.
 
-    ``share`` is taken of the windows that any whole copy of the item must have at this stride; rows have
-    ``least_share`` or more, two windows at least, and values that map one to one, all in one occurrence: windows at one
+    ``share`` is taken of all windows of the item; rows have ``least_share`` or more, two windows at least, and values that map one to one, all in one occurrence: windows at one
     distance from their places in the item, or at distances that differ by an eighth of its words or so, or, for copies
     that are spread out, all windows of the document. Items of fewer than six words are one whole window, which must
     match with its values. Null texts hold nothing. Rows of equal id count as one document or item; a null id is an id
     of its own. Extra columns are ignored.
     """
-    worded = benchmark.select("item_id", canonical_words(F.col("text")).alias("words"))
-    items = worded.where(F.size("words") > WINDOW)
-    held = materialise(windows(items, ["item_id"], 1).withColumnRenamed("pos", "item_pos").withColumnRenamed("slots", "item_slots").withColumnRenamed("n_words", "item_words"))
-    known = held.agg(F.min("item_words").alias("least"), F.count("*").alias("n")).first()
-    # A copy of the shortest item must hold two windows of the stride.
-    stride = max(1, min(most_stride, ((known["least"] or 2 * most_stride + WINDOW) - WINDOW + 1) // 2))
-    texts = docs.select("doc_id", canonical_words(F.col("text")).alias("words"))
-    seen = windows(texts, ["doc_id"], stride)
-    met = seen.drop("n_words").join(F.broadcast(held) if known["n"] <= BROADCAST_ROWS else held, "template")
+    worded = benchmark.select("item_id", F.coalesce(canonical(F.col("text")), F.lit("")).alias("words"))
+    items = worded.where(n_words(F.col("words")) > WINDOW)
+    held = materialise(windows(items, ["item_id"]).withColumnRenamed("pos", "item_pos").withColumnRenamed("slots", "item_slots").withColumnRenamed("n_words", "item_words"))
+    n_held = held.count()
+    texts = docs.select("doc_id", canonical(F.col("text")).alias("words"))
+    met = windows(texts, ["doc_id"]).drop("n_words").join(F.broadcast(held) if n_held <= BROADCAST_ROWS else held, "template")
     values = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.arrays_zip("item_slots", "slots"))
     # Occurrences: one distance, two neighbouring bins of distances (half an item at most), the whole document.
     distance = F.col("pos") - F.col("item_pos")
@@ -96,7 +98,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6,
         F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs"),
     )
     n = F.size("places")
-    expected = F.greatest(F.floor((F.col("item_words") - WINDOW + 1) / stride), F.lit(2))
+    expected = F.col("item_words") - WINDOW + 1
     one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs"))
     found = (
         by_span.withColumn("share", F.least(n / expected, F.lit(1.0)))

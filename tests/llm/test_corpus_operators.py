@@ -274,6 +274,20 @@ def test_leaks_by_occurrence(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(d, b).collect()) == [4, 7]
 
 
+def test_leaks_at_any_place(spark):
+    """Copies at every offset, edited ones, decimals as one number, and items of different lengths that don't disturb each other."""
+    item = "a farmer sells 12.5 kg of wheat and 3 bags of corn to the market before the storm comes over the hill"
+    other = item.replace("12.5", "40.75").replace(" 3 ", " 9 ")
+    wrong = item.replace("12.5", "12.5 kg of rye and 12")
+    edited = item.replace("before the storm", "well before the big storm")
+    docs = [(k, "pad " * k + item) for k in range(7)] + [(20, other), (21, edited), (22, "a market before the storm comes over"), (23, f"{wrong} {item}"), (24, "one two three four five six")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, "one two three four five six"), (3, "five six")], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): (r.n_windows, r.share) for r in decontaminate.find_leaks(d, b).collect()}
+    assert {k for k in out if k[1] == 1} == {(k, 1) for k in (*range(7), 20, 21, 23)} and (24, 2) in out and (24, 3) in out and len(out) == 12
+    assert all(out[k, 1] == (out[0, 1][0], 1.0) for k in range(7)) and out[21, 1][1] < 1
+
+
 def test_leak_query_against_search(spark, sf_dir):
     docs = {r.doc_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r.item_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
