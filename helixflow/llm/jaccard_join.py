@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise, mix64, release, table, word_pieces
+from .common import bounded_batches, materialise, mix64, release, table, tidy, word_pieces
 from .graph import components
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -46,7 +46,8 @@ class JoinOptions:
     level_bits: int = 1 << 24  # of the bitmap of a level; a wrong bit moves a shingle back in the order, for all sets alike
     block: int = 512
     order_rounds: int = 1
-    hub_rounds: int = 3
+    hub_rounds: int = 2  # one at least
+    pilot: int = 48  # nodes of a family that all others meet first
     members: int = 2000  # of a hub, in one task
 
     def prefix(self, n):
@@ -419,6 +420,29 @@ def hub_pairs(groups: DataFrame, comps: DataFrame | None, turn: int, options: Jo
     return materialise(best)
 
 
+def family_pairs(groups: DataFrame, nodes: DataFrame, options: JoinOptions, pilot: int) -> DataFrame:
+    """node, hub: distinct pairs that the signature trees leave, of groups with their components. Groups of the same least
+    name are one family, as those of a passage or of copies are, so that their pairs are found once. All nodes of a
+    family meet those outside its largest component; or, with ``pilot``, about so many of its nodes."""
+    least = groups.groupBy("token").agg(F.min("node").alias("family"))
+    family = materialise(groups.join(least, "token").groupBy("family", "node", "n", "comp").agg(F.min("pos").alias("pos")))
+    per = family.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top"))
+    blocks = lambda n: F.ceil(n / options.block).cast("int")
+    blocked = family.join(per.select("family", "m", F.col("top.comp").alias("major"), blocks(F.col("m")).alias("blocks"), blocks(F.col("m") - F.col("top.k")).alias("q_blocks")), "family")
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = ["family", "node", "n", "pos", "comp"]
+    i, j = block(F.col("blocks")).alias("i"), F.lit(0).alias("j") if pilot else block(F.col("q_blocks")).alias("j")
+    left = blocked.select(*base, F.lit(0).alias("role"), i, j if pilot else every(F.col("q_blocks")).alias("j"))
+    some = F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("m") / pilot)) == 0 if pilot else F.col("comp") != F.col("major")
+    right = blocked.where(some).select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), j)
+    units = left.unionByName(right).join(nodes.select("node", "bits"), "node")
+    found = tree_join(units.select("family", "i", "j", "role", "node", "n", "pos", "comp", "bits"), options)
+    out = materialise(found.distinct().select(F.col("a").alias("hub"), F.col("b").alias("node")))
+    release(family)
+    return out
+
+
 def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every row of docs (doc_id, text).
 
@@ -432,7 +456,8 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
 def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """near_duplicates with text_id (xxhash64 of the text) and ``first``: whether the row is the one of its component to
     keep, the one of least doc_id, or links with nothing. Rows that repeat it are first as well."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = materialise(shared_shingles(docs, options).where(F.col("c") >= options.frequent_least))
     levels = Levels(options).joined(common)
@@ -463,6 +488,7 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
     edges, comps = None, None
     current = apart(groups, comps)
     release(groups)
+    tidy(spark)
     for i in range(options.hub_rounds):
         pairs = hub_pairs(current, comps, i, options)
         new = linked(pairs, nodes, docs, options)
@@ -470,24 +496,30 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
         comps = components(edges)
         groups, current = current, apart(current, comps)
         release(pairs, groups)
-
-    # Signature trees, in groups that still hold several components: all nodes against those outside the largest. Groups
-    # of the same least name are one, as those of a passage or of copies are, so that their pairs are found once.
-    least = current.groupBy("token").agg(F.min("node").alias("family"))
-    family = materialise(current.join(least, "token").groupBy("family", "node", "n", "comp").agg(F.min("pos").alias("pos")))
-    per = family.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top"))
-    blocked = family.join(per.select("family", F.col("top.comp").alias("major"), F.ceil(F.col("m") / options.block).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.k")) / options.block).cast("int").alias("q_blocks")), "family")
-    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = ["family", "node", "n", "pos", "comp"]
-    left = blocked.select(*base, F.lit(0).alias("role"), block(F.col("blocks")).alias("i"), every(F.col("q_blocks")).alias("j"))
-    right = blocked.where("comp <> major").select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), block(F.col("q_blocks")).alias("j"))
-    units = left.unionByName(right).join(nodes.select("node", "bits"), "node")
-    found = tree_join(units.select("family", "i", "j", "role", "node", "n", "pos", "comp", "bits"), options)
-    found = materialise(found.distinct().select(F.col("a").alias("hub"), F.col("b").alias("node")))
-    last = linked(found, nodes, docs, options)
-    release(current, family, found)
-    comps = components(edges.unionByName(last) if edges is not None else last)
+        tidy(spark)
+
+    # Signature trees: a few nodes of each family first, then all. Of their pairs one for each node is checked, twice,
+    # as what it links makes others needless; in the end all pairs that are still apart.
+    for pilot in (options.pilot, 0):
+        found = family_pairs(current, nodes, options, pilot)
+        for _ in range(2):
+            left = labelled(labelled(found, comps), comps, "hub", "hub_comp").where("comp <> hub_comp").select("node", "hub")
+            one = materialise(left.groupBy("node").agg(F.min("hub").alias("hub")))
+            edges = edges.unionByName(linked(one, nodes, docs, options))
+            comps = components(edges)
+            rest = labelled(labelled(left.join(one, ["node", "hub"], "left_anti"), comps), comps, "hub", "hub_comp").where("comp <> hub_comp")
+            rest = materialise(rest.select("node", "hub"))
+            release(found, one)
+            found = rest
+            tidy(spark)
+        if pilot:
+            groups, current = current, apart(current, comps)
+            release(groups)
+        else:
+            edges = edges.unionByName(linked(found, nodes, docs, options))
+            comps = components(edges)
+        release(found)
+    release(current)
 
     # Components are named by sets; their ids are the least documents.
     placed = materialise(labelled(nodes.select("node", "home"), comps))
