@@ -66,11 +66,11 @@ def format_chats(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     suspect = F.col("raw").contains("\\") | F.col("text").contains("###") | F.col("text").contains("</turn>") | F.col("role").rlike(":|###|</turn>")
     written = src.withColumn("raw", raw).withColumn("fits", ~suspect | same)
     written = written.select(
-        "conv_id", "turn", "role",
+        "conv_id", "turn", "role", "text",
         F.when(F.col("fits"), F.col("role")).otherwise(safe_role).alias("w_role"),
         F.when(F.col("fits"), F.col("text")).otherwise(safe_text).alias("w_text"),
     )
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "w_role", "w_text")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     n = F.length("w_text").cast("long")
     lead = F.lit(len(HEAD) + len(SEP)) + F.length("w_role")
     placed = written.withColumn("at", F.row_number().over(order)).withColumn("stop", F.sum(lead + n + len(END)).over(order.rowsBetween(Window.unboundedPreceding, 0)))

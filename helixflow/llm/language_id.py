@@ -8,8 +8,6 @@ classifier parts the languages, and flags texts whose two best codewords lie clo
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +16,6 @@ from pyspark.sql import types as T
 from .common import crc_bucket, table, texts_as_bytes
 
 SLOTS = 4096
-HAS_LETTER = re.compile(r"[^\W\d_]")
 _LOW = np.arange(256, dtype=np.uint32)
 _LOW[65:91] += 32
 _LOW[[9, 10, 11, 12, 13]] = 32
@@ -132,7 +129,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", least_ga
         for batch in batches:
             texts = texts_as_bytes(batch.column(batch.schema.get_field_index(text)))
             names, scores, flags = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            able = [i for i, t in enumerate(texts) if t and model.languages and HAS_LETTER.search(t.decode())]
+            able = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t.decode()))]
             for k in range(0, len(able), block):
                 part = able[k : k + block]
                 features = np.zeros((len(part), SLOTS), np.float32)

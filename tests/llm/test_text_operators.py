@@ -192,3 +192,17 @@ def test_html_cluster_decides_beside_article():
     assert text.count("A plain paragraph") >= 55
     whole = html_extract.main_text(f"<html><body><article>{story}<p>The end.</p></article><div><a href='/x'>See</a></div></body></html>")
     assert whole.count("A plain paragraph") == 60 and "The end." in whole
+
+
+def test_chat_ties_are_ordered_by_source(spark):
+    """Equal turns are ordered by what they say, not by how it is escaped; a fraction is no letter."""
+    from helixflow.llm import chat_format, language_id
+
+    rows = [(1, 0, "user", "A b"), (1, 0, "user", "###")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat_format.format_chats(df).select(chat_format.parse(F.col("formatted")).alias("t")).first()["t"]
+    assert [t["text"] for t in turns] == ["###", "A b"]
+    docs = spark.createDataFrame([(1, "some words here", "en"), (2, "autres mots ici", "fr")], "doc_id long, text string, lang string")
+    model = language_id.train_language(docs)
+    asked = spark.createDataFrame([(1, "\u00bd \u00b2 12"), (2, "\u00bd a")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in language_id.identify(asked, model).collect()} == {1: True, 2: False}
