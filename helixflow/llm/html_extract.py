@@ -136,6 +136,12 @@ class Lines(HTMLParser):
         if tag not in VOID and self.open and self.open[-1][0] == tag and tag in ("svg", "math"):
             self.handle_endtag(tag)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # a section of an unknown kind is a comment
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
         if not self.skipping:
             self.text.append(data)

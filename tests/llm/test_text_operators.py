@@ -206,3 +206,12 @@ def test_chat_ties_are_ordered_by_source(spark):
     model = language_id.train_language(docs)
     asked = spark.createDataFrame([(1, "\u00bd \u00b2 12"), (2, "\u00bd a")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred == "und" for r in language_id.identify(asked, model).collect()} == {1: True, 2: False}
+
+
+def test_html_malformed_declarations():
+    from helixflow.llm.html_extract import main_text
+
+    story = "<p>" + "A long paragraph of the story. " * 20 + "</p>"
+    for bad in ("<![foo[x]]>", "<![if IE]>", "<!foo", "<!-", "<![CDATA[x]]>"):
+        out = main_text(f"<html><body>{story}{bad}{story}</body></html>")
+        assert "A long paragraph of the story." in out
