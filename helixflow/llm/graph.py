@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
+
+
+def settled(e: DataFrame) -> bool:
+    """Whether edges (u, v), each with u > v, are stars around their least nodes: no node points to two, or to one that
+    points on. One aggregation, combined before its shuffle."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("off"), F.lit(0).alias("on"))
+    ends = ends.unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("off"), F.lit(1).alias("on")))
+    return ends.groupBy("node").agg(F.sum("off").alias("off"), F.max("on").alias("on")).where("off > 1 or (off = 1 and on = 1)").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -15,20 +23,37 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     leaves, of two longs each; minima are combined before the shuffle, and the joins can be split.
     """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     for _ in range(most_rounds):
+        if settled(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = materialise(small)
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
+        before, e = e, materialise(small)
+        release(before)
     else:
         raise RuntimeError("components did not settle")
-    top = e.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
-    roots = e.select(F.col("v").alias("node")).distinct().join(top.select("node"), "node", "left_anti")
-    return top.unionByName(roots.withColumn("comp", F.col("node")))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots))
+    release(e)
+    return out
+
+
+def joined_components(comps: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """components of comps' own edges and of edges (a, b) together. Only edges between different components count anew,
+    as edges of these components."""
+    if comps is None:
+        return components(edges)
+    for end in ("a", "b"):
+        names = comps.select(F.col("node").alias(end), F.col("comp").alias("name"))
+        edges = edges.join(names, end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    found = components(edges)
+    if found.isEmpty():
+        release(found)
+        return comps
+    new = comps.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("least")), "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    out = materialise(new.unionByName(found.join(comps.select("node"), "node", "left_anti").select("node", "comp")))
+    release(comps, found)
+    return out

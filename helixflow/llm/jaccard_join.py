@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, materialise, mix64, release, table, tidy, word_pieces
-from .graph import components
+from .graph import joined_components
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 #: Bits of the signatures.
@@ -404,6 +404,11 @@ def apart(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
     return materialise(rows.join(several, "token", "left_semi"))
 
 
+def left_over(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """pairs (node, hub) of different components."""
+    return labelled(labelled(pairs, comps), comps, "hub", "hub_comp").where("comp <> hub_comp").select("node", "hub")
+
+
 def hub_pairs(groups: DataFrame, comps: DataFrame | None, turn: int, options: JoinOptions) -> DataFrame:
     """node, hub: for each node the hub of another component that most of its groups name. The hub of a group, within a
     class of sizes, is the node of the least salted name; names are random, so the groups of copies agree. Salts
@@ -485,17 +490,16 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
         nodes = new
         groups = prefix_groups(nodes)
 
-    edges, comps = None, None
+    comps = None
     current = apart(groups, comps)
     release(groups)
     tidy(spark)
     for i in range(options.hub_rounds):
         pairs = hub_pairs(current, comps, i, options)
-        new = linked(pairs, nodes, docs, options)
-        edges = new if edges is None else edges.unionByName(new)
-        comps = components(edges)
+        edges = linked(pairs, nodes, docs, options)
+        comps = joined_components(comps, edges)
         groups, current = current, apart(current, comps)
-        release(pairs, groups)
+        release(pairs, groups, edges)
         tidy(spark)
 
     # Signature trees: a few nodes of each family first, then all. Of their pairs one for each node is checked, twice,
@@ -503,21 +507,25 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
     for pilot in (options.pilot, 0):
         found = family_pairs(current, nodes, options, pilot)
         for _ in range(2):
-            left = labelled(labelled(found, comps), comps, "hub", "hub_comp").where("comp <> hub_comp").select("node", "hub")
+            left = left_over(found, comps)
             one = materialise(left.groupBy("node").agg(F.min("hub").alias("hub")))
-            edges = edges.unionByName(linked(one, nodes, docs, options))
-            comps = components(edges)
-            rest = labelled(labelled(left.join(one, ["node", "hub"], "left_anti"), comps), comps, "hub", "hub_comp").where("comp <> hub_comp")
-            rest = materialise(rest.select("node", "hub"))
+            if one.isEmpty():  # no pair is left apart
+                release(one)
+                break
+            edges = linked(one, nodes, docs, options)
+            comps = joined_components(comps, edges)
+            release(edges)
+            rest = materialise(left_over(found.join(one, ["node", "hub"], "left_anti"), comps))
             release(found, one)
             found = rest
             tidy(spark)
         if pilot:
             groups, current = current, apart(current, comps)
             release(groups)
-        else:
-            edges = edges.unionByName(linked(found, nodes, docs, options))
-            comps = components(edges)
+        elif not left_over(found, comps).isEmpty():
+            edges = linked(found, nodes, docs, options)
+            comps = joined_components(comps, edges)
+            release(edges)
         release(found)
     release(current)
 

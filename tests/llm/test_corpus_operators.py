@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -72,6 +73,18 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(31)) and all(got[i] == 50 for i in range(50, 80)) and got[92] == 91
 
 
+def test_components_in_parts(spark):
+    table = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    draw = random.Random(5)
+    parts = [[], [(draw.randrange(60), draw.randrange(60)) for _ in range(15)], [(7, 7)], [(draw.randrange(90), draw.randrange(90)) for _ in range(25)], [(i, i + 1) for i in range(100, 120)] + [(3, 110)]]
+    comps = None
+    for part in parts:
+        comps = graph.joined_components(comps, table(part))
+    whole = {r.node: r.comp for r in graph.components(table(sum(parts, []))).collect()}
+    rows = comps.collect()
+    assert {r.node: r.comp for r in rows} == whole and len(rows) == len(whole)
+
+
 def test_suffix_lm_base_and_held_out(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     tokens = lambda t: (t or "").encode().lower().split() + [b" "]
