@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, crc_bucket, materialise, mix64, release, table, tidy, word_id, word_pieces
+from .common import BATCH_ROWS, bounded_batches, crc_bucket, materialise, mix64, release, table, tidy, word_id, word_pieces
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
@@ -30,6 +30,8 @@ END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
 BITS = 1 << 27
 #: Tokens that a task counts at once.
 TOKENS = 1_000_000
+#: Training tokens for each span of codes that a task answers for.
+SPAN_TOKENS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -277,6 +279,28 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
     return SuffixTree(options, total, vocabulary, levels, nexts, facts, Bitmap(facts.select("code")))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, without the planes that are zero."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((part.shape[1], 8), np.uint8)
+    out[:, : data[0]] = part.T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Sorted codes, at least one, as the first and the steps between them."""
+    return int(codes[0]).to_bytes(8, "little") + planes(np.diff(codes))
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.r_[np.uint64(int.from_bytes(data[:8], "little")), from_planes(data[8:])], dtype=np.uint64)
+
+
 def split_bucket(options: TreeOptions) -> Column:
     """A bucket for each split of the files that a table is read from, or several for a large one; to be selected right
     from the table. Texts need not move to ask what their bucket needs."""
@@ -344,20 +368,40 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
         flush()
         for b, mine in codes.items():
             code = np.unique(np.concatenate(mine))
-            for k in range(0, len(code), 100_000):
-                part = code[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int64)), pa.array(part.view(np.int64))], names=["bucket", "code"])
-
-    questions = dealt.select("text", "bucket").mapInArrow(ask, T.StructType().add("bucket", T.LongType()).add("code", T.LongType()))
-    known = questions.join(tree.facts, "code").select("bucket", "code", "value")
+            span = ((code >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
+            first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])[: len(code)]
+            last = np.r_[first[1:], len(code)]
+            for k in range(0, len(first), BATCH_ROWS):
+                edges = list(zip(first[k : k + BATCH_ROWS].tolist(), last[k : k + BATCH_ROWS].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), b, np.int64)), pa.array(span[first[k : k + BATCH_ROWS]].view(np.int64)), pa.array([pack_codes(code[x:y]) for x, y in edges], pa.binary())], names=["bucket", "span", "codes"])
+
+    def answer(questions, facts):
+        code, at = np.unique(facts.column("code").to_numpy().view(np.uint64), return_index=True)
+        value = facts.column("value").to_numpy()[at].view(np.uint64)
+        bucket, codes, values = [], [], []
+        for b, data in zip(questions.column("bucket").to_pylist(), questions.column("codes"), strict=True):
+            one = unpack_codes(data.as_py())
+            at = lookup(code, one)
+            on = at >= 0
+            if on.any():
+                bucket.append(b), codes.append(pack_codes(one[on])), values.append(planes(value[at[on]]))
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "codes": pa.array(codes, pa.binary()), "values": pa.array(values, pa.binary())})
+
+    # Questions and answers travel packed, a span of the codes at a time: half the bytes of a row for each code.
+    spans = max(1, -(-total // SPAN_TOKENS))
+    questions = dealt.select("text", "bucket").mapInArrow(ask, T.StructType().add("bucket", T.LongType()).add("span", T.LongType()).add("codes", T.BinaryType()))
+    facts = tree.facts.withColumn("span", F.shiftright(F.shiftrightunsigned("code", 32) * spans, 32))
+    known = questions.groupBy("span").cogroup(facts.groupBy("span")).applyInArrow(answer, T.StructType().add("bucket", T.LongType()).add("codes", T.BinaryType()).add("values", T.BinaryType()))
     out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("held_out", T.BooleanType())
     for name in ("n_tokens", "n_known", "train_tokens"):
         out = out.add(name, T.LongType())
     out = out.add("base_score", T.DoubleType()).add("score", T.DoubleType())
 
     def run(rows, answers):
-        code, first = np.unique(answers.column("code").to_numpy().view(np.uint64), return_index=True)
-        value = answers.column("value").to_numpy()[first]
+        code = np.concatenate([np.zeros(0, np.uint64), *(unpack_codes(x.as_py()) for x in answers.column("codes"))])
+        value = np.concatenate([np.zeros(0, np.uint64), *(from_planes(x.as_py()) for x in answers.column("values"))]).view(np.int64)
+        code, first = np.unique(code, return_index=True)
+        value = value[first]
         n, seen, base, score = [], [], [], []
         for chunk in rows.column("text").chunks:
             for _, tokens, starts in token_pieces(chunk):
