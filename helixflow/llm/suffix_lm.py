@@ -71,6 +71,29 @@ def lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
+class Answers:
+    """What a bucket has been told: sorted codes with a value and a rest each. Codes are random, so the leading bits of
+    one say nearly where it is."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray, rest: np.ndarray):
+        code, first = np.unique(code, return_index=True)
+        # One more entry, so that a search has where to end.
+        self.code = np.r_[code, np.uint64(0xFFFFFFFFFFFFFFFF)]
+        self.value, self.rest = value[first].view(np.int64), rest[first].view(np.int64)
+        bits = max(1, len(code).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(code, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Index of each value, or -1."""
+        at = self.start[values >> self.shift]
+        on = np.flatnonzero(self.code[at] < values)
+        while len(on):
+            at[on] += 1
+            on = on[self.code[at[on]] < values[on]]
+        return np.where((self.code[at] == values) & (at < len(self.value)), at, -1)
+
+
 class Bitmap:
     """A set of codes that may hold more than were put in, never fewer."""
 
@@ -177,8 +200,8 @@ def paired(rows: DataFrame, state: str, symbol: str, name: str) -> DataFrame:
 
 class SuffixTree:
     """contexts: for each level, a table context, suffix, n (occurrences), rest (the left-over mass, in ``unit``s of an
-    occurrence), retained. nexts: for each level, a table context, key, c. facts: code, value of what scoring may ask: a word's
-    count; of a retained context n and rest, each under a code of its own; the count of a word after one."""
+    occurrence), retained. nexts: for each level, a table context, key, c. facts: code, value, rest of what scoring may ask: a
+    word's count; n and rest of a retained context; the count of a word after one (rest is 0 but for contexts)."""
 
     def __init__(self, options: TreeOptions, total: int, vocabulary: int, contexts: list[DataFrame], nexts: list[DataFrame], facts: DataFrame, asked: Bitmap):
         self.options, self.total, self.vocabulary = options, total, vocabulary
@@ -190,7 +213,7 @@ class SuffixTree:
 
 #: Rests are whole numbers of 1 / UNIT occurrences, so that they shuffle as small longs.
 UNIT = 1 << 10
-KINDS = {"n": np.uint64(0x2545F4914F6CDD1D), "rest": np.uint64(0x9FB21C651E98DF25), "pair": np.uint64(0xD1B54A32D192ED03)}
+KINDS = {"context": np.uint64(0x9FB21C651E98DF25), "pair": np.uint64(0xD1B54A32D192ED03)}
 
 
 def fact_code(kind: str, code: np.ndarray) -> np.ndarray:
@@ -198,27 +221,32 @@ def fact_code(kind: str, code: np.ndarray) -> np.ndarray:
 
 
 def as_facts(rows: DataFrame, kind: str) -> DataFrame:
-    """code, value from rows (code, value) of one kind."""
+    """code, value, rest from rows (code, value, rest) of one kind."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(fact_code(kind, batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), batch.column(1)], names=["code", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(fact_code(kind, batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), *batch.columns[1:]], names=["code", "value", "rest"])
 
-    return rows.mapInArrow(run, T.StructType().add("code", T.LongType()).add("value", T.LongType()))
+    return rows.mapInArrow(run, T.StructType().add("code", T.LongType()).add("value", T.LongType()).add("rest", T.LongType()))
 
 
-def in_states(tokens, place, p, code, value, options: TreeOptions, asked: Bitmap) -> np.ndarray:
+def in_states(tokens, place, p, known: Answers, options: TreeOptions, asked: Bitmap) -> np.ndarray:
     """Probabilities in the longest retained contexts, from those in the root: one step down for each length."""
     p = p.copy()
     for _, at, context in state_codes(tokens, place, options.depth):
-        rest = lookup(code, fact_code("rest", context))
-        on = rest >= 0
-        at, context, rest = at[on], context[on], rest[on]
+        code = fact_code("context", context)
+        on = asked.has(code)
+        held = known.find(code[on])
+        at, context = at[on][held >= 0], context[on][held >= 0]
+        held = held[held >= 0]
         if len(at):
-            n = value[lookup(code, fact_code("n", context))]
-            found = lookup(code, fact_code("pair", pair_code(context, tokens[at + 1])))
-            p[at + 1] = (np.where(found >= 0, value[found] - options.discount, 0.0) + value[rest] / UNIT * p[at + 1]) / n
+            code = fact_code("pair", pair_code(context, tokens[at + 1]))
+            on = np.flatnonzero(asked.has(code))
+            found = known.find(code[on])
+            share = np.zeros(len(at))
+            share[on[found >= 0]] = known.value[found[found >= 0]] - options.discount
+            p[at + 1] = (share + known.rest[held] / UNIT * p[at + 1]) / known.value[held]
     return p
 
 
@@ -246,6 +274,8 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
         # Bitmaps may let other contexts through; the join doesn't.
         rows = count_next(docs, level, symbols, here, options.least_next).join(contexts, "context")
         rows = materialise(rows.join(q, ["suffix", "key"]).select("context", "suffix", "key", "c", "n", "q"))
+        if here is not symbols:
+            here.destroy()
         share = (F.col("c") - options.discount) / F.col("n")
         left = F.first("n") - F.sum("c") + options.discount * F.count("*")
         sizes = rows.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("n").alias("n"), F.round(left * UNIT).cast("long").alias("rest"), F.sum("q").alias("known"), F.sum(share * F.log2(share / F.col("q"))).alias("gain"))
@@ -268,13 +298,15 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
             ends = levels[i + 1].where("retained").select(F.col("suffix").alias("context")).distinct().withColumn("end", F.lit(True))
             held = levels[i].join(ends, "context", "left").withColumn("retained", F.col("own") | F.coalesce("end", F.lit(False))).drop("end")
         levels[i] = materialise(held)
-    facts = counts.select(F.col("key").alias("code"), F.col("c").alias("value"))
+    symbols.destroy()
+    none = F.lit(0).cast("long").alias("rest")
+    facts = counts.select(F.col("key").alias("code"), F.col("c").alias("value"), none)
     for rows, known in zip(nexts, levels, strict=True):
         mine = known.where("retained")
         after = rows.join(mine.select("context"), "context", "left_semi").select("context", "key", "c")
-        pairs = paired(after, "context", "key", "code").select("code", F.col("c").alias("value"))
-        for kind, part in (("n", mine.select(F.col("context").alias("code"), F.col("n").alias("value"))), ("rest", mine.select(F.col("context").alias("code"), F.col("rest").alias("value"))), ("pair", pairs)):
-            facts = facts.unionByName(as_facts(part, kind))
+        pairs = paired(after, "context", "key", "code").select("code", F.col("c").alias("value"), none)
+        facts = facts.unionByName(as_facts(mine.select(F.col("context").alias("code"), F.col("n").alias("value"), "rest"), "context"))
+        facts = facts.unionByName(as_facts(pairs, "pair"))
     facts = materialise(facts)
     return SuffixTree(options, total, vocabulary, levels, nexts, facts, Bitmap(facts.select("code")))
 
@@ -332,10 +364,9 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
         place = np.concatenate([places(at) for _, at in parts])
         codes = [np.unique(tokens)]
         for _, at, context in state_codes(tokens, place, options.depth):
-            on = asked.value.has(fact_code("rest", context))
+            on = asked.value.has(fact_code("context", context))
             at, context = at[on], context[on]
-            one = np.unique(context)
-            codes += [fact_code("rest", one), fact_code("n", one), np.unique(fact_code("pair", pair_code(context, tokens[at + 1])))]
+            codes += [fact_code("context", np.unique(context)), np.unique(fact_code("pair", pair_code(context, tokens[at + 1])))]
         code = np.concatenate(codes)
         return code[asked.value.has(code)]
 
@@ -377,40 +408,40 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
 
     def answer(questions, facts):
         code, at = np.unique(facts.column("code").to_numpy().view(np.uint64), return_index=True)
-        value = facts.column("value").to_numpy()[at].view(np.uint64)
-        bucket, codes, values = [], [], []
+        value, rest = (facts.column(k).to_numpy()[at].view(np.uint64) for k in ("value", "rest"))
+        bucket, codes, values, rests = [], [], [], []
         for b, data in zip(questions.column("bucket").to_pylist(), questions.column("codes"), strict=True):
             one = unpack_codes(data.as_py())
             at = lookup(code, one)
             on = at >= 0
             if on.any():
-                bucket.append(b), codes.append(pack_codes(one[on])), values.append(planes(value[at[on]]))
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "codes": pa.array(codes, pa.binary()), "values": pa.array(values, pa.binary())})
+                bucket.append(b), codes.append(pack_codes(one[on])), values.append(planes(value[at[on]])), rests.append(planes(rest[at[on]]))
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "codes": pa.array(codes, pa.binary()), "values": pa.array(values, pa.binary()), "rests": pa.array(rests, pa.binary())})
 
     # Questions and answers travel packed, a span of the codes at a time: half the bytes of a row for each code.
     spans = max(1, -(-total // SPAN_TOKENS))
     questions = dealt.select("text", "bucket").mapInArrow(ask, T.StructType().add("bucket", T.LongType()).add("span", T.LongType()).add("codes", T.BinaryType()))
     facts = tree.facts.withColumn("span", F.shiftright(F.shiftrightunsigned("code", 32) * spans, 32))
-    known = questions.groupBy("span").cogroup(facts.groupBy("span")).applyInArrow(answer, T.StructType().add("bucket", T.LongType()).add("codes", T.BinaryType()).add("values", T.BinaryType()))
+    known = questions.groupBy("span").cogroup(facts.groupBy("span")).applyInArrow(answer, T.StructType().add("bucket", T.LongType()).add("codes", T.BinaryType()).add("values", T.BinaryType()).add("rests", T.BinaryType()))
     out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("held_out", T.BooleanType())
     for name in ("n_tokens", "n_known", "train_tokens"):
         out = out.add(name, T.LongType())
     out = out.add("base_score", T.DoubleType()).add("score", T.DoubleType())
 
     def run(rows, answers):
-        code = np.concatenate([np.zeros(0, np.uint64), *(unpack_codes(x.as_py()) for x in answers.column("codes"))])
-        value = np.concatenate([np.zeros(0, np.uint64), *(from_planes(x.as_py()) for x in answers.column("values"))]).view(np.int64)
-        code, first = np.unique(code, return_index=True)
-        value = value[first]
+        parts = [[np.zeros(0, np.uint64), *(read(x.as_py()) for x in answers.column(k))] for k, read in (("codes", unpack_codes), ("values", from_planes), ("rests", from_planes))]
+        mine = Answers(*map(np.concatenate, parts))
+        del parts
         n, seen, base, score = [], [], [], []
         for chunk in rows.column("text").chunks:
             for _, tokens, starts in token_pieces(chunk):
-                at = lookup(code, tokens)
-                c = np.where(at >= 0, value[at], 0) if len(code) else np.zeros(len(tokens), np.int64)
+                at = mine.find(tokens)
+                c = np.zeros(len(tokens), np.int64)
+                c[at >= 0] = mine.value[at[at >= 0]]
                 p = (c + 1) / (total + vocabulary + 1)
                 n.append(np.diff(starts)), seen.append(np.add.reduceat((c > 0).astype(np.int64), starts[:-1]))
                 base.append(np.add.reduceat(np.log10(p), starts[:-1]))
-                score.append(np.add.reduceat(np.log10(in_states(tokens, places(starts), p, code, value, options, asked.value)), starts[:-1]))
+                score.append(np.add.reduceat(np.log10(in_states(tokens, places(starts), p, mine, options, asked.value)), starts[:-1]))
         put = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         n = put(n, np.int64)
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": n, "n_known": put(seen, np.int64), "train_tokens": np.full(len(n), total, np.int64), "base_score": put(base, float), "score": put(score, float)})
@@ -426,7 +457,7 @@ def op2_suffix_lm(spark, sf_dir: str) -> DataFrame:
     training = docs.where(~F.col("held_out"))
     counts = materialise(count_words(training))
     tree = grow_tree(training, counts, options)
-    release(counts, *tree.nexts)
+    release(counts, *tree.nexts, *tree.contexts)
     tidy(spark)
     return score_texts(split, counts, tree)
 
