@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, dna
+from ..functions import codecs, dna, edits
 from ..operators import kmers, library, matching, motifs, prime, regions, scoring, trimming
 
 ADAPTER = "TTACT"
@@ -326,6 +326,63 @@ def packed_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.length("seq").cast("long").alias("bases"), F.length("packed").cast("long").alias("bytes"), F.md5(F.col("back")).alias("back_md5"))
 
 
+def pe3_nicking(spark, sf_dir):
+    """The three best nicking guides for every forward guide that nicks up to 30 bases before the middle base of its sequence."""
+    seqs = sequences(spark, sf_dir).where(F.length("seq") >= 23)
+    sites = matching.pam_sites(seqs, ["doc_id"])
+    middle = seqs.select("doc_id", F.floor(F.length("seq") / 2).alias("edit_start"))
+    nicks = sites.where("strand = '+'").select("doc_id", "strand", (F.col("start") + 17).alias("nick")).join(middle, "doc_id")
+    nicks = nicks.where("nick <= edit_start and edit_start - nick < 30").withColumn("edit_end", F.col("edit_start") + 1)
+    found = prime.nicking_guides(nicks, sites, ["doc_id"]).where("rank <= 3")
+    return found.select("doc_id", "nick", "nicking_spacer", "nicking_site", "distance", "rank")
+
+
+def pair_matrix() -> dict[str, float]:
+    """A matrix of base pairs by a rule, in place of a published one, which callers give as a table of their own: half
+    of the weight by position, and more for the wobble pairs."""
+    pairs = [(r, d) for r in "ACGU" for d in "ACGT" if r + d not in ("AT", "CG", "GC", "UA")]
+    return {f"{r}{d}{i}": (1 - 0.5 * scoring.POSITION_WEIGHTS[20 - i]) * (0.9 if r + d in ("GT", "UG") else 0.7) for i in range(1, 21) for r, d in pairs}
+
+
+def pair_scores(spark, sf_dir):
+    rows = _hits(spark, sf_dir)
+    score = scoring.pair_score(F.col("spacer"), F.col("site"), pair_matrix()) * scoring.pam_weight(F.col("site"))
+    return rows.select("guide_id", "doc_id", "start", "strand", F.round(score, 9).alias("score"))
+
+
+def control_guides(spark, sf_dir):
+    """Which of 20,000 random spacers serve as non-targeting controls for all documents."""
+    return library.non_targeting(library.control_candidates(spark, 20_000, 42), sequences(spark, sf_dir)).select("candidate", "spacer")
+
+
+def edit_notations(spark, sf_dir):
+    """One edit for every sequence of 40 bases or more, written in one of seven notations, read back and applied."""
+    seqs = sequences(spark, sf_dir).where(F.length("seq") >= 40).withColumn("name", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    at = F.floor(F.length("seq") / 3).cast("int") + 1
+    first, last = at.cast("string"), (at + 3).cast("string")
+    base = F.translate(F.col("seq").substr(at, F.lit(1)), "N", "A")
+    seqs = seqs.withColumn("seq", F.translate("seq", "N", "A"))
+    four = F.col("seq").substr(at, F.lit(4))
+    forms = [
+        F.concat(base, F.lit(">T at "), "name", F.lit(":"), first), F.concat(four, F.lit(">ACGT at "), "name", F.lit(":"), first, F.lit(".."), last),
+        F.concat(F.lit("insGAUC at "), "name", F.lit(":"), first), F.concat(F.lit("del "), "name", F.lit(":"), first, F.lit(".."), last),
+        F.concat("name", F.lit(":g."), first, base, F.lit(">G")), F.concat("name", F.lit(":g."), first, F.lit("_"), last, F.lit("delinsCC")), F.concat("name", F.lit(":g."), first, F.lit("_"), last, F.lit("dup")),
+    ]
+    notation = F.element_at(F.array(*forms), (F.pmod(F.col("doc_id"), F.lit(7)) + 1).cast("int"))
+    rows = seqs.select(edits.edit_fields(notation).alias("e")).select("e.*")
+    return prime.applied_edits(rows, seqs, "name").select("chrom", "kind", "start", "end", "ref", "alt", F.md5("edited").alias("edited_md5"))
+
+
+def target_slices(spark, sf_dir):
+    """The middle third of every sequence, asked for by a target text with ten bases on both sides."""
+    seqs = sequences(spark, sf_dir).where(F.length("seq") >= 3)
+    third = F.floor(F.length("seq") / 3)
+    target = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(":"), F.format_number(third + 1, 0), F.lit("-"), F.format_number(2 * third, 0))
+    rows = seqs.withColumn("t", edits.target_fields(target, 10))
+    part = F.col("seq").substr((F.col("t.start") + 1).cast("int"), (F.col("t.end") - F.col("t.start")).cast("int"))
+    return rows.select("doc_id", "t.chrom", "t.start", "t.end", F.md5(part).alias("slice_md5"))
+
+
 QUERIES = {
     "kmer_topn_k15": kmer_topn_k15, "kmer_histogram": kmer_histogram, "kmer_packed": kmer_packed, "sequence_profile": sequence_profile,
     "pam_ngg": _pam("NGG"), "pam_ng": _pam("NG"), "pam_nrn": _pam("NRN"), "pam_nnnrrt": _pam("NNNRRT"), "primer_hits": primer_hits, "methylation_contexts": methylation_contexts,
@@ -338,6 +395,7 @@ QUERIES = {
     "trim_reads": trim_reads, "trim_stats": trim_stats, "trim_histogram": trim_histogram, "latency_percentiles": latency_percentiles, "position_jaccard": position_jaccard,
     "pe2_enumeration": pe2_enumeration, "packed_roundtrip": packed_roundtrip,
     "library_table": library_table, "kmer_tokens": kmer_tokens, "smoke_scores": smoke_scores, "be_ranking": be_ranking,
+    "pe3_nicking": pe3_nicking, "pair_scores": pair_scores, "control_guides": control_guides, "edit_notations": edit_notations, "target_slices": target_slices,
 }
 
 from .oracle import ORACLE_SQL  # noqa: E402

@@ -177,4 +177,20 @@ select item_id, rank, spacer, strand, composite, off_targets, concat_ws(';', cas
     "trim_histogram": f"with {READS} select removed, count(*) as reads from t where removed > 0 group by 1",
     "latency_percentiles": "select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99, max(value) as most from events group by 1",
     "position_jaccard": f"with {S}, {_windows('k', 3, valid=False)}, c as (select doc_id, pos // 4 as cell, max((kmer like '_GG')::int) as a, max((kmer like '_AG')::int) as b from k where regexp_full_match(kmer, '[ACGT][AG]G') group by 1, 2) select doc_id, sum(a * b)::bigint as shared, count(*) as \"either\", round(sum(a * b)::double / count(*), 9) as jaccard from c group by 1",
+    "pe3_nicking": f"""with {S}, {_sites('ds', 's', 'doc_id')}, m as (select doc_id, length(seq) // 2 as e from s),
+n as (select doc_id, start + 17 as nick, e from ds join m using (doc_id) where strand = '+' and start + 17 <= e and e - start - 17 < 30),
+p as (select n.doc_id, nick, substr(site, 1, 20) as nicking_spacer, start + 6 as nicking_site, abs(nick - start - 6) as distance from n join ds on n.doc_id = ds.doc_id and ds.strand = '-' where abs(nick - start - 6) between 40 and 100 and start + 6 <> e)
+select * from (select *, row_number() over (partition by doc_id, nick order by distance, nicking_spacer, nicking_site) as rank from p) where rank <= 3""",
+    "pair_scores": f"""with {HITS}, w as (select *, list_transform(range(1, 21), lambda i: case when substr(spacer, i::int, 1) = substr(site, i::int, 1) then 1.0::double else (1 - 0.5::double * ({WEIGHTS})[i]) * case when substr(spacer, i::int, 1) || substr(site, i::int, 1) in ('GA', 'TC') then 0.9::double else 0.7::double end end) as ws from hits)
+select guide_id, doc_id, start, strand, round(list_reduce(list_prepend(1.0::double, ws), lambda a, x: a * x), 9) as score from w""",
+    "control_guides": f"""with {S}, {_windows('k', 20)}, held as (select distinct {_canon('kmer')} as c from k),
+c as (select i as candidate, translate(substr(sha256('42|' || i), 1, 20), '0123456789abcdef', 'ACGTACGTACGTACGT') as spacer from (select unnest(range(20000)) as i)),
+f as (select * from c where length(replace(replace(spacer, 'G', ''), 'C', '')) between 8 and 12 and not regexp_matches(spacer, 'TTTT|A{{5}}|C{{5}}|G{{5}}|T{{5}}'))
+select candidate, spacer from f where {_canon('spacer')} not in (select c from held)""",
+    "edit_notations": f"""with {S}, x as (select doc_id, doc_id % 7 as form, length(seq) // 3 as here, replace(seq, 'N', 'A') as seq from s where length(seq) >= 40),
+y as (select *, case form when 0 then 1 when 4 then 1 when 2 then 0 else 4 end as width from x),
+z as (select *, substr(seq, here + 1, width) as ref, case form when 0 then 'T' when 1 then 'ACGT' when 2 then 'GATC' when 3 then '' when 4 then 'G' when 5 then 'CC' else substr(seq, here + 1, 4) || substr(seq, here + 1, 4) end as alt from y)
+select 'd' || doc_id as chrom, case form when 2 then 'insertion' when 3 then 'deletion' when 5 then 'replacement' when 6 then 'duplication' else 'substitution' end as kind, here as start, here + width as "end", ref, alt, md5(substr(seq, 1, here) || alt || substr(seq, here + width + 1)) as edited_md5 from z""",
+    "target_slices": f"""with {S}, x as (select doc_id, seq, greatest(length(seq) // 3 - 10, 0) as start, 2 * (length(seq) // 3) + 10 as "end" from s where length(seq) >= 3)
+select doc_id, 'd' || doc_id as chrom, start, "end", md5(substr(seq, start + 1, "end" - start)) as slice_md5 from x""",
 }

@@ -44,6 +44,24 @@ def packed_counts(seqs: DataFrame, k: int, ids: list[str]) -> DataFrame:
     return bounded(blocks(seqs, k - 1, [])).mapInArrow(run, schema).groupBy("packed").agg(F.sum("count").alias("count"))
 
 
+def held_kmers(seqs: DataFrame, wanted: list[int], k: int) -> DataFrame:
+    """packed: those of ``wanted`` (packed canonical k-mers, a bounded list) that some sequence holds. Only hits leave a task."""
+    import pyarrow as pa
+
+    codes = seqs.sparkSession.sparkContext.broadcast(np.unique(np.array(wanted, np.uint64)))
+
+    def run(batches):
+        for batch in batches:
+            for _, piece in pieces(batch, 0):
+                fore, back = packed(piece.bases, k)
+                own = np.minimum(fore, back)[piece.owns(k) & known(piece.bases, k)]
+                found = np.intersect1d(own.astype(np.uint64), codes.value)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["packed"])
+
+    return bounded(blocks(seqs, k - 1, [])).mapInArrow(run, T.StructType().add("packed", T.LongType())).distinct()
+
+
 def count_kmers(seqs: DataFrame, k: int, ids: list[str]) -> DataFrame:
     """kmer (canonical), count."""
     return packed_counts(seqs, k, ids).select(unpack(F.col("packed"), k).alias("kmer"), "count")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.dna import canonical, gc_fraction, pack
+from .kmers import held_kmers
+
 
 def dedup_collisions(pools: DataFrame) -> DataFrame:
     """spacer, genes: spacers that two genes or more list. Repeats within a gene are combined before the shuffle."""
@@ -44,3 +47,20 @@ def assemble(chosen: DataFrame, reports: DataFrame) -> DataFrame:
     note = F.when(F.col("under_balanced"), F.concat(F.lit("UNDER_BALANCED:deficit="), F.col("deficit").cast("string"))).otherwise("")
     rows = chosen.join(before, "gene").join(reports.select("gene", note.alias("notes")), "gene")
     return rows.select((F.col("before") + F.col("rank")).alias("library_index"), "gene", "rank", "spacer", "notes")
+
+
+def control_candidates(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """candidate, spacer: 20 bases from SHA-256 over the seed and the number, two bits of each hex digit."""
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")).cast("binary"), 256), 1, 20)
+    return spark.range(n).select(F.col("id").alias("candidate"), F.translate(digits, "0123456789abcdef", "ACGTACGTACGTACGT").alias("spacer"))
+
+
+def non_targeting(candidates: DataFrame, seqs: DataFrame, low: float = 0.4, high: float = 0.6, most: int = 200_000) -> DataFrame:
+    """The candidates (spacer; ``most`` at most, an error beyond) fit for controls: G and C from low to high, no TTTT, no
+    base five times in a row, and no sequence that holds the spacer on either strand."""
+    fit = candidates.where(gc_fraction(F.col("spacer")).between(low, high) & ~F.col("spacer").rlike("TTTT|A{5}|C{5}|G{5}|T{5}"))
+    fit = fit.withColumn("packed", pack(canonical(F.col("spacer"))))
+    wanted = [r["packed"] for r in fit.select("packed").distinct().limit(most + 1).collect()]
+    if len(wanted) > most:
+        raise ValueError(f"more than {most} candidates")
+    return fit.join(held_kmers(seqs, wanted, 20), "packed", "left_anti").drop("packed")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
+from .matching import band_join
 
 #: The common SpCas9 guide scaffold (fixed value).
 SCAFFOLD = "GTTTTAGAGCTAGAAATAGCAAGTTAAAATAAGGCTAGTCCGTTATCAACTTGAAAAAGTGGCACCGAGTCGGTGC"
@@ -66,3 +67,29 @@ def enumerate_pe2(edits: DataFrame, seqs: DataFrame, key: str, pbs: tuple[int, i
     kept = both.where(~joints.contains("UUUU") & (gc >= 0.25) & (gc <= 0.75))
     place = F.when(F.col("strand") == "+", F.col("origin") + F.col("nick_at")).otherwise(F.col("origin") + F.col("size") - F.col("nick_at"))
     return kept.select(key, "start", "strand", "spacer", "pam", "pbs_length", "rtt_length", "pbs", "rtt", place.cast("long").alias("nick"), (F.col("rtt_length") - 1 - offset).alias("edit_in_rtt"))
+
+
+def applied_edits(edits: DataFrame, seqs: DataFrame, key: str) -> DataFrame:
+    """edits (chrom and the other fields of edit_fields) joined to seqs (key, seq) by name, with ref and alt in full and
+    ``edited``, the sequence after the edit. A stated ref that the sequence does not hold, or a span beyond its end, is an
+    error; edits of unknown sequences have no row."""
+    rows = edits.join(seqs.select(F.col(key).alias("chrom"), "seq"), "chrom")
+    held = F.upper(F.col("seq").substr((F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+    rows = rows.withColumn("held", held)
+    wrong = (F.col("end") > F.length("seq")) | (F.col("ref") != F.col("held"))
+    rows = rows.withColumn("ref", F.when(F.coalesce(wrong, F.col("end") > F.length("seq")), F.raise_error(F.concat(F.lit("the sequence does not hold the edit's ref: "), F.col("chrom")))).otherwise(F.col("held")))
+    rows = rows.withColumn("alt", F.when(F.col("kind") == "duplication", F.concat("ref", "ref")).otherwise(F.col("alt")))
+    after = F.concat(F.col("seq").substr(F.lit(1), F.col("start").cast("int")), F.col("alt"), F.col("seq").substr((F.col("end") + 1).cast("int"), F.length("seq")))
+    return rows.withColumn("edited", after).drop("held", "seq")
+
+
+def nicking_guides(nicks: DataFrame, sites: DataFrame, keys: list[str], low: int = 40, high: int = 100) -> DataFrame:
+    """For nicks (keys, strand, nick, edit_start, edit_end) the guides of the other strand among sites (pam_sites) that nick
+    ``low`` to ``high`` bases away and outside the edit: nicks' columns, nicking_spacer, nicking_site, distance and rank,
+    the nearest first, then by spacer and place."""
+    cut = F.when(F.col("strand") == "+", F.col("start") + 17).otherwise(F.col("start") + 6)
+    others = sites.select(*keys, F.col("strand").alias("other"), cut.alias("nicking_site"), F.col("site").substr(1, 20).alias("nicking_spacer"))
+    pairs = band_join(nicks, others, keys, "nick", "nicking_site", low, high).where("strand <> other and not (nicking_site >= edit_start and nicking_site < edit_end)")
+    pairs = pairs.withColumn("distance", F.abs(F.col("nick") - F.col("nicking_site")).cast("long")).drop("other")
+    own = Window.partitionBy(*keys, "strand", "nick", "edit_start", "edit_end").orderBy("distance", "nicking_spacer", "nicking_site")
+    return pairs.withColumn("rank", F.row_number().over(own).cast("long"))

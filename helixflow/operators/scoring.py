@@ -38,6 +38,26 @@ def mismatch_score(spacer: Column, site: Column, weights: list[float] | None = N
     return F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(1.0), step)
 
 
+def pair_score(spacer: Column, site: Column, matrix: dict[str, float]) -> Column:
+    """Product, in order of positions, of the weights of mismatched base pairs; matrix: ``<rna base><dna base><position>``
+    to weight, the dna base being the one that pairs (the complement of the site's), position 1 the farthest from the PAM.
+    A pair that the matrix lacks is an error."""
+    table = F.create_map(*[F.lit(x) for kv in matrix.items() for x in kv])
+
+    def step(acc, i):
+        r, d = F.translate(F.upper(spacer.substr(i, F.lit(1))), "T", "U"), F.upper(site.substr(i, F.lit(1)))
+        key = F.concat(r, F.translate(d, "ACGTU", "TGCAA"), i.cast("string"))
+        weight = F.coalesce(F.element_at(table, key), F.raise_error(F.concat(F.lit("no weight for "), key)).cast("double"))
+        return acc * F.when(F.translate(r, "U", "T") == F.translate(d, "U", "T"), F.lit(1.0)).otherwise(weight)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(1.0), step)
+
+
+def pam_weight(site: Column) -> Column:
+    """Weight of the last two bases of a 23-base site."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PAM_WEIGHTS.items() for x in kv]), F.upper(site.substr(22, 2))), F.lit(0.0))
+
+
 def activity_score(context: Column) -> Column:
     """Logistic score of a 30-base context (4 before, 20 spacer, 3 PAM, 3 after); terms are added in position order."""
     table = F.create_map(*[F.lit(x) for kv in activity_weights().items() for x in kv])

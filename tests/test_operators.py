@@ -226,3 +226,46 @@ def test_smoke_score(spark):
 
     got = spark.createDataFrame([("a", 5)], "x string, y int").select(scoring.smoke_score([F.col("x"), F.col("y")], 7)).first()[0]
     assert got == int.from_bytes(hashlib.sha256((7).to_bytes(8, "little") + b"a|5").digest()[:8], "little") / float(1 << 64)
+
+
+def test_edit_notations_and_errors(spark):
+    from helixflow.functions.edits import edit_fields, target_fields
+    from helixflow.operators.prime import applied_edits
+
+    given = ["c>u at s1:2", "CG>TT at s1:2..3", "insTT at s1:1", "del s1:2..4", "s1:g.2C>A", "s1:g.2_3delinsA", "s1:g.2dup", None]
+    rows = spark.createDataFrame([(x,) for x in given], "n string").select("n", edit_fields(F.col("n")).alias("e"))
+    seqs = spark.createDataFrame([("s1", "ACGTA")], "name string, seq string")
+    got = {r["n"]: r["edited"] for r in applied_edits(rows.select("n", "e.*"), seqs, "name").collect()}
+    assert got == {given[0]: "ATGTA", given[1]: "ATTTA", given[2]: "TTACGTA", given[3]: "AA", given[4]: "AAGTA", given[5]: "AATA", given[6]: "ACCGTA"}
+    for wrong in ("", "C>T", "CG>TT at s1:2..4", "del s1:4..2", "s1:g.2_3inv", "insA at s1:0", "ins" + "A" * 51 + " at s1:1"):
+        with pytest.raises(Exception, match="edit"):
+            spark.createDataFrame([(wrong,)], "n string").select(edit_fields(F.col("n")).alias("e")).collect()
+    with pytest.raises(Exception, match="ref"):
+        applied_edits(spark.createDataFrame([("G>T at s1:2",)], "n string").select(edit_fields(F.col("n")).alias("e")).select("e.*"), seqs, "name").collect()
+    targets = spark.createDataFrame([("chr1:1,001-2,000",), ("x:5-5",), (None,)], "t string").select(target_fields(F.col("t"), 10).alias("f")).collect()
+    assert [tuple(r["f"]) if r["f"] else None for r in targets] == [("chr1", 990, 2010), ("x", 0, 15), None]
+    for wrong in ("chr1", "chr1:0-5", "chr1:6-5"):
+        with pytest.raises(Exception, match="target"):
+            spark.createDataFrame([(wrong,)], "t string").select(target_fields(F.col("t")).alias("f")).collect()
+
+
+def test_controls_nicks_and_pair_scores(spark):
+    from helixflow.operators import library, prime, scoring
+
+    pool = library.control_candidates(spark, 300, 7)
+    fit = {r["spacer"] for r in library.non_targeting(pool, spark.createDataFrame([], "id long, seq string")).collect()}
+    ok = lambda s: 8 <= sum(c in "GC" for c in s) <= 12 and "TTTT" not in s and not any(c * 5 in s for c in "ACGT")
+    assert fit == {r["spacer"] for r in pool.collect() if ok(r["spacer"])}
+    some = sorted(fit)[0]
+    held = "ACG" + some.translate(str.maketrans("ACGT", "TGCA"))[::-1] + "NN"
+    assert fit - {r["spacer"] for r in library.non_targeting(pool, spark.createDataFrame([(1, held)], "id long, seq string")).collect()} == {some}
+    nicks = spark.createDataFrame([(1, "+", 100, 150, 160)], "id long, strand string, nick long, edit_start long, edit_end long")
+    site = "ACGT" * 5 + "TGG"
+    sites = spark.createDataFrame([(1, 100 + d - 6, "-", site) for d in (39, 40, 50, 59, 60, 100, 101, -40)] + [(1, 133, "+", site)], "id long, start long, strand string, site string")
+    got = [(r["nicking_site"], r["distance"], r["rank"]) for r in prime.nicking_guides(nicks, sites, ["id"]).orderBy("rank").collect()]
+    assert got == [(60, 40, 1), (140, 40, 2), (160, 60, 3), (200, 100, 4)]
+    pair = spark.createDataFrame([("G" + "A" * 18 + "T", "A" * 19 + "C" + "TAG")], "a string, b string")
+    score = lambda m: pair.select(scoring.pair_score(F.col("a"), F.col("b"), m).alias("s"), scoring.pam_weight(F.col("b")).alias("p")).first()
+    assert tuple(score({"GT1": 0.5, "UG20": 0.25})) == (0.125, 0.259259259)
+    with pytest.raises(Exception, match="no weight for UG20"):
+        score({"GT1": 0.5})
