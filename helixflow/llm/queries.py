@@ -9,6 +9,7 @@ from .jaccard_join import op1_jaccard_join
 from .language_id import op7_language_id
 from .mixing import op4_mixing
 from .quality import op10_quality
+from .simhash import op13_simhash
 from .suffix_lm import op2_suffix_lm
 from .token_count import op8_token_count
 from .url_filter import op6_url_filter
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL = {
