@@ -8,6 +8,8 @@ from .html_extract import op5_html_text
 from .jaccard_join import op1_jaccard_join
 from .language_id import op7_language_id
 from .mixing import op4_mixing
+from .periodic_runs import op12_periodic_runs
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality import op10_quality
 from .simhash import op13_simhash
 from .suffix_lm import op2_suffix_lm
@@ -25,9 +27,12 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL = {
     "op3_chat_format": OP3_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
