@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -29,16 +29,22 @@ from .graph import components
 #: Generator polynomials of perfect codes by length; the word length is also the degree plus the message bits.
 GENERATORS = {1: 0b1, 3: 0b111, 7: 0b1011, 15: 0b10011, 23: 0b101011100011}
 RADIUS = {1: 0, 3: 1, 7: 1, 15: 1, 23: 3}
+#: Codes of a half by the number of different fingerprints up to which they serve. The more anchors, the fewer meet at one,
+#: and the more anchors a fingerprint is sent to: 72, 114 and 210, whatever the number of fingerprints.
+LADDER = ((1 << 24, (23, 3, 3, 3)), (1 << 27, (23, 7, 1, 1)), (1 << 63, (23, *[1] * 9)))
 
 
 @dataclass(frozen=True)
 class SimHashOptions:
     words: int = 4
     bits: int = 4  # fingerprints that differ in so many bits or fewer link
-    blocks: tuple[int, ...] = (23, 7, 1, 1)  # code lengths of a half, 32 in all; more message bits: more anchors, more copies
+    blocks: tuple[int, ...] | None = None  # code lengths of a half, 32 in all; None: by LADDER
     meet: int = 1 << 14  # of one side of an anchor, in one task
     pairs: int = 1 << 21  # compared at once
 
+    def sized(self, nodes: int) -> SimHashOptions:
+        return self if self.blocks else replace(self, blocks=next(blocks for most, blocks in LADDER if nodes <= most))
+
     @property
     def message_bits(self) -> int:
         return sum(n - GENERATORS[n].bit_length() + 1 for n in self.blocks)
@@ -290,6 +296,7 @@ def simhash_classes(docs: DataFrame, options: SimHashOptions = SimHashOptions())
     bounded_batches(spark)
     marked = materialise(fingerprints(docs, options))
     nodes = materialise(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("home")))
+    options = options.sized(nodes.count())
     edges = materialise(links(meetings(nodes, options), options))
     comps = components(edges)
     release(edges)

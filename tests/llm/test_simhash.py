@@ -46,7 +46,7 @@ def test_query_against_all_pairs(spark, sf_dir):
     assert len(set(comp.values())) < len(docs)
 
 
-@pytest.mark.parametrize("blocks", [(23, 7, 1, 1), (23, *[1] * 9), (15, 15, 1, 1), (7, 7, 7, 7, 3, 1), (1,) * 32])
+@pytest.mark.parametrize("blocks", [(23, 3, 3, 3), (23, 7, 1, 1), (23, *[1] * 9), (15, 15, 1, 1), (7, 7, 7, 7, 3, 1), (1,) * 32])
 def test_homes_meet_all_within_the_threshold(blocks):
     rng = np.random.default_rng(7)
     options = SimHashOptions(blocks=blocks)
@@ -63,7 +63,7 @@ def test_homes_meet_all_within_the_threshold(blocks):
         assert {r for r, _ in homes & set(sent)} == set(range(len(x)))
 
 
-@pytest.mark.parametrize("options", [SimHashOptions(), SimHashOptions(meet=3, pairs=50), SimHashOptions(bits=3, blocks=(15, 15, 1, 1))])
+@pytest.mark.parametrize("options", [SimHashOptions().sized(100), SimHashOptions().sized(1 << 26), SimHashOptions(meet=3, pairs=50).sized(9), SimHashOptions(bits=3, blocks=(15, 15, 1, 1))])
 def test_planted_fingerprints(spark, options):
     """Clusters, chains of links and crowds around one anchor, cut into blocks as well."""
     draw = random.Random(11)
