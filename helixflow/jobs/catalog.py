@@ -11,41 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, dna, edits
 from ..operators import kmers, library, matching, motifs, prime, regions, scoring, trimming
+from . import workflows
+from .tables import guides, items, reads, sequences, spread
+from .tables import table as _table
 
 ADAPTER = "TTACT"
 PRIMERS = ("TTACAG", "ACGT")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores, where its table has fewer files than cores; a table of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
-def sequences(spark, sf_dir) -> DataFrame:
-    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", dna.dna_view(F.col("text")).alias("seq"))
-
-
-def items(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "benchmark").select("item_id", dna.dna_view(F.col("text")).alias("seq"))
-
-
-def guides(spark, sf_dir) -> DataFrame:
-    """The distinct spacers of all benchmark sites; a spacer is its own id."""
-    sites = matching.pam_sites(items(spark, sf_dir), ["item_id"])
-    return sites.select(F.col("site").substr(1, 20).alias("spacer")).distinct().select(F.col("spacer").alias("guide_id"), "spacer")
-
-
-def reads(spark, sf_dir) -> DataFrame:
-    seq = dna.dna_view(F.col("text"))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", seq.alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
-
-
 def kmer_topn_k15(spark, sf_dir):
     top = kmers.top_kmers(kmers.packed_counts(sequences(spark, sf_dir), 15, ["doc_id"]), 2, 200, "packed")
     return top.select(dna.unpack(F.col("packed"), 15).alias("kmer"), "count")
@@ -396,7 +369,7 @@ QUERIES = {
     "pe2_enumeration": pe2_enumeration, "packed_roundtrip": packed_roundtrip,
     "library_table": library_table, "kmer_tokens": kmer_tokens, "smoke_scores": smoke_scores, "be_ranking": be_ranking,
     "pe3_nicking": pe3_nicking, "pair_scores": pair_scores, "control_guides": control_guides, "edit_notations": edit_notations, "target_slices": target_slices,
-}
+} | workflows.QUERIES
 
 from .oracle import ORACLE_SQL  # noqa: E402
 

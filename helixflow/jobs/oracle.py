@@ -47,8 +47,9 @@ def _pam(regex: str, k: int) -> str:
     return f"with {S}, {_windows('k', k, valid=False)} select doc_id, pos, 0 as strand from k where regexp_full_match(kmer, '{regex}')"
 
 
-CANDIDATES = f"""{S}, {_windows('k', 23, valid=False)},
-c0 as (select doc_id, pos, '+' as strand, kmer as guide from k union all select doc_id, pos, '-', {_rc('kmer')} from k),
+def _candidates(head: str, src: str, key: str) -> str:
+    return f"""{head}, {_windows('k', 23, src, key, valid=False)},
+c0 as (select {key}, pos, '+' as strand, kmer as guide from k union all select {key}, pos, '-', {_rc('kmer')} from k),
 c1 as (select *, substr(guide, 1, 20) as sp from c0 where regexp_full_match(guide, '[ACGT]{{21}}GG')),
 c2 as (select *, (length(sp) - length(replace(replace(sp, 'C', ''), 'G', ''))) / 20.0 as gc,
   list_max(list_transform(regexp_extract_all(sp, '(A+|C+|G+|T+)'), lambda x: length(x))) as run,
@@ -56,6 +57,9 @@ c2 as (select *, (length(sp) - length(replace(replace(sp, 'C', ''), 'G', ''))) /
 c as (select *, list_filter([case when gc < 0.4 then 'low_gc' end, case when gc > 0.7 then 'high_gc' end, case when run > 4 then 'homopolymer' end, case when h < 1.2 then 'low_complexity' end], lambda x: x is not null) as rs from c2)"""
 
 
+CANDIDATES = _candidates(S, 's', 'doc_id')
+
+
 def _minimizers(name: str, src: str, key: str) -> str:
     k, w = 15, 10
     return (
@@ -194,3 +198,32 @@ select 'd' || doc_id as chrom, case form when 2 then 'insertion' when 3 then 'de
     "target_slices": f"""with {S}, x as (select doc_id, seq, greatest(length(seq) // 3 - 10, 0) as start, 2 * (length(seq) // 3) + 10 as "end" from s where length(seq) >= 3)
 select doc_id, 'd' || doc_id as chrom, start, "end", md5(substr(seq, start + 1, "end" - start)) as slice_md5 from x""",
 }
+
+_NEAR = "hamming(substr(site, 9, 12), substr(spacer, 9, 12))"
+_DNA_SITE = "array_to_string(list_transform(range(1, 21), lambda i: case when substr(site, i::int, 1) = substr(spacer, i::int, 1) then substr(site, i::int, 1) else lower(substr(site, i::int, 1)) end), '') || substr(site, 21, 3)"
+_PLACE = "row_number() over (order by conv_id nulls first, turn nulls first, role nulls first, seq nulls first) as p"
+
+
+def _placed(adapter: str) -> str:
+    """Reads before an adapter, with their places."""
+    return f"(select *, {_PLACE} from (select conv_id, turn, role, case when instr(seq, '{adapter}') > 0 then substr(seq, 1, instr(seq, '{adapter}') - 1) else seq end as seq from r0))"
+
+
+ORACLE_SQL |= {
+    "seed_prefilter_mismatch": f"""with {S}, {GUIDES}, {_sites('ds', 's', 'doc_id')}, n as (select substr(site, 9, 12) as seed, count(*) as c from ds group by 1)
+select spacer as guide_id, doc_id, start + case strand when '-' then 3 else 0 end as position, strand, substr(site, 21, 3) as pam, seed as target_seed, {_NEAR} as seed_mismatches,
+  array_to_string(list_filter(range(12), lambda i: substr(site, 9 + i, 1) <> substr(spacer, 9 + i, 1)), ',') as at, c as seed_hit_count
+from ds join g on {_NEAR} <= 2 join n on seed = substr(site, 9, 12)""",
+    "guide_rollup": f"""with {_candidates(B, 'b', 'item_id')}, q as (select item_id || ':' || pos || ':' || strand as guide_id, substr(guide, 1, 20) as spacer from c where len(rs) = 0),
+{S}, {_sites('ds', 's', 'doc_id')}, h as (select guide_id, doc_id, {_NEAR} as m from ds join q on {_NEAR} <= 1)
+select guide_id, count(m) as seed_hit_count, count(*) filter (where m = 0) as exact_seed_hit_count, count(*) filter (where m > 0) as mismatched_seed_hit_count,
+  count(distinct doc_id) as n_references, md5(coalesce(array_to_string(list(distinct doc_id order by doc_id) filter (where doc_id is not null), ','), '')) as references_md5
+from q left join h using (guide_id) group by 1""",
+    "record_agreement": f"""with r0 as (select conv_id, turn, role, {_dna('text')} as seq from conversations), a as {_placed(ADAPTER)}, b as {_placed(ADAPTER + 'A')},
+n as (select count(a.p) as left_rows, count(b.p) as right_rows, count(*) filter (where a.p is not null and b.p is not null and a.conv_id is not distinct from b.conv_id and a.turn is not distinct from b.turn
+  and a.role is not distinct from b.role and a.seq is not distinct from b.seq) as equal_rows from a full join b on a.p = b.p)
+select *, equal_rows / greatest(left_rows, right_rows) as fraction, case when equal_rows = greatest(left_rows, right_rows) then 'PASS' when equal_rows / greatest(left_rows, right_rows) >= 0.99 then 'DIVERGE' else 'FAIL' end as verdict from n""",
+    "score_agreement": f"""with {SCORED}, r as (select round(score, 9) as x, printf('%.6f', round(score, 9))::double as y from scored)
+select count(*) as records, 0::bigint as identity_mismatches, count(*) filter (where abs(x - y) > 1e-6) as beyond, round(max(abs(x - y)), 9) as max_abs_diff, count(*) filter (where abs(x - y) > 1e-6) = 0 as equal from r""",
+    "score_lines": f"""with {SCORED} select concat_ws(chr(9), guide_id, 'X', spacer || 'NGG', {_DNA_SITE}, doc_id, start, strand, mismatches, 0, printf('%.6f', score)) as line from scored""",
+}
