@@ -226,4 +226,20 @@ select *, equal_rows / greatest(left_rows, right_rows) as fraction, case when eq
     "score_agreement": f"""with {SCORED}, r as (select round(score, 9) as x, printf('%.6f', round(score, 9))::double as y from scored)
 select count(*) as records, 0::bigint as identity_mismatches, count(*) filter (where abs(x - y) > 1e-6) as beyond, round(max(abs(x - y)), 9) as max_abs_diff, count(*) filter (where abs(x - y) > 1e-6) = 0 as equal from r""",
     "score_lines": f"""with {SCORED} select concat_ws(chr(9), guide_id, 'X', spacer || 'NGG', {_DNA_SITE}, doc_id, start, strand, mismatches, 0, printf('%.6f', score)) as line from scored""",
+    "fasta_ranges": f"""with {S} select 'd' || doc_id as contig, length(seq) // 3 as start, 2 * (length(seq) // 3) as "end", md5(substr(seq, length(seq) // 3 + 1, length(seq) // 3)) as slice_md5 from s where length(seq) >= 3""",
+    "fastq_ranges": f"""with r0 as (select conv_id, turn, role, {_dna('text')} as seq from conversations)
+select concat_ws(':', conv_id, turn, role) as read_id, length(seq) as bases, length(seq) as qualities, md5(seq) as seq_md5 from r0""",
+    "gene_targets": """with d as (select doc_id, coalesce(n_chars, 0) as n from documents where doc_id is not null),
+g as (select *, row_number() over (partition by doc_id % 97 order by n desc, doc_id) as rn from d where doc_id % 11 <> 0)
+select d.doc_id, case when d.doc_id % 3 = 0 then 'chr' || (d.doc_id % 7) else coalesce('chr' || (g.doc_id % 7), 'none') end as chrom,
+  case when d.doc_id % 3 = 0 then greatest(d.doc_id * 13 - 100, 0) else coalesce(greatest(g.doc_id * 13 - 100, 0), -1) end as start,
+  case when d.doc_id % 3 = 0 then d.doc_id * 13 + 200 else coalesce(g.doc_id * 13 + g.n + 100, -1) end as "end",
+  case when d.doc_id % 3 = 0 then '+' when g.doc_id is null then 'none' when g.doc_id % 2 = 0 then '+' else '-' end as strand,
+  case when d.doc_id % 3 = 0 then printf('chr%d:%s-%s', d.doc_id % 7, format('{:,}', d.doc_id * 13 + 1), format('{:,}', d.doc_id * 13 + 100)) else 'G' || (d.doc_id % 97) end as label
+from d left join g on g.rn = 1 and g.doc_id % 97 = d.doc_id % 97 and d.doc_id % 3 <> 0""",
+    "transcript_edits": f"""with {S}, x as (select doc_id, replace(seq, 'N', 'A') as seq, length(seq) as n, doc_id % 4 as form, case doc_id % 4 when 0 then 1 when 2 then 3 else 2 end as w from s where length(seq) >= 40 and doc_id is not null),
+y as (select *, case when doc_id % 2 = 0 then n // 3 + 1 else n // 2 - 1 - w end as start from x),
+z as (select *, substr(seq, start + 1, w) as ref from y),
+a as (select *, case form when 0 then translate(ref, 'ACGT', 'GTAC') when 1 then case when doc_id % 2 = 0 then 'ACG' else 'CGT' end when 2 then '' else ref || ref end as alt from z)
+select 'd' || doc_id as chrom, case form when 0 then 'substitution' when 1 then 'replacement' when 2 then 'deletion' else 'duplication' end as kind, start, start + w as "end", ref, alt, md5(substr(seq, 1, start) || alt || substr(seq, start + w + 1)) as edited_md5 from a""",
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, seeds, trimming
-from .tables import guides, items, reads, sequences
+from ..operators import agreement, prime, seeds, transcripts, trimming
+from ..sources import genes, sequences as files, splits
+from .storage import scratch
+from .tables import guides, items, reads, sequences, table
 
 
 def seed_prefilter_mismatch(spark, sf_dir):
@@ -51,6 +53,58 @@ def score_lines(spark, sf_dir):
     return named.select(scores.score_line().alias("line"))
 
 
+def fasta_ranges(spark, sf_dir):
+    """All sequences written as FASTA in lines of 60 bases, and the middle third of each read back from byte ranges."""
+    seqs = sequences(spark, sf_dir).where(F.length("seq") >= 3)
+    path = scratch(spark, "fasta")
+    seqs.select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" document\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value")).write.text(path)
+    third = F.floor(F.length("seq") / 3)
+    asked = seqs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("contig"), third.alias("start"), (2 * third).alias("end"))
+    return splits.sliced(splits.fasta_blocks(spark, path, 1 << 20), asked).select("contig", "start", "end", F.md5("seq").alias("slice_md5"))
+
+
+def fastq_ranges(spark, sf_dir):
+    """All reads written as FASTQ and read back from byte ranges."""
+    path = scratch(spark, "fastq")
+    named = reads(spark, sf_dir).withColumn("header", F.concat_ws(":", "conv_id", "turn", "role"))
+    files.fastq_lines(named).write.text(path)
+    rows = splits.read_fastq_ranges(spark, path, 1 << 18)
+    return rows.select("read_id", F.length("seq").cast("long").alias("bases"), F.length("qual").cast("long").alias("qualities"), F.md5("seq").alias("seq_md5"))
+
+
+def gene_targets(spark, sf_dir):
+    """A browser's gene table written from the documents, and symbols and coordinates looked up in it."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n"))
+    text = lambda *c: F.concat_ws("\t", *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    d = F.col("doc_id")
+    chrom = F.concat(F.lit("chr"), (d % 7).cast("string"), F.when(d % 11 == 0, "_alt").otherwise(""))
+    line = text("0", F.concat(F.lit("NM_"), d.cast("string")), chrom, F.when(d % 2 == 0, "+").otherwise("-"), d * 13, d * 13 + F.col("n"), "0", "0", "0", "", "", "0", F.concat(F.lit("g"), (d % 97).cast("string")))
+    path = scratch(spark, "genes")
+    docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
+    target = F.when(d % 3 == 0, F.concat(F.lit("chr"), (d % 7).cast("string"), F.lit(":"), F.format_number(d * 13 + 1, 0), F.lit("-"), F.format_number(d * 13 + 100, 0))).otherwise(F.concat(F.lit("G"), (d % 97).cast("string")))
+    found = genes.resolved(docs.select("doc_id", target.alias("target")), genes.read_genes(spark, path), 100, strict=False)
+    return found.select("doc_id", F.coalesce("chrom", F.lit("none")).alias("chrom"), F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("end", F.lit(-1)).alias("end"), F.coalesce("strand", F.lit("none")).alias("strand"), "label")
+
+
+def transcript_edits(spark, sf_dir):
+    """One variant of a transcript of three exons for every sequence of 40 bases or more, put on the sequence and applied."""
+    n, d = F.col("n"), F.col("doc_id")
+    seqs = sequences(spark, sf_dir).where("length(seq) >= 40 and doc_id is not null").select("doc_id", F.concat(F.lit("d"), d.cast("string")).alias("name"), F.translate("seq", "N", "A").alias("seq"), F.length("seq").cast("long").alias("n"))
+    div = lambda x, k: F.floor(x / k)
+    strand = F.when(d % 2 == 0, "+").otherwise("-")
+    known = seqs.select(F.concat(F.lit("NM_"), d.cast("string"), F.lit(".1")).alias("refseq_id"), F.col("name").alias("chrom"), F.lit(1).cast("long").alias("start"), n.alias("end"), strand.alias("strand"), F.array(F.lit(0).cast("long"), div(n, 3), div(2 * n, 3)).alias("exon_starts"), F.array(div(n, 4), div(n, 2), n).alias("exon_ends"))
+    first = F.when(d % 2 == 0, div(n, 4)).otherwise(n - div(2 * n, 3)) + 2
+    at = F.when(d % 2 == 0, div(n, 3) + 2).otherwise(div(n, 2) - 1).cast("int")
+    base = F.col("seq").substr(at, F.lit(1))
+    ref = F.when(d % 2 == 0, base).otherwise(F.translate(base, "ACGT", "TGCA"))
+    span = lambda k: F.concat(first.cast("string"), F.lit("_"), (first + k).cast("string"))
+    forms = [F.concat(first.cast("string"), ref, F.lit(">"), F.translate(ref, "ACGT", "GTAC")), F.concat(span(1), F.lit("delinsACG")), F.concat(span(2), F.lit("del")), F.concat(span(1), F.lit("dup"))]
+    notation = F.concat(F.lit("NM_"), d.cast("string"), F.lit(".7:c."), F.element_at(F.array(*forms), (d % 4 + 1).cast("int")))
+    placed = transcripts.on_genome(seqs.select(transcripts.variant_fields(notation).alias("v")), known)
+    return prime.applied_edits(placed, seqs, "name").select("chrom", "kind", "start", "end", "ref", "alt", F.md5("edited").alias("edited_md5"))
+
+
 QUERIES = {
     "seed_prefilter_mismatch": seed_prefilter_mismatch, "guide_rollup": guide_rollup, "record_agreement": record_agreement, "score_agreement": score_agreement, "score_lines": score_lines,
+    "fasta_ranges": fasta_ranges, "fastq_ranges": fastq_ranges, "gene_targets": gene_targets, "transcript_edits": transcript_edits,
 }
