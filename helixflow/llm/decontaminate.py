@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders that remember their values. Windows of canonical words are hashed,
 at every position of benchmark items and of documents, and meet in a hash join.
-A document holds an item if, in one occurrence of it, enough of its windows match and the values in its placeholders
-map onto the document's one to one, so a question asked again with other numbers or names is caught too.
+A document holds an item if, in one occurrence of it, enough of its windows match and each value in its placeholders
+has one value in the document, so a question asked again with other numbers or names is caught too. Capitals tell names; so
+windows with names meet folded as well, as plain words in lower case, and a copy in another case is caught.
 """
 
 from __future__ import annotations
@@ -42,13 +43,22 @@ def runs_of_words(words: Column, n: int) -> Column:
 
 
 def windows(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_words, pos, template (hash of the window with values removed), slots (its values; null if none), from
-    ``words`` (canonical)."""
+    """keys, n_words, pos, template (hash of the window with values removed), folded and window (with values), from
+    ``words`` (canonical). A window with names has two rows: by its template, and folded, with its names as plain words. So the same
+    text meets itself whatever its capitals tell of names."""
     values = F.regexp_replace("words", f"({MARKS})[^ ]*+", "$1")
     both = frame.select(*keys, runs_of_words(values, WINDOW).alias("t"), runs_of_words(F.col("words"), WINDOW).alias("v"))
     rows = both.select(*keys, (F.size("t") + WINDOW - 1).alias("n_words"), F.posexplode(F.arrays_zip("t", "v")).alias("pos", "w"))
-    slots = F.when(F.col("w.t") != F.col("w.v"), F.regexp_extract_all("w.v", F.lit(f"({MARKS}[^ ]*+)"), F.lit(1)))
-    return rows.select(*keys, "n_words", "pos", F.xxhash64("w.t").alias("template"), slots.alias("slots"))
+    plain = F.replace(F.regexp_replace("w.v", f"([{NUMBER}{UNIT}])[^ ]*+", "$1"), F.lit(NAME), F.lit(""))
+    own = F.xxhash64("w.t")
+    rows = rows.select(*keys, "n_words", "pos", F.col("w.v").alias("window"), F.posexplode(F.when(F.col("w.t").contains(NAME), F.array(own, F.xxhash64(plain))).otherwise(F.array(own))).alias("kind", "template"))
+    return rows.withColumn("folded", F.col("kind") == 1).drop("kind")
+
+
+def slots_of(window: Column, names: Column) -> Column:
+    """The values of a window's placeholders, those of names on request."""
+    of = lambda marks: F.regexp_extract_all(window, F.lit(f"({marks}[^ ]*+)"), F.lit(1))
+    return F.when(names, of(MARKS)).otherwise(of(f"[{NUMBER}{UNIT}]"))
 
 
 def n_words(words: Column) -> Column:
@@ -56,25 +66,28 @@ def n_words(words: Column) -> Column:
 
 
 def short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
-    """doc_id, item_id where all words of an item of at most WINDOW words, values too, stand in a document in a row.
-    None if no item is so short. Both have their words."""
-    short = items.where(n_words(F.col("words")).between(1, WINDOW)).select("item_id", n_words(F.col("words")).alias("n"), F.xxhash64("words").alias("key")).distinct()
+    """doc_id, item_id where all words of an item of at most WINDOW words, values too, stand in a document in a row,
+    whatever their case. None if no item is so short. Both have their words."""
+    items, docs = (df.withColumn("words", F.replace("words", F.lit(NAME), F.lit(""))) for df in (items, docs))
+    n = n_words(F.col("words"))
+    short = items.where(n.between(1, WINDOW)).select("item_id", n.alias("n"), F.xxhash64(n.cast("int"), "words").alias("key")).distinct()
     known = short.agg(F.collect_set("n").alias("sizes"), F.count("*").alias("rows")).first()
     if not known["rows"]:
         return None
 
     def keyed(n: int) -> Column:
-        return F.transform(runs_of_words(F.col("words"), n), lambda w: F.struct(F.lit(n).alias("n"), F.xxhash64(w).alias("key")))
+        return F.transform(runs_of_words(F.col("words"), n), lambda w: F.xxhash64(F.lit(n), w))
 
     hashed = [keyed(n) for n in sorted(known["sizes"])]
-    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*hashed))).alias("w")).select("doc_id", "w.*")
-    return seen.join(F.broadcast(short) if known["rows"] <= BROADCAST_ROWS else short, ["n", "key"]).select("doc_id", "item_id").distinct()
+    # Hashes are longs, of which array_distinct keeps a hash table; of structs it compares all pairs.
+    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*hashed))).alias("key"))
+    return seen.join(F.broadcast(short) if known["rows"] <= BROADCAST_ROWS else short, "key").select("doc_id", "item_id").distinct()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5) -> DataFrame:
     """doc_id, item_id, n_windows (windows of the item that match), share (of those expected), same_values.
 
-    ``share`` is taken of all windows of the item; rows have ``least_share`` or more, two windows at least, and values that map one to one, all in one occurrence: windows at one
+    ``share`` is taken of all windows of the item; rows have ``least_share`` or more, two windows at least, and no value of the item with two values in the document (two values may become one), all in one occurrence: windows at one
     distance from their places in the item, or at distances that differ by an eighth of its words or so, or, for copies
     that are spread out, all windows of the document. Items of fewer than six words are one whole window, which must
     match with its values. Null texts hold nothing. Rows of equal id count as one document or item; a null id is an id
@@ -82,11 +95,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6)
     """
     worded = benchmark.select("item_id", F.coalesce(canonical(F.col("text")), F.lit("")).alias("words"))
     items = worded.where(n_words(F.col("words")) > WINDOW)
-    held = materialise(windows(items, ["item_id"]).withColumnRenamed("pos", "item_pos").withColumnRenamed("slots", "item_slots").withColumnRenamed("n_words", "item_words"))
+    held = materialise(windows(items, ["item_id"]).withColumnsRenamed({"pos": "item_pos", "window": "item_window", "folded": "item_folded", "n_words": "item_words"}))
     n_held = held.count()
     texts = docs.select("doc_id", canonical(F.col("text")).alias("words"))
     met = windows(texts, ["doc_id"]).drop("n_words").join(F.broadcast(held) if n_held <= BROADCAST_ROWS else held, "template")
-    values = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.arrays_zip("item_slots", "slots"))
+    # Values are read where windows have met, those of names where both sides have the template.
+    names = ~(F.col("folded") | F.col("item_folded"))
+    met = met.select("doc_id", "item_id", "pos", "item_pos", "item_words", slots_of(F.col("item_window"), names).alias("item_slots"), slots_of(F.col("window"), names).alias("slots"))
+    values = F.when(F.size("slots") > 0, F.arrays_zip("item_slots", "slots"))
     # Occurrences: one distance, two neighbouring bins of distances (half an item at most), the whole document.
     distance = F.col("pos") - F.col("item_pos")
     cell = F.floor(distance / F.greatest(F.lit(2), F.floor(F.col("item_words") / 8))).cast("int")
@@ -99,10 +115,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6)
     )
     n = F.size("places")
     expected = F.col("item_words") - WINDOW + 1
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs"))
+    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")
     found = (
         by_span.withColumn("share", F.least(n / expected, F.lit(1.0)))
-        .where((n >= 2) & (F.col("share") >= least_share) & one_to_one)
+        .where((n >= 2) & (F.col("share") >= least_share) & consistent)
         .groupBy("doc_id", "item_id")
         .agg(F.max(n).cast("long").alias("n_windows"), F.max("share").alias("share"), F.bool_or(F.forall("pairs", lambda p: p["item_slots"] == p["slots"])).alias("same_values"))
     )
