@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; block elements cut the page into lines, each with its text, its tags,
 its links and the section that holds it. The ratios of text to tags are smoothed along the page and split in two by
-iterated means; sections whose lines lie in the upper cluster are content. What stands in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments never becomes a line.
+iterated means; sections whose lines lie in the upper cluster, or have sentences of their own, are content. What stands in menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or reader comments never becomes a line; inside an article, whose
+header is its own, names of classes that may as well be a paragraph's only lower its ratio. Parts that a page never closes end where an article or main element starts.
 """
 
 from __future__ import annotations
@@ -24,13 +25,22 @@ RAW = frozenset("script style template noscript iframe svg math textarea title".
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SECTION = frozenset("article main section div td body html blockquote figure".split())
 CLOSES_P = BLOCK - {"body", "html"}
-#: Words of class, id and role names that mark what is not main text.
+#: Words of class, id and role names that mark what is not main text, wherever it stands.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adbox|adslot|adverts?|advertisements?|advertising|adsense|banner|promo|promos|promotion|sponsor|sponsored|nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|rail|widget|widgets|"
-    r"cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comment|comments|commentlist|discussion|disqus|respond|replies|reply|"
-    r"search|form|skip|toolbar|pagination|pager|copyright|legal|complementary|contentinfo|search|alertdialog)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adbox|adslot|adverts?|advertisements?|advertising|adsense|banner|promo|promos|promotion|sponsor|sponsored|nav|navbar|navigation|menu|menus|breadcrumbs?|masthead|footer|sidebar|rail|widget|widgets|"
+    r"cookie|cookies|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|comments|commentlist|disqus|pagination|pager|complementary|contentinfo|alertdialog)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Words that mark it outside of articles; inside one, where a paragraph may be called so too, they only weigh on a line's ratio.
+WEAK = re.compile(
+    r"(?:^|[\s_-])(?:header|foot|side|aside|notice|notices|notification|alert|login|share|sharing|social|related|recommended|recommendations|comment|discussion|respond|replies|reply|search|form|skip|toolbar|copyright|legal)(?:$|[\s_-]|\d)",
+    re.I,
+)
+#: What a weak word takes from the ratio of a line in an article, and characters of unlinked text that no other text on a
+#: page outweighs: of a line anywhere, and of the best line of an article.
+WEAK_TERM, SENTENCE, SHORT_SENTENCE = 1.5, 60, 20
+#: Parts that end where an article or main element starts, if the page opens more of them than it closes.
+LOOSE = re.compile(r"<(/?)(nav|header|footer|aside|form|menu|noscript|label|button|select|fieldset)\b", re.I)
 #: Words that only say that a neighbour exists, and the joints of camelCase names.
 BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)-\S+", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -40,24 +50,31 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects lines: [text, tags, link characters, section]. ``sections`` has the depth and name of each section."""
+    """Collects lines: [text, tags, link characters, section, whether a weak word marks it]. ``sections`` has the depth and name of each section."""
 
-    def __init__(self):
+    def __init__(self, loose: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool]] = []  # name, whether it starts a skipped part
-        self.skipping = 0
+        self.open: list[tuple[str, bool, bool]] = []  # name, whether it starts a skipped part, whether a weak word marks it
+        self.loose = loose
+        self.skipping = self.weak = self.articles = 0
         self.links = 0
         self.text: list[str] = []
         self.tags = 0
         self.link_chars = 0
         self.sections: list[int] = [0]
         self.kinds: list[tuple[str, int]] = [("root", -1)]  # name and parent of each section
+        # Where names and groups of names stand in ``open``, so that no end tag walks over it.
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.items: list[int] = []
+        self.holders: list[int] = []
+        self.noises: list[int] = []
 
     def cut(self):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append([text, self.tags, self.link_chars, self.sections[-1]])
+            self.lines.append([text, self.tags, self.link_chars, self.sections[-1], self.weak > 0])
             self.tags = 0
         self.text, self.link_chars = [], 0
 
@@ -69,49 +86,60 @@ class Lines(HTMLParser):
             if tag == "hr":
                 self.cut()
             return
-        if tag in CLOSES_P:
-            self.close_p()
-        if tag == "li":
-            self.close_to("li", ("ul", "ol", "menu"))
+        if tag in ("article", "main") and self.noises and self.open[self.noises[-1]][0] in self.loose:
+            self.pop_to(self.noises[-1])
+        if tag in CLOSES_P and self.blocks and self.open[self.blocks[-1]][0] == "p":
+            self.pop_to(self.blocks[-1])
+        if tag == "li" and self.items and self.open[self.items[-1]][0] == "li":
+            self.pop_to(self.items[-1])
         self.tags += 1
-        noise = tag in SKIP
+        noise, weak = tag in SKIP and not (tag == "header" and self.articles), False
         if not noise and attrs:
             named = dict(attrs)
             marks = " ".join(x for k in ("class", "id", "role") if (x := named.get(k)))
-            noise = bool(marks and tag not in UNMARKED and NOISE.search(CAMEL.sub("-", BESIDE.sub("", marks)))) or "hidden" in named or named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style") or ""))
+            if marks and tag not in UNMARKED:
+                marks = CAMEL.sub("-", BESIDE.sub("", marks))
+                weak = bool(WEAK.search(marks))
+                noise = bool(NOISE.search(marks)) or weak and not self.articles
+            noise = noise or "hidden" in named or named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style") or ""))
         if tag in BLOCK or noise:
             self.cut()
-        self.open.append((tag, noise))
+        self.push(tag, noise, weak and not noise and tag in BLOCK)
         if noise:
             self.skipping += 1
         elif tag in SECTION and not self.skipping:
             self.kinds.append((tag, self.sections[-1]))
             self.sections.append(len(self.kinds) - 1)
-        self.links += tag == "a"
 
-    def close_p(self):
-        for k in range(len(self.open) - 1, -1, -1):
-            tag = self.open[k][0]
-            if tag == "p":
-                self.pop_to(k)
-                return
-            if tag in BLOCK or tag in SKIP:
-                return
-
-    def close_to(self, name, stops):
-        for k in range(len(self.open) - 1, -1, -1):
-            tag = self.open[k][0]
-            if tag == name:
-                self.pop_to(k)
-                return
-            if tag in stops:
-                return
+    def groups(self, tag, noise):
+        yield self.at.setdefault(tag, [])
+        if tag in BLOCK or tag in SKIP:
+            yield self.blocks
+        if tag in ("li", "ul", "ol", "menu"):
+            yield self.items
+        if tag in SECTION:
+            yield self.holders
+        if noise:
+            yield self.noises
+
+    def push(self, tag, noise, weak):
+        for group in self.groups(tag, noise):
+            group.append(len(self.open))
+        self.open.append((tag, noise, weak))
+        self.links += tag == "a"
+        self.weak += weak
+        self.articles += tag in ("article", "main")
 
     def pop_to(self, k):
         while len(self.open) > k:
-            tag, noise = self.open.pop()
+            tag, noise, weak = self.open[-1]
             if tag in BLOCK or noise:
                 self.cut()
+            self.open.pop()
+            for group in self.groups(tag, noise):
+                group.pop()
+            self.weak -= weak
+            self.articles -= tag in ("article", "main")
             if noise:
                 self.skipping -= 1
             elif tag in SECTION and not self.skipping and len(self.sections) > 1:
@@ -119,17 +147,16 @@ class Lines(HTMLParser):
             self.links -= tag == "a"
 
     def handle_endtag(self, tag):
-        if tag in ("br", "p") and not any(t == tag for t, _ in self.open):
+        places = self.at.get(tag)
+        if tag in ("br", "p") and not places:
             self.cut() if tag == "p" else self.text.append(" ")
             return
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                self.pop_to(k)
-                return
-            if name in SECTION and tag not in SECTION and tag not in SKIP and tag not in BLOCK:
-                return  # a stray end tag of an inline element
+        if not places:
+            return
+        inline = tag not in SECTION and tag not in SKIP and tag not in BLOCK
+        if not inline or not self.holders or places[-1] > self.holders[-1]:  # else a stray end tag of an inline element
+            self.pop_to(places[-1])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -178,7 +205,10 @@ def two_means(values: np.ndarray) -> float:
 def main_text(html: str | None, sigma: float = 2.0) -> str:
     if not html:
         return ""
-    parser = Lines()
+    count: dict[str, int] = {}
+    for end, name in LOOSE.findall(html):
+        count[name.lower()] = count.get(name.lower(), 0) + (-1 if end else 1)
+    parser = Lines(frozenset(n for n, c in count.items() if c > 0))
     parser.feed(html)
     parser.close()
     lines = parser.lines
@@ -195,17 +225,22 @@ def main_text(html: str | None, sigma: float = 2.0) -> str:
             at = kinds[at][1]
         return best
 
-    held = [holder(x[3]) for x in lines]
-    ratio = np.array([np.log1p(max(len(x[0]) - 2 * x[2], 0)) - np.log1p(x[1]) / 2 for x in lines])
+    around: dict[int, int] = {}
+    held = [around[x[3]] if x[3] in around else around.setdefault(x[3], holder(x[3])) for x in lines]
+    ratio = np.array([np.log1p(max(len(x[0]) - 2 * x[2], 0)) - np.log1p(x[1]) / 2 - WEAK_TERM * x[4] for x in lines])
     flat = smoothed(ratio, sigma)
-    content = flat > two_means(flat)
+    threshold = two_means(flat)
+    content = (flat > threshold) | (ratio > np.log1p(SENTENCE))
     # A section stands or falls as a whole, by the text of its lines in either cluster, so that short lines inside
-    # it stay. An article or main element is one section; it must pass like any other.
+    # it stay. An article or main element is one section; it must pass like any other, or have one sentence of its own.
     weight: dict[int, list[float]] = {}
-    for h, x, c in zip(held, lines, content, strict=True):
+    best: dict[int, float] = {}
+    for h, x, c, r in zip(held, lines, content, ratio, strict=True):
         weight.setdefault(h, [0.0, 0.0])[int(c)] += len(x[0])
-    chosen = {h for h, (low, high) in weight.items() if high >= low} or set(held)
-    return "\n".join(x[0] for x, h in zip(lines, held, strict=True) if h in chosen)
+        best[h] = max(best.get(h, r), r)
+    chosen = {h for h, (low, high) in weight.items() if high >= low or kinds[h][0] in ("article", "main") and best[h] > np.log1p(SHORT_SENTENCE)} or set(held)
+    # Of lines with a weak word those that are no content by themselves go.
+    return "\n".join(x[0] for x, h, r in zip(lines, held, ratio, strict=True) if h in chosen and not (x[4] and r <= min(threshold, np.log1p(SENTENCE))))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -215,3 +215,36 @@ def test_html_malformed_declarations():
     for bad in ("<![foo[x]]>", "<![if IE]>", "<!foo", "<!-", "<![CDATA[x]]>"):
         out = main_text(f"<html><body>{story}{bad}{story}</body></html>")
         assert "A long paragraph of the story." in out
+
+
+STORY = "<p>" + "A plain paragraph of the story goes on with many words. " * 5 + "</p>"
+
+
+def test_html_no_article_is_lost():
+    """Short articles beside long text, class names of paragraphs, headers of articles, parts that never close."""
+    line = "The council met on Monday and decided at last to repair the old bridge before winter. " * 3
+    assert line.strip() in html_extract.main_text(f"<body><article><p>{line}</p></article><div>{STORY * 3}</div></body>")
+    news = "Rain is expected in the north by Friday night."
+    assert news in html_extract.main_text(f"<body><article><p>{news}</p></article><ul>{''.join(f'<li>{STORY}</li>' for _ in range(10))}</ul></body>")
+    inside = "".join(f'<{tag} class="{name}">{line}{name}</{tag}>' for tag, name in (("p", "legal"), ("div", "social"), ("p", "reply"), ("p", "notice")))
+    text = html_extract.main_text(f"<body><article><header><h1>The bridge</h1></header>{STORY}{inside}{STORY}<div class='share'><a href=x>Share</a> <a href=y>Like</a></div></article></body>")
+    assert text.startswith("The bridge\n") and all(f"{name}" in text for name in ("legal", "social", "reply", "notice")) and "Share" not in text
+    for part in ("nav", "aside", "header", "form"):
+        text = html_extract.main_text(f"<body><{part}><a href=x>Menu</a><article><h1>Head</h1>{STORY}</article></body>")
+        assert text.startswith("Head\nA plain") and "Menu" not in text
+    closed = html_extract.main_text(f"<body><article>{STORY}</article><aside><article><p>Another story that stands in the sidebar as a teaser.</p></article></aside></body>")
+    assert "teaser" not in closed and "A plain" in closed
+
+
+def test_html_stray_tags_are_linear():
+    import time
+
+    began = time.time()
+    for page in ("<div><i>" + "<div>" + "<b>" * 20_000 + "</i>" * 20_000, "<p>" + "<b>" * 20_000 + "<div></div>" * 20_000, "<ul>" + "<i>" * 20_000 + "<li>x" * 5_000, "<b>" * 20_000 + "</p>" * 20_000 + "</em>" * 20_000):
+        html_extract.main_text(page + "text of the page")
+    assert time.time() - began < 20
+
+
+def test_html_weak_words_do_not_split_lines():
+    text = html_extract.main_text(f'<article>{STORY}<p>The <span class="legal">court</span> ruled <b class="social">today</b>.</p></article>')
+    assert text.endswith("\nThe court ruled today.")
