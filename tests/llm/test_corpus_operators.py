@@ -376,3 +376,24 @@ def test_url_propagation_settles(spark):
     with pytest.raises(RuntimeError):
         seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust0 double, distrust0 double")
         url_filter.propagate(seeds, spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, weight long"), most_rounds=5)
+
+
+def test_verdicts_settle_early_and_at_any_scale(spark):
+    """Verdicts of few rounds equal those of settled ranks; seeds of 1e10 settle as well."""
+    draw = random.Random(8)
+    hosts = [f"h{i}.{draw.choice(['org', 'net', 'com'])}" for i in range(60)]
+    pages = [(i, f"http://{draw.choice(hosts)}/{draw.choice(['fr', 'de', 'x'])}/{i}", " ".join(f'<a href="http://{draw.choice(hosts)}/">' for _ in range(draw.randrange(4)))) for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    full, few = ({r.page_id: r.verdict for r in url_filter.judge_urls(df, ranks=ranks).collect()} for ranks in (True, False))
+    assert full == few and set(full.values()) == {"allow", "block"}
+    seeds = [(h, draw.random() * 1e10, draw.random() * 1e10) for h in hosts]
+    edges = [(a, b, draw.randrange(1, 9)) for a in hosts for b in draw.sample(hosts, 3) if a != b]
+    rank = url_filter.propagate(spark.createDataFrame(seeds, "host string, trust0 double, distrust0 double"), spark.createDataFrame(edges, "src string, dst string, weight long")).collect()
+    step = np.zeros((60, 60))
+    for a, b, w in edges:
+        step[hosts.index(b), hosts.index(a)] += w / sum(e[2] for e in edges if e[0] == a)
+    want = np.linalg.solve(np.eye(60) - 0.85 * step, 0.15 * np.array([s[1] for s in seeds]))
+    got = np.zeros(60)
+    for r in rank:
+        got[hosts.index(r.host)] = r.trust
+    assert np.abs(got - want).sum() <= 1e-6 * sum(s[1] + s[2] for s in seeds)
