@@ -2,7 +2,8 @@ r"""Chat formatting with a grammar round trip, in DataFrame functions alone.
 
 A turn is written as ``### <role>: <text></turn>\n``. The parser splits at ``</turn>``, takes the role up
 to the first ``: ``, undoes the escapes and refuses content with a bare ``###``. Each turn is first written as it is; it is parsed again, and where
-the parse does not return exactly this one turn, its content is escaped and checked once more.
+the parse does not return exactly this one turn, its content is escaped and parsed once more, until it returns the turn. The
+finished conversation is parsed as well, and its turns compared with the source; a difference is an error.
 
 Escapes, all of two characters: ``\\`` for a backslash, ``\h`` for ``###``, ``\e`` for ``</turn>``, and in roles
 ``\c`` for a colon. After escaping, no content holds a control string, so parses of single turns concatenate.
@@ -50,7 +51,24 @@ def parse(formatted: Column) -> Column:
     return F.when(whole, F.transform(turns, one))
 
 
-def format_chats(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+#: Ways to write a role and a text, tried in this order until the parse gives them back.
+ESCAPES = (
+    (lambda role: role, lambda text: text),
+    (lambda role: F.replace(escape(role), F.lit(":"), F.lit("\\c")), escape),
+)
+
+
+def written_turn(role: Column, text: Column, escapes=ESCAPES) -> Column:
+    """struct<role,text>: the turn as the first of ``escapes`` writes it that the parser reads back; an error if none does."""
+    source = F.array(F.struct(role.alias("role"), text.alias("text")))
+    out = F.raise_error(F.concat(F.lit("no escape brings back the turn of role "), role)).cast("struct<role:string,text:string>")
+    for of_role, of_text in reversed(escapes):
+        r, t = of_role(role), of_text(text)
+        out = F.when(F.coalesce(parse(render(r, t)) == source, F.lit(False)), F.struct(r.alias("role"), t.alias("text"))).otherwise(out)
+    return out
+
+
+def format_chats(turns: DataFrame, escapes=ESCAPES) -> DataFrame:
     """conv_id, formatted, loss_spans (array of start, end in code points, escaped text of assistant turns).
 
     Rows are turns (conv_id, turn, role, text; others are ignored). A null text or role is an empty string; rows
@@ -58,31 +76,27 @@ def format_chats(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     of turn first; repeated rows are repeated turns. An empty table gives an empty table.
     """
     src = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    raw = render(F.col("role"), F.col("text"))
-    safe_role, safe_text = F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\c")), escape(F.col("text"))
-    same = F.coalesce(parse(F.col("raw")) == F.array(F.struct(F.col("role"), F.col("text"))), F.lit(False))
-    # Content without a backslash, a control string or a colon in the role is left as it is by every escape, and so
-    # needs no second try; the parse decides for the others.
-    suspect = F.col("raw").contains("\\") | F.col("text").contains("###") | F.col("text").contains("</turn>") | F.col("role").rlike(":|###|</turn>")
-    written = src.withColumn("raw", raw).withColumn("fits", ~suspect | same)
-    written = written.select(
-        "conv_id", "turn", "role", "text",
-        F.when(F.col("fits"), F.col("role")).otherwise(safe_role).alias("w_role"),
-        F.when(F.col("fits"), F.col("text")).otherwise(safe_text).alias("w_text"),
-    )
+    written = src.withColumn("w", F.transform(F.array(F.struct("role", "text")), lambda x: written_turn(x["role"], x["text"], escapes))[0])
+    written = written.select("conv_id", "turn", "role", "text", F.col("w.role").alias("w_role"), F.col("w.text").alias("w_text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     n = F.length("w_text").cast("long")
     lead = F.lit(len(HEAD) + len(SEP)) + F.length("w_role")
     placed = written.withColumn("at", F.row_number().over(order)).withColumn("stop", F.sum(lead + n + len(END)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     stop_text = F.col("stop") - len(END)
     span = F.when(F.col("role") == "assistant", F.struct((stop_text - n).alias("start"), stop_text.alias("end")))
-    rows = placed.select("conv_id", F.struct("at", render(F.col("w_role"), F.col("w_text")).alias("s"), span.alias("span")).alias("t"))
+    # The source goes along as hashes of its turns, to be compared with what the whole conversation parses to.
+    own = lambda role, text: F.xxhash64(role, F.lit("\n"), text)
+    rows = placed.select("conv_id", F.struct("at", render(F.col("w_role"), F.col("w_text")).alias("s"), span.alias("span"), own(F.col("role"), F.col("text")).alias("h")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    return grouped.select(
+    whole = grouped.select(
         "conv_id",
         F.array_join(F.transform("ts", lambda t: t["s"]), "").alias("formatted"),
         F.filter(F.transform("ts", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
+        F.transform("ts", lambda t: t["h"]).alias("source"),
     )
+    back = F.transform(parse(F.col("formatted")), lambda t: own(t["role"], t["text"]))
+    lost = F.raise_error(F.concat(F.lit("conversation does not parse to its source: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string")
+    return whole.select("conv_id", F.when(F.coalesce(back == F.col("source"), F.lit(False)), F.col("formatted")).otherwise(lost).alias("formatted"), "loss_spans")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -248,3 +248,15 @@ def test_html_stray_tags_are_linear():
 def test_html_weak_words_do_not_split_lines():
     text = html_extract.main_text(f'<article>{STORY}<p>The <span class="legal">court</span> ruled <b class="social">today</b>.</p></article>')
     assert text.endswith("\nThe court ruled today.")
+
+
+def test_weak_escapes_are_repaired_or_fail(spark):
+    """A first escape that is not enough gives way to the next; with none that is, the job fails."""
+    rows = [(1, 0, "user", "### a </turn>\n"), (1, 1, "assistant", "fine"), (2, 0, "a: b", "\\h ###"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    weak = (lambda r: r, lambda t: F.replace(t, F.lit("###"), F.lit("\\h")))
+    turns = lambda escapes: {r.conv_id: [(t["role"], t["text"]) for t in r.t] for r in chat_format.format_chats(df, escapes).select("conv_id", chat_format.parse(F.col("formatted")).alias("t")).collect()}
+    want = {1: [("user", "### a </turn>\n"), ("assistant", "fine")], 2: [("a: b", "\\h ###")], 3: [("", "")]}
+    assert turns(chat_format.ESCAPES) == want and turns((chat_format.ESCAPES[0], weak, chat_format.ESCAPES[1])) == want
+    with pytest.raises(Exception, match="no escape brings back"):
+        turns((chat_format.ESCAPES[0], weak))
