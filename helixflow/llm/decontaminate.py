@@ -42,17 +42,31 @@ def runs_of_words(words: Column, n: int) -> Column:
     return F.regexp_extract_all(words, F.lit(f"(?=([^ ]++(?: [^ ]++){{{n - 1}}}))[^ ]++ ?"), F.lit(1))
 
 
+def hashed_windows(words: Column) -> Column:
+    """The hash of each run of WINDOW words of an array; null where it is shorter. The array is bound to a variable, so that
+    it is not made anew for each word."""
+
+    def one(w: Column) -> Column:
+        n = F.size(w)
+        return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
+
+    return F.transform(F.array(words), one)[0]
+
+
 def windows(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_words, pos, template (hash of the window with values removed), folded and window (with values), from
-    ``words`` (canonical). A window with names has two rows: by its template, and folded, with its names as plain words. So the same
-    text meets itself whatever its capitals tell of names."""
-    values = F.regexp_replace("words", f"({MARKS})[^ ]*+", "$1")
-    both = frame.select(*keys, runs_of_words(values, WINDOW).alias("t"), runs_of_words(F.col("words"), WINDOW).alias("v"))
-    rows = both.select(*keys, (F.size("t") + WINDOW - 1).alias("n_words"), F.posexplode(F.arrays_zip("t", "v")).alias("pos", "w"))
-    plain = F.replace(F.regexp_replace("w.v", f"([{NUMBER}{UNIT}])[^ ]*+", "$1"), F.lit(NAME), F.lit(""))
-    own = F.xxhash64("w.t")
-    rows = rows.select(*keys, "n_words", "pos", F.col("w.v").alias("window"), F.posexplode(F.when(F.col("w.t").contains(NAME), F.array(own, F.xxhash64(plain))).otherwise(F.array(own))).alias("kind", "template"))
-    return rows.withColumn("folded", F.col("kind") == 1).drop("kind")
+    """keys, pos, template (hash of the window with values removed), folded and all (the words, with values, as one array), from
+    ``words`` (canonical). Texts with names have each window twice: by its template, and folded, with names as plain words. So the same
+    text meets itself whatever its capitals tell of names. No row holds a window's text; ``window_at`` gives it."""
+    bare = F.regexp_replace("words", f"([{NUMBER}{UNIT}])[^ ]*+", "$1")
+    named = F.col("words").contains(NAME)
+    arrays = frame.select(*keys, F.split("words", " ").alias("all"), F.split(F.when(named, F.regexp_replace(bare, f"({NAME})[^ ]*+", "$1")).otherwise(bare), " ").alias("t"), F.when(named, F.split(F.replace(bare, F.lit(NAME), F.lit("")), " ")).alias("f"))
+    hashes = arrays.select(*keys, "all", (F.size("all") - WINDOW + 1).alias("n"), F.concat(hashed_windows(F.col("t")), F.coalesce(hashed_windows(F.col("f")), F.array().cast("array<long>"))).alias("h"))
+    rows = hashes.select(*keys, "all", "n", F.posexplode("h").alias("at", "template"))
+    return rows.select(*keys, F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("pos"), "template", (F.col("at") >= F.col("n")).alias("folded"), "all")
+
+
+def window_at(words: str, pos: str) -> Column:
+    return F.array_join(F.slice(words, F.col(pos) + 1, F.lit(WINDOW)), " ")
 
 
 def slots_of(window: Column, names: Column) -> Column:
@@ -95,10 +109,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5)
     """
     worded = benchmark.select("item_id", F.coalesce(canonical(F.col("text")), F.lit("")).alias("words"))
     items = worded.where(n_words(F.col("words")) > WINDOW)
-    held = materialise(windows(items, ["item_id"]).withColumnsRenamed({"pos": "item_pos", "window": "item_window", "folded": "item_folded", "n_words": "item_words"}))
+    held = windows(items, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "template", F.col("folded").alias("item_folded"), F.size("all").alias("item_words"), window_at("all", "pos").alias("item_window"))
+    held = materialise(held)
     n_held = held.count()
     texts = docs.select("doc_id", canonical(F.col("text")).alias("words"))
-    met = windows(texts, ["doc_id"]).drop("n_words").join(F.broadcast(held) if n_held <= BROADCAST_ROWS else held, "template")
+    seen = windows(texts, ["doc_id"])
+    if n_held <= BROADCAST_ROWS:  # windows are put together where they have met, in the task that has the words
+        met = seen.join(F.broadcast(held), "template").withColumn("window", window_at("all", "pos"))
+    else:
+        met = seen.withColumn("window", window_at("all", "pos")).drop("all").join(held, "template")
     # Values are read where windows have met, those of names where both sides have the template.
     names = ~(F.col("folded") | F.col("item_folded"))
     met = met.select("doc_id", "item_id", "pos", "item_pos", "item_words", slots_of(F.col("item_window"), names).alias("item_slots"), slots_of(F.col("window"), names).alias("slots"))
