@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dna import BASES, LETTERS
+from ..operators.prime import SCAFFOLD
 from ..operators.scoring import ACTIVITY_GC_HIGH, ACTIVITY_GC_LOW, ACTIVITY_INTERCEPT, POSITION_WEIGHTS, activity_weights
 
 ADAPTER = "TTACT"
@@ -201,6 +202,9 @@ select doc_id, 'd' || doc_id as chrom, start, "end", md5(substr(seq, start + 1,
 
 _NEAR = "hamming(substr(site, 9, 12), substr(spacer, 9, 12))"
 _DNA_SITE = "array_to_string(list_transform(range(1, 21), lambda i: case when substr(site, i::int, 1) = substr(spacer, i::int, 1) then substr(site, i::int, 1) else lower(substr(site, i::int, 1)) end), '') || substr(site, 21, 3)"
+_PE2_ITEMS = PE2.replace(S + ", ", B + ", ", 1).replace("doc_id", "item_id").replace("from s where", "from b where").replace("select item_id, strand, translate", "select item_id, start, strand, translate")
+_PE2_ITEMS = _PE2_ITEMS.replace("select item_id, origin, '+'", "select item_id, start, origin, '+'").replace("union all select item_id, origin, '-'", "union all select item_id, start, origin, '-'").replace("select item_id, start, strand, translate", "pe2 as (select item_id, start, strand, translate") + ")"
+_PE2_ITEMS = _PE2_ITEMS.replace("\npe2 as", ",\npe2 as", 1)
 _PLACE = "row_number() over (order by conv_id nulls first, turn nulls first, role nulls first, seq nulls first) as p"
 
 
@@ -242,4 +246,21 @@ y as (select *, case when doc_id % 2 = 0 then n // 3 + 1 else n // 2 - 1 - w end
 z as (select *, substr(seq, start + 1, w) as ref from y),
 a as (select *, case form when 0 then translate(ref, 'ACGT', 'GTAC') when 1 then case when doc_id % 2 = 0 then 'ACG' else 'CGT' end when 2 then '' else ref || ref end as alt from z)
 select 'd' || doc_id as chrom, case form when 0 then 'substitution' when 1 then 'replacement' when 2 then 'deletion' else 'duplication' end as kind, start, start + w as "end", ref, alt, md5(substr(seq, 1, start) || alt || substr(seq, start + w + 1)) as edited_md5 from a""",
+    "pe_ranking": f"""with {_PE2_ITEMS}, {_cpg(40)}, {SCORED.replace(S + ', ', '', 1).replace(B + ', ', '', 1)},
+nk as (select distinct p.item_id, p.strand, p.nick, p.start as e from pe2 p),
+nn as (select nk.item_id, nk.strand, nick, substr(site, 1, 20) as nicking_spacer, row_number() over (partition by nk.item_id, nk.strand, nick order by abs(nick - case bs.strand when '+' then bs.start + 17 else bs.start + 6 end), substr(site, 1, 20), bs.start) as rn
+  from nk join bs on nk.item_id = bs.item_id and nk.strand <> bs.strand and abs(nick - case bs.strand when '+' then bs.start + 17 else bs.start + 6 end) between 40 and 100 and case bs.strand when '+' then bs.start + 17 else bs.start + 6 end <> e),
+pc as (select *, null as nicking_spacer, 'PE2' as strategy from pe2 union all select p.*, n.nicking_spacer, 'PE3' from pe2 p join nn n on n.rn = 1 and p.item_id = n.item_id and p.strand = n.strand and p.nick = n.nick),
+fl as (select guide_id, score, exists (select 1 from isl where isl.doc_id = scored.doc_id and scored.start >= isl.start and scored.start < isl."end") as i from scored where mismatches > 0),
+rk as (select *, row_number() over (partition by guide_id, i order by score desc) as r from fl),
+sp as (select guide_id, round(10000.0::double / (100.0 + 100.0 * coalesce(sum(score) filter (where r <= 200 and not i), 0)), 6) as s, count(*) filter (where not i) as n,
+  round(10000.0::double / (100.0 + 100.0 * coalesce(sum(score) filter (where r <= 200 and i), 0)), 6) as ps, count(*) filter (where i) as pn from rk group by 1),
+f as (select c.*, coalesce(o.s, 100.0::double) as specificity, coalesce(o.n, 0) as off_targets, coalesce(o.ps, 100.0::double) as paralog_specificity, coalesce(o.pn, 0) as paralog_hits,
+  case when c.nicking_spacer is null then -1.0::double else coalesce(q.s, 100.0::double) end as nicking_specificity, case when c.nicking_spacer is null then -1 else coalesce(q.n, 0) end as nicking_off_targets,
+  length(regexp_replace(pbs, '[^CG]', '', 'g')) as pg, length(regexp_replace(rtt, '[^CG]', '', 'g')) as rg
+  from pc c left join sp o on o.guide_id = c.spacer left join sp q on q.guide_id = c.nicking_spacer),
+h as (select *, case when rtt like 'C%' then null else round(50.0::double + pg - 2 * abs(pbs_length - 13) - (rtt_length - 10) / 10.0::double - 0.3::double * specificity - 0.15::double * greatest(nicking_specificity, 0) - 0.1::double * greatest(0, 1.5::double * (rg + pg) - 25), 9) end as x,
+  item_id || '_' || nick || case strand when '+' then '_p_pbs' else '_m_pbs' end || pbs_length || '_rtt' || rtt_length || '_sgRNA_' || strategy || '_' || substr(sha1(translate(spacer, 'T', 'U') || '{SCAFFOLD.replace("T", "U")}' || rtt || pbs), 1, 8) as pegrna_id from f),
+z as (select *, row_number() over (partition by item_id order by (x is null)::int, coalesce(-x, 0), strand, nick, pbs_length, rtt_length, strategy, pegrna_id) as rank from h)
+select item_id, rank, pegrna_id, spacer, strategy, coalesce(round(x, 6), -1e9) as composite, specificity, off_targets, paralog_specificity, paralog_hits, coalesce(nicking_spacer, '') as nicking_spacer, nicking_specificity, nicking_off_targets from z where rank <= 20""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, prime, seeds, transcripts, trimming
+from ..operators import agreement, matching, prime, ranking, seeds, transcripts, trimming
 from ..sources import genes, sequences as files, splits
 from .storage import scratch
 from .tables import guides, items, reads, sequences, table
@@ -104,7 +104,39 @@ def transcript_edits(spark, sf_dir):
     return prime.applied_edits(placed, seqs, "name").select("chrom", "kind", "start", "end", "ref", "alt", F.md5("edited").alias("edited_md5"))
 
 
+def pe_candidates(spark, sf_dir):
+    """Candidates for a substitution in the middle of every benchmark item, as PE2 and with the nearest nicking guide as
+    PE3. Efficiencies and folding come from stated rules, in place of learned scorers: callers give their own columns."""
+    seqs = items(spark, sf_dir).where(F.length("seq") >= 23)
+    at = F.floor(F.length("seq") / 2)
+    ref = F.col("seq").substr((at + 1).cast("int"), F.lit(1))
+    edits = seqs.select("item_id", at.alias("start"), ref.alias("ref"), F.translate(ref, "ACGTN", "GTACA").alias("alt"))
+    rows = prime.enumerate_pe2(edits, seqs, "item_id")
+    nicks = rows.select("item_id", "strand", "nick", F.col("start").alias("edit_start"), (F.col("start") + 1).alias("edit_end")).distinct()
+    best = prime.nicking_guides(nicks, matching.pam_sites(seqs, ["item_id"]), ["item_id"]).where("rank = 1").select("item_id", "strand", "nick", "nicking_spacer")
+    two = rows.withColumn("nicking_spacer", F.lit(None).cast("string"))
+    both = two.unionByName(rows.join(best, ["item_id", "strand", "nick"]))
+    gc = lambda c: F.length(c) - F.length(F.translate(c, "CG", ""))
+    efficiency = F.when(F.col("rtt").startswith("C"), float("nan")).otherwise(50.0 + gc("pbs") - 2 * F.abs(F.col("pbs_length") - 13) - (F.col("rtt_length") - 10) / 10)
+    return both.withColumn("efficiency", efficiency).withColumn("mfe", -1.5 * (gc("rtt") + gc("pbs")))
+
+
+def pe_ranking(spark, sf_dir):
+    """The 20 best prime-editing guides of each benchmark item, with off-targets among all documents."""
+    from . import catalog
+
+    candidates = pe_candidates(spark, sf_dir)
+    hits = matching.off_targets(matching.pam_sites(sequences(spark, sf_dir), ["doc_id"]), ranking.spacers_of(candidates), 4)
+    scored = hits.withColumn("score", catalog.scoring.mismatch_score(F.col("spacer"), F.col("site")))
+    flagged = matching.flag_in_spans(scored, catalog.cpg_islands_w40(spark, sf_dir), ["doc_id"], "start", "in_island")
+    off = ranking.split_specificity(flagged, "in_island")
+    off = off.withColumns({c: F.round(c, 6) for c in ("specificity", "paralog_specificity")})
+    rows = ranking.ranked_pegrnas(candidates, off, "item_id")
+    known = F.when(F.isnan("composite"), -1e9).otherwise(F.round("composite", 6))
+    return rows.select("item_id", F.col("rank").cast("long").alias("rank"), "pegrna_id", "spacer", "strategy", known.alias("composite"), "specificity", "off_targets", "paralog_specificity", "paralog_hits", F.coalesce("nicking_spacer", F.lit("")).alias("nicking_spacer"), F.coalesce("nicking_specificity", F.lit(-1.0)).alias("nicking_specificity"), F.coalesce("nicking_off_targets", F.lit(-1)).alias("nicking_off_targets"))
+
+
 QUERIES = {
     "seed_prefilter_mismatch": seed_prefilter_mismatch, "guide_rollup": guide_rollup, "record_agreement": record_agreement, "score_agreement": score_agreement, "score_lines": score_lines,
-    "fasta_ranges": fasta_ranges, "fastq_ranges": fastq_ranges, "gene_targets": gene_targets, "transcript_edits": transcript_edits,
+    "fasta_ranges": fasta_ranges, "fastq_ranges": fastq_ranges, "gene_targets": gene_targets, "transcript_edits": transcript_edits, "pe_ranking": pe_ranking,
 }
