@@ -28,7 +28,7 @@ def canonical(text: Column) -> Column:
     """The words in lower case, one space between them; a placeholder is its mark followed by its value. A name is a
     capitalised word after a word or a comma in the same sentence; a unit stands right after a number; a number goes on
     after a point or comma between digits."""
-    t = F.regexp_replace(text, r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*+", NAME + "$0")
+    t = F.regexp_replace(text, r"([\p{Ll},;] )(?=\p{Lu})", "$1" + NAME)
     t = F.lower(t)
     t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", POINT)
     t = F.regexp_replace(t, f"\\d[\\d{POINT}]*+", f" {NUMBER}$0 ")
@@ -42,27 +42,21 @@ def runs_of_words(words: Column, n: int) -> Column:
     return F.regexp_extract_all(words, F.lit(f"(?=([^ ]++(?: [^ ]++){{{n - 1}}}))[^ ]++ ?"), F.lit(1))
 
 
-def hashed_windows(words: Column) -> Column:
-    """The hash of each run of WINDOW words of an array; null where it is shorter. The array is bound to a variable, so that
-    it is not made anew for each word."""
-
-    def one(w: Column) -> Column:
-        n = F.size(w)
-        return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
-
-    return F.transform(F.array(words), one)[0]
-
-
 def windows(frame: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos, template (hash of the window with values removed), folded and all (the words, with values, as one array), from
     ``words`` (canonical). Texts with names have each window twice: by its template, and folded, with names as plain words. So the same
     text meets itself whatever its capitals tell of names. No row holds a window's text; ``window_at`` gives it."""
     bare = F.regexp_replace("words", f"([{NUMBER}{UNIT}])[^ ]*+", "$1")
     named = F.col("words").contains(NAME)
-    arrays = frame.select(*keys, F.split("words", " ").alias("all"), F.split(F.when(named, F.regexp_replace(bare, f"({NAME})[^ ]*+", "$1")).otherwise(bare), " ").alias("t"), F.when(named, F.split(F.replace(bare, F.lit(NAME), F.lit("")), " ")).alias("f"))
-    hashes = arrays.select(*keys, "all", (F.size("all") - WINDOW + 1).alias("n"), F.concat(hashed_windows(F.col("t")), F.coalesce(hashed_windows(F.col("f")), F.array().cast("array<long>"))).alias("h"))
-    rows = hashes.select(*keys, "all", "n", F.posexplode("h").alias("at", "template"))
-    return rows.select(*keys, F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("pos"), "template", (F.col("at") >= F.col("n")).alias("folded"), "all")
+    texts = frame.select(*keys, "words", bare.alias("bare"), named.alias("named"))
+    runs = texts.select(
+        *keys, F.split("words", " ").alias("all"),
+        runs_of_words(F.when(F.col("named"), F.regexp_replace("bare", f"({NAME})[^ ]*+", "$1")).otherwise(F.col("bare")), WINDOW).alias("t"),
+        F.when(F.col("named"), runs_of_words(F.replace("bare", F.lit(NAME), F.lit("")), WINDOW)).otherwise(F.array().cast("array<string>")).alias("f"),
+    )
+    n = F.size("all") - WINDOW + 1
+    rows = runs.select(*keys, "all", F.posexplode(F.concat("t", "f")).alias("at", "run"))
+    return rows.select(*keys, F.when(F.col("at") < n, F.col("at")).otherwise(F.col("at") - n).alias("pos"), F.xxhash64("run").alias("template"), (F.col("at") >= n).alias("folded"), "all")
 
 
 def window_at(words: str, pos: str) -> Column:
