@@ -264,3 +264,19 @@ h as (select *, case when rtt like 'C%' then null else round(50.0::double + pg -
 z as (select *, row_number() over (partition by item_id order by (x is null)::int, coalesce(-x, 0), strand, nick, pbs_length, rtt_length, strategy, pegrna_id) as rank from h)
 select item_id, rank, pegrna_id, spacer, strategy, coalesce(round(x, 6), -1e9) as composite, specificity, off_targets, paralog_specificity, paralog_hits, coalesce(nicking_spacer, '') as nicking_spacer, nicking_specificity, nicking_off_targets from z where rank <= 20""",
 }
+ORACLE_SQL |= {
+    "pe_result_cells": f"""select item_id, rank, case when composite < -1e8 then 'NA' else printf('%.6g', composite) end as composite, printf('%.6g', specificity) as specificity,
+  case when nicking_specificity < 0 then '' else printf('%.6g', nicking_specificity) end as nicking_specificity from ({ORACLE_SQL['pe_ranking']})""",
+    "kmer_blobs": f"select packed, count from ({ORACLE_SQL['kmer_packed']})",
+    "guide_report": f"""with {CONTEXT}, {SCORED.replace(B + ', ', '', 1)}, act as (select spacer, max(round(activity, 9)) as a from x group by 1),
+t as (select doc_id, length(seq) // 3 as lo, 2 * (length(seq) // 3) as hi from s where doc_id is not null),
+hh as (select scored.*, mismatches = 0 and start >= lo and start < hi as here from scored join t using (doc_id)),
+fo as (select * from (select *, row_number() over (partition by doc_id, spacer order by start, strand) as rn from hh where here) where rn = 1),
+oo as (select doc_id, spacer, sum(score) filter (where mismatches > 0) as total, count(*) as n from hh where not here group by 1, 2),
+cc as (select fo.doc_id, fo.spacer, fo.strand, fo.start, coalesce(a, 0) as a, 10000.0::double / (100.0 + 100.0 * coalesce(total, 0)) as spec, coalesce(n, 0) as n, length(regexp_replace(fo.spacer, '[^GC]', '', 'g')) * 5.0 as gc
+  from fo left join act on act.spacer = fo.spacer left join oo on oo.doc_id = fo.doc_id and oo.spacer = fo.spacer),
+dd as (select *, round(0.5::double * greatest(0, least(1, a)) + 0.5::double * greatest(0, least(1, spec / 100)), 9) as composite from cc),
+ee as (select *, row_number() over (partition by doc_id order by composite desc, spacer) as rank from dd)
+select concat_ws(chr(9), rank, spacer, strand, doc_id, start, printf('%.2f', gc), printf('%.6f', a), printf('%.6f', spec), n, printf('%.6f', composite),
+  concat_ws(';', case when gc < 25 then 'LOW_GC' end, case when gc > 75 then 'HIGH_GC' end, case when contains(spacer, 'TTTT') then 'POLY_T_RUN' end)) as line from ee where rank <= 10""",
+}

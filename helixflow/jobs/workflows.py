@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, matching, prime, ranking, seeds, transcripts, trimming
-from ..sources import genes, sequences as files, splits
+from ..operators import agreement, design, kmers, matching, prime, ranking, seeds, transcripts, trimming
+from ..sources import genes, kmer_tables, reports, results, sequences as files, splits
 from .storage import scratch
 from .tables import guides, items, reads, sequences, table
 
@@ -136,7 +136,37 @@ def pe_ranking(spark, sf_dir):
     return rows.select("item_id", F.col("rank").cast("long").alias("rank"), "pegrna_id", "spacer", "strategy", known.alias("composite"), "specificity", "off_targets", "paralog_specificity", "paralog_hits", F.coalesce("nicking_spacer", F.lit("")).alias("nicking_spacer"), F.coalesce("nicking_specificity", F.lit(-1.0)).alias("nicking_specificity"), F.coalesce("nicking_off_targets", F.lit(-1)).alias("nicking_off_targets"))
 
 
+def pe_result_cells(spark, sf_dir):
+    """The numbers of ``pe_ranking`` as cells of result tables."""
+    rows = pe_ranking(spark, sf_dir)
+    unknown = F.when(F.col("composite") < -1e8, float("nan")).otherwise(F.col("composite"))
+    nicking = F.when(F.col("nicking_specificity") >= 0, F.col("nicking_specificity"))
+    return rows.select("item_id", "rank", results.general(unknown).alias("composite"), results.general(F.col("specificity")).alias("specificity"), results.general(nicking).alias("nicking_specificity"))
+
+
+def kmer_blobs(spark, sf_dir):
+    """All canonical 11-mers with their counts, written as binary records and read back."""
+    path = scratch(spark, "kmers")
+    kmer_tables.write_kmer_blobs(kmers.packed_counts(sequences(spark, sf_dir), 11, ["doc_id"]), path)
+    return kmer_tables.read_kmer_blobs(spark, path, 1 << 20)
+
+
+def guide_report(spark, sf_dir):
+    """Report lines of the ten best benchmark guides for the middle third of every document, searched in the document."""
+    from . import catalog
+
+    seqs = sequences(spark, sf_dir).where("doc_id is not null")
+    third = F.floor(F.length("seq") / 3)
+    targets = seqs.select("doc_id", F.col("doc_id").cast("string").alias("chrom"), third.alias("start"), (2 * third).alias("end"))
+    hits = catalog._scored(spark, sf_dir).withColumn("chrom", F.col("doc_id").cast("string"))
+    on, off = design.locus_hits(hits, targets, "doc_id")
+    activity = catalog._contexts(spark, sf_dir).select(F.col("spacer").alias("guide_id"), F.round(catalog.scoring.activity_score(F.col("context")), 9).alias("score")).groupBy("guide_id").agg(F.max("score").alias("score"))
+    rows = design.ranked_guides(on, off, activity, "doc_id")
+    lines = reports.report_lines(rows.drop("doc_id", "spacer"))
+    return lines.select(F.col(lines.columns[0]).alias("line"))
+
+
 QUERIES = {
     "seed_prefilter_mismatch": seed_prefilter_mismatch, "guide_rollup": guide_rollup, "record_agreement": record_agreement, "score_agreement": score_agreement, "score_lines": score_lines,
-    "fasta_ranges": fasta_ranges, "fastq_ranges": fastq_ranges, "gene_targets": gene_targets, "transcript_edits": transcript_edits, "pe_ranking": pe_ranking,
+    "fasta_ranges": fasta_ranges, "fastq_ranges": fastq_ranges, "gene_targets": gene_targets, "transcript_edits": transcript_edits, "pe_ranking": pe_ranking, "pe_result_cells": pe_result_cells, "kmer_blobs": kmer_blobs, "guide_report": guide_report,
 }

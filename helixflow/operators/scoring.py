@@ -9,26 +9,24 @@ from pyspark.sql import functions as F
 POSITION_WEIGHTS = [0.0, 0.0, 0.014, 0.0, 0.0, 0.395, 0.317, 0.0, 0.389, 0.079, 0.445, 0.508, 0.613, 0.851, 0.732, 0.828, 0.615, 0.804, 0.685, 0.583]
 #: Weight of the two last PAM bases (Doench et al. 2016; fixed values; others are 0).
 PAM_WEIGHTS = {"AG": 0.259259259, "CG": 0.107142857, "GA": 0.069444444, "GC": 0.022222222, "GG": 1.0, "GT": 0.016129032, "TG": 0.038961038}
-#: Activity model of 30 bases (Doench et al. 2014, supplementary table 1; fixed values): "<position><bases>": weight.
+#: Activity model of 30 bases (Doench et al. 2014, supplementary table 1; fixed values): position and bases to weight.
 ACTIVITY_INTERCEPT, ACTIVITY_GC_LOW, ACTIVITY_GC_HIGH = 0.59763615, -0.2026259, -0.1665878
-ACTIVITY_WEIGHTS = """
-1G -0.2753771  2A -0.3238875  2C 0.17212887  3C -0.1006662  4C -0.2018029  4G 0.24595663  5A 0.03644004  5C 0.09837684
-6C -0.7411813  6G -0.3932644  11A -0.466099  14A 0.08537695  14C -0.013814  15A 0.27262051  15C -0.1190226
-15T -0.2859442  16A 0.09745459  16G -0.1755462  17C -0.3457955  17G -0.6780964  18A 0.22508903  18C -0.5077941
-19G -0.4173736  19T -0.054307  20G 0.37989937  20T -0.0907126  21C 0.05782332  21T -0.5305673  22T -0.8770074
-23C -0.8762358  23G 0.27891626  23T -0.4031022  24A -0.0773007  24C 0.28793562  24T -0.2216372  27G -0.6890167
-27T 0.11787758  28C -0.1604453  29G 0.38634258
-1GT -0.6257787  4GC 0.30004332  5AA -0.8348362  5TA 0.76062777  6GG -0.4908167  11GG -1.5169074  11TA 0.7092612
-11TC 0.49629861  11TT -0.5868629  12GG -0.3345637  13GA 0.76384993  13GC -0.5370252  16TG -0.7981461  18GG -0.6668087
-18TC 0.35318325  19CC 0.74807209  19TG -0.3672668  20AC 0.56820913  20CG 0.32907207  20GA -0.8364568  20GG -0.7822076
-21TC -1.029693  22CG 0.85619782  22CT -0.4632077  23AA -0.5794924  23AG 0.64907554  24AG -0.0773007  24CG 0.28793562
-24TG -0.2216372  26GT 0.11787758  28GG -0.69774
-"""
+ACTIVITY_WEIGHTS = {
+    "1G": -0.2753771, "2A": -0.3238875, "2C": 0.17212887, "3C": -0.1006662, "4C": -0.2018029, "4G": 0.24595663, "5A": 0.03644004,
+    "5C": 0.09837684, "6C": -0.7411813, "6G": -0.3932644, "11A": -0.466099, "14A": 0.08537695, "14C": -0.013814, "15A": 0.27262051,
+    "15C": -0.1190226, "15T": -0.2859442, "16A": 0.09745459, "16G": -0.1755462, "17C": -0.3457955, "17G": -0.6780964, "18A": 0.22508903,
+    "18C": -0.5077941, "19G": -0.4173736, "19T": -0.054307, "20G": 0.37989937, "20T": -0.0907126, "21C": 0.05782332, "21T": -0.5305673,
+    "22T": -0.8770074, "23C": -0.8762358, "23G": 0.27891626, "23T": -0.4031022, "24A": -0.0773007, "24C": 0.28793562, "24T": -0.2216372,
+    "27G": -0.6890167, "27T": 0.11787758, "28C": -0.1604453, "29G": 0.38634258, "1GT": -0.6257787, "4GC": 0.30004332, "5AA": -0.8348362,
+    "5TA": 0.76062777, "6GG": -0.4908167, "11GG": -1.5169074, "11TA": 0.7092612, "11TC": 0.49629861, "11TT": -0.5868629, "12GG": -0.3345637,
+    "13GA": 0.76384993, "13GC": -0.5370252, "16TG": -0.7981461, "18GG": -0.6668087, "18TC": 0.35318325, "19CC": 0.74807209, "19TG": -0.3672668,
+    "20AC": 0.56820913, "20CG": 0.32907207, "20GA": -0.8364568, "20GG": -0.7822076, "21TC": -1.029693, "22CG": 0.85619782, "22CT": -0.4632077,
+    "23AA": -0.5794924, "23AG": 0.64907554, "24AG": -0.0773007, "24CG": 0.28793562, "24TG": -0.2216372, "26GT": 0.11787758, "28GG": -0.69774,
+}
 
 
 def activity_weights() -> dict[str, float]:
-    words = ACTIVITY_WEIGHTS.split()
-    return dict(zip(words[::2], map(float, words[1::2]), strict=True))
+    return ACTIVITY_WEIGHTS
 
 
 def mismatch_score(spacer: Column, site: Column, weights: list[float] | None = None) -> Column:
