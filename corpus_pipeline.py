@@ -19,7 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the trees' verdict."""
+    """Documents that pass the base rules and the trees' verdict. A null or empty text has no words and goes; repeated rows, and
+    rows without doc_id, are each judged by their own text; an empty table, and other columns than COLUMNS, give none."""
     trees = train_quality(docs, table(spark, sf_dir, "labels"))
     return quality_rules(docs, trees).where("kept").select(COLUMNS)
 
@@ -46,12 +47,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. A null or empty text holds none and stays; rows of one doc_id are one document, so one
+    leak takes them all, and rows without doc_id are one document as well; an empty table gives an empty one."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of each epoch that the mixing plan takes."""
+    """The documents of each epoch that the mixing plan takes. Null lang or source is a name of its own; texts without words are
+    taken at no cost; rows of one doc_id are all in a prefix or all out; an empty table gives an empty one."""
     return mix_sources(docs.select(COLUMNS), PRODUCTION)
 
 
