@@ -59,3 +59,19 @@ def test_other_texts_of_an_id_stay(spark, sf_dir):
     out = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicate(spark, df, sf_dir).collect())
     assert out == sorted([(0, w), (1, w), (5, o), (7, "short text")])
     assert corpus_pipeline.near_duplicate(spark, df.limit(0), sf_dir).count() == 0
+
+
+def test_other_stages_on_rough_rows(spark, sf_dir):
+    """Nulls in any column, repeated rows, empty texts and tables, clashing extra columns: defined results for each stage."""
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 120").limit(1).collect())
+    prose = next(r.text for r in corpus_pipeline.language(spark, corpus_pipeline.quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir), sf_dir).limit(1).collect())
+    rows = [(1, prose, "en", "web", 5, "x"), (1, prose, "en", "web", 5, "x"), (None, prose, None, None, None, "x"), (2, None, "en", "web", 1, "x"), (3, "", None, "web", 1, None), (4, f"{prose} {item}", "en", "news", 9, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string"
+    df = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf_dir)
+        ids = sorted((r.doc_id or 0) for r in out.collect())
+        want = {"quality": [0, 1, 1, 4], "language": [0, 1, 1, 4], "decontaminate": [0, 1, 1, 2, 3]}.get(name)
+        assert want is None or ids == want, name
+        assert name == "mix" or out.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, df.limit(0), sf_dir).count() == 0
