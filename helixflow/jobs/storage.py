@@ -12,10 +12,14 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of our own only in local mode where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(path)
+        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return path
 
 
