@@ -26,8 +26,10 @@ from .common import BATCH_ROWS, bounded_batches, crc_bucket, materialise, mix64,
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
-#: Bits of a bitmap.
+#: Bits of a bitmap, and of the one of pairs that occur twice. The latter is made in spans.
 BITS = 1 << 27
+PAIR_BITS = 1 << 28
+PAIR_SPAN = 1 << 21
 #: Tokens that a task counts at once.
 TOKENS = 1_000_000
 #: Training tokens for each span of codes that a task answers for.
@@ -97,18 +99,23 @@ class Answers:
 class Bitmap:
     """A set of codes that may hold more than were put in, never fewer."""
 
-    def __init__(self, codes: DataFrame):
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
+
+    @classmethod
+    def of(cls, codes: DataFrame) -> Bitmap:
         """codes: one column, code. BITS / 64 cells at most reach the driver."""
         rows = codes.selectExpr(f"shiftright(code & {BITS - 1}, 6) as cell", "shiftleft(1L, cast(code & 63 as int)) as bit")
         found = rows.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-        self.cells = np.zeros(BITS >> 6, np.uint64)
-        self.cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        cells = np.zeros(BITS >> 6, np.uint64)
+        cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return cls(cells)
 
     def any(self) -> bool:
         return bool(self.cells.any())
 
     def has(self, codes: np.ndarray) -> np.ndarray:
-        at = codes & np.uint64(BITS - 1)
+        at = codes & np.uint64(len(self.cells) * 64 - 1)
         return (self.cells[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -151,39 +158,108 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def count_next(docs: DataFrame, level: int, words, contexts, least: int) -> DataFrame:
-    """context, key, c, by context: how often a word of the bitmap ``words`` follows a context of this level in the
-    bitmap ``contexts`` (both broadcasts), ``least`` times or more."""
+def repeated_pairs(docs: DataFrame, words) -> Bitmap:
+    """Pairs of words of the bitmap ``words`` (a broadcast), one after the other, that occur twice or more, and few others.
+
+    Tasks send which of the bitmap's bits they met, once or again, as steps of about a byte; a span of bits is set where two
+    tasks met it or one did again. One span at a time is in memory, and PAIR_BITS / 8 bytes reach the driver.
+    """
+    import pyarrow as pa
+
+    def met(codes):
+        bits, n = np.unique((np.concatenate(codes) & np.uint64(PAIR_BITS - 1)), return_counts=True)
+        rows = []
+        for again, x in ((False, bits), (True, bits[n > 1])):
+            cuts = np.searchsorted(x, np.arange(0, PAIR_BITS + 1, PAIR_SPAN, dtype=np.uint64))
+            rows += [(k, again, pack_codes(x[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["span", "again", "bits"])
+
+    def run(batches):
+        codes, size = [], 0
+        for batch in batches:
+            for _, tokens, at in token_pieces(batch.column(0)):
+                known = words.value.has(tokens)
+                where = np.flatnonzero(known[:-1] & known[1:] & (places(at)[1:] > 0))
+                if len(where):
+                    codes.append(pair_code(tokens[where], tokens[where + 1]))
+                    size += len(where)
+                if size >= 4 * TOKENS:
+                    yield met(codes)
+                    codes, size = [], 0
+        if codes:
+            yield met(codes)
+
+    def merge(batches):
+        span, once, again = None, None, None
+
+        def bits():
+            return pa.RecordBatch.from_arrays([pa.array([span], pa.int32()), pa.array([np.packbits(again, bitorder="little").tobytes()])], names=["span", "bits"])
+
+        for batch in batches:
+            for k, twice, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if k != span:
+                    if span is not None:
+                        yield bits()
+                    span, once, again = k, np.zeros(PAIR_SPAN, bool), np.zeros(PAIR_SPAN, bool)
+                # A chunk's own two rows meet only on bits that are set anyway.
+                at = unpack_codes(data.as_py()) & np.uint64(PAIR_SPAN - 1)
+                again[at if twice else at[once[at]]] = True
+                once[at] = True
+        if span is not None:
+            yield bits()
+
+    rows = docs.select("text").mapInArrow(run, T.StructType().add("span", T.IntegerType()).add("again", T.BooleanType()).add("bits", T.BinaryType()))
+    spans = rows.repartition("span").sortWithinPartitions("span").mapInArrow(merge, T.StructType().add("span", T.IntegerType()).add("bits", T.BinaryType()))
+    cells = np.zeros(PAIR_BITS >> 6, np.uint64)
+    found = spans.toArrow()
+    for k, bits in zip(found.column("span").to_pylist(), found.column("bits"), strict=True):
+        cells[k * PAIR_SPAN >> 6 : (k + 1) * PAIR_SPAN >> 6] = np.frombuffer(bits.as_buffer(), np.uint64)
+    return Bitmap(cells)
+
+
+def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int) -> DataFrame:
+    """context, key, c: how often a word of the bitmap ``words`` follows a context of this level in the bitmap
+    ``contexts``, ``least`` times or more. A bitmap ``pairs`` (or None) holds all such pairs of the level before, or, on the
+    first level, of this one: no word follows a context more often than it follows the context's end. All are broadcasts."""
     import pyarrow as pa
 
     def summed(parts):
-        context, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((key, context))
-        context, key = context[order], key[order]
-        first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (key[1:] != key[:-1])])
-        c = np.diff(np.r_[first, len(key)])
+        context, key, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        c = np.diff(np.r_[first, len(code)])
+        first = order[first]
         return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(c)], names=["context", "key", "c"])
 
     def run(batches):
         parts, size = [], 0
         for batch in batches:
             for _, tokens, at in token_pieces(batch.column(0)):
-                *_, (_, where, code) = state_codes(tokens, places(at), level)
-                following = tokens[where + 1]
+                shorter = tokens
+                for longest, where, code in state_codes(tokens, places(at), level):
+                    if longest == level - 1:
+                        shorter = np.zeros(len(tokens), np.uint64)
+                        shorter[where] = code
                 on = contexts.value.has(code)
-                on[on] = words.value.has(following[on])
-                if on.any():
-                    parts.append((code[on], following[on]))
-                    size += int(on.sum())
-                if size >= TOKENS:
+                where, code = where[on], code[on]
+                on = words.value.has(tokens[where + 1])
+                where, code = where[on], code[on]
+                if pairs is not None and len(where):
+                    on = pairs.value.has(pair_code(shorter[where], tokens[where + 1]))
+                    where, code = where[on], code[on]
+                if len(where):
+                    following = tokens[where + 1]
+                    parts.append((code, following, pair_code(code, following)))
+                    size += len(where)
+                if size >= 2 * TOKENS:
                     yield summed(parts)
                     parts, size = [], 0
         if parts:
             yield summed(parts)
 
     schema = T.StructType().add("context", T.LongType()).add("key", T.LongType()).add("c", T.LongType())
-    # Dealt by context once, for this sum and the join with contexts.
-    return docs.select("text").mapInArrow(run, schema).repartition("context").groupBy("context", "key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return docs.select("text").mapInArrow(run, schema).groupBy("context", "key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
 def paired(rows: DataFrame, state: str, symbol: str, name: str) -> DataFrame:
@@ -200,7 +276,7 @@ def paired(rows: DataFrame, state: str, symbol: str, name: str) -> DataFrame:
 
 class SuffixTree:
     """contexts: for each level, a table context, suffix, n (occurrences), rest (the left-over mass, in ``unit``s of an
-    occurrence), retained. nexts: for each level, a table context, key, c. facts: code, value, rest of what scoring may ask: a
+    occurrence), retained. nexts: for each level, a table context, key, c, code. facts: code, value, rest of what scoring may ask: a
     word's count; n and rest of a retained context; the count of a word after one (rest is 0 but for contexts)."""
 
     def __init__(self, options: TreeOptions, total: int, vocabulary: int, contexts: list[DataFrame], nexts: list[DataFrame], facts: DataFrame, asked: Bitmap):
@@ -258,7 +334,7 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
     end = int(END.view(np.int64))
     alphabet = counts.where(F.col("c") >= options.least_count)
-    words = Bitmap(alphabet.select(F.col("key").alias("code")))
+    words = Bitmap.of(alphabet.select(F.col("key").alias("code")))
     symbols = spark.sparkContext.broadcast(words)
     # Contexts: n is how often one occurs; the end token is a next word, but no context.
     contexts = alphabet.where(F.col("key") != end).select(F.col("key").alias("context"), F.lit(0).cast("long").alias("suffix"), F.col("c").alias("n"))
@@ -266,16 +342,24 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
     q = counts.select(F.lit(0).cast("long").alias("suffix"), "key", ((F.col("c") + 1) / F.lit(float(total + vocabulary + 1))).alias("q"))
     levels, nexts = [], []
     here = symbols
+    # Beyond some tokens a bit the bitmap would be full and save nothing. A pair is let through or not by its bits alone.
+    pairs = None
+    if options.least_next > 1 and total <= 8 * PAIR_BITS:
+        pairs = spark.sparkContext.broadcast(repeated_pairs(docs, symbols))
     for level in range(1, options.depth + 1):
         if level > 1:
-            here = spark.sparkContext.broadcast(Bitmap(contexts.select(F.col("context").alias("code"))))
+            here = spark.sparkContext.broadcast(Bitmap.of(contexts.select(F.col("context").alias("code"))))
             if not here.value.any():
+                here.destroy()
+                pairs.destroy()
                 break
         # Bitmaps may let other contexts through; the join doesn't.
-        rows = count_next(docs, level, symbols, here, options.least_next).join(contexts, "context")
-        rows = materialise(rows.join(q, ["suffix", "key"]).select("context", "suffix", "key", "c", "n", "q"))
+        rows = count_next(docs, level, symbols, here, pairs, options.least_next).join(contexts, "context")
+        rows = materialise(paired(rows.join(q, ["suffix", "key"]).select("context", "suffix", "key", "c", "n", "q"), "context", "key", "code"))
         if here is not symbols:
             here.destroy()
+        if pairs is not None:
+            pairs.destroy()
         share = (F.col("c") - options.discount) / F.col("n")
         left = F.first("n") - F.sum("c") + options.discount * F.count("*")
         sizes = rows.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("n").alias("n"), F.round(left * UNIT).cast("long").alias("rest"), F.sum("q").alias("known"), F.sum(share * F.log2(share / F.col("q"))).alias("gain"))
@@ -287,8 +371,8 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
         if level < options.depth:
             p = share + F.col("rest") / F.lit(float(UNIT)) / F.col("n") * F.col("q")
             q = rows.join(known.select("context", "rest"), "context").select(F.col("context").alias("suffix"), "key", p.alias("q"))
-            longer = rows.where((F.col("c") >= options.least_count) & (F.col("key") != end)).select("context", "suffix", "key", F.col("c").alias("n"))
-            longer = paired(longer, "context", "key", "longer")
+            pairs = spark.sparkContext.broadcast(Bitmap.of(rows.select("code")))
+            longer = rows.where((F.col("c") >= options.least_count) & (F.col("key") != end)).select("suffix", "key", F.col("code").alias("longer"), F.col("c").alias("n"))
             # The suffix of a context of two words is its last word alone.
             longer = longer.withColumn("shorter", F.col("key")) if level == 1 else paired(longer, "suffix", "key", "shorter")
             contexts = materialise(longer.select(F.col("longer").alias("context"), F.col("shorter").alias("suffix"), "n"))
@@ -303,12 +387,11 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
     facts = counts.select(F.col("key").alias("code"), F.col("c").alias("value"), none)
     for rows, known in zip(nexts, levels, strict=True):
         mine = known.where("retained")
-        after = rows.join(mine.select("context"), "context", "left_semi").select("context", "key", "c")
-        pairs = paired(after, "context", "key", "code").select("code", F.col("c").alias("value"), none)
+        after = rows.join(mine.select("context"), "context", "left_semi").select("code", F.col("c").alias("value"), none)
         facts = facts.unionByName(as_facts(mine.select(F.col("context").alias("code"), F.col("n").alias("value"), "rest"), "context"))
-        facts = facts.unionByName(as_facts(pairs, "pair"))
+        facts = facts.unionByName(as_facts(after, "pair"))
     facts = materialise(facts)
-    return SuffixTree(options, total, vocabulary, levels, nexts, facts, Bitmap(facts.select("code")))
+    return SuffixTree(options, total, vocabulary, levels, nexts, facts, Bitmap.of(facts.select("code")))
 
 
 def planes(x: np.ndarray) -> bytes:

@@ -166,6 +166,24 @@ def test_suffix_tree_is_a_distribution(spark):
         assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 2) : i]), w[i], kept)) for i in range(len(w))), rel=1e-9)
 
 
+def test_repeated_pairs_hold_all_that_repeat(spark):
+    """Every pair that occurs twice, in one task or in two, is in the bitmap; of those that occur once, hardly any is."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, 60)) for _ in range(400)] + ["w1 w1 w1", "", None]
+    pairs = collections.Counter()
+    for t in texts:
+        w = [*(t or "").split(), " "]
+        pairs.update(zip(w, w[1:]))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    words = suffix_lm.Bitmap.of(suffix_lm.count_words(df).select(F.col("key").alias("code")))
+    held = suffix_lm.repeated_pairs(df, spark.sparkContext.broadcast(words))
+    ids = {w: suffix_lm.END if w == " " else np.uint64(suffix_lm.word_id(w.encode())) for pair in pairs for w in pair}
+    known = held.has(suffix_lm.pair_code(*(np.array([ids[p[i]] for p in pairs], np.uint64) for i in (0, 1))))
+    n = np.array(list(pairs.values()))
+    assert known[n > 1].all() and (n > 1).sum() > 1000 and (n == 1).sum() > 1000 and known[n == 1].mean() < 0.01
+    assert not suffix_lm.repeated_pairs(df.limit(0), spark.sparkContext.broadcast(words)).any()
+
+
 def test_suffix_lm_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "b b", None)], "doc_id long, text string, score string").withColumn("held_out", F.col("doc_id") == 2)
     df = df.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
