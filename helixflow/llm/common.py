@@ -82,6 +82,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Far faster than ``np.unique`` on many whole numbers, where that goes through a hash table."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
+def first_places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and a place where each is."""
+    order = np.argsort(x)
+    x = x[order]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+    return x[first], order[first]
+
+
 def texts_as_bytes(column) -> list:
     """An Arrow string column as UTF-8 bytes; None stays None."""
     import pyarrow as pa

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, bounded_batches, crc_bucket, materialise, mix64, release, table, tidy, word_id, word_pieces
+from .common import BATCH_ROWS, bounded_batches, crc_bucket, distinct, first_places, materialise, mix64, release, table, tidy, word_id, word_pieces
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
@@ -78,7 +78,7 @@ class Answers:
     one say nearly where it is."""
 
     def __init__(self, code: np.ndarray, value: np.ndarray, rest: np.ndarray):
-        code, first = np.unique(code, return_index=True)
+        code, first = first_places(code)
         # One more entry, so that a search has where to end.
         self.code = np.r_[code, np.uint64(0xFFFFFFFFFFFFFFFF)]
         self.value, self.rest = value[first].view(np.int64), rest[first].view(np.int64)
@@ -367,6 +367,7 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
         own = F.col("gain") + F.when((others > 0) & (F.col("known") < 1), others * F.log2(others / (1 - F.col("known")))).otherwise(0.0)
         known = materialise(sizes.select("context", "suffix", "n", "rest", (F.round(own, 9) >= options.least_gain).alias("own")))
         levels.append(known), nexts.append(rows)
+        release(contexts)
         tidy(spark)
         if level < options.depth:
             p = share + F.col("rest") / F.lit(float(UNIT)) / F.col("n") * F.col("q")
@@ -381,7 +382,8 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
         if i + 1 < len(levels):
             ends = levels[i + 1].where("retained").select(F.col("suffix").alias("context")).distinct().withColumn("end", F.lit(True))
             held = levels[i].join(ends, "context", "left").withColumn("retained", F.col("own") | F.coalesce("end", F.lit(False))).drop("end")
-        levels[i] = materialise(held)
+        known, levels[i] = levels[i], materialise(held)
+        release(known)
     symbols.destroy()
     none = F.lit(0).cast("long").alias("rest")
     facts = counts.select(F.col("key").alias("code"), F.col("c").alias("value"), none)
@@ -445,13 +447,14 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
     def wanted(parts):
         tokens = np.concatenate([t for t, _ in parts])
         place = np.concatenate([places(at) for _, at in parts])
-        codes = [np.unique(tokens)]
+        codes = [distinct(tokens)]
         for _, at, context in state_codes(tokens, place, options.depth):
             on = asked.value.has(fact_code("context", context))
             at, context = at[on], context[on]
-            codes += [fact_code("context", np.unique(context)), np.unique(fact_code("pair", pair_code(context, tokens[at + 1])))]
-        code = np.concatenate(codes)
-        return code[asked.value.has(code)]
+            pair = fact_code("pair", pair_code(context, tokens[at + 1]))
+            codes += [fact_code("context", distinct(context)), distinct(pair[asked.value.has(pair)])]
+        codes[0] = codes[0][asked.value.has(codes[0])]
+        return np.concatenate(codes)
 
     def ask(batches):
         held: dict[int, list] = {}  # parts of each bucket
@@ -463,7 +466,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
                 mine = codes.setdefault(b, [np.zeros(0, np.uint64)])
                 mine.append(wanted(parts))
                 if sum(map(len, mine[1:])) > max(len(mine[0]), TOKENS):
-                    codes[b] = [np.unique(np.concatenate(mine))]
+                    codes[b] = [distinct(np.concatenate(mine))]
             held.clear()
 
         for batch in batches:
@@ -481,7 +484,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
                     size = 0
         flush()
         for b, mine in codes.items():
-            code = np.unique(np.concatenate(mine))
+            code = distinct(np.concatenate(mine))
             span = ((code >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
             first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])[: len(code)]
             last = np.r_[first[1:], len(code)]
@@ -490,7 +493,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), b, np.int64)), pa.array(span[first[k : k + BATCH_ROWS]].view(np.int64)), pa.array([pack_codes(code[x:y]) for x, y in edges], pa.binary())], names=["bucket", "span", "codes"])
 
     def answer(questions, facts):
-        code, at = np.unique(facts.column("code").to_numpy().view(np.uint64), return_index=True)
+        code, at = first_places(facts.column("code").to_numpy().view(np.uint64))
         value, rest = (facts.column(k).to_numpy()[at].view(np.uint64) for k in ("value", "rest"))
         bucket, codes, values, rests = [], [], [], []
         for b, data in zip(questions.column("bucket").to_pylist(), questions.column("codes"), strict=True):
