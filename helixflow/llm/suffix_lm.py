@@ -28,7 +28,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
 #: Bits of a bitmap, and of the one of pairs that occur twice. The latter is made in spans.
 BITS = 1 << 27
-PAIR_BITS = 1 << 28
+PAIR_BITS = 1 << 27
 PAIR_SPAN = 1 << 21
 #: Tokens that a task counts at once.
 TOKENS = 1_000_000
@@ -148,7 +148,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for _, tokens, _ in token_pieces(batch.column(0)):
                 parts.append(tokens)
                 size += len(tokens)
-                if size >= 4 * TOKENS:
+                if size >= 2 * TOKENS:
                     yield summed(parts)
                     parts, size = [], 0
         if parts:
@@ -167,11 +167,13 @@ def repeated_pairs(docs: DataFrame, words) -> Bitmap:
     import pyarrow as pa
 
     def met(codes):
-        bits, n = np.unique((np.concatenate(codes) & np.uint64(PAIR_BITS - 1)), return_counts=True)
+        bits = np.concatenate(codes)
+        bits.sort()
+        same = bits[1:] == bits[:-1]
         rows = []
-        for again, x in ((False, bits), (True, bits[n > 1])):
-            cuts = np.searchsorted(x, np.arange(0, PAIR_BITS + 1, PAIR_SPAN, dtype=np.uint64))
-            rows += [(k, again, pack_codes(x[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+        for again, x in ((False, bits[np.r_[True, ~same]]), (True, distinct(bits[1:][same]))):
+            cuts = np.searchsorted(x, np.arange(0, PAIR_BITS, PAIR_SPAN, dtype=np.uint32)).tolist() + [len(x)]
+            rows += [(k, again, pack_codes(x[a:b].astype(np.uint64))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["span", "again", "bits"])
 
     def run(batches):
@@ -181,9 +183,9 @@ def repeated_pairs(docs: DataFrame, words) -> Bitmap:
                 known = words.value.has(tokens)
                 where = np.flatnonzero(known[:-1] & known[1:] & (places(at)[1:] > 0))
                 if len(where):
-                    codes.append(pair_code(tokens[where], tokens[where + 1]))
+                    codes.append((pair_code(tokens[where], tokens[where + 1]) & np.uint64(PAIR_BITS - 1)).astype(np.uint32))
                     size += len(where)
-                if size >= 4 * TOKENS:
+                if size >= 2 * TOKENS:
                     yield met(codes)
                     codes, size = [], 0
         if codes:
@@ -224,7 +226,8 @@ def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int)
     import pyarrow as pa
 
     def summed(parts):
-        context, key, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        context, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        code = pair_code(context, key)
         order = np.argsort(code)
         code = code[order]
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
@@ -249,10 +252,9 @@ def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int)
                     on = pairs.value.has(pair_code(shorter[where], tokens[where + 1]))
                     where, code = where[on], code[on]
                 if len(where):
-                    following = tokens[where + 1]
-                    parts.append((code, following, pair_code(code, following)))
+                    parts.append((code, tokens[where + 1]))
                     size += len(where)
-                if size >= 2 * TOKENS:
+                if size >= TOKENS:
                     yield summed(parts)
                     parts, size = [], 0
         if parts:
