@@ -30,8 +30,8 @@ END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
 BITS = 1 << 27
 PAIR_BITS = 1 << 27
 PAIR_SPAN = 1 << 21
-#: Tokens that a task counts at once.
-TOKENS = 1_000_000
+#: Tokens that a task counts at once. Spark sums what a task yields again before the shuffle, so more would save little.
+TOKENS = 250_000
 #: Training tokens for each span of codes that a task answers for.
 SPAN_TOKENS = 2_000_000
 
@@ -185,7 +185,7 @@ def repeated_pairs(docs: DataFrame, words) -> Bitmap:
                 if len(where):
                     codes.append((pair_code(tokens[where], tokens[where + 1]) & np.uint64(PAIR_BITS - 1)).astype(np.uint32))
                     size += len(where)
-                if size >= 2 * TOKENS:
+                if size >= 8 * TOKENS:
                     yield met(codes)
                     codes, size = [], 0
         if codes:
