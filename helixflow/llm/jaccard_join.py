@@ -11,6 +11,8 @@
    ``block`` nodes of each:
    leaves hold token bitmaps and sizes, inner nodes OR-combined bitmaps and size ranges. A dual traversal drops pairs
    of tree nodes that lie in one component, whose sizes exclude a link, or whose greatest possible overlap is too small.
+   Pairs of single nodes, here and in 3, are dropped as well where their parities differ in more bits than the sets of a
+   link can differ in shingles. Parities grow with the set, so that this holds for long texts too.
 5. Pairs that remain are checked by their exact sets: texts go to the task of their partner once for each pair.
 
 The order in 2 and the hubs in 3 only save work; no pair of different components is left out.
@@ -33,6 +35,8 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 #: Bits of the signatures.
 TREE_BITS = 1024
 FAN = 8
+#: Bits of the parities of a set, at least; a set of more shingles has the next power of two.
+PARITY_BITS = 512
 #: A list of ids longer than this is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 250_000
 
@@ -177,13 +181,13 @@ def prefixes(h: np.ndarray, at: np.ndarray, levels: Levels, options: JoinOptions
 
 
 def signatures(docs: DataFrame, levels: Levels, options: JoinOptions, bits: bool = True) -> DataFrame:
-    """doc_id, n, node (hash of the set), text_id, prefix, bits (left out on request)."""
+    """doc_id, n, node (hash of the set), text_id, prefix, bits and parity (both left out on request)."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # levels * level_bits / 8 bytes
     schema = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n", T.LongType()).add("node", T.LongType()).add("text_id", T.LongType()).add("prefix", T.ArrayType(T.LongType()))
     if bits:
-        schema = schema.add("bits", T.BinaryType())
+        schema = schema.add("bits", T.BinaryType()).add("parity", T.BinaryType())
 
     def run(batches):
         for batch in batches:
@@ -192,7 +196,7 @@ def signatures(docs: DataFrame, levels: Levels, options: JoinOptions, bits: bool
                 head, into = prefixes(h, at, shared.value, options)
                 cols = [batch.column(0).slice(row, rows), pa.array(np.diff(at)), pa.array(set_hash(h, at)), batch.column(2).slice(row, rows), pa.ListArray.from_arrays(pa.array(into.astype(np.int32)), pa.array(head.view(np.int64)))]
                 if bits:
-                    cols.append(bitmaps(h, at))
+                    cols += [bitmaps(h, at), parities(h, at)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).mapInArrow(run, schema)
@@ -209,6 +213,56 @@ def bitmaps(h: np.ndarray, at: np.ndarray):
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(TREE_BITS // 8), rows, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
 
 
+def parities(h: np.ndarray, at: np.ndarray):
+    """An Arrow column of bits for each set, PARITY_BITS or more: whether an odd number of its shingles have a bit's place. One
+    shingle in only one of two sets turns one bit, so sets differ in as many shingles at least as their parities in bits."""
+    import pyarrow as pa
+
+    size = np.diff(at)
+    places = np.maximum(PARITY_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    start = np.r_[0, np.cumsum(places)]
+    at_bit = np.repeat(start[:-1], size) + ((h >> np.uint64(10)).astype(np.int64) & np.repeat(places - 1, size))
+    odd = np.bincount(at_bit, minlength=start[-1]).astype(np.uint8) & 1
+    packed = np.packbits(odd, bitorder="little")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(start >> 3), pa.py_buffer(packed)]).cast(pa.binary())
+
+
+class Parities:
+    """Parities of many sets. Those of the larger of two sets are folded to the bits of the smaller's."""
+
+    def __init__(self, column, n: np.ndarray):
+        import pyarrow as pa
+
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        column = column.cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        self.cells = np.frombuffer(column.buffers()[2], np.uint64, count=int(at[-1]) >> 3) if len(column) else np.zeros(0, np.uint64)
+        self.start, self.size, self.n = at[:-1] >> 3, np.diff(at) >> 3, n
+
+    def folded(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty((len(rows), size), np.uint64)
+        own = self.size[rows]
+        for s in np.unique(own).tolist():
+            k = np.flatnonzero(own == s)
+            cells = self.cells[self.start[rows[k]][:, None] + np.arange(s)]
+            out[k] = np.bitwise_xor.reduce(cells.reshape(len(k), s // size, size), axis=1)
+        return out
+
+    def may_link(self, x: np.ndarray, other: Parities, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether sets x of these and y of others may link by their sizes and parities, pair by pair."""
+        out = 100 * np.minimum(self.n[x], other.n[y]) >= percent * np.maximum(self.n[x], other.n[y])
+        size = np.minimum(self.size[x], other.size[y])
+        longest = np.maximum(self.size[x], other.size[y])
+        for s in np.unique(size).tolist():
+            k = np.flatnonzero(out & (size == s))
+            step = np.cumsum(longest[k]) // (1 << 19)  # bounds the copies of cells
+            for part in np.split(k, np.flatnonzero(np.diff(step)) + 1):
+                a, b = x[part], y[part]
+                differ = np.bitwise_count(self.folded(a, s) ^ other.folded(b, s)).sum(axis=1, dtype=np.int64)
+                out[part] = (100 + percent) * differ <= (100 - percent) * (self.n[a] + other.n[b])
+        return out
+
+
 class Tree:
     """Signature trees of many groups side by side, as levels of arrays from single rows (level 0) to one root each."""
 
@@ -265,9 +319,10 @@ def dual_traversal(left: Tree, right: Tree, percent: int):
 
 
 def tree_pairs(rows, options: JoinOptions):
-    """(a, b) arrays for whole groups of rows: dict of arrays group, role, node, n, pos, comp, bits."""
+    """(a, b) arrays for whole groups of rows: dict of arrays group, role, node, n, pos, comp, bits, and parity as Parities."""
+    parity = rows["parity"]
     order = np.lexsort((rows["n"], rows["role"], rows["group"]))
-    rows = {k: v[order] for k, v in rows.items()}
+    rows = {k: v[order] for k, v in rows.items() if k != "parity"}
     size = np.bincount(rows["group"])
     left = np.bincount(rows["group"][rows["role"] == 0], minlength=len(size))
     work = np.cumsum(left * (size - left))
@@ -282,9 +337,11 @@ def tree_pairs(rows, options: JoinOptions):
             k = on & (rows["role"] == role)
             bits = rows["bits"][k]
             n = rows["n"][k]
-            sides.append((Tree(rows["group"][k], n, n - rows["pos"][k], rows["comp"][k], n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits), rows["node"][k]))
+            sides.append((Tree(rows["group"][k], n, n - rows["pos"][k], rows["comp"][k], n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits), rows["node"][k], order[k]))
         if len(sides[0][1]) and len(sides[1][1]):
             x, y = dual_traversal(sides[0][0], sides[1][0], options.percent)
+            near = parity.may_link(sides[0][2][x], parity, sides[1][2][y], options.percent)
+            x, y = x[near], y[near]
             a, b = sides[0][1][x], sides[1][1][y]
             out_a.append(np.minimum(a, b)), out_b.append(np.maximum(a, b))
         start = stop
@@ -295,7 +352,7 @@ def tree_pairs(rows, options: JoinOptions):
 
 
 def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
-    """a, b: candidate pairs from units (family, i, j, role, node, n, pos, comp, bits), each unit a pair of blocks."""
+    """a, b: candidate pairs from units (family, i, j, role, node, n, pos, comp, bits, parity), each unit a pair of blocks."""
     import pyarrow as pa
 
     def starts(rows):
@@ -319,13 +376,31 @@ def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
 
     def answer(rows, new):
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, TREE_BITS // 64)
-        a, b = tree_pairs({"group": np.cumsum(new) - 1, "role": rows.column("role").to_numpy(), "node": rows.column("node").to_numpy(), "n": rows.column("n").to_numpy(), "pos": rows.column("pos").to_numpy(), "comp": rows.column("comp").to_numpy(), "bits": bits}, options)
+        a, b = tree_pairs({"group": np.cumsum(new) - 1, "role": rows.column("role").to_numpy(), "node": rows.column("node").to_numpy(), "n": rows.column("n").to_numpy(), "pos": rows.column("pos").to_numpy(), "comp": rows.column("comp").to_numpy(), "bits": bits, "parity": Parities(rows.column("parity"), rows.column("n").to_numpy())}, options)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     schema = T.StructType().add("a", T.LongType()).add("b", T.LongType())
     return units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, schema)
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame, options: JoinOptions) -> DataFrame:
+    """pairs (node, hub) whose parities allow a link, before any text is sent."""
+    import pyarrow as pa
+
+    side = nodes.select("node", "n", "parity")
+    hubs = side.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("parity").alias("hub_parity"))
+    rows = pairs.join(side, "node").join(hubs, "hub").select("node", "hub", "n", "parity", "hub_n", "hub_parity")
+
+    def run(batches):
+        for batch in batches:
+            own, other = (Parities(batch.column(i + 1), batch.column(i).to_numpy()) for i in (2, 4))
+            at = np.arange(batch.num_rows)
+            on = pa.array(own.may_link(at, other, at, options.percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], names=["node", "hub"])
+
+    return rows.mapInArrow(run, T.StructType().add("node", T.LongType()).add("hub", T.LongType()))
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, options: JoinOptions) -> DataFrame:
     """a, b: the distinct pairs (node, hub) that link, by their exact sets. Each pair sends the node's text to a task of
     the hub; a hub of many nodes has many tasks, each with the hub's own text."""
@@ -409,8 +484,8 @@ def left_over(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return labelled(labelled(pairs, comps), comps, "hub", "hub_comp").where("comp <> hub_comp").select("node", "hub")
 
 
-def hub_pairs(groups: DataFrame, comps: DataFrame | None, turn: int, options: JoinOptions) -> DataFrame:
-    """node, hub: for each node the hub of another component that most of its groups name. The hub of a group, within a
+def hub_pairs(groups: DataFrame, nodes: DataFrame, comps: DataFrame | None, turn: int, options: JoinOptions) -> DataFrame:
+    """node, hub: for each node the hub of another component that most of its groups name, if it may link. The hub of a group, within a
     class of sizes, is the node of the least salted name; names are random, so the groups of copies agree. Salts
     change with each turn, and the borders of the classes move by half a class."""
     salt = F.lit(int(mix64(np.array([turn + 1], np.uint64)).view(np.int64)[0]))
@@ -422,7 +497,7 @@ def hub_pairs(groups: DataFrame, comps: DataFrame | None, turn: int, options: Jo
     if comps is not None:
         votes = labelled(votes, comps, "hub", "hub_comp").where("comp <> hub_comp")
     best = votes.groupBy("node").agg(F.max("votes").alias("votes")).join(votes, ["node", "votes"]).groupBy("node").agg(F.min("hub").alias("hub"))
-    return materialise(best)
+    return materialise(near_pairs(best, nodes, options))
 
 
 def family_pairs(groups: DataFrame, nodes: DataFrame, options: JoinOptions, pilot: int) -> DataFrame:
@@ -441,8 +516,8 @@ def family_pairs(groups: DataFrame, nodes: DataFrame, options: JoinOptions, pilo
     left = blocked.select(*base, F.lit(0).alias("role"), i, j if pilot else every(F.col("q_blocks")).alias("j"))
     some = F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("m") / pilot)) == 0 if pilot else F.col("comp") != F.col("major")
     right = blocked.where(some).select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), j)
-    units = left.unionByName(right).join(nodes.select("node", "bits"), "node")
-    found = tree_join(units.select("family", "i", "j", "role", "node", "n", "pos", "comp", "bits"), options)
+    units = left.unionByName(right).join(nodes.select("node", "bits", "parity"), "node")
+    found = tree_join(units.select("family", "i", "j", "role", "node", "n", "pos", "comp", "bits", "parity"), options)
     out = materialise(found.distinct().select(F.col("a").alias("hub"), F.col("b").alias("node")))
     release(family)
     return out
@@ -469,7 +544,7 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
     sig = materialise(signatures(docs, levels, options))
     release(common)
     able = sig.where("n > 0 and doc_id is not null")
-    nodes = materialise(able.groupBy("node", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("s")).select("node", "n", F.col("s.doc_id").alias("home"), "s.prefix", "s.bits"))
+    nodes = materialise(able.groupBy("node", "n").agg(F.min(F.struct("doc_id", "prefix", "bits", "parity")).alias("s")).select("node", "n", F.col("s.doc_id").alias("home"), "s.prefix", "s.bits", "s.parity"))
     slim = materialise(sig.select("doc_id", "n", "node", "text_id"))
     release(sig)
     groups = prefix_groups(nodes)
@@ -495,7 +570,7 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
     release(groups)
     tidy(spark)
     for i in range(options.hub_rounds):
-        pairs = hub_pairs(current, comps, i, options)
+        pairs = hub_pairs(current, nodes, comps, i, options)
         edges = linked(pairs, nodes, docs, options)
         comps = joined_components(comps, edges)
         groups, current = current, apart(current, comps)

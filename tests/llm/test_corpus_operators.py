@@ -60,6 +60,22 @@ def test_jaccard_near_copies(spark, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+def test_parities_drop_no_link():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 40, 511, 513, 700, 1500, 5000)]
+    for s in sets[:]:
+        sets += [np.r_[s[: int(len(s) * keep)], rng.integers(0, 1 << 63, int(len(s) * more), dtype=np.uint64)] for keep, more in ((1, 0.17), (0.93, 0.07), (0.5, 0.5), (1, 0.05))]
+    sets = [np.unique(s) for s in sets if len(s)]
+    n = np.array([len(s) for s in sets])
+    parity = jaccard_join.Parities(jaccard_join.parities(np.concatenate(sets), np.r_[0, np.cumsum(n)]), n)
+    x, y = (k.ravel() for k in np.indices((len(sets), len(sets))))
+    may = parity.may_link(x, parity, y, 85)
+    share = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)]
+    link = np.array([100 * c >= 85 * (n[i] + n[j] - c) for c, i, j in zip(share, x, y, strict=True)])
+    assert may[link].all() and link.sum() > len(sets)
+    assert not may[(np.array(share) == 0) & (n[x] > 10) & (n[y] > 10)].any()
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e", "x", "y"), (1, "a b c d e", "x", "y"), (None, "a b c d e", "x", "y"), (3, None, None, None)], DOC)
     out = jaccard_join.near_duplicates(df).collect()
