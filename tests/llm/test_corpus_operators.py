@@ -60,6 +60,19 @@ def test_jaccard_near_copies(spark, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+def test_jaccard_long_texts_that_share_little_are_not_sent(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = "a passage that all of them quote"
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(2500)), passage]) for _ in range(12)]
+    texts.append(texts[0].replace(passage, "some other end"))
+    sent = []
+    linked = jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda pairs, *a: (sent.append(pairs.count()), linked(pairs, *a))[1])
+    found = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {**{i: i for i in range(12)}, 12: 0}
+    assert 1 <= sum(sent) <= 2
+
+
 def test_parities_drop_no_link():
     rng = np.random.default_rng(3)
     sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 40, 511, 513, 700, 1500, 5000)]
