@@ -34,6 +34,8 @@ PAIR_SPAN = 1 << 21
 TOKENS = 250_000
 #: Training tokens for each span of codes that a task answers for.
 SPAN_TOKENS = 2_000_000
+#: The same where pairs are counted. They travel whole there, in fewer bytes a span.
+COUNT_TOKENS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -219,21 +221,46 @@ def repeated_pairs(docs: DataFrame, words) -> Bitmap:
     return Bitmap(cells)
 
 
-def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int) -> DataFrame:
+def code_span(code: np.ndarray, spans: int) -> np.ndarray:
+    """Which of some even spans a code lies in."""
+    return ((code >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
+
+
+def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int, spans: int = 1) -> DataFrame:
     """context, key, c: how often a word of the bitmap ``words`` follows a context of this level in the bitmap
     ``contexts``, ``least`` times or more. A bitmap ``pairs`` (or None) holds all such pairs of the level before, or, on the
-    first level, of this one: no word follows a context more often than it follows the context's end. All are broadcasts."""
+    first level, of this one: no word follows a context more often than it follows the context's end. All are broadcasts.
+
+    A task sends its pairs packed, one row for each of ``spans`` spans of their codes, and they are summed a span at a time:
+    a row for each pair would fill the heap with tables of sums, as most pairs occur once in a task.
+    """
     import pyarrow as pa
 
-    def summed(parts):
-        context, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def summed(context, key, c=None):
         code = pair_code(context, key)
         order = np.argsort(code)
         code = code[order]
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        c = np.diff(np.r_[first, len(code)])
-        first = order[first]
-        return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(c)], names=["context", "key", "c"])
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+        c = np.diff(np.r_[first, len(code)]) if c is None else np.add.reduceat(c[order], first) if len(first) else c
+        code, first = code[first], order[first]
+        return code, context[first], key[first], c
+
+    def packed(parts):
+        code, context, key, c = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        span = code_span(code, spans)
+        first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])
+        edges = list(zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True))
+        for k in range(0, len(edges), BATCH_ROWS):
+            some = edges[k : k + BATCH_ROWS]
+            columns = [pa.array([read(x[a:b]) for a, b in some], pa.binary()) for x, read in ((context, np.ndarray.tobytes), (key, np.ndarray.tobytes), (c, planes))]
+            yield pa.RecordBatch.from_arrays([pa.array(span[[a for a, _ in some]].view(np.int64)), *columns], names=["span", "contexts", "keys", "counts"])
+
+    def merge(rows):
+        context, key = (np.frombuffer(b"".join(x.as_py() for x in rows.column(k)), np.uint64) for k in ("contexts", "keys"))
+        c = np.concatenate([from_planes(x.as_py()).view(np.int64) for x in rows.column("counts")])
+        _, context, key, c = summed(context, key, c)
+        on = c >= least
+        return pa.table({"context": context[on].view(np.int64), "key": key[on].view(np.int64), "c": c[on]})
 
     def run(batches):
         parts, size = [], 0
@@ -254,14 +281,15 @@ def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int)
                 if len(where):
                     parts.append((code, tokens[where + 1]))
                     size += len(where)
-                if size >= TOKENS:
-                    yield summed(parts)
+                if size >= 2 * TOKENS:
+                    yield from packed(parts)
                     parts, size = [], 0
         if parts:
-            yield summed(parts)
+            yield from packed(parts)
 
+    sent = T.StructType().add("span", T.LongType()).add("contexts", T.BinaryType()).add("keys", T.BinaryType()).add("counts", T.BinaryType())
     schema = T.StructType().add("context", T.LongType()).add("key", T.LongType()).add("c", T.LongType())
-    return docs.select("text").mapInArrow(run, schema).groupBy("context", "key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return docs.select("text").mapInArrow(run, sent).groupBy("span").applyInArrow(merge, schema)
 
 
 def paired(rows: DataFrame, state: str, symbol: str, name: str) -> DataFrame:
@@ -356,7 +384,7 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
                 pairs.destroy()
                 break
         # Bitmaps may let other contexts through; the join doesn't.
-        rows = count_next(docs, level, symbols, here, pairs, options.least_next).join(contexts, "context")
+        rows = count_next(docs, level, symbols, here, pairs, options.least_next, max(1, -(-total // COUNT_TOKENS))).join(contexts, "context")
         rows = materialise(paired(rows.join(q, ["suffix", "key"]).select("context", "suffix", "key", "c", "n", "q"), "context", "key", "code"))
         if here is not symbols:
             here.destroy()
@@ -487,7 +515,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
         flush()
         for b, mine in codes.items():
             code = distinct(np.concatenate(mine))
-            span = ((code >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
+            span = code_span(code, spans)
             first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])[: len(code)]
             last = np.r_[first[1:], len(code)]
             for k in range(0, len(first), BATCH_ROWS):

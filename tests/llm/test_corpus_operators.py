@@ -213,6 +213,22 @@ def test_repeated_pairs_hold_all_that_repeat(spark):
     assert not suffix_lm.repeated_pairs(df.limit(0), spark.sparkContext.broadcast(words)).any()
 
 
+@pytest.mark.parametrize("spans", [1, 7])
+def test_pairs_are_counted_packed(spark, monkeypatch, spans):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40))) for _ in range(60)]
+    monkeypatch.setattr(suffix_lm, "TOKENS", 100)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = spark.sparkContext.broadcast(suffix_lm.Bitmap.of(suffix_lm.count_words(df).select(F.col("key").alias("code"))))
+    counted = suffix_lm.count_next(df, 1, words, words, None, 2, spans)
+    ids = {w: int(suffix_lm.word_id(w.encode())) for w in "abcdefgh"} | {"": int(suffix_lm.END)}
+    want = collections.Counter(p for t in texts for w in [[*t.split(), ""]] for p in zip(w[:-1], w[1:], strict=True))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert {(r.context, r.key): r.c for r in counted.collect()} == {tuple(signed(ids[w]) for w in p): c for p, c in want.items() if c >= 2}
+    assert counted.count() == len(set(counted.select("context", "key").collect()))
+    assert suffix_lm.count_next(df.limit(0), 1, words, words, None, 2, spans).count() == 0
+
+
 def test_suffix_lm_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "b b", None)], "doc_id long, text string, score string").withColumn("held_out", F.col("doc_id") == 2)
     df = df.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
