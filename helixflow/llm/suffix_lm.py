@@ -46,7 +46,8 @@ class TreeOptions:
     least_gain: float = 0.02
     discount: float = 0.5
     bucket_tokens: int = 6_000_000
-    bucket_bytes: int = 32_000_000  # of a file's split
+    bucket_bytes: int = 5_000_000  # of a file's split
+    score_rounds: int = 4  # a part of the buckets asks at a time
 
 
 def token_pieces(column):
@@ -312,6 +313,12 @@ class SuffixTree:
     def __init__(self, options: TreeOptions, total: int, vocabulary: int, contexts: list[DataFrame], nexts: list[DataFrame], facts: DataFrame, asked: Bitmap):
         self.options, self.total, self.vocabulary = options, total, vocabulary
         self.contexts, self.nexts, self.facts, self.asked = contexts, nexts, facts, asked
+        self.sent = None
+
+    def shared(self, spark):
+        """The bitmap of facts, broadcast once however often texts are scored."""
+        self.sent = self.sent or spark.sparkContext.broadcast(self.asked)
+        return self.sent
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.total + self.vocabulary + 1)
@@ -472,7 +479,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
         n_buckets = max(1, -(-total // options.bucket_tokens))
         dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_buckets)))
     dealt = dealt.select("doc_id", "held_out", "text", "bucket")
-    asked = spark.sparkContext.broadcast(tree.asked)
+    asked = tree.shared(spark)
 
     def wanted(parts):
         tokens = np.concatenate([t for t, _ in parts])
@@ -575,7 +582,15 @@ def op2_suffix_lm(spark, sf_dir: str) -> DataFrame:
     tree = grow_tree(training, counts, options)
     release(counts, *tree.nexts, *tree.contexts)
     tidy(spark)
-    return score_texts(split, counts, tree)
+    # Each round has its questions and answers on disk, and they go before the next.
+    scored = None
+    for k in range(options.score_rounds):
+        mine = split.where(F.pmod(F.xxhash64("bucket"), F.lit(options.score_rounds)) == k)
+        part = materialise(score_texts(mine, counts, tree))
+        tidy(spark)
+        scored = part if scored is None else scored.unionByName(part)
+    release(tree.facts)
+    return scored
 
 
 __all__ = ["TreeOptions", "SuffixTree", "count_words", "grow_tree", "score_texts", "op2_suffix_lm", "word_id"]
