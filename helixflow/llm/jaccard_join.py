@@ -8,7 +8,8 @@
 3. Links to hubs come first and join most copies of a text into one component: in each round a node is checked against
    the one hub that most of its groups name.
 4. Groups that still hold several components are joined to families, and signature trees built over blocks of about
-   ``block`` nodes of each:
+   ``block`` nodes of each, in tasks that hold ``send_blocks`` blocks of either side (a family of m nodes sends
+   m / (block * send_blocks) copies of each):
    leaves hold token bitmaps and sizes, inner nodes OR-combined bitmaps and size ranges. A dual traversal drops pairs
    of tree nodes that lie in one component, whose sizes exclude a link, or whose greatest possible overlap is too small.
    Pairs of single nodes, here and in 3, are dropped as well where their parities differ in more bits than the sets of a
@@ -49,6 +50,7 @@ class JoinOptions:
     levels: int = 4
     level_bits: int = 1 << 24  # of the bitmap of a level; a wrong bit moves a shingle back in the order, for all sets alike
     block: int = 512
+    send_blocks: int = 16  # a task of the trees gets so many blocks of both sides, so that a node is sent less often
     order_rounds: int = 1
     hub_rounds: int = 2  # one at least
     pilot: int = 48  # nodes of a family that all others meet first
@@ -318,6 +320,11 @@ def dual_traversal(left: Tree, right: Tree, percent: int):
         x, y = np.repeat(a["child"][x], size) + at // width, np.repeat(b["child"][y], size) + at % width
 
 
+def sizes_meet(n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether a set of rows x and one of rows y may be of sizes that link; both are in the order of sizes."""
+    return 100 * n[x[-1]] >= percent * n[y[0]] and 100 * n[y[-1]] >= percent * n[x[0]]
+
+
 def tree_pairs(rows, options: JoinOptions):
     """(a, b) arrays for whole groups of rows: dict of arrays group, role, node, n, pos, comp, bits, and parity as Parities."""
     parity = rows["parity"]
@@ -325,25 +332,33 @@ def tree_pairs(rows, options: JoinOptions):
     rows = {k: v[order] for k, v in rows.items() if k != "parity"}
     size = np.bincount(rows["group"])
     left = np.bincount(rows["group"][rows["role"] == 0], minlength=len(size))
+    at = np.r_[0, np.cumsum(size)]
     work = np.cumsum(left * (size - left))
     out_a, out_b = [], []
+
+    def meet(*sides):
+        trees = []
+        for k in sides:
+            n, bits = rows["n"][k], rows["bits"][k]
+            trees.append(Tree(rows["group"][k], n, n - rows["pos"][k], rows["comp"][k], n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits))
+        x, y = dual_traversal(*trees, options.percent)
+        x, y = sides[0][x], sides[1][y]
+        near = parity.may_link(order[x], parity, order[y], options.percent)
+        a, b = rows["node"][x[near]], rows["node"][y[near]]
+        out_a.append(np.minimum(a, b)), out_b.append(np.maximum(a, b))
+
     start = 0
     while start < len(size):
         done = work[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(work, done + 300_000, side="right")))
-        on = (rows["group"] >= start) & (rows["group"] < stop)
-        sides = []
-        for role in (0, 1):
-            k = on & (rows["role"] == role)
-            bits = rows["bits"][k]
-            n = rows["n"][k]
-            sides.append((Tree(rows["group"][k], n, n - rows["pos"][k], rows["comp"][k], n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits), rows["node"][k], order[k]))
-        if len(sides[0][1]) and len(sides[1][1]):
-            x, y = dual_traversal(sides[0][0], sides[1][0], options.percent)
-            near = parity.may_link(sides[0][2][x], parity, sides[1][2][y], options.percent)
-            x, y = x[near], y[near]
-            a, b = sides[0][1][x], sides[1][1][y]
-            out_a.append(np.minimum(a, b)), out_b.append(np.maximum(a, b))
+        some = np.arange(at[start], at[stop])
+        sides = [some[rows["role"][some] == role] for role in (0, 1)]
+        # Several groups are small together; one group may be large, and is met block by block, in the order of sizes.
+        blocks = [[x] if stop > start + 1 else np.split(x, np.arange(options.block, len(x), options.block)) for x in sides]
+        for x in blocks[0]:
+            for y in blocks[1]:
+                if len(x) and len(y) and (stop > start + 1 or sizes_meet(rows["n"], x, y, options.percent)):
+                    meet(x, y)
         start = stop
     if not out_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -375,8 +390,13 @@ def tree_join(units: DataFrame, options: JoinOptions) -> DataFrame:
             yield answer(held, starts(held))
 
     def answer(rows, new):
+        group, role = np.cumsum(new) - 1, rows.column("role").to_numpy()
+        twice = np.flatnonzero(role == 2)
+        if len(twice):
+            at = np.r_[np.arange(len(role)), twice]
+            rows, group, role = rows.take(at), group[at], np.r_[np.where(role == 2, 0, role), np.ones(len(twice), role.dtype)]
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, TREE_BITS // 64)
-        a, b = tree_pairs({"group": np.cumsum(new) - 1, "role": rows.column("role").to_numpy(), "node": rows.column("node").to_numpy(), "n": rows.column("n").to_numpy(), "pos": rows.column("pos").to_numpy(), "comp": rows.column("comp").to_numpy(), "bits": bits, "parity": Parities(rows.column("parity"), rows.column("n").to_numpy())}, options)
+        a, b = tree_pairs({"group": group, "role": role, "node": rows.column("node").to_numpy(), "n": rows.column("n").to_numpy(), "pos": rows.column("pos").to_numpy(), "comp": rows.column("comp").to_numpy(), "bits": bits, "parity": Parities(rows.column("parity"), rows.column("n").to_numpy())}, options)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     schema = T.StructType().add("a", T.LongType()).add("b", T.LongType())
@@ -441,12 +461,25 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, options: JoinOpt
     return out
 
 
-def prefix_groups(nodes: DataFrame) -> DataFrame:
+def size_class(options: JoinOptions):
+    """A class of n, in an unsharp order: sets of a link are of one class or of two that follow each other."""
+    return F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / options.percent) * (1 + 1e-9))).cast("int")
+
+
+def prefix_groups(nodes: DataFrame, options: JoinOptions) -> DataFrame:
     """token, node, n, pos: the prefix shingles that several nodes hold, with their places in the sets' orders; m, how
-    many hold it. Counted before the join, so that a large group can be dealt over many tasks."""
-    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    m = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    return materialise(posts.join(m, "token").select("token", "node", "n", "pos", "m"))
+    many hold it. Counted before the join, so that a large group can be dealt over many tasks. A node without another of
+    its group that has a size to link with is left out: unrelated texts share ever more shingles as a corpus grows."""
+    posts = nodes.select("node", "n", size_class(options).alias("near"), F.posexplode("prefix").alias("pos", "token"))
+    m = posts.groupBy("token").agg(F.count("*").alias("m"), F.min("near").alias("lo"), F.max("near").alias("hi")).where("m > 2 or m = 2 and hi - lo <= 1").select("token", "m")
+    groups = materialise(posts.join(m, "token").select("token", "node", "n", "pos", "m", "near"))
+    # Classes as bits, 64 of them in turn: a bit that stands for two classes keeps a row, and never drops one.
+    bit = lambda k: F.expr(f"shiftleft(1L, pmod({k}, 64))")
+    counted = groups.groupBy("token", "near").agg(F.count("*").alias("c")).groupBy("token").agg(F.bit_or(bit("near")).alias("once"), F.bit_or(F.when(F.col("c") > 1, bit("near")).otherwise(F.lit(0).cast("long"))).alias("again"))
+    on = F.col("once").bitwiseAND(bit("near - 1").bitwiseOR(bit("near + 1"))).bitwiseOR(F.col("again").bitwiseAND(bit("near"))) != 0
+    out = materialise(groups.join(counted, "token").where(on).select("token", "node", "n", "pos", "m"))
+    release(groups)
+    return out
 
 
 def moved(nodes: DataFrame, before: Levels, after: Levels) -> DataFrame:
@@ -507,15 +540,16 @@ def family_pairs(groups: DataFrame, nodes: DataFrame, options: JoinOptions, pilo
     least = groups.groupBy("token").agg(F.min("node").alias("family"))
     family = materialise(groups.join(least, "token").groupBy("family", "node", "n", "comp").agg(F.min("pos").alias("pos")))
     per = family.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top"))
-    blocks = lambda n: F.ceil(n / options.block).cast("int")
+    blocks = lambda n: F.ceil(n / (options.block * options.send_blocks)).cast("int")
     blocked = family.join(per.select("family", "m", F.col("top.comp").alias("major"), blocks(F.col("m")).alias("blocks"), blocks(F.col("m") - F.col("top.k")).alias("q_blocks")), "family")
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     base = ["family", "node", "n", "pos", "comp"]
     i, j = block(F.col("blocks")).alias("i"), F.lit(0).alias("j") if pilot else block(F.col("q_blocks")).alias("j")
-    left = blocked.select(*base, F.lit(0).alias("role"), i, j if pilot else every(F.col("q_blocks")).alias("j"))
     some = F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("m") / pilot)) == 0 if pilot else F.col("comp") != F.col("major")
-    right = blocked.where(some).select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), j)
+    # A row of a family of one block that is of both sides is sent once, as role 2.
+    left = blocked.select(*base, F.when(some & (F.col("blocks") == 1), 2).otherwise(0).alias("role"), i, j if pilot else every(F.col("q_blocks")).alias("j"))
+    right = blocked.where(some & (F.col("blocks") > 1)).select(*base, F.lit(1).alias("role"), every(F.col("blocks")).alias("i"), j)
     units = left.unionByName(right).join(nodes.select("node", "bits", "parity"), "node")
     found = tree_join(units.select("family", "i", "j", "role", "node", "n", "pos", "comp", "bits", "parity"), options)
     out = materialise(found.distinct().select(F.col("a").alias("hub"), F.col("b").alias("node")))
@@ -547,7 +581,7 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
     nodes = materialise(able.groupBy("node", "n").agg(F.min(F.struct("doc_id", "prefix", "bits", "parity")).alias("s")).select("node", "n", F.col("s.doc_id").alias("home"), "s.prefix", "s.bits", "s.parity"))
     slim = materialise(sig.select("doc_id", "n", "node", "text_id"))
     release(sig)
-    groups = prefix_groups(nodes)
+    groups = prefix_groups(nodes, options)
     for _ in range(options.order_rounds):
         large = groups.where(F.col("m") >= 16 * options.frequent_least)
         after = levels.joined(large.select("token", F.col("m").alias("c")).distinct())
@@ -563,7 +597,7 @@ def document_classes(docs: DataFrame, options: JoinOptions = JoinOptions()) -> D
         new = materialise(nodes.join(again, "node", "left").withColumn("prefix", F.coalesce("ordered", "prefix")).drop("ordered"))
         release(affected, groups, nodes)
         nodes = new
-        groups = prefix_groups(nodes)
+        groups = prefix_groups(nodes, options)
 
     comps = None
     current = apart(groups, comps)

@@ -41,6 +41,30 @@ def test_jaccard_query_against_all_pairs(spark, sf_dir):
     assert got == brute_components(docs)
 
 
+def test_jaccard_sends_few_rows(spark):
+    """Groups of sets whose sizes can't link are left out, and what remains goes to the trees once; nothing else is lost."""
+    nodes = spark.createDataFrame([(1, 100, [7, 8]), (2, 1000, [7, 9]), (3, 860, [9, 8]), (4, 98, [8, 5]), (5, 100, [6]), (6, 84, [6]), (7, 2000, [6])], "node long, n long, prefix array<long>")
+    options = jaccard_join.JoinOptions()
+    got = {(r.token, r.node, r.m) for r in jaccard_join.prefix_groups(nodes, options).collect()}
+    assert got == {(9, 2, 2), (9, 3, 2), (8, 1, 3), (8, 4, 3), (6, 5, 3), (6, 6, 3)}
+    for n in (1, 2, 6, 17, 100, 117, 100_000):
+        sizes = [x for x in range(n, n + n // 5 + 2) if 100 * n >= options.percent * x]
+        near = [r.near for r in spark.createDataFrame([(x,) for x in [n, *sizes[-3:]]], "n long").select(jaccard_join.size_class(options).alias("near")).collect()]
+        assert max(near) - near[0] <= 1
+    sent = []
+    real = jaccard_join.tree_join
+    jaccard_join.tree_join = lambda units, o: sent.append(units.groupBy("node").count().agg(F.max("count")).first()[0]) or real(units, o)
+    try:
+        words = [f"w{i}" for i in range(100)]
+        texts = [" ".join([*words[:60], *(f"x{k}y{i}" for i in range(8))]) for k in range(60)]
+        rows = list(enumerate(texts))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, jaccard_join.JoinOptions(block=8, hub_rounds=1)).collect()}
+    finally:
+        jaccard_join.tree_join = real
+    assert got == brute_components(rows) and all((k or 0) <= 2 for k in sent)
+
+
 @pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
 def test_jaccard_near_copies(spark, k, percent):
     rng = np.random.default_rng(3)
