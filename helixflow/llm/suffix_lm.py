@@ -16,13 +16,14 @@ bitmaps of a fixed size are broadcast. They save work that can have no result, a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, bounded_batches, crc_bucket, distinct, first_places, materialise, mix64, release, table, tidy, word_id, word_pieces
+from .common import BATCH_ROWS, batches_of, bounded_batches, crc_bucket, distinct, first_places, materialise, mix64, release, table, tidy, word_id, word_pieces
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(mix64(np.array([1], np.uint64))[0])  # the end token
@@ -34,7 +35,9 @@ PAIR_SPAN = 1 << 21
 TOKENS = 250_000
 #: Training tokens for each span of codes that a task answers for.
 SPAN_TOKENS = 2_000_000
-#: The same where pairs are counted. They travel whole there, in fewer bytes a span.
+#: Rows of an Arrow batch of facts.
+FACT_ROWS = 20_000
+#: The same as SPAN_TOKENS where pairs are counted. They travel whole there, in fewer bytes a span.
 COUNT_TOKENS = 1_000_000
 
 
@@ -109,7 +112,12 @@ class Bitmap:
     def of(cls, codes: DataFrame) -> Bitmap:
         """codes: one column, code. BITS / 64 cells at most reach the driver."""
         rows = codes.selectExpr(f"shiftright(code & {BITS - 1}, 6) as cell", "shiftleft(1L, cast(code & 63 as int)) as bit")
-        found = rows.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+        return cls.merged(rows.withColumnRenamed("bit", "bits"))
+
+    @classmethod
+    def merged(cls, rows: DataFrame) -> Bitmap:
+        """rows: cell, bits, several for a cell."""
+        found = rows.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
         cells = np.zeros(BITS >> 6, np.uint64)
         cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         return cls(cells)
@@ -307,13 +315,13 @@ def paired(rows: DataFrame, state: str, symbol: str, name: str) -> DataFrame:
 
 class SuffixTree:
     """contexts: for each level, a table context, suffix, n (occurrences), rest (the left-over mass, in ``unit``s of an
-    occurrence), retained. nexts: for each level, a table context, key, c, code. facts: code, value, rest of what scoring may ask: a
-    word's count; n and rest of a retained context; the count of a word after one (rest is 0 but for contexts)."""
+    occurrence), retained. nexts: for each level, a table context, key, c, code. facts: what scoring may ask, packed by spans of
+    its codes (span, codes, values, rests): a word's count; n and rest of a retained context; the count of a word after one (rest is 0 but for contexts)."""
 
     def __init__(self, options: TreeOptions, total: int, vocabulary: int, contexts: list[DataFrame], nexts: list[DataFrame], facts: DataFrame, asked: Bitmap):
         self.options, self.total, self.vocabulary = options, total, vocabulary
         self.contexts, self.nexts, self.facts, self.asked = contexts, nexts, facts, asked
-        self.sent = None
+        self.sent, self.parts = None, []
 
     def shared(self, spark):
         """The bitmap of facts, broadcast once however often texts are scored."""
@@ -344,6 +352,43 @@ def as_facts(rows: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType().add("code", T.LongType()).add("value", T.LongType()).add("rest", T.LongType()))
 
 
+def packed_facts(facts: DataFrame, total: int) -> DataFrame:
+    """code, value, rest as a row for each span of the codes. All rounds of scoring read these, and move no row for each fact."""
+    import pyarrow as pa
+
+    spans = fact_spans(total)
+
+    def pack(rows):
+        code, at = first_places(rows.column("code").to_numpy().view(np.uint64))
+        value, rest = (rows.column(k).to_numpy()[at].view(np.uint64) for k in ("value", "rest"))
+        return pa.table({"span": pa.array(code_span(code[:1], spans).view(np.int64)), "codes": pa.array([pack_codes(code)], pa.binary()), "values": pa.array([planes(value)], pa.binary()), "rests": pa.array([planes(rest)], pa.binary())})
+
+    placed = facts.withColumn("span", F.shiftright(F.shiftrightunsigned("code", 32) * spans, 32))
+    with batches_of(facts.sparkSession, FACT_ROWS):  # no texts here
+        return materialise(placed.groupBy("span").applyInArrow(pack, T.StructType().add("span", T.LongType()).add("codes", T.BinaryType()).add("values", T.BinaryType()).add("rests", T.BinaryType())))
+
+
+def fact_bitmap(facts: DataFrame) -> Bitmap:
+    """The bitmap of all codes of packed facts."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                bits = np.sort(unpack_codes(data.as_py()) & np.uint64(BITS - 1))
+                cell = bits >> np.uint64(6)
+                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), first)
+                for k in range(0, len(first), FACT_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[first[k : k + FACT_ROWS]].view(np.int64)), pa.array(bits[k : k + FACT_ROWS].view(np.int64))], names=["cell", "bits"])
+
+    return Bitmap.merged(facts.select("codes").mapInArrow(run, T.StructType().add("cell", T.LongType()).add("bits", T.LongType())))
+
+
+def fact_spans(total: int) -> int:
+    return max(1, -(-total // SPAN_TOKENS))
+
+
 def in_states(tokens, place, p, known: Answers, options: TreeOptions, asked: Bitmap) -> np.ndarray:
     """Probabilities in the longest retained contexts, from those in the root: one step down for each length."""
     p = p.copy()
@@ -363,8 +408,9 @@ def in_states(tokens, place, p, known: Answers, options: TreeOptions, asked: Bit
     return p
 
 
-def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> SuffixTree:
-    """docs: training documents; counts: key, c of their words."""
+def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions, keep: bool = True) -> SuffixTree:
+    """docs: training documents; counts: key, c of their words. Without ``keep`` the tables of levels are deleted once their
+    facts are written."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -423,14 +469,20 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions) -> Suffi
         release(known)
     symbols.destroy()
     none = F.lit(0).cast("long").alias("rest")
-    facts = counts.select(F.col("key").alias("code"), F.col("c").alias("value"), none)
+    # A level at a time, so that the shuffles of all levels aren't on disk together.
+    facts = [packed_facts(counts.select(F.col("key").alias("code"), F.col("c").alias("value"), none), total)]
     for rows, known in zip(nexts, levels, strict=True):
         mine = known.where("retained")
         after = rows.join(mine.select("context"), "context", "left_semi").select("code", F.col("c").alias("value"), none)
-        facts = facts.unionByName(as_facts(mine.select(F.col("context").alias("code"), F.col("n").alias("value"), "rest"), "context"))
-        facts = facts.unionByName(as_facts(after, "pair"))
-    facts = materialise(facts)
-    return SuffixTree(options, total, vocabulary, levels, nexts, facts, Bitmap.of(facts.select("code")))
+        some = as_facts(mine.select(F.col("context").alias("code"), F.col("n").alias("value"), "rest"), "context").unionByName(as_facts(after, "pair"))
+        facts.append(packed_facts(some, total))
+        if not keep:
+            release(rows, known)
+        tidy(spark)
+    whole = reduce(DataFrame.unionByName, facts)
+    tree = SuffixTree(options, total, vocabulary, levels if keep else [], nexts if keep else [], whole, fact_bitmap(whole))
+    tree.parts = facts
+    return tree
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -530,8 +582,10 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), b, np.int64)), pa.array(span[first[k : k + BATCH_ROWS]].view(np.int64)), pa.array([pack_codes(code[x:y]) for x, y in edges], pa.binary())], names=["bucket", "span", "codes"])
 
     def answer(questions, facts):
-        code, at = first_places(facts.column("code").to_numpy().view(np.uint64))
-        value, rest = (facts.column(k).to_numpy()[at].view(np.uint64) for k in ("value", "rest"))
+        none = np.zeros(0, np.uint64)
+        code, value, rest = (np.concatenate([none, *(read(x.as_py()) for x in facts.column(k))]) for k, read in (("codes", unpack_codes), ("values", from_planes), ("rests", from_planes)))
+        code, at = first_places(code)
+        value, rest = value[at], rest[at]
         bucket, codes, values, rests = [], [], [], []
         for b, data in zip(questions.column("bucket").to_pylist(), questions.column("codes"), strict=True):
             one = unpack_codes(data.as_py())
@@ -542,10 +596,9 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
         return pa.table({"bucket": pa.array(bucket, pa.int64()), "codes": pa.array(codes, pa.binary()), "values": pa.array(values, pa.binary()), "rests": pa.array(rests, pa.binary())})
 
     # Questions and answers travel packed, a span of the codes at a time: half the bytes of a row for each code.
-    spans = max(1, -(-total // SPAN_TOKENS))
+    spans = fact_spans(total)
     questions = dealt.select("text", "bucket").mapInArrow(ask, T.StructType().add("bucket", T.LongType()).add("span", T.LongType()).add("codes", T.BinaryType()))
-    facts = tree.facts.withColumn("span", F.shiftright(F.shiftrightunsigned("code", 32) * spans, 32))
-    known = questions.groupBy("span").cogroup(facts.groupBy("span")).applyInArrow(answer, T.StructType().add("bucket", T.LongType()).add("codes", T.BinaryType()).add("values", T.BinaryType()).add("rests", T.BinaryType()))
+    known = questions.groupBy("span").cogroup(tree.facts.groupBy("span")).applyInArrow(answer, T.StructType().add("bucket", T.LongType()).add("codes", T.BinaryType()).add("values", T.BinaryType()).add("rests", T.BinaryType()))
     out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("held_out", T.BooleanType())
     for name in ("n_tokens", "n_known", "train_tokens"):
         out = out.add(name, T.LongType())
@@ -579,8 +632,8 @@ def op2_suffix_lm(spark, sf_dir: str) -> DataFrame:
     split = docs.withColumn("bucket", split_bucket(options))
     training = docs.where(~F.col("held_out"))
     counts = materialise(count_words(training))
-    tree = grow_tree(training, counts, options)
-    release(counts, *tree.nexts, *tree.contexts)
+    tree = grow_tree(training, counts, options, keep=False)
+    release(counts)
     tidy(spark)
     # Each round has its questions and answers on disk, and they go before the next.
     scored = None
@@ -589,7 +642,7 @@ def op2_suffix_lm(spark, sf_dir: str) -> DataFrame:
         part = materialise(score_texts(mine, counts, tree))
         tidy(spark)
         scored = part if scored is None else scored.unionByName(part)
-    release(tree.facts)
+    release(*tree.parts)
     return scored
 
 

@@ -253,6 +253,24 @@ def test_pairs_are_counted_packed(spark, monkeypatch, spans):
     assert suffix_lm.count_next(df.limit(0), 1, words, words, None, 2, spans).count() == 0
 
 
+def test_facts_are_packed_by_spans(spark):
+    """Scoring reads a row for each span and level instead of one for each fact, and the bitmap holds all of them."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(-(1 << 63), 1 << 63, 3000, dtype=np.int64)
+    facts = spark.createDataFrame([(int(x), i % 300 + 1, i % 7 * 1000) for i, x in enumerate(codes)], "code long, value long, rest long")
+    packed = suffix_lm.packed_facts(facts, 5 * suffix_lm.SPAN_TOKENS)
+    rows = packed.collect()
+    assert sorted(r.span for r in rows) == list(range(5))
+    got = {}
+    for r in rows:
+        code = suffix_lm.unpack_codes(r["codes"])
+        assert (suffix_lm.code_span(code, 5) == r.span).all()
+        got |= {int(c): (int(v), int(w)) for c, v, w in zip(code.view(np.int64), suffix_lm.from_planes(r["values"]), suffix_lm.from_planes(r["rests"]), strict=True)}
+    assert got == {r.code: (r.value, r.rest) for r in facts.collect()}
+    held = suffix_lm.fact_bitmap(packed)
+    assert held.has(codes.view(np.uint64)).all() and np.bitwise_count(held.cells).sum() <= 3000
+
+
 def test_suffix_lm_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "b b", None)], "doc_id long, text string, score string").withColumn("held_out", F.col("doc_id") == 2)
     df = df.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
