@@ -437,8 +437,12 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions, keep: bo
                 pairs.destroy()
                 break
         # Bitmaps may let other contexts through; the join doesn't.
-        rows = count_next(docs, level, symbols, here, pairs, options.least_next, max(1, -(-total // COUNT_TOKENS))).join(contexts, "context")
+        # The packed pairs leave the disk before the joins need it.
+        counted = materialise(count_next(docs, level, symbols, here, pairs, options.least_next, max(1, -(-total // COUNT_TOKENS))))
+        tidy(spark)
+        rows = counted.join(contexts, "context")
         rows = materialise(paired(rows.join(q, ["suffix", "key"]).select("context", "suffix", "key", "c", "n", "q"), "context", "key", "code"))
+        release(counted)
         if here is not symbols:
             here.destroy()
         if pairs is not None:
