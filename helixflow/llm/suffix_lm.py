@@ -35,8 +35,11 @@ PAIR_SPAN = 1 << 21
 TOKENS = 250_000
 #: Training tokens for each span of codes that a task answers for.
 SPAN_TOKENS = 2_000_000
-#: Rows of an Arrow batch of facts.
+#: Rows of an Arrow batch of facts, and of one of packed spans.
 FACT_ROWS = 20_000
+SPAN_ROWS = 16
+#: Spans of the words' hashes when they are counted.
+WORD_SPANS = 256
 #: The same as SPAN_TOKENS where pairs are counted. They travel whole there, in fewer bytes a span.
 COUNT_TOKENS = 1_000_000
 
@@ -79,18 +82,56 @@ def lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
+def code_span(code: np.ndarray, spans: int) -> np.ndarray:
+    """Which of some even spans a code lies in."""
+    return ((code >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
+
+
+def packed_type(*names: str) -> T.StructType:
+    return T.StructType([T.StructField("span", T.LongType()), *(T.StructField(name, T.BinaryType()) for name in names)])
+
+
+def by_spans(code: np.ndarray, spans: int, **columns: np.ndarray):
+    """An Arrow table with a row for each span of the codes: the columns' entries there, packed. Signed numbers go as planes of
+    their bytes, others as they are."""
+    import pyarrow as pa
+
+    span = code_span(code, spans).astype(np.uint16 if spans <= 1 << 16 else np.uint32)
+    if not (span[1:] >= span[:-1]).all():
+        order = np.argsort(span, kind="stable")
+        span, columns = span[order], {name: x[order] for name, x in columns.items()}
+    first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]][: len(span)])
+    stop = np.r_[first[1:], len(span)][: len(first)]
+    out = {"span": pa.array(span[first].astype(np.int64))}
+    for name, x in columns.items():
+        write = planes if x.dtype == np.int64 else np.ndarray.tobytes
+        out[name] = pa.array([write(x[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())
+    return pa.table(out)
+
+
+def entries(rows, name: str, kind=np.uint64) -> np.ndarray:
+    """All entries of a packed column; kind: their type, np.int64 for planes."""
+    if kind is np.int64:
+        return np.concatenate([np.zeros(0, np.uint64), *(from_planes(x.as_py()) for x in rows.column(name))]).view(np.int64)
+    return np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), kind)
+
+
 class Answers:
     """What a bucket has been told: sorted codes with a value and a rest each. Codes are random, so the leading bits of
     one say nearly where it is."""
 
     def __init__(self, code: np.ndarray, value: np.ndarray, rest: np.ndarray):
-        code, first = first_places(code)
-        # One more entry, so that a search has where to end.
-        self.code = np.r_[code, np.uint64(0xFFFFFFFFFFFFFFFF)]
-        self.value, self.rest = value[first].view(np.int64), rest[first].view(np.int64)
+        if not (code[1:] > code[:-1]).all():
+            code, first = first_places(code)
+            value, rest = value[first], rest[first]
+        # An entry is in one place of memory. One more, so that a search has where to end.
+        rows = np.full((len(code) + 1, 3), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        rows[:-1, 0], rows[:-1, 1], rows[:-1, 2] = code, value, rest
+        self.code, self.value, self.rest = rows[:, 0], rows[:-1, 1].view(np.int64), rows[:-1, 2].view(np.int64)
         bits = max(1, len(code).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.start = np.searchsorted(code, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.start = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((code >> self.shift).astype(np.int64), minlength=1 << bits), out=self.start[1:])
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, or -1."""
@@ -103,7 +144,7 @@ class Answers:
 
 
 class Bitmap:
-    """A set of codes that may hold more than were put in, never fewer."""
+    """A set of codes, by their leading bits, that may hold more than were put in, never fewer."""
 
     def __init__(self, cells: np.ndarray):
         self.cells = cells
@@ -111,22 +152,46 @@ class Bitmap:
     @classmethod
     def of(cls, codes: DataFrame) -> Bitmap:
         """codes: one column, code. BITS / 64 cells at most reach the driver."""
-        rows = codes.selectExpr(f"shiftright(code & {BITS - 1}, 6) as cell", "shiftleft(1L, cast(code & 63 as int)) as bit")
-        return cls.merged(rows.withColumnRenamed("bit", "bits"))
+        bit = 65 - BITS.bit_length()
+        rows = codes.selectExpr(f"shiftrightunsigned(code, {bit + 6}) as cell", f"shiftleft(1L, cast(shiftrightunsigned(code, {bit}) & 63 as int)) as bit")
+        found = rows.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+        cells = np.zeros(BITS >> 6, np.uint64)
+        cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return cls(cells)
 
     @classmethod
-    def merged(cls, rows: DataFrame) -> Bitmap:
-        """rows: cell, bits, several for a cell."""
-        found = rows.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    def of_packed(cls, rows: DataFrame, least: int = 0) -> Bitmap:
+        """rows: codes by spans, sorted, and counts, or codes alone; those below ``least`` are left out. A row is a stretch of the
+        bitmap, so about BITS / 8 bytes reach the driver."""
+        import pyarrow as pa
+
+        def run(batches):
+            for batch in batches:
+                for k, data in enumerate(batch.column(0)):
+                    code = unpack_codes(data.as_py())
+                    if least:
+                        code = code[from_planes(batch.column(1)[k].as_py()) >= least]
+                    if len(code):
+                        bits = distinct(code >> np.uint64(65 - BITS.bit_length()))
+                        cell = bits >> np.uint64(6)
+                        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                        stretch = np.zeros(int(cell[-1] - cell[0]) + 1, np.uint64)
+                        stretch[cell[first] - cell[0]] = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), first)
+                        yield pa.RecordBatch.from_arrays([pa.array([int(cell[0])], pa.int64()), pa.array([stretch.tobytes()], pa.binary())], names=["cell", "bits"])
+
+        with batches_of(rows.sparkSession, SPAN_ROWS):
+            found = rows.mapInArrow(run, T.StructType().add("cell", T.LongType()).add("bits", T.BinaryType())).toArrow()
         cells = np.zeros(BITS >> 6, np.uint64)
-        cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        for cell, bits in zip(found.column("cell").to_pylist(), found.column("bits"), strict=True):
+            stretch = np.frombuffer(bits.as_buffer(), np.uint64)
+            cells[cell : cell + len(stretch)] |= stretch
         return cls(cells)
 
     def any(self) -> bool:
         return bool(self.cells.any())
 
     def has(self, codes: np.ndarray) -> np.ndarray:
-        at = codes & np.uint64(len(self.cells) * 64 - 1)
+        at = codes >> np.uint64(59 - len(self.cells).bit_length())
         return (self.cells[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -141,17 +206,25 @@ def state_codes(tokens: np.ndarray, place: np.ndarray, depth: int):
         yield level, at, code[at]
 
 
+def context_codes(tokens: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+    """Codes as of ``state_codes`` of the contexts of one length that end in some positions."""
+    code = tokens[at - (level - 1)]
+    for k in range(level - 2, -1, -1):
+        code = pair_code(code, tokens[at - k])
+    return code
+
+
 def places(at: np.ndarray) -> np.ndarray:
     return np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """key, c over all documents' tokens; a task sums over many documents before the shuffle."""
+    """key, c over all documents' tokens; a task sums over many documents before the shuffle, and sends them packed."""
     import pyarrow as pa
 
     def summed(parts):
         key, c = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], names=["key", "c"])
+        return by_spans(key, WORD_SPANS, keys=key, counts=c.astype(np.int64)).to_batches(BATCH_ROWS)
 
     def run(batches):
         parts, size = [], 0
@@ -160,13 +233,20 @@ def count_words(docs: DataFrame) -> DataFrame:
                 parts.append(tokens)
                 size += len(tokens)
                 if size >= 2 * TOKENS:
-                    yield summed(parts)
+                    yield from summed(parts)
                     parts, size = [], 0
         if parts:
-            yield summed(parts)
+            yield from summed(parts)
+
+    def merge(rows):
+        key, c = entries(rows, "keys"), entries(rows, "counts", np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return pa.table({"key": key[first].view(np.int64), "c": np.add.reduceat(c[order], first)})
 
     schema = T.StructType().add("key", T.LongType()).add("c", T.LongType())
-    return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, packed_type("keys", "counts")).groupBy("span").applyInArrow(merge, schema)
 
 
 def repeated_pairs(docs: DataFrame, words) -> Bitmap:
@@ -194,7 +274,7 @@ def repeated_pairs(docs: DataFrame, words) -> Bitmap:
                 known = words.value.has(tokens)
                 where = np.flatnonzero(known[:-1] & known[1:] & (places(at)[1:] > 0))
                 if len(where):
-                    codes.append((pair_code(tokens[where], tokens[where + 1]) & np.uint64(PAIR_BITS - 1)).astype(np.uint32))
+                    codes.append((pair_code(tokens[where], tokens[where + 1]) >> np.uint64(65 - PAIR_BITS.bit_length())).astype(np.uint32))
                     size += len(where)
                 if size >= 8 * TOKENS:
                     yield met(codes)
@@ -230,46 +310,41 @@ def repeated_pairs(docs: DataFrame, words) -> Bitmap:
     return Bitmap(cells)
 
 
-def code_span(code: np.ndarray, spans: int) -> np.ndarray:
-    """Which of some even spans a code lies in."""
-    return ((code >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
-
-
-def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int, spans: int = 1) -> DataFrame:
+def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int, spans: int = 1, parent_spans: int = 0) -> DataFrame:
     """context, key, c: how often a word of the bitmap ``words`` follows a context of this level in the bitmap
     ``contexts``, ``least`` times or more. A bitmap ``pairs`` (or None) holds all such pairs of the level before, or, on the
     first level, of this one: no word follows a context more often than it follows the context's end. All are broadcasts.
 
     A task sends its pairs packed, one row for each of ``spans`` spans of their codes, and they are summed a span at a time:
-    a row for each pair would fill the heap with tables of sums, as most pairs occur once in a task.
+    a row for each pair would fill the heap with tables of sums, as most pairs occur once in a task. With ``parent_spans``
+    they stay packed, as rows for so many spans of their parents: codes, contexts, parents, counts. A pair's parent is the
+    pair of the context without its oldest word and the same word, or that word alone.
     """
     import pyarrow as pa
 
-    def summed(context, key, c=None):
+    def summed(context, key, suffix, c=None):
         code = pair_code(context, key)
         order = np.argsort(code)
         code = code[order]
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
         c = np.diff(np.r_[first, len(code)]) if c is None else np.add.reduceat(c[order], first) if len(first) else c
         code, first = code[first], order[first]
-        return code, context[first], key[first], c
+        return code, context[first], key[first], suffix[first] if level > 1 else suffix, c
 
     def packed(parts):
-        code, context, key, c = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        span = code_span(code, spans)
-        first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])
-        edges = list(zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True))
-        for k in range(0, len(edges), BATCH_ROWS):
-            some = edges[k : k + BATCH_ROWS]
-            columns = [pa.array([read(x[a:b]) for a, b in some], pa.binary()) for x, read in ((context, np.ndarray.tobytes), (key, np.ndarray.tobytes), (c, planes))]
-            yield pa.RecordBatch.from_arrays([pa.array(span[[a for a, _ in some]].view(np.int64)), *columns], names=["span", "contexts", "keys", "counts"])
+        code, context, key, suffix, c = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        columns = {"contexts": context, "keys": key, "counts": c} | ({"suffixes": suffix} if level > 1 else {})
+        return by_spans(code, spans, **columns).to_batches(BATCH_ROWS)
 
     def merge(rows):
-        context, key = (np.frombuffer(b"".join(x.as_py() for x in rows.column(k)), np.uint64) for k in ("contexts", "keys"))
-        c = np.concatenate([from_planes(x.as_py()).view(np.int64) for x in rows.column("counts")])
-        _, context, key, c = summed(context, key, c)
+        none = np.zeros(0, np.uint64)
+        code, context, key, suffix, c = summed(entries(rows, "contexts"), entries(rows, "keys"), entries(rows, "suffixes") if level > 1 else none, entries(rows, "counts", np.int64))
         on = c >= least
-        return pa.table({"context": context[on].view(np.int64), "key": key[on].view(np.int64), "c": c[on]})
+        code, context, key, c = code[on], context[on], key[on], c[on]
+        if not parent_spans:
+            return pa.table({"context": context.view(np.int64), "key": key.view(np.int64), "c": c})
+        parent = pair_code(suffix[on], key) if level > 1 else key
+        return by_spans(parent, parent_spans, codes=code, contexts=context, parents=parent, counts=c)
 
     def run(batches):
         parts, size = [], 0
@@ -282,13 +357,14 @@ def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int,
                         shorter[where] = code
                 on = contexts.value.has(code)
                 where, code = where[on], code[on]
-                on = words.value.has(tokens[where + 1])
-                where, code = where[on], code[on]
+                if level == 1 or pairs is None:  # else the pair's parent has the word
+                    on = words.value.has(tokens[where + 1])
+                    where, code = where[on], code[on]
                 if pairs is not None and len(where):
                     on = pairs.value.has(pair_code(shorter[where], tokens[where + 1]))
                     where, code = where[on], code[on]
                 if len(where):
-                    parts.append((code, tokens[where + 1]))
+                    parts.append((code, tokens[where + 1], shorter[where] if level > 1 else shorter[:0]))
                     size += len(where)
                 if size >= 2 * TOKENS:
                     yield from packed(parts)
@@ -296,32 +372,163 @@ def count_next(docs: DataFrame, level: int, words, contexts, pairs, least: int,
         if parts:
             yield from packed(parts)
 
-    sent = T.StructType().add("span", T.LongType()).add("contexts", T.BinaryType()).add("keys", T.BinaryType()).add("counts", T.BinaryType())
-    schema = T.StructType().add("context", T.LongType()).add("key", T.LongType()).add("c", T.LongType())
+    sent = packed_type("contexts", "keys", "counts", *(["suffixes"] if level > 1 else []))
+    schema = packed_type("codes", "contexts", "parents", "counts") if parent_spans else T.StructType().add("context", T.LongType()).add("key", T.LongType()).add("c", T.LongType())
     return docs.select("text").mapInArrow(run, sent).groupBy("span").applyInArrow(merge, schema)
 
 
-def paired(rows: DataFrame, state: str, symbol: str, name: str) -> DataFrame:
-    """rows with the pair_code of two of their columns."""
+def first_level(words: DataFrame, total: int, vocabulary: int, least: int) -> DataFrame:
+    """What ``grown`` asks on the first level, from packed facts of words: those of the alphabet, by spans, with their
+    probability in the root. A word has no shorter context than itself."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            a, b = (batch.column(batch.schema.get_field_index(k)).to_numpy().view(np.uint64) for k in (state, symbol))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair_code(a, b).view(np.int64))], names=[*batch.schema.names, name])
+            for k, span in enumerate(batch.column(0).to_pylist()):
+                code, c = unpack_codes(batch.column(1)[k].as_py()), from_planes(batch.column(2)[k].as_py())
+                code, c = code[c >= least], c[c >= least]
+                if len(code):
+                    q = (c + 1) / (total + vocabulary + 1)
+                    columns = [pack_codes(code), planes(c), bytes(8 * len(code)), q.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([span], pa.int64()), *(pa.array([x], pa.binary()) for x in columns)], names=["span", "codes", "counts", "parents", "qs"])
+
+    with batches_of(words.sparkSession, SPAN_ROWS):
+        return materialise(words.select("span", "codes", "values").mapInArrow(run, packed_type("codes", "counts", "parents", "qs")))
+
+
+def grown(counted: DataFrame, base: DataFrame, spans: int, options: TreeOptions) -> DataFrame:
+    """A row for each span of the contexts of a level: contexts, suffixes, ns, rests, owns (whether they diverge by ``least_gain``), sizes
+    (next words of each), and codes, parents, counts, qs (probability in the context) of their next words, one context after another.
+
+    counted: packed by ``count_next``. base: by spans of the codes, all pairs of the level before (or the words) with their
+    count, parent and probability. It knows what a pair's parent gives and how often a context occurs, as a context
+    has the code of the pair that it ends in; bitmaps may have let others through, these lookups don't. Spans hold
+    about 1 / ``spans`` of the contexts; a context's next words are together, as many as distinct words follow it twice.
+    """
+    import pyarrow as pa
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+    def rated(rows, base):
+        known, q = (np.concatenate([np.zeros(0, np.uint64), *(unpack_codes(x.as_py()) for x in base.column("codes"))]), entries(base, "qs", np.float64))
+        parent = entries(rows, "parents")
+        at = lookup(known, parent)
+        on = at >= 0
+        context = entries(rows, "contexts")[on]
+        return by_spans(context, spans, codes=entries(rows, "codes")[on], contexts=context, parents=parent[on], counts=entries(rows, "counts", np.int64)[on], qs=q[at[on]])
+
+    def together(rows, base):
+        known, often = np.concatenate([np.zeros(0, np.uint64), *(unpack_codes(x.as_py()) for x in base.column("codes"))]), entries(base, "counts", np.int64)
+        at = lookup(known, entries(rows, "contexts"))
+        at[at >= 0] = np.where(often[at[at >= 0]] >= options.least_count, at[at >= 0], -1)
+        order = np.argsort(at, kind="stable")
+        order = order[np.searchsorted(at[order], 0) :]
+        if not len(order):
+            return pa.table({f.name: pa.array([], pa.int64() if f.name == "span" else pa.binary()) for f in schema})
+        at = at[order]
+        code, parent, c, q = entries(rows, "codes")[order], entries(rows, "parents")[order], entries(rows, "counts", np.int64)[order], entries(rows, "qs", np.float64)[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        size = np.diff(np.r_[first, len(at)])
+        here = at[first]
+        n = often[here]
+        share = (c - options.discount) / np.repeat(n, size)
+        rest = np.floor((n - np.add.reduceat(c, first) + options.discount * size) * UNIT + 0.5).astype(np.int64)
+        others, left = rest / UNIT / n, 1 - np.add.reduceat(q, first)
+        on = (others > 0) & (left > 0)
+        gain = np.add.reduceat(share * np.log2(share / q), first)
+        gain[on] += others[on] * np.log2(others[on] / left[on])
+        q = share + np.repeat(rest / UNIT / n, size) * q
+        found = {"contexts": known[here], "suffixes": entries(base, "parents")[here], "ns": n, "rests": rest, "owns": np.round(gain, 9) >= options.least_gain, "sizes": size, "codes": code, "parents": parent, "counts": c, "qs": q}
+        row = [planes(x) if x.dtype == np.int64 else x.tobytes() for x in found.values()]
+        return pa.table([pa.array(code_span(known[here[:1]], spans).view(np.int64)), *(pa.array([x], pa.binary()) for x in row)], names=["span", *found])
+
+    schema = packed_type("contexts", "suffixes", "ns", "rests", "owns", "sizes", "codes", "parents", "counts", "qs")
+    rows = counted.groupBy("span").cogroup(base.groupBy("span")).applyInArrow(rated, packed_type("codes", "contexts", "parents", "counts", "qs"))
+    return rows.groupBy("span").cogroup(base.groupBy("span")).applyInArrow(together, schema)
+
+
+#: Columns of ``grown`` that stay until the facts are written.
+LEVEL = ("span", "contexts", "suffixes", "ns", "rests", "owns", "sizes", "codes", "counts")
+
+
+def next_level(level: DataFrame, spans: int) -> DataFrame:
+    """What ``grown`` asks on the next level: all pairs of this one, by spans of their codes."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                code = entries(row, "codes")
+                yield from by_spans(code, spans, codes=code, counts=entries(row, "counts", np.int64), parents=entries(row, "parents"), qs=entries(row, "qs", np.float64)).to_batches(BATCH_ROWS)
+
+    def merge(rows):
+        code = entries(rows, "codes")
+        order = np.argsort(code)
+        columns = [pack_codes(code[order]), planes(entries(rows, "counts", np.int64)[order]), entries(rows, "parents")[order].tobytes(), entries(rows, "qs", np.float64)[order].tobytes()]
+        return pa.table([pa.array(code_span(code[:1], spans).view(np.int64)), *(pa.array([x], pa.binary()) for x in columns)], names=schema.names)
+
+    schema = packed_type("codes", "counts", "parents", "qs")
+    with batches_of(level.sparkSession, SPAN_ROWS):
+        return materialise(level.select("codes", "counts", "parents", "qs").mapInArrow(run, schema).groupBy("span").applyInArrow(merge, schema))
+
+
+def settled(level: DataFrame, longer: DataFrame | None, spans: int, keep: bool) -> DataFrame:
+    """Facts of the retained contexts of a level and of their next words (kind ``fact``), the suffixes of these contexts
+    (``end``), and, with ``keep``, all contexts (``context``). longer: the same of the next level, whose ends retain more."""
+    import pyarrow as pa
+
+    def sorted_out(rows, ends):
+        parts = []
+
+        def put(kind, table):
+            for name in schema.names[1:]:
+                if name not in table.column_names:
+                    table = table.append_column(name, pa.array([kind] * len(table), pa.string()) if name == "kind" else pa.nulls(len(table), pa.binary()))
+            parts.append(table.select(schema.names))
+
+        context, n, rest = entries(rows, "contexts"), entries(rows, "ns", np.int64), entries(rows, "rests", np.int64)
+        suffix, retained = entries(rows, "suffixes"), entries(rows, "owns", np.bool_)
+        if ends is not None:
+            retained = retained | (lookup(distinct(entries(ends, "codes")), context) >= 0)
+        after = np.repeat(retained, entries(rows, "sizes", np.int64))
+        code = np.r_[fact_code("context", context[retained]), fact_code("pair", entries(rows, "codes")[after])]
+        value, more = entries(rows, "counts", np.int64)[after], np.zeros(after.sum(), np.int64)
+        put("fact", by_spans(code, spans, codes=code, values=np.r_[n[retained], value], rests=np.r_[rest[retained], more]))
+        code = distinct(suffix[retained])
+        put("end", by_spans(code, spans, codes=code))
+        if keep:
+            put("context", by_spans(context, spans, codes=context, values=n, rests=rest, suffixes=suffix, retained=retained))
+        return pa.concat_tables(parts)
+
+    schema = packed_type("codes", "values", "rests", "suffixes", "retained").add("kind", T.StringType())
+    rows = level.groupBy("span")
+    if longer is None:
+        return materialise(rows.applyInArrow(lambda rows: sorted_out(rows, None), schema))
+    return materialise(rows.cogroup(longer.where("kind = 'end'").select("span", "codes").groupBy("span")).applyInArrow(sorted_out, schema))
+
+
+def as_rows(packed: DataFrame, names: dict, lists: dict) -> DataFrame:
+    """A row for each entry of packed columns. names: their types by the columns' names; lists: the rows' columns from those."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = {name: entries(batch.slice(k, 1), name, kind) for name, kind in names.items()}
+                columns = {name: read(found) for name, read in lists.items()}
+                yield from pa.table({name: x.view(np.int64) if x.dtype == np.uint64 else x for name, x in columns.items()}).to_batches(FACT_ROWS)
+
+    return packed.select(*names).mapInArrow(run, T.StructType([T.StructField(name, T.BooleanType() if name == "retained" else T.LongType()) for name in lists]))
 
 
 class SuffixTree:
     """contexts: for each level, a table context, suffix, n (occurrences), rest (the left-over mass, in ``unit``s of an
-    occurrence), retained. nexts: for each level, a table context, key, c, code. facts: what scoring may ask, packed by spans of
+    occurrence), retained. nexts: for each level, a table context, code, c of the next words. facts: what scoring may ask, packed by spans of
     its codes (span, codes, values, rests): a word's count; n and rest of a retained context; the count of a word after one (rest is 0 but for contexts)."""
 
     def __init__(self, options: TreeOptions, total: int, vocabulary: int, contexts: list[DataFrame], nexts: list[DataFrame], facts: DataFrame, asked: Bitmap):
         self.options, self.total, self.vocabulary = options, total, vocabulary
         self.contexts, self.nexts, self.facts, self.asked = contexts, nexts, facts, asked
-        self.sent, self.parts = None, []
+        self.sent = None
 
     def shared(self, spark):
         """The bitmap of facts, broadcast once however often texts are scored."""
@@ -341,17 +548,6 @@ def fact_code(kind: str, code: np.ndarray) -> np.ndarray:
     return mix64(code ^ KINDS[kind])
 
 
-def as_facts(rows: DataFrame, kind: str) -> DataFrame:
-    """code, value, rest from rows (code, value, rest) of one kind."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(fact_code(kind, batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), *batch.columns[1:]], names=["code", "value", "rest"])
-
-    return rows.mapInArrow(run, T.StructType().add("code", T.LongType()).add("value", T.LongType()).add("rest", T.LongType()))
-
-
 def packed_facts(facts: DataFrame, total: int) -> DataFrame:
     """code, value, rest as a row for each span of the codes. All rounds of scoring read these, and move no row for each fact."""
     import pyarrow as pa
@@ -368,36 +564,55 @@ def packed_facts(facts: DataFrame, total: int) -> DataFrame:
         return materialise(placed.groupBy("span").applyInArrow(pack, T.StructType().add("span", T.LongType()).add("codes", T.BinaryType()).add("values", T.BinaryType()).add("rests", T.BinaryType())))
 
 
-def fact_bitmap(facts: DataFrame) -> Bitmap:
-    """The bitmap of all codes of packed facts."""
+def merged_facts(words: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Facts of words (of ``packed_facts``) and of all levels (of ``settled``) in one row for each span."""
     import pyarrow as pa
 
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0):
-                bits = np.sort(unpack_codes(data.as_py()) & np.uint64(BITS - 1))
-                cell = bits >> np.uint64(6)
-                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), first)
-                for k in range(0, len(first), FACT_ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[first[k : k + FACT_ROWS]].view(np.int64)), pa.array(bits[k : k + FACT_ROWS].view(np.int64))], names=["cell", "bits"])
+    def merge(rows):
+        code = [unpack_codes(x.as_py()) if kind == "word" else np.frombuffer(x.as_py(), np.uint64) for kind, x in zip(rows.column("kind").to_pylist(), rows.column("codes"), strict=True)]
+        code, at = first_places(np.concatenate(code))
+        columns = [pack_codes(code), *(planes(entries(rows, k, np.int64)[at]) for k in ("values", "rests"))]
+        return pa.table([rows.column("span")[:1].combine_chunks(), *(pa.array([x], pa.binary()) for x in columns)], names=schema.names)
 
-    return Bitmap.merged(facts.select("codes").mapInArrow(run, T.StructType().add("cell", T.LongType()).add("bits", T.LongType())))
+    schema = packed_type("codes", "values", "rests")
+    found = [words.withColumn("kind", F.lit("word")), *(x.where("kind = 'fact'").select(*schema.names, "kind") for x in levels)]
+    return materialise(reduce(DataFrame.unionByName, found).groupBy("span").applyInArrow(merge, schema))
+
+
+def fact_bitmap(facts: DataFrame) -> Bitmap:
+    """The bitmap of all codes of packed facts."""
+    return Bitmap.of_packed(facts.select("codes"))
 
 
 def fact_spans(total: int) -> int:
     return max(1, -(-total // SPAN_TOKENS))
 
 
-def in_states(tokens, place, p, known: Answers, options: TreeOptions, asked: Bitmap) -> np.ndarray:
-    """Probabilities in the longest retained contexts, from those in the root: one step down for each length."""
+def in_words(tokens: np.ndarray, known: Answers) -> Answers:
+    """For each word of a bucket its count, and in place of a rest where ``known`` has it as a context, or -1."""
+    word = distinct(tokens)
+    at = known.find(word)
+    c = np.zeros(len(word), np.int64)
+    c[at >= 0] = known.value[at[at >= 0]]
+    return Answers(word, c.view(np.uint64), known.find(fact_code("context", word)).astype(np.int64).view(np.uint64))
+
+
+def in_states(tokens, place, p, words, known: Answers, options: TreeOptions, asked: Bitmap) -> np.ndarray:
+    """Probabilities in the longest retained contexts, from those in the root: one step down for each length. A context is
+    retained only where its suffix is. words: where ``known`` has each token as a context, or -1."""
     p = p.copy()
-    for _, at, context in state_codes(tokens, place, options.depth):
-        code = fact_code("context", context)
-        on = asked.has(code)
-        held = known.find(code[on])
-        at, context = at[on][held >= 0], context[on][held >= 0]
-        held = held[held >= 0]
+    at = np.flatnonzero(place[1:] > 0)
+    for level in range(1, options.depth + 1):
+        at = at[place[at] >= level - 1]
+        context = context_codes(tokens, at, level)
+        if level == 1:
+            held = words[at]
+        else:
+            code = fact_code("context", context)
+            on = asked.has(code)
+            held, at, context = known.find(code[on]), at[on], context[on]
+        on = held >= 0
+        held, at, context = held[on], at[on], context[on]
         if len(at):
             code = fact_code("pair", pair_code(context, tokens[at + 1]))
             on = np.flatnonzero(asked.has(code))
@@ -415,91 +630,72 @@ def grow_tree(docs: DataFrame, counts: DataFrame, options: TreeOptions, keep: bo
     bounded_batches(spark)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
-    end = int(END.view(np.int64))
-    alphabet = counts.where(F.col("c") >= options.least_count)
-    words = Bitmap.of(alphabet.select(F.col("key").alias("code")))
-    symbols = spark.sparkContext.broadcast(words)
-    # Contexts: n is how often one occurs; the end token is a next word, but no context.
-    contexts = alphabet.where(F.col("key") != end).select(F.col("key").alias("context"), F.lit(0).cast("long").alias("suffix"), F.col("c").alias("n"))
-    # The parent's probability of each next word that a context can have.
-    q = counts.select(F.lit(0).cast("long").alias("suffix"), "key", ((F.col("c") + 1) / F.lit(float(total + vocabulary + 1))).alias("q"))
-    levels, nexts = [], []
+    spans = fact_spans(total)
+    counted_words = packed_facts(counts.select(F.col("key").alias("code"), F.col("c").alias("value"), F.lit(0).cast("long").alias("rest")), total)
+    base = first_level(counted_words, total, vocabulary, options.least_count)
+    symbols = spark.sparkContext.broadcast(Bitmap.of_packed(base.select("codes")))
     here = symbols
     # Beyond some tokens a bit the bitmap would be full and save nothing. A pair is let through or not by its bits alone.
     pairs = None
     if options.least_next > 1 and total <= 8 * PAIR_BITS:
         pairs = spark.sparkContext.broadcast(repeated_pairs(docs, symbols))
+    levels = []
     for level in range(1, options.depth + 1):
         if level > 1:
-            here = spark.sparkContext.broadcast(Bitmap.of(contexts.select(F.col("context").alias("code"))))
+            # Pairs with the end token have codes here too, but nothing follows them.
+            here = spark.sparkContext.broadcast(Bitmap.of_packed(base.select("codes", "counts"), options.least_count))
             if not here.value.any():
                 here.destroy()
-                pairs.destroy()
                 break
-        # Bitmaps may let other contexts through; the join doesn't.
-        # The packed pairs leave the disk before the joins need it.
-        counted = materialise(count_next(docs, level, symbols, here, pairs, options.least_next, max(1, -(-total // COUNT_TOKENS))))
+            pairs = spark.sparkContext.broadcast(Bitmap.of_packed(base.select("codes")))
+        # What tasks sent leaves the disk before the pairs that count are looked up.
+        counted = materialise(count_next(docs, level, symbols, here, pairs, options.least_next, max(1, -(-total // COUNT_TOKENS)), spans))
         tidy(spark)
-        rows = counted.join(contexts, "context")
-        rows = materialise(paired(rows.join(q, ["suffix", "key"]).select("context", "suffix", "key", "c", "n", "q"), "context", "key", "code"))
-        release(counted)
+        whole = materialise(grown(counted, base, spans, options))
         if here is not symbols:
             here.destroy()
         if pairs is not None:
             pairs.destroy()
-        share = (F.col("c") - options.discount) / F.col("n")
-        left = F.first("n") - F.sum("c") + options.discount * F.count("*")
-        sizes = rows.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("n").alias("n"), F.round(left * UNIT).cast("long").alias("rest"), F.sum("q").alias("known"), F.sum(share * F.log2(share / F.col("q"))).alias("gain"))
-        others = F.col("rest") / F.lit(float(UNIT)) / F.col("n")
-        own = F.col("gain") + F.when((others > 0) & (F.col("known") < 1), others * F.log2(others / (1 - F.col("known")))).otherwise(0.0)
-        known = materialise(sizes.select("context", "suffix", "n", "rest", (F.round(own, 9) >= options.least_gain).alias("own")))
-        levels.append(known), nexts.append(rows)
-        release(contexts)
+        release(counted, base)
         tidy(spark)
         if level < options.depth:
-            p = share + F.col("rest") / F.lit(float(UNIT)) / F.col("n") * F.col("q")
-            q = rows.join(known.select("context", "rest"), "context").select(F.col("context").alias("suffix"), "key", p.alias("q"))
-            pairs = spark.sparkContext.broadcast(Bitmap.of(rows.select("code")))
-            longer = rows.where((F.col("c") >= options.least_count) & (F.col("key") != end)).select("suffix", "key", F.col("code").alias("longer"), F.col("c").alias("n"))
-            # The suffix of a context of two words is its last word alone.
-            longer = longer.withColumn("shorter", F.col("key")) if level == 1 else paired(longer, "suffix", "key", "shorter")
-            contexts = materialise(longer.select(F.col("longer").alias("context"), F.col("shorter").alias("suffix"), "n"))
-    for i in range(len(levels) - 1, -1, -1):
-        held = levels[i].withColumn("retained", F.col("own"))
-        if i + 1 < len(levels):
-            ends = levels[i + 1].where("retained").select(F.col("suffix").alias("context")).distinct().withColumn("end", F.lit(True))
-            held = levels[i].join(ends, "context", "left").withColumn("retained", F.col("own") | F.coalesce("end", F.lit(False))).drop("end")
-        known, levels[i] = levels[i], materialise(held)
-        release(known)
+            base = next_level(whole, spans)
+        levels.append(materialise(whole.select(*LEVEL)))
+        release(whole)
+        tidy(spark)
+    if len(levels) < options.depth:
+        release(base)
     symbols.destroy()
-    none = F.lit(0).cast("long").alias("rest")
-    # A level at a time, so that the shuffles of all levels aren't on disk together.
-    facts = [packed_facts(counts.select(F.col("key").alias("code"), F.col("c").alias("value"), none), total)]
-    for rows, known in zip(nexts, levels, strict=True):
-        mine = known.where("retained")
-        after = rows.join(mine.select("context"), "context", "left_semi").select("code", F.col("c").alias("value"), none)
-        some = as_facts(mine.select(F.col("context").alias("code"), F.col("n").alias("value"), "rest"), "context").unionByName(as_facts(after, "pair"))
-        facts.append(packed_facts(some, total))
-        if not keep:
-            release(rows, known)
+    # From the longest contexts down, as these retain their suffixes.
+    found, contexts, nexts = [], [], []
+    for level in reversed(levels):
+        found.append(settled(level, found[-1] if found else None, spans, keep))
+        if keep:
+            numbers = {"values": np.int64, "rests": np.int64, "codes": np.uint64, "suffixes": np.uint64, "retained": np.bool_}
+            contexts.append(as_rows(found[-1].where("kind = 'context'"), numbers, {"context": lambda x: x["codes"], "suffix": lambda x: x["suffixes"], "n": lambda x: x["values"], "rest": lambda x: x["rests"], "retained": lambda x: x["retained"]}))
+            nexts.append(as_rows(level, {"contexts": np.uint64, "sizes": np.int64, "codes": np.uint64, "counts": np.int64}, {"context": lambda x: np.repeat(x["contexts"], x["sizes"]), "code": lambda x: x["codes"], "c": lambda x: x["counts"]}))
+        else:
+            release(level)
         tidy(spark)
-    whole = reduce(DataFrame.unionByName, facts)
-    tree = SuffixTree(options, total, vocabulary, levels if keep else [], nexts if keep else [], whole, fact_bitmap(whole))
-    tree.parts = facts
-    return tree
+    facts = merged_facts(counted_words, found)
+    if not keep:
+        release(counted_words, *found)
+    return SuffixTree(options, total, vocabulary, contexts[::-1], nexts[::-1], facts, fact_bitmap(facts))
 
 
 def planes(x: np.ndarray) -> bytes:
     """Whole numbers as planes of their bytes, without the planes that are zero."""
     width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    x = x.astype(np.uint64)
+    return bytes([width]) + b"".join((x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width))
 
 
 def from_planes(data: bytes) -> np.ndarray:
     part = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((part.shape[1], 8), np.uint8)
-    out[:, : data[0]] = part.T
-    return out.view("<u8").ravel().astype(np.uint64)
+    out = part[0].astype(np.uint64)
+    for k in range(1, data[0]):
+        out |= part[k].astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
@@ -541,7 +737,10 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
         tokens = np.concatenate([t for t, _ in parts])
         place = np.concatenate([places(at) for _, at in parts])
         codes = [distinct(tokens)]
-        for _, at, context in state_codes(tokens, place, options.depth):
+        at = np.flatnonzero(place[1:] > 0)
+        for level in range(1, options.depth + 1):
+            at = at[place[at] >= level - 1]
+            context = context_codes(tokens, at, level)
             on = asked.value.has(fact_code("context", context))
             at, context = at[on], context[on]
             pair = fact_code("pair", pair_code(context, tokens[at + 1]))
@@ -609,19 +808,20 @@ def score_texts(docs: DataFrame, counts: DataFrame, tree: SuffixTree) -> DataFra
     out = out.add("base_score", T.DoubleType()).add("score", T.DoubleType())
 
     def run(rows, answers):
-        parts = [[np.zeros(0, np.uint64), *(read(x.as_py()) for x in answers.column(k))] for k, read in (("codes", unpack_codes), ("values", from_planes), ("rests", from_planes))]
-        mine = Answers(*map(np.concatenate, parts))
+        parts = [[read(x.as_py()) for x in answers.column(k)] for k, read in (("codes", unpack_codes), ("values", from_planes), ("rests", from_planes))]
+        order = sorted(range(len(parts[0])), key=lambda k: parts[0][k][0])  # each has a span of the codes
+        mine = Answers(*(np.concatenate([np.zeros(0, np.uint64), *(part[k] for k in order)]) for part in parts))
         del parts
         n, seen, base, score = [], [], [], []
-        for chunk in rows.column("text").chunks:
-            for _, tokens, starts in token_pieces(chunk):
-                at = mine.find(tokens)
-                c = np.zeros(len(tokens), np.int64)
-                c[at >= 0] = mine.value[at[at >= 0]]
-                p = (c + 1) / (total + vocabulary + 1)
-                n.append(np.diff(starts)), seen.append(np.add.reduceat((c > 0).astype(np.int64), starts[:-1]))
-                base.append(np.add.reduceat(np.log10(p), starts[:-1]))
-                score.append(np.add.reduceat(np.log10(in_states(tokens, places(starts), p, mine, options, asked.value)), starts[:-1]))
+        pieces = [x for chunk in rows.column("text").chunks for x in token_pieces(chunk)]
+        words = in_words(np.concatenate([np.zeros(0, np.uint64), *(tokens for _, tokens, _ in pieces)]), mine)
+        for _, tokens, starts in pieces:
+            at = words.find(tokens)
+            c = words.value[at]
+            p = (c + 1) / (total + vocabulary + 1)
+            n.append(np.diff(starts)), seen.append(np.add.reduceat((c > 0).astype(np.int64), starts[:-1]))
+            base.append(np.add.reduceat(np.log10(p), starts[:-1]))
+            score.append(np.add.reduceat(np.log10(in_states(tokens, places(starts), p, words.rest[at], mine, options, asked.value)), starts[:-1]))
         put = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         n = put(n, np.int64)
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": n, "n_known": put(seen, np.int64), "train_tokens": np.full(len(n), total, np.int64), "base_score": put(base, float), "score": put(score, float)})
@@ -646,7 +846,7 @@ def op2_suffix_lm(spark, sf_dir: str) -> DataFrame:
         part = materialise(score_texts(mine, counts, tree))
         tidy(spark)
         scored = part if scored is None else scored.unionByName(part)
-    release(*tree.parts)
+    release(tree.facts)
     return scored
 
 

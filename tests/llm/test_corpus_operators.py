@@ -295,6 +295,37 @@ def test_suffix_tree_keeps_rare_contexts(spark):
         assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 3) : i]), w[i], kept)) for i in range(len(w))), rel=1e-9)
 
 
+def test_suffix_tree_is_grown_packed(spark, monkeypatch):
+    """The tree's tables hold a few packed rows for each span, not one for each pair of a context and its next word."""
+    df = spark.createDataFrame([(f"p{i} q{i} r{(i + j) % 2 * 1000 + i}",) for i in range(200) for j in range(6)], "text string")
+    sizes, write = [], suffix_lm.materialise
+
+    def counting(rows):
+        out = write(rows)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_lm, "materialise", counting)
+    tree = suffix_lm.grow_tree(df, suffix_lm.count_words(df), suffix_lm.TreeOptions(), keep=False)
+    assert sum(len(suffix_lm.unpack_codes(r["codes"])) for r in tree.facts.collect()) > 1000
+    assert len(sizes) > 3 and max(sizes) <= 4
+
+
+def test_bitmaps_decide_nothing(spark, monkeypatch):
+    """With bitmaps that let all through, words that are too rare for the alphabet still are none of the tree's."""
+    full = lambda *_: suffix_lm.Bitmap(np.full(1, 0xFFFFFFFFFFFFFFFF, np.uint64))
+    monkeypatch.setattr(suffix_lm.Bitmap, "of", full)
+    monkeypatch.setattr(suffix_lm.Bitmap, "of_packed", full, raising=False)
+    texts = [f"a b{i % 3} a rare{i // 2} c" for i in range(40)] + [f"few{i} few{i} few{i} a" for i in range(5)]
+    rows = [[*t.split(), " "] for t in texts]
+    p, kept, _ = brute_tree(rows)
+    n, out, _ = score_all(spark, texts, suffix_lm.TreeOptions())
+    assert n == len(kept) > 4
+    for r in out:
+        w = rows[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 3) : i]), w[i], kept)) for i in range(len(w))), rel=1e-9)
+
+
 def test_words_and_hashes(spark):
     """Words as by the pattern, hashed alike wherever a text is cut."""
     import re
