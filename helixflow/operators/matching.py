@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,8 +11,12 @@ from pyspark.sql import types as T
 
 from ..functions.dna import hamming, pack
 from .motifs import _fits, stranded_windows
+from .seeds import ball
+from .windows import CODE, Piece, choice, known, scan, strings
 
 SPACER = 20
+#: Neighbours of all guides that a task holds at most, and pairs of a site and a guide that it compares at once.
+MOST_NEIGHBOURS, PAIRS = 1 << 23, 1 << 18
 
 
 def pam_sites(seqs: DataFrame, ids: list[str]) -> DataFrame:
@@ -39,11 +45,107 @@ def off_targets(sites: DataFrame, guides: DataFrame, mismatches: int = 3) -> Dat
     g = guides.select("guide_id", "spacer", pack(F.col("spacer")).alias("gx"), F.explode(segments(F.col("spacer"), parts)).alias("p")).select("guide_id", "spacer", "gx", "p.seg", "p.value")
     s = sites.withColumn("p", F.explode(segments(F.col("site"), parts))).select(*sites.columns, "p.seg", "p.value")
     met = s.join(g, ["seg", "value"]).withColumn("mismatches", hamming(F.col("x"), F.col("gx"))).where(F.col("mismatches") <= mismatches)
-    a, b = segments(F.col("site"), parts), segments(F.col("spacer"), parts)
-    first = F.array_min(F.transform(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: z["a"] == z["b"]), lambda z: z["a"]["seg"]))
+    # By bits alone: a later filter on mismatches may move this test before that of the mismatches, to every pair that met.
+    cuts = [SPACER * i // parts for i in range(parts + 1)]
+    differ = F.col("x").bitwiseXOR(F.col("gx"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit((4 ** (b - a) - 1) << 2 * (SPACER - b))) == 0, i) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
     return met.where(F.col("seg") == first).drop("seg", "value", "x", "gx")
 
 
+def halves(mismatches: int) -> list[tuple[int, int, int]]:
+    """(bits to the right of it, bases, mismatches) of two parts of a spacer: spacers within so many mismatches are as near as
+    that in one part at least."""
+    left, right = mismatches // 2, mismatches - mismatches // 2 - 1
+    bases = SPACER // 2 - (left > right)
+    return [(2 * bases, SPACER - bases, left), (0, bases, right)][: 1 + (right >= 0)]
+
+
+class Neighbours:
+    """Packed spacers by the values of their parts, changed in every way that ``halves`` allows."""
+
+    def __init__(self, spacers: np.ndarray, mismatches: int):
+        self.spacers, self.mismatches, self.parts = spacers, mismatches, []
+        for shift, bases, radius in halves(mismatches):
+            change = np.array(ball(bases, radius), np.int32)
+            value = ((spacers >> shift & 4**bases - 1).astype(np.int32)[:, None] ^ change).ravel()
+            first = np.r_[0, np.cumsum(np.bincount(value, minlength=4**bases))].astype(np.int32)
+            self.parts.append((shift, 4**bases - 1, radius, first, (np.argsort(value, kind="stable") // len(change)).astype(np.int32)))
+
+    def near(self, x: np.ndarray):
+        """Parts of (place in x, place in the spacers, mismatches) of all pairs within the mismatches, each pair once."""
+        for shift, mask, _, first, spacer in self.parts:
+            value = x >> shift & mask
+            low = first[value].astype(np.int64)
+            count = first[value + 1] - low
+            some = np.flatnonzero(count)
+            low, count = low[some], count[some]
+            ends = np.cumsum(count)
+            start = 0
+            while start < len(some):
+                done = ends[start] - count[start]
+                stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+                n = count[start:stop]
+                site = np.repeat(some[start:stop], n)
+                guide = spacer[np.arange(done, ends[stop - 1]) + np.repeat(low[start:stop] - ends[start:stop] + n, n)]
+                differ = x[site] ^ self.spacers[guide]
+                differ = (differ | differ >> 1) & 0x5555555555555555
+                found = np.bitwise_count(differ)
+                keep = found <= self.mismatches
+                if not shift:  # pairs that are near on the left are found there
+                    left, _, radius = self.parts[0][:3]
+                    keep &= np.bitwise_count(differ >> left) > radius
+                if keep.any():
+                    yield site[keep], guide[keep], found[keep].astype(np.int32)
+                start = stop
+
+
+@lru_cache(maxsize=1)
+def _neighbours(spacers: bytes, mismatches: int) -> Neighbours:
+    return Neighbours(np.frombuffer(spacers, np.int64), mismatches)
+
+
+def _spacers(bases: np.ndarray, where: np.ndarray, minus: bool) -> np.ndarray:
+    """The first 20 bases, as the strand reads them, of the 23-base windows at some places, packed."""
+    x = np.zeros(len(where), np.int64)
+    for i in range(SPACER):
+        x = x << 2 | (3 - CODE[bases[where + SPACER + 2 - i]] if minus else CODE[bases[where + i]])
+    return x
+
+
+def guide_hits(seqs: DataFrame, ids: list[str], guides: DataFrame, mismatches: int = 3) -> DataFrame:
+    """``off_targets`` of the ``pam_sites`` of sequences, without a row for any other site: ids, start, strand, site, guide_id,
+    spacer, mismatches. Spacers with other letters than A, C, G and T find nothing.
+
+    Spacers within m mismatches are within m // 2 in their left part, or within the rest less one in the right. So each task
+    holds the guides by all values that near in these parts, looks up its sites as it scans them, and compares what it
+    meets. Guides with more than MOST_NEIGHBOURS such values meet the sites in ``off_targets``' join instead.
+    """
+    if not 0 <= mismatches <= 6:
+        raise ValueError("mismatches must be 0 to 6: pieces get too short beyond")
+    guides = guides.select("guide_id", "spacer").where(F.col("spacer").rlike(f"^[ACGT]{{{SPACER}}}$"))
+    most = MOST_NEIGHBOURS // sum(len(ball(bases, radius)) for _, bases, radius in halves(mismatches))
+    held = guides.limit(most + 1).toArrow()
+    if len(held) > most:
+        return off_targets(pam_sites(seqs, ids), guides, mismatches)
+    names, texts = (held.column(c).combine_chunks() for c in ("guide_id", "spacer"))
+    letters = np.array(texts.to_pylist(), dtype=f"S{SPACER}").view(np.uint8)
+    packed = _spacers(np.r_[letters, np.zeros(3, np.uint8)], np.arange(0, len(letters), SPACER), False).tobytes()
+    width = SPACER + 3
+
+    def kernel(piece: Piece):
+        bases = piece.bases
+        on = piece.owns(width) & known(bases, width)
+        is_g, is_c, n = bases == ord("G"), bases == ord("C"), len(on)
+        sides = np.flatnonzero(on & is_g[width - 2 : width - 2 + n] & is_g[width - 1 :]), np.flatnonzero(on & is_c[:n] & is_c[1 : 1 + n])
+        for minus, places in enumerate(sides):
+            for site, guide, differ in _neighbours(packed, mismatches).near(_spacers(bases, places, bool(minus))):
+                where, back = places[site], np.full(len(site), bool(minus))
+                yield where, piece.pos(where), choice(["+", "-"], back), strings(bases, where, width, back), names.take(guide), texts.take(guide), differ
+
+    kind = guides.schema["guide_id"].dataType.simpleString()
+    return scan(seqs, ids, width, kernel, f"start long, strand string, site string, guide_id {kind}, spacer string, mismatches int")
+
+
 def marked_site(site: Column, spacer: Column) -> Column:
     """The site with mismatched spacer bases in lower case."""
     bases = F.transform(F.sequence(F.lit(1), F.lit(SPACER)), lambda i: F.when(site.substr(i, F.lit(1)) == spacer.substr(i, F.lit(1)), site.substr(i, F.lit(1))).otherwise(F.lower(site.substr(i, F.lit(1)))))

@@ -88,7 +88,8 @@ def bounded(df: DataFrame) -> DataFrame:
 
 def scan(seqs: DataFrame, ids: list[str], width: int, kernel: Callable, fields: str, seq: str = "seq") -> DataFrame:
     """ids and ``fields`` of what ``kernel`` finds in windows of ``width``. kernel(piece) gives the places of hits in
-    ``piece.bases`` (each in an owned window, or at its place), then an array or Arrow array for each field."""
+    ``piece.bases`` (each in an owned window, or at its place), then an array or Arrow array for each field; or it yields
+    these for one part of the hits after another."""
     import pyarrow as pa
 
     rows = bounded(blocks(seqs, width - 1, ids, seq))
@@ -98,10 +99,11 @@ def scan(seqs: DataFrame, ids: list[str], width: int, kernel: Callable, fields:
     def run(batches):
         for batch in batches:
             for row, piece in pieces(batch, len(ids)):
-                where, *columns = kernel(piece)
-                if len(where):
-                    of = pa.array(row + piece.block(where))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(ids))), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=schema.names)
+                parts = kernel(piece)
+                for where, *columns in [parts] if isinstance(parts, tuple) else parts:
+                    if len(where):
+                        of = pa.array(row + piece.block(where))
+                        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(ids))), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
