@@ -87,10 +87,12 @@ def top_in_group(hits: DataFrame, by: list[str], order: list[Column], k: int) ->
 
 
 def top_list(hits: DataFrame, by: str, where: str, pos: str, k: int = 5) -> DataFrame:
-    """by, top: ``where:pos:mismatches;score`` of the k best hits, joined by ``;``."""
-    best = top_in_group(hits, [by], [F.desc("score"), F.asc(where), F.asc(pos), F.asc("strand")], k)
+    """by, top: ``where:pos:mismatches;score`` of the k best hits, joined by ``;``. Hits without ``where`` come after their equals
+    and have no item; top is null where all k have none."""
+    best = top_in_group(hits, [by], [F.desc("score"), F.asc_nulls_last(where), F.asc(pos), F.asc("strand")], k)
     item = F.concat(F.col(where).cast("string"), F.lit(":"), F.col(pos).cast("string"), F.lit(":"), F.col("mismatches").cast("string"), F.lit(";"), F.format_string("%.4f", F.col("score")))
-    return best.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))), lambda x: x["item"]), ";").alias("top"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))), lambda x: x["item"])
+    return best.groupBy(by).agg(F.nullif(F.array_join(items, ";"), F.lit("")).alias("top"))
 
 
 def composite(activity: Column, specific: Column) -> Column:

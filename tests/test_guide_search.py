@@ -73,18 +73,14 @@ def test_first_piece_is_found_by_bits(spark):
     assert "arrays_zip" not in plan(found) and [r.mismatches for r in found.collect()] == [0]
 
 
-@pytest.fixture(scope="module")
-def odd(spark, tmp_path_factory):
-    """Documents with null, repeated and empty ids and texts that hold benchmark passages, changed a little or not at all."""
+def tables(spark, folder, ids):
+    """Documents that hold benchmark passages, changed a little or not at all, with ids of a generator that may repeat or be null."""
     duckdb = pytest.importorskip("duckdb")
     r = random.Random(8)
     items = ["".join(r.choice("cgcgat ") for _ in range(120)) for _ in range(6)]
-    texts = [(k, t) for k, t in ODD]
+    texts = [*ODD, (None, " ".join(items))]
     for k in range(60):
-        item = r.choice(items)
-        texts.append((r.choice([None, 1, 2, k]), mutated(r, item, r.choice([0, 0, 2, 5, 9]), "cgat") + " " + "".join(r.choice("acgt") for _ in range(300))))
-    texts.append((None, " ".join(items)))
-    folder = str(tmp_path_factory.mktemp("odd"))
+        texts.append((ids(r, k), mutated(r, r.choice(items), r.choice([0, 0, 2, 5, 9]), "cgat") + " " + "".join(r.choice("acgt") for _ in range(300))))
     docs = spark.createDataFrame([(k, t, "en", "web") for k, t in texts], "doc_id long, text string, lang string, source string")
     docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
@@ -94,6 +90,16 @@ def odd(spark, tmp_path_factory):
     return folder, con
 
 
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    return tables(spark, str(tmp_path_factory.mktemp("odd")), lambda r, k: r.choice([None, 1, 2, k]))
+
+
+@pytest.fixture(scope="module")
+def some_null(spark, tmp_path_factory):
+    return tables(spark, str(tmp_path_factory.mktemp("null")), lambda r, k: r.choice([None, None, 100 + k]))
+
+
 def equals_sql(spark, odd, name):
     import pandas as pd
 
@@ -107,3 +113,9 @@ def test_on_off_split_counts_each_hit_once(spark, odd):
     want = equals_sql(spark, odd, "on_off_split")
     assert want.on_targets.max() > 1 and want.off_targets.max() > 1
     assert "Join" not in plan(catalog.on_off_split(spark, odd[0]))
+
+
+def test_top_offtargets_without_ids_come_last(spark, some_null):
+    want = equals_sql(spark, some_null, "top_offtargets")
+    assert len(want) > 50 and want.top.str.contains(";").any()
+    assert not {"Join", "arrays_zip"} & set(plan(catalog.top_offtargets(spark, some_null[0])).replace("(", " ").split())
