@@ -58,6 +58,10 @@ def cpg_islands(seqs: DataFrame, ids: list[str], width: int = 200) -> DataFrame:
 
     def kernel(piece):
         first, n = _runs(_rich(piece, width), piece.at)
+        # A run that touches no end of its block and is too short is none.
+        block = piece.block(first)
+        keep = (n >= width) | (first == piece.at[block]) | (first + n == piece.at[block] + piece.owned[block])
+        first, n = first[keep], n[keep]
         return first, piece.pos(first), n
 
     runs = joined_runs(scan(seqs, ids, width, kernel, "first long, n long"), ids).where(F.col("n") >= width)

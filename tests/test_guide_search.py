@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from helixflow.jobs import catalog
-from helixflow.operators import matching, windows
+from helixflow.operators import matching, regions, windows
 
 from .test_operators import rc
 from .test_queries import shaped
@@ -77,10 +77,10 @@ def tables(spark, folder, ids):
     """Documents that hold benchmark passages, changed a little or not at all, with ids of a generator that may repeat or be null."""
     duckdb = pytest.importorskip("duckdb")
     r = random.Random(8)
-    items = ["".join(r.choice("cgcgat ") for _ in range(120)) for _ in range(6)]
+    items = ["".join(r.choice("bcbcad ") for _ in range(300)) for _ in range(4)]
     texts = [*ODD, (None, " ".join(items))]
     for k in range(60):
-        texts.append((ids(r, k), mutated(r, r.choice(items), r.choice([0, 0, 2, 5, 9]), "cgat") + " " + "".join(r.choice("acgt") for _ in range(300))))
+        texts.append((ids(r, k), mutated(r, r.choice(items), r.choice([0, 0, 2, 5, 9]), "abcd") + " " + "".join(r.choice("abcd") for _ in range(300))))
     docs = spark.createDataFrame([(k, t, "en", "web") for k, t in texts], "doc_id long, text string, lang string, source string")
     docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
@@ -119,3 +119,33 @@ def test_top_offtargets_without_ids_come_last(spark, some_null):
     want = equals_sql(spark, some_null, "top_offtargets")
     assert len(want) > 50 and want.top.str.contains(";").any()
     assert not {"Join", "arrays_zip"} & set(plan(catalog.top_offtargets(spark, some_null[0])).replace("(", " ").split())
+
+
+def test_specificity_top_split_meets_no_pieces(spark, some_null):
+    want = equals_sql(spark, some_null, "specificity_top_split")
+    assert len(set(want.in_island)) == 2
+    assert "arrays_zip" not in plan(catalog.specificity_top_split(spark, some_null[0]))
+
+
+def test_islands_send_no_short_runs(spark, monkeypatch):
+    """Runs too short for an island stay in their task, unless they touch an end of their block."""
+    monkeypatch.setattr(windows, "BLOCK", 150)
+    r = random.Random(9)
+    texts = [(k, "".join(r.choice(r.choice(["CG", "CCGG", "ACGT"])) for _ in range(r.randrange(2000)))) for k in range(8)] + [(8, "CG" * 400), (9, "CG" * 30 + "A" * 90 + "GC" * 35)]
+    sent = []
+    joined = regions.joined_runs
+    monkeypatch.setattr(regions, "joined_runs", lambda runs, keys: sent.append(runs.collect()) or joined(runs, keys))
+    got = sorted(map(tuple, regions.cpg_islands(spark.createDataFrame(texts, "id long, seq string"), ["id"], 40).collect()))
+    assert all(x.n >= 40 or x.first % 150 == 0 or (x.first + x.n) % 150 == 0 for x in sent[0])
+    want = []
+    for i, s in texts:
+        rich = [2 * ((c := w.count("C")) + (g := w.count("G"))) >= 40 and c > 0 and g > 0 and 200 * w.count("CG") >= 3 * c * g for w in (s[p : p + 40] for p in range(len(s) - 39))] + [False]
+        start = None
+        for p, x in enumerate(rich):
+            if x and start is None:
+                start = p
+            elif not x and start is not None:
+                if p - start >= 40:
+                    want.append((i, start, p - 1 + 40))
+                start = None
+    assert got == sorted(want) and len(want) > 5
